@@ -106,6 +106,11 @@ _LOCAL = {
 }
 
 
+def _merge(side: str, kind: str, local: Column, carry: Column) -> Column:
+    far_side_wins = (kind == "first" and side != "a") or (kind == "last" and side == "a")
+    return _MERGE[kind](carry, local) if far_side_wins else _MERGE[kind](local, carry)
+
+
 def scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -155,7 +160,7 @@ def scan(
     joined = local.join(carry, part, "left")
     return joined.select(
         *[F.col(c) for c in df.columns],
-        *[_MERGE[k](F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for _, n, k, _ in specs],
+        *[_merge(side, k, F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for side, n, k, _ in specs],
     )
 
 
@@ -220,3 +225,27 @@ def nearest_within(
         marked.withColumn("_best", kept)
         .select(*left.columns, "_best.near_ms", *[F.col(f"_best.{c}").alias(c) for c in carry])
     )
+
+
+def merge_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
+    """Disjoint union of the intervals of each key, as ``(keys, start, end)``."""
+    spans = df.where(F.col(end) > F.col(start)).groupBy(*keys, start).agg(F.max(end).alias(end))
+    runs = islands(spans, keys, start, end, [end])
+    return runs.groupBy(*keys, "island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("island")
+
+
+def covered_by(
+    windows: DataFrame, spans: DataFrame, keys: Sequence[str], window: tuple[str, str], span: tuple[str, str],
+    window_id: Sequence[str], name: str = "covered_ms",
+) -> DataFrame:
+    """Add how much of each window the union of ``spans`` covers.
+
+    The spans are merged first, so intersections can simply be summed.
+    """
+    ws, we = window
+    merged = merge_intervals(spans.select(*keys, F.col(span[0]).alias("_s"), F.col(span[1]).alias("_e")), keys, "_s", "_e")
+    cut = interval_join(windows.select(*dict.fromkeys([*keys, *window_id, ws, we])), merged, keys, window, ("_s", "_e"))
+    part = F.least(F.col(we), F.col("_e")) - F.greatest(F.col(ws), F.col("_s"))
+    by = list(dict.fromkeys([*keys, *window_id]))
+    total = cut.groupBy(*by).agg(F.sum(part).alias(name))
+    return windows.join(total, by, "left").withColumn(name, F.coalesce(name, F.lit(0)))

@@ -227,6 +227,19 @@ MASK_FIELDS = [
     "((ordinal * 7) % 100) / 100e0 AS mask_confidence",
 ]
 
+# -- score changes and earlier searches --------------------------------------
+
+ANCHOR_FIELDS = [
+    "match_id", "concat('anchor-', CAST(ordinal AS STRING)) AS anchor_id",
+    "CASE WHEN ordinal % 2 = 0 THEN 'home' ELSE 'away' END AS side",
+    "CASE WHEN ordinal % 6 = 5 THEN 'reversed' ELSE 'provisional' END AS status",
+    "start_ms + 100 AS before_ms", "end_ms + 700 AS after_ms",
+    "greatest(0, start_ms - 19900) AS search_start_ms", "least(5400000, end_ms + 20700) AS search_end_ms",
+]
+SEARCHED_FIELDS = [
+    "match_id", "ordinal AS search_id", "greatest(0, start_ms - 40000) AS s_start_ms", "least(5400000, end_ms + 90000) AS s_end_ms",
+]
+
 BEAT_FIELDS = [
     "conv_id AS match_id", "concat('beat-', CAST(turn AS STRING)) AS beat_id", "turn AS ordinal",
     "role", "text AS narration",
@@ -262,6 +275,8 @@ VIEW_SQL: dict[str, str] = {
     "requests_v": f"SELECT {', '.join(REQUEST_FIELDS)} FROM base_v",
     "job_events_v": f"SELECT {', '.join(JOB_EVENT_FIELDS)} FROM base_v",
     "masks_v": f"SELECT {', '.join(MASK_FIELDS)} FROM moments_v WHERE ordinal % 4 = 1",
+    "anchors_v": f"SELECT {', '.join(ANCHOR_FIELDS)} FROM moments_v WHERE event_type IN ('goal', 'disallowed_goal') AND ordinal % 3 = 1",
+    "searched_v": f"SELECT {', '.join(SEARCHED_FIELDS)} FROM moments_v WHERE ordinal % 4 = 2",
     "beats_v": f"SELECT {', '.join(BEAT_FIELDS)} FROM conversations",
 }
 
@@ -346,6 +361,14 @@ class Tables:
     def masks(self) -> DataFrame:
         return self.moments.where("ordinal % 4 = 1").selectExpr(*MASK_FIELDS)
 
+    @cached_property
+    def anchors(self) -> DataFrame:
+        return self.moments.where("event_type IN ('goal', 'disallowed_goal') AND ordinal % 3 = 1").selectExpr(*ANCHOR_FIELDS)
+
+    @cached_property
+    def searched(self) -> DataFrame:
+        return self.moments.where("ordinal % 4 = 2").selectExpr(*SEARCHED_FIELDS)
+
     @cached_property
     def beats(self) -> DataFrame:
         return self.parquet("conversations").selectExpr(*BEAT_FIELDS)

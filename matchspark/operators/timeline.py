@@ -249,3 +249,45 @@ def covered_by(
     by = list(dict.fromkeys([*keys, *window_id]))
     total = cut.groupBy(*by).agg(F.sum(part).alias(name))
     return windows.join(total, by, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+
+
+def asof_within(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], left_t: str, right_t: str, tol_ms: int,
+    carry: Sequence[str], side: str, block_ms: int = BLOCK_MS,
+) -> DataFrame:
+    """The last ``right`` row at or before ``left_t`` (``side="before"``), or the first at
+    or after it (``side="after"``), if it lies within ``tol_ms``. Adds ``<side>_ms`` and
+    ``<side>_<carry>`` columns.
+    """
+    back = side == "before"
+    probe = left.select("*", F.lit(1 if back else 0).alias("_side"), F.col(left_t).alias("_t")).withColumn(
+        "_block", block_of(F.col("_t"), block_ms)
+    )
+    payload = F.struct(F.col(right_t).alias("t"), *[F.col(c) for c in carry])
+    reach = (0, tol_ms) if not back else (tol_ms, 0)
+    seen = halo(right.select(*keys, F.col(right_t).alias("_t"), payload.alias("_hit")), "_t", reach[0], reach[1], block_ms)
+    both = probe.unionByName(seen.drop("_home").withColumn("_side", F.lit(0 if back else 1)), allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "_block").orderBy("_t", "_side")
+    if back:
+        hit = F.last("_hit", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        gap = F.col("_t") - F.col("_found.t")
+    else:
+        hit = F.first("_hit", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+        gap = F.col("_found.t") - F.col("_t")
+    mine = F.lit(1 if back else 0)
+    rows = both.withColumn("_found", hit).where(F.col("_side") == mine)
+    kept = F.when(gap <= tol_ms, F.col("_found"))
+    return rows.withColumn("_kept", kept).select(
+        *left.columns, F.col("_kept.t").alias(f"{side}_ms"), *[F.col(f"_kept.{c}").alias(f"{side}_{c}") for c in carry]
+    )
+
+
+def fold(df: DataFrame, keys: Sequence[str], row: Column, init: Column, step, name: str = "state") -> DataFrame:
+    """Ordered fold of each key's rows inside the JVM: ``row`` sorts by its leading fields.
+
+    The rows of a key are held in one array, so callers must have bounded them:
+    by a budget, by a physical limit of the key, or by splitting it first.
+    """
+    return df.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_q")).select(
+        *keys, F.aggregate("_q", init, step).alias(name)
+    )

@@ -38,8 +38,8 @@ def _(v):
     return T.model_stats(v.requests)
 
 
-@query("minute_buckets", f"""SELECT job_id, model, us // 60000000 * 60000000 AS minute_us, count(*) AS requests, count(*) FILTER (status = 'capacity') AS limited, {', '.join(SUM(c) for c in T.COUNTERS[2:5])}
-  FROM requests_v WHERE model IS NOT NULL GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY job_id, model ORDER BY minute_us DESC) <= 5""")
+@query("minute_buckets", f"""SELECT * FROM (SELECT job_id, model, us // 60000000 * 60000000 AS minute_us, count(*) AS requests, count(*) FILTER (status = 'capacity') AS limited, {', '.join(SUM(c) for c in T.COUNTERS[2:5])}
+  FROM requests_v WHERE model IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY job_id, model ORDER BY minute_us DESC) <= 5""")
 def _(v):
     return T.minute_buckets(v.requests, keep=5)
 

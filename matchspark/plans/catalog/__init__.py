@@ -1,4 +1,4 @@
 """Importing this package registers every query."""
 
-from matchspark.plans.catalog import intervals, ledger, linking, moments, telemetry  # noqa: F401
+from matchspark.plans.catalog import intervals, ledger, linking, moments, selection, telemetry  # noqa: F401
 from matchspark.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -104,30 +104,28 @@ def best_of_conflicts(
     rounds goes to the shared checkpoint folder. ``conflict`` compares columns
     with those prefixed ``o_``.
     """
-    spark = rows.sparkSession
-    ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(rows.sparkSession)
     cols = rows.columns
-    order = F.struct(*rank)
-    todo = rows.withColumn("_rank", order).checkpoint()
+    todo = rows.withColumn("_rank", F.struct(*rank))
     kept_parts = []
     while True:
         last = F.greatest(F.col(end) - 1, F.col(start))
         spread = todo.withColumn("_bin", F.explode(F.sequence(block_of(F.col(start), bin_ms), block_of(last, bin_ms))))
-        lead = spread.groupBy(*keys, "_bin").agg(F.min("_rank").alias("_best"))
-        led = spread.join(lead, [*keys, "_bin"]).groupBy(*keys, "_rank").agg(F.bool_and(F.col("_rank") == F.col("_best")).alias("_wins"))
-        winners = todo.join(led.where("_wins").drop("_wins"), [*keys, "_rank"], "left_semi").checkpoint()
-        kept_parts.append(winners)
-        other = winners.select(*keys, *[F.col(c).alias("o_" + c) for c in cols if c not in keys])
-        losers = interval_join(todo, other, keys, (start, end), ("o_" + start, "o_" + end), bin_ms).where(conflict).select(*keys, "_rank").distinct()
-        todo = (
-            todo.join(winners.select(*keys, "_rank"), [*keys, "_rank"], "left_anti").join(losers, [*keys, "_rank"], "left_anti").checkpoint()
-        )
+        best = F.min("_rank").over(Window.partitionBy(*keys, "_bin"))
+        led = spread.select(*keys, "_rank", (F.col("_rank") == best).alias("_top")).groupBy(*keys, "_rank").agg(F.bool_and("_top").alias("_wins"))
+        marked = todo.join(led, [*keys, "_rank"])
+        other = marked.where("_wins").select(*keys, *[F.col(c).alias("o_" + c) for c in cols if c not in keys])
+        losers = interval_join(marked.where("NOT _wins"), other, keys, (start, end), ("o_" + start, "o_" + end), bin_ms).where(conflict)
+        lost = losers.select(*keys, "_rank", F.lit(True).alias("_lost")).distinct()
+        state = marked.join(lost, [*keys, "_rank"], "left").where("_lost IS NULL").drop("_lost").checkpoint()
+        kept_parts.append(state.where("_wins").select(*cols))
+        todo = state.where("NOT _wins").drop("_wins")
         if todo.isEmpty():
             break
     out = kept_parts[0]
     for part in kept_parts[1:]:
         out = out.unionByName(part)
-    return out.select(*cols)
+    return out
 
 
 def unique_evidence(moments: DataFrame) -> DataFrame:

@@ -259,13 +259,12 @@ def even_subset(beats: DataFrame, n: DataFrame) -> DataFrame:
 
 def safe_zoom(keyframes: DataFrame) -> DataFrame:
     """Largest of the allowed zooms that keeps ball and player inside the margin for a whole scene."""
-    pts = ["bx", "by", "px", "py"]
-    seen = S.is_true("ball_in_frame") & S.is_true("player_in_frame") & F.col("bx").isNotNull() & F.col("by").isNotNull() & F.col("px").isNotNull() & F.col("py").isNotNull()
+    seen = S.is_true("ball_in_frame") & S.is_true("player_in_frame") & F.col("bx").isNotNull() & F.col("b_y").isNotNull() & F.col("px").isNotNull() & F.col("p_y").isNotNull()
     lo = lambda a, b: F.min(F.when(seen, F.least(a, b)))
     hi = lambda a, b: F.max(F.when(seen, F.greatest(a, b)))
     g = keyframes.groupBy("match_id", "scene_id").agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(seen, 1)).alias("k"), F.bool_or(F.col("scene_cut") & (F.col("t_ms") > 150)).alias("cut"),
-        lo("bx", "px").alias("x0"), hi("bx", "px").alias("x1"), lo("by", "py").alias("y0"), hi("by", "py").alias("y1"),
+        lo("bx", "px").alias("x0"), hi("bx", "px").alias("x1"), lo("b_y", "p_y").alias("y0"), hi("b_y", "p_y").alias("y1"),
     )
     mid = lambda a, b: S.clamp((F.col(a) + F.col(b)) / 2, 0.475, 0.525)
     g = g.withColumns(dict(cx=mid("x0", "x1"), cy=mid("y0", "y1")))

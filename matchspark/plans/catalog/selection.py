@@ -142,7 +142,7 @@ def _(v):
   SELECT match_id, moment_id, section FROM o WHERE coalesce(have, 0) + before < requested_ms UNION ALL SELECT match_id, moment_id, section FROM r WHERE mandatory""")
 def _(v):
     plan = W.section_plan(src(v))
-    rows = v.moments.join(K.section_of(v.moments, plan).drop("moment_id", "match_id") if False else K.section_of(v.moments, plan), ["match_id", "moment_id"]).selectExpr(
+    rows = v.moments.join(K.section_of(v.moments, plan), ["match_id", "moment_id"]).selectExpr(
         "match_id", "moment_id", "section", "ordinal AS rank", "event_type = 'goal' AND ordinal % 3 = 0 AS mandatory", "least(6000, end_ms - start_ms) AS capacity_ms")
     return SEL.section_quota(rows, plan)
 
@@ -161,17 +161,17 @@ def _(v):
 
 
 @query("even_subset", """WITH b AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY ordinal) - 1 AS i, count(*) OVER (PARTITION BY match_id) AS len, 1 + match_id % 4 AS slots FROM beats_v)
-  SELECT match_id, beat_id, i AS position FROM b WHERE len <= slots OR (slots = 1 AND i = 0) OR (slots > 1 AND i IN (SELECT CAST(floor(j * (len - 1) / (slots - 1) + 0.5e0) AS BIGINT) FROM (SELECT unnest(range(4)) AS j) WHERE j < slots))""")
+  SELECT match_id, beat_id, i AS position FROM b WHERE len <= slots OR (slots = 1 AND i = 0) OR (slots > 1 AND i IN (SELECT CAST(floor(j * (len - 1) / nullif(slots - 1, 0) + 0.5e0) AS BIGINT) FROM (SELECT unnest(range(4)) AS j) WHERE j < slots))""")
 def _(v):
     return SEL.even_subset(v.beats, v.beats.select("match_id").distinct().selectExpr("match_id", "1 + match_id % 4 AS slots"))
 
 
-ZK = ["match_id", "scene_id", "t_ms", "k % 97 = 3 AS scene_cut", "k % 11 <> 0 AS ball_in_frame", "true AS player_in_frame", "0.5e0 + (ordinal % 40 - 20) / 256e0 * (scene_id % 2 + 1) AS bx", "0.5e0 + (ordinal % 36 - 18) / 128e0 AS by",
-      "0.5e0 + (ordinal % 30 - 15) / 256e0 AS px", "0.5e0 + (ordinal % 52 - 26) / 64e0 * (match_id % 2) AS py"]
+ZK = ["match_id", "scene_id", "t_ms", "k % 97 = 3 AS scene_cut", "k % 11 <> 0 AS ball_in_frame", "true AS player_in_frame", "0.5e0 + (ordinal % 40 - 20) / 256e0 * (scene_id % 2 + 1) AS bx", "0.5e0 + (ordinal % 36 - 18) / 128e0 AS b_y",
+      "0.5e0 + (ordinal % 30 - 15) / 256e0 AS px", "0.5e0 + (ordinal % 52 - 26) / 64e0 * (match_id % 2) AS p_y"]
 
 
 @query("safe_zoom", f"""WITH k AS (SELECT {', '.join(ZK)} FROM frames_v), g AS (SELECT match_id, scene_id, count(*) AS n, count(*) FILTER (ball_in_frame) AS s, bool_or(scene_cut AND t_ms > 150) AS cut,
-    min(least(bx, px)) FILTER (ball_in_frame) AS x0, max(greatest(bx, px)) FILTER (ball_in_frame) AS x1, min(least(by, py)) FILTER (ball_in_frame) AS y0, max(greatest(by, py)) FILTER (ball_in_frame) AS y1 FROM k GROUP BY ALL),
+    min(least(bx, px)) FILTER (ball_in_frame) AS x0, max(greatest(bx, px)) FILTER (ball_in_frame) AS x1, min(least(b_y, p_y)) FILTER (ball_in_frame) AS y0, max(greatest(b_y, p_y)) FILTER (ball_in_frame) AS y1 FROM k GROUP BY ALL),
   c AS (SELECT *, least(0.525e0, greatest(0.475e0, (x0 + x1) / 2)) AS cx, least(0.525e0, greatest(0.475e0, (y0 + y1) / 2)) AS cy,
     CASE WHEN n < 8 OR cut THEN 'insufficient_continuous_tracking' WHEN s < 8 OR s / n < 0.85e0 THEN 'ball_or_player_not_continuously_verified' WHEN x0 < 0 OR x1 > 1 OR y0 < 0 OR y1 > 1 THEN 'invalid_subject_position' END AS why FROM g),
   z AS (SELECT *, CASE WHEN why IS NOT NULL THEN 1e0 ELSE coalesce((SELECT max(z) FROM (VALUES (1.10e0), (1.08e0), (1.05e0)) t(z) WHERE x0 >= cx - 0.5e0 / z + 0.055e0 / z AND x1 <= cx + 0.5e0 / z - 0.055e0 / z AND y0 >= cy - 0.5e0 / z + 0.055e0 / z AND y1 <= cy + 0.5e0 / z - 0.055e0 / z), 1e0) END AS zoom FROM c)

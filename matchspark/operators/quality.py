@@ -29,7 +29,8 @@ def ratio(cond: Column, base: Column | None = None) -> Column:
 
 
 def r4(c: Column) -> Column:
-    return F.round(c, 4)
+    """Four decimals; the nudge keeps exact ties from depending on float noise."""
+    return F.round(c + 1e-9, 4)
 
 
 # -- capacity and reports -----------------------------------------------------
@@ -109,7 +110,7 @@ def phase_quality(keyframes: DataFrame, contact_ms: Column) -> DataFrame:
 def longest_gap(records: DataFrame, first_step_ms: int = 100) -> DataFrame:
     """Longest time without a direct ball; the first sample counts one step."""
     w = scene_window()
-    step = F.coalesce(F.greatest(F.lit(1), F.col("t_ms") - F.lag("t_ms").over(w)), F.lit(first_step_ms))
+    step = F.greatest(F.lit(1), F.coalesce(F.col("t_ms") - F.lag("t_ms").over(w), F.lit(first_step_ms)))
     run = F.sum(F.when(F.col("direct"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     rows = records.select(*SCENE, "direct", step.alias("step"), run.alias("run"))
     gaps = rows.groupBy(*SCENE, "run").agg(F.sum(F.when(~F.col("direct"), F.col("step")).otherwise(0)).alias("gap"))

@@ -25,12 +25,12 @@ def _(v):
 TE = ["match_id", "CASE WHEN ordinal % 9 <> 0 THEN 20 + ordinal % 70 END AS frames"] + [f"CASE WHEN ordinal % {7 + i} <> 1 THEN ((ordinal * {13 + i}) % 100) / 128e0 END AS {c}" for i, c in enumerate(Q.COVERAGES)]
 
 
-@query("tracking_summary", f"""WITH e AS (SELECT {', '.join(TE)} FROM moments_v) SELECT match_id, CAST(sum(coalesce(frames, 0)) AS BIGINT) AS frames, {', '.join(f'round(sum(coalesce({c}, 0) * coalesce(frames, 0)) / greatest(1, sum(coalesce(frames, 0))), 4) AS {c}' for c in Q.COVERAGES)} FROM e GROUP BY match_id""")
+@query("tracking_summary", f"""WITH e AS (SELECT {', '.join(TE)} FROM moments_v) SELECT match_id, CAST(sum(coalesce(frames, 0)) AS BIGINT) AS frames, {', '.join(f'round(sum(coalesce({c}, 0) * coalesce(frames, 0)) / greatest(1, sum(coalesce(frames, 0))) + 1e-9, 4) AS {c}' for c in Q.COVERAGES)} FROM e GROUP BY match_id""")
 def _(v):
     return Q.tracking_summary(v.moments.selectExpr(*TE))
 
 
-R = lambda c, f="true": f"round(coalesce(count(*) FILTER (({c}) AND ({f})), 0) / greatest(1, count(*) FILTER ({f})), 4)"
+R = lambda c, f="true": f"round(coalesce(count(*) FILTER (({c}) AND ({f})), 0) / greatest(1, count(*) FILTER ({f})) + 1e-9, 4)"
 
 
 @query("phase_quality", f"""WITH k AS (SELECT *, phase AS judged FROM frames_v WHERE phase IN ('setup', 'flight', 'payoff') UNION ALL SELECT *, 'contact' FROM frames_v WHERE t_ms BETWEEN 1500 - 300 AND 1500 + 250)
@@ -43,7 +43,7 @@ GAP_SQL = """st AS (SELECT *, coalesce(t_ms - lag(t_ms) OVER w, 100) AS step, co
   gp AS (SELECT match_id, scene_id, max(g) AS gap_ms FROM (SELECT match_id, scene_id, run, CAST(sum(CASE WHEN direct THEN 0 ELSE step END) AS BIGINT) AS g FROM st GROUP BY ALL) GROUP BY ALL)"""
 CAM_SQL = """mv AS (SELECT *, CASE WHEN NOT cut THEN camera_x - lag(camera_x) OVER w END AS mv FROM frames_v WINDOW w AS (PARTITION BY match_id, scene_id ORDER BY t_ms)),
   jk AS (SELECT *, abs(mv - lag(mv) OVER (PARTITION BY match_id, scene_id ORDER BY t_ms)) AS jerk FROM mv),
-  cm AS (SELECT match_id, scene_id, round(coalesce(max(abs(mv)), 0), 4) AS max_step, round(coalesce(quantile_cont(abs(mv), 0.95), 0), 4) AS step_p95, round(coalesce(quantile_cont(jerk, 0.95), 0), 4) AS jerk_p95 FROM jk GROUP BY ALL)"""
+  cm AS (SELECT match_id, scene_id, round(coalesce(max(abs(mv)), 0) + 1e-9, 4) AS max_step, round(coalesce(quantile_cont(abs(mv), 0.95), 0) + 1e-9, 4) AS step_p95, round(coalesce(quantile_cont(jerk, 0.95), 0) + 1e-9, 4) AS jerk_p95 FROM jk GROUP BY ALL)"""
 
 
 @query("longest_gap", f"WITH {GAP_SQL} SELECT * FROM gp")
@@ -57,7 +57,7 @@ def _(v):
 
 
 @query("camera_reversals", f"""WITH {CAM_SQL}, s AS (SELECT *, sign(mv) <> lag(sign(mv)) OVER (PARTITION BY match_id, scene_id ORDER BY t_ms) AS turn FROM mv WHERE abs(mv) >= 0.01e0)
-  SELECT match_id, scene_id, count(*) AS moves, count(*) FILTER (turn) AS reversals, round(count(*) FILTER (turn) / greatest(1, count(*) - 1), 4) AS rate, count(*) FILTER (abs(mv) > 0.25e0) AS jumps FROM s GROUP BY ALL""")
+  SELECT match_id, scene_id, count(*) AS moves, count(*) FILTER (turn) AS reversals, round(count(*) FILTER (turn) / greatest(1, count(*) - 1) + 1e-9, 4) AS rate, count(*) FILTER (abs(mv) > 0.25e0) AS jumps FROM s GROUP BY ALL""")
 def _(v):
     return Q.camera_reversals(v.frames)
 
@@ -73,7 +73,7 @@ HG = ["match_id", "scene_id", "t_ms", "cut", "phase", "direct", "ball_x", "ball_
     {', '.join(f"count(*) FILTER (ball AND {c}) / greatest(1, count(*) FILTER ({c})) AS {p}_ball, count(*) FILTER (ball AND man AND {c}) / greatest(1, count(*) FILTER ({c})) AS {p}_joint" for p, c in dict(setup="phase = 'setup'", contact="nr", flight="phase = 'flight'", payoff="pp").items())} FROM i GROUP BY ALL)
   SELECT match_id, scene_id, NOT off_crop AND NOT fast AS usable, array_to_string([x FOR x IN [CASE WHEN off_crop THEN 'observed_ball_outside_safe_crop' END, CASE WHEN fast THEN 'within_shot_camera_speed_exceeded' END, CASE WHEN NOT sup AND NOT opening THEN 'opening_carrier_and_ball_missing' END,
     CASE WHEN NOT sup AND (cn = 0 OR contact_joint < 0.5e0) THEN 'contact_carrier_and_ball_unverified' END, CASE WHEN NOT sup AND sn > 0 AND setup_joint < 0.5e0 THEN 'setup_carrier_and_ball_unverified' END, CASE WHEN NOT sup AND fn > 0 AND flight_ball < 0.5e0 THEN 'ball_flight_unverified' END,
-    CASE WHEN NOT sup AND (pn = 0 OR payoff_ball < 0.4e0) THEN 'resolved_action_ball_unverified' END] IF x IS NOT NULL], ',') AS issues, {', '.join(f'round({p}_ball, 4) AS {p}_ball, round({p}_joint, 4) AS {p}_joint' for p in ('setup', 'contact', 'flight', 'payoff'))} FROM g""")
+    CASE WHEN NOT sup AND (pn = 0 OR payoff_ball < 0.4e0) THEN 'resolved_action_ball_unverified' END] IF x IS NOT NULL], ',') AS issues, {', '.join(f'round({p}_ball + 1e-9, 4) AS {p}_ball, round({p}_joint + 1e-9, 4) AS {p}_joint' for p in ('setup', 'contact', 'flight', 'payoff'))} FROM g""")
 def _(v):
     return Q.hybrid_geometry(v.frames.selectExpr(*HG))
 
@@ -87,7 +87,7 @@ PPL = "match_id, scene_id, frame, t_ms, idx, track_id % 3 AS track_id, 0.3e0 + c
   d AS (SELECT *, least(1 - 0.16e0, greatest(0.16e0, xs[len(xs) // 2 + 1])) AS c FROM q QUALIFY row_number() OVER (PARTITION BY match_id, scene_id, shot_no ORDER BY n DESC, h DESC, f.t, f.i) = 1),
   b AS (SELECT match_id, scene_id, shot_no, frame, track_id, arg_min(struct_pack(x1 := x1, x2 := x2, y1 := y1, y2 := y2), idx) AS b FROM p GROUP BY ALL),
   r AS (SELECT sh.match_id, sh.scene_id, coalesce(b.x1 >= c - 0.16e0 + 0.005e0 AND b.x2 <= c + 0.16e0 - 0.005e0 AND b.y1 >= 0 AND b.y2 <= 1, false) AS ok FROM sh LEFT JOIN d USING (match_id, scene_id, shot_no) LEFT JOIN b ON b.match_id = sh.match_id AND b.scene_id = sh.scene_id AND b.shot_no = sh.shot_no AND b.frame = sh.frame AND b.track_id = d.track_id)
-  SELECT match_id, scene_id, round(count(*) FILTER (ok) / count(*), 4) AS coverage, count(*) FILTER (ok) / count(*) >= 0.8e0 AS verified FROM r GROUP BY ALL""")
+  SELECT match_id, scene_id, round(count(*) FILTER (ok) / count(*) + 1e-9, 4) AS coverage, count(*) FILTER (ok) / count(*) >= 0.8e0 AS verified FROM r GROUP BY ALL""")
 def _(v):
     shot = "CAST(sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY match_id, scene_id ORDER BY frame) AS BIGINT) AS shot_no"
     sh = v.frames.selectExpr("match_id", "scene_id", "frame", shot)
@@ -119,11 +119,11 @@ SM = ["*", "((ordinal * 3) % 100) / 256e0 AS spread", "CAST(4 + ordinal % 37 AS
 
 
 @query("scene_metrics", f"""WITH {GAP_SQL}, {CAM_SQL}, m AS (SELECT match_id, scene_id, count(*) AS frames, {R('direct')} AS ball_cov, {R('track_id IS NOT NULL')} AS player_cov, {R('joint_fit')} AS joint_fit_cov, {R('subject_confidence >= 0.48e0')} AS lock_cov, {R('possession')} AS possession_cov,
-   {R('ball_in_frame AND direct', "phase IN ('setup', 'contact', 'flight')")} AS action_ball, round(coalesce(quantile_cont(((ordinal * 3) % 100) / 256e0, 0.9) FILTER ((ordinal * 3) % 100 > 0), 0), 4) AS spread_p90, round(coalesce(median(CAST(4 + ordinal % 37 AS DOUBLE)) FILTER (direct), 0), 2) AS ball_px_median,
+   {R('ball_in_frame AND direct', "phase IN ('setup', 'contact', 'flight')")} AS action_ball, round(coalesce(quantile_cont(((ordinal * 3) % 100) / 256e0, 0.9) FILTER ((ordinal * 3) % 100 > 0), 0) + 1e-9, 4) AS spread_p90, round(coalesce(median(CAST(4 + ordinal % 37 AS DOUBLE)) FILTER (direct), 0), 2) AS ball_px_median,
    match_id % 2 = 0 AS goal, count(*) FILTER (joint_fit AND direct AND phase IN ('setup', 'contact')) / greatest(1, count(*) FILTER (phase IN ('setup', 'contact'))) AS o, count(*) FILTER (ball_in_frame AND direct AND phase = 'flight') / greatest(1, count(*) FILTER (phase = 'flight')) AS f, count(*) FILTER (phase = 'flight') AS fn,
    count(*) FILTER (payoff_in_frame AND phase = 'payoff') / greatest(1, count(*) FILTER (phase = 'payoff')) AS p, count(*) FILTER (joint_fit AND direct AND t_ms BETWEEN 1200 AND 1750) / greatest(1, count(*) FILTER (t_ms BETWEEN 1200 AND 1750)) AS c FROM frames_v GROUP BY ALL)
-  SELECT m.match_id, m.scene_id, frames, ball_cov, player_cov, joint_fit_cov, lock_cov, possession_cov, action_ball, spread_p90, ball_px_median, round(CASE WHEN goal THEN o ELSE 1 END, 4) AS goal_origin, round(CASE WHEN goal THEN f ELSE 1 END, 4) AS goal_flight, round(CASE WHEN goal THEN p ELSE 1 END, 4) AS goal_payoff,
-   NOT goal OR (round(c, 4) >= 0.35e0 AND o >= 0.5e0 AND (fn = 0 OR f >= 0.35e0) AND p >= 0.5e0) AS action_complete, gap_ms, max_step, step_p95, jerk_p95 FROM m JOIN gp USING (match_id, scene_id) JOIN cm USING (match_id, scene_id)""")
+  SELECT m.match_id, m.scene_id, frames, ball_cov, player_cov, joint_fit_cov, lock_cov, possession_cov, action_ball, spread_p90, ball_px_median, round(CASE WHEN goal THEN o ELSE 1 END + 1e-9, 4) AS goal_origin, round(CASE WHEN goal THEN f ELSE 1 END + 1e-9, 4) AS goal_flight, round(CASE WHEN goal THEN p ELSE 1 END + 1e-9, 4) AS goal_payoff,
+   NOT goal OR (round(c + 1e-9, 4) >= 0.35e0 AND o >= 0.5e0 AND (fn = 0 OR f >= 0.35e0) AND p >= 0.5e0) AS action_complete, gap_ms, max_step, step_p95, jerk_p95 FROM m JOIN gp USING (match_id, scene_id) JOIN cm USING (match_id, scene_id)""")
 def _(v):
     return Q.scene_metrics(v.frames.selectExpr(*SM), F.lit(1500), F.col("match_id") % 2 == 0)
 

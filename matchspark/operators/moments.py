@@ -314,3 +314,27 @@ def media_preflight(scenes: DataFrame, probes: DataFrame) -> DataFrame:
     return scenes.join(probes, ["match_id", "moment_id"], "left").select(
         "match_id", "moment_id", issue.alias("issue"), issue.isNull().alias("usable")
     )
+
+
+# Masks of the broadcast interface and of the usual corner mark (x, y, width, height).
+UI_MASKS = [("broadcast-scorebug", 0.005, 0.006, 0.275, 0.085), ("broadcast-header", 0.345, 0.004, 0.31, 0.072), ("broadcast-channel-bug", 0.775, 0.006, 0.22, 0.095)]
+CORNER_MASK = ("fallback-top-right-watermark", 0.875, 0.012, 0.115, 0.145)
+
+
+def default_masks(matches: DataFrame, masks: DataFrame) -> DataFrame:
+    """Detected masks and interface masks where asked for; one corner mask where neither exists."""
+    own = masks.where("width > 0 AND height > 0").select("match_id", "mask_id", "width", "height")
+    row = lambda m: F.struct(F.lit(m[0]).alias("mask_id"), F.lit(m[3]).alias("width"), F.lit(m[4]).alias("height"))
+    ui = matches.where("ui_masks").select("match_id", F.inline(F.array(*[row(m) for m in UI_MASKS])))
+    have = own.unionByName(ui)
+    corner = matches.join(have.select("match_id").distinct(), "match_id", "left_anti").select("match_id", F.inline(F.array(row(CORNER_MASK))))
+    return have.unionByName(corner)
+
+
+def decode_boxes(obs: DataFrame) -> DataFrame:
+    """Boxes given as y, x, y, x in 0..1000 to x1, y1, x2, y2 in 0..1, with an issue when unusable."""
+    at = lambda i: F.try_element_at("box", F.lit(i)) / 1000
+    y1, x1, y2, x2 = (at(i) for i in (1, 2, 3, 4))
+    ok = F.coalesce((F.size("box") == 4) & (x1 >= 0) & (y1 >= 0) & (x2 <= 1) & (y2 <= 1) & (x2 > x1) & (y2 > y1), F.lit(False))
+    good = lambda c: F.when(ok, c)
+    return obs.withColumns(dict(x1=good(x1), y1=good(y1), x2=good(x2), y2=good(y2), issue=F.when(F.col("box").isNotNull() & ~ok, "invalid_box")))

@@ -1,4 +1,4 @@
 """Importing this package registers every query."""
 
-from matchspark.plans.catalog import intervals, ledger, linking, moments, quality, selection, telemetry, tracks  # noqa: F401
+from matchspark.plans.catalog import intervals, ledger, linking, merges, moments, quality, selection, sources, telemetry, text, tracks  # noqa: F401
 from matchspark.plans.registry import ORACLES, QUERIES  # noqa: F401

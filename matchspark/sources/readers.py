@@ -79,7 +79,7 @@ def read_spots(raw: DataFrame) -> DataFrame:
     """Spotter rows: malformed ones dropped, confidence clamped; text columns ``position`` and ``confidence``."""
     t, c = F.col("position").try_cast("long"), F.col("confidence").try_cast("double")
     rows = raw.select(*[x for x in raw.columns if x not in ("position", "confidence", "label")], t.alias("t_ms"), F.coalesce("label", F.lit("Unknown")).alias("label"),
-                      F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), c)), 6).alias("confidence"))
+                      F.round(F.when(c.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))), 6).alias("confidence"))
     return rows.where("t_ms IS NOT NULL AND confidence IS NOT NULL")
 
 

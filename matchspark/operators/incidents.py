@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchspark.functions.scalar import SCORING, is_true, kept, not_false, reaction, replay, story
-from matchspark.operators.linking import same_action_pairs, same_action_rows
+from matchspark.operators.linking import same_action_ok
 from matchspark.operators.timeline import block_of, fold, interval_join
 from matchspark.session import ensure_checkpoint_dir
 
@@ -106,14 +106,16 @@ def best_of_conflicts(
     """
     ensure_checkpoint_dir(rows.sparkSession)
     cols = rows.columns
-    todo = rows.withColumn("_rank", F.struct(*rank))
+    todo = rows.withColumn("_rank", F.struct(*rank)).checkpoint()
     kept_parts = []
     while True:
         last = F.greatest(F.col(end) - 1, F.col(start))
         spread = todo.withColumn("_bin", F.explode(F.sequence(block_of(F.col(start), bin_ms), block_of(last, bin_ms))))
         best = F.min("_rank").over(Window.partitionBy(*keys, "_bin"))
-        led = spread.select(*keys, "_rank", (F.col("_rank") == best).alias("_top")).groupBy(*keys, "_rank").agg(F.bool_and("_top").alias("_wins"))
-        marked = todo.join(led, [*keys, "_rank"])
+        body = F.struct(*[c for c in cols if c not in keys])
+        led = spread.select(*keys, "_rank", body.alias("_row"), (F.col("_rank") == best).alias("_top")).groupBy(*keys, "_rank").agg(
+            F.bool_and("_top").alias("_wins"), F.any_value("_row").alias("_row"))
+        marked = led.select(*keys, "_rank", "_wins", "_row.*")
         other = marked.where("_wins").select(*keys, *[F.col(c).alias("o_" + c) for c in cols if c not in keys])
         losers = interval_join(marked.where("NOT _wins"), other, keys, (start, end), ("o_" + start, "o_" + end), bin_ms).where(conflict)
         lost = losers.select(*keys, "_rank", F.lit(True).alias("_lost")).distinct()
@@ -146,9 +148,8 @@ def unique_evidence(moments: DataFrame) -> DataFrame:
         )
     )
     valid = rows.where(~invalid)
-    proven = same_action_rows(valid).select("match_id", "moment_id", F.lit(True).alias("clocked"))
     cols = ["match_id", "moment_id", "ordinal", "start_ms", "end_ms", "cut_ms", "react", "contact_ms", "proof_start_ms", "proof_end_ms", "r1", "r2", "r3", "r4"]
-    base = valid.select(*cols).join(proven, ["match_id", "moment_id"], "left").withColumn("clocked", F.coalesce("clocked", F.lit(False)))
+    base = valid.select(*cols, same_action_ok().alias("clocked"))
     c = F.col
     shared = F.least("cut_ms", "o_cut_ms") - F.greatest("start_ms", "o_start_ms")
     short = F.least(c("cut_ms") - c("start_ms"), c("o_cut_ms") - c("o_start_ms"))
@@ -158,8 +159,8 @@ def unique_evidence(moments: DataFrame) -> DataFrame:
         & (F.abs(c("contact_ms") - c("o_contact_ms")) <= 350) & (F.abs(c("proof_start_ms") - c("o_proof_start_ms")) <= 500)
         & (F.least("proof_end_ms", "o_proof_end_ms") >= F.greatest("proof_start_ms", "o_proof_start_ms"))
     )
-    conflict = (c("react") == c("o_react")) & (F.coalesce(same, F.lit(False)) | (F.greatest(F.lit(0), shared) >= short * 0.8))
-    best = best_of_conflicts(base, ["match_id"], [c("r1"), c("r2"), c("r3"), c("r4"), c("ordinal")], "start_ms", "end_ms", conflict)
+    conflict = (F.coalesce(same, F.lit(False)) | (F.greatest(F.lit(0), shared) >= short * 0.8))
+    best = best_of_conflicts(base, ["match_id", "react"], [c("r1"), c("r2"), c("r3"), c("r4"), c("ordinal")], "start_ms", "end_ms", conflict)
     return best.select("match_id", "moment_id").unionByName(rows.where(invalid).select("match_id", "moment_id"))
 
 

@@ -168,13 +168,14 @@ def overturn_goals(moments: DataFrame, reach_ms: int = 45_000) -> DataFrame:
     )
 
 
-def same_action_rows(moments: DataFrame) -> DataFrame:
-    """Rows able to take part in ``same_action_pairs``, with valid contact and result clocks."""
-    return moments.where(
+def same_action_ok() -> Column:
+    """The row can take part in ``same_action_pairs``: valid contact and result clocks."""
+    ok = (
         is_true("semantic_verified") & is_true("action_complete") & ~reaction() & (F.col("end_ms") > F.col("start_ms")) & is_true("proof_verified")
         & F.col("contact_ms").between(F.col("start_ms"), F.col("end_ms")) & (F.col("proof_start_ms") >= F.col("contact_ms"))
         & (F.col("proof_end_ms") >= F.col("proof_start_ms")) & (F.col("proof_end_ms") <= F.col("end_ms"))
     )
+    return F.coalesce(ok, F.lit(False))
 
 
 def same_action_pairs(moments: DataFrame) -> DataFrame:
@@ -183,7 +184,7 @@ def same_action_pairs(moments: DataFrame) -> DataFrame:
     Contacts within .35 s of each other are found by joining narrow contact
     windows, not by pairing a whole match.
     """
-    rows = same_action_rows(moments)
+    rows = moments.where(same_action_ok())
     cols = ["match_id", "moment_id", "ordinal", "start_ms", "end_ms", "contact_ms", "proof_start_ms", "proof_end_ms"]
     a = rows.select(*cols).withColumns(dict(w0=F.col("contact_ms") - 350, w1=F.col("contact_ms") + 351))
     b = rows.select("match_id", *[F.col(c).alias("b_" + c) for c in cols[1:]]).withColumns(dict(v0=F.col("b_contact_ms"), v1=F.col("b_contact_ms") + 1))

@@ -311,11 +311,17 @@ def framing_verdict(rows: DataFrame) -> DataFrame:
     sem_pan = sem & (moves >= 4) & (rate <= 0.10) & (step <= 0.12) & (p95 <= 0.055) & (jerk <= 0.040) & (jf >= 0.45) & (direct >= 0.45) & (player >= 0.85)
     phased = F.col("setup_n").isNotNull()
     stable = pan | sem_pan | ((~phased | (step <= 0.055) | isolated) & ((p95 <= 0.030) | isolated) & ((jerk <= 0.020) | isolated))
+    rows = rows.withColumn("_stable", stable)
+    stable = F.col("_stable")
     least = lambda v, th, n: (z(v) >= th) | ((z(n) >= 4) & (z(v) + 1 / F.greatest(z(n), F.lit(1.0)) >= th))
     touch = goal & phased & sem & (z("setup_direct") >= 0.55) & (z("contact_ball") >= 0.25) & (z("contact_payoff") >= 0.40) & (z("payoff_payoff") >= 0.50) & (pay >= 0.50)
+    rows = rows.withColumn("_touch", touch)
+    touch = F.col("_touch")
     fly = (
         goal & phased & sem & ((z("contact_direct_ball") >= 0.50) | touch) & ((z("contact_ball") >= 0.70) | touch)
         & (z("flight_payoff") >= 0.55) & (z("payoff_payoff") >= 0.50) & (pay >= 0.50))
+    rows = rows.withColumn("_fly", fly)
+    fly = F.col("_fly")
     act = z("action_ball")
     flight_ok = (
         (z("flight_n") == 0) | least("flight_direct_ball", 0.45, "flight_n") | ((z("flight_ball") >= 0.60) & (act >= 0.80)) | fly
@@ -324,32 +330,48 @@ def framing_verdict(rows: DataFrame) -> DataFrame:
     sem_goal = (
         goal & phased & sem & seen & (conf >= 0.90) & least("setup_direct", 0.55, "setup_n") & (least("contact_direct", 0.35, "contact_n") | touch)
         & flight_ok & (z("payoff_n") > 0) & (pay >= 0.50) & (direct >= 0.45) & (player >= 0.85) & ((gap <= 3.0) | (fly & (gap <= 4.0))) & stable)
+    rows = rows.withColumn("_sem_goal", sem_goal)
+    sem_goal = F.col("_sem_goal")
     rep = S.replay()
     rep_goal = (
         rep & goal & phased & sem & (conf >= 0.90) & least("setup_ball", 0.85, "setup_n") & least("setup_joint", 0.60, "setup_n") & (z("setup_direct") >= 0.20)
         & least("contact_ball", 0.85, "contact_n") & least("contact_joint", 0.85, "contact_n") & (z("contact_direct") >= 0.25)
         & ((z("flight_n") == 0) | ((z("flight_ball") >= 0.90) & (z("flight_direct_ball") >= 0.10))) & (z("payoff_n") > 0) & (pay >= 0.50)
         & (act >= 0.90) & (direct >= 0.20) & (player >= 0.85) & (gap <= 3.0) & stable)
+    rows = rows.withColumn("_rep_goal", rep_goal)
+    rep_goal = F.col("_rep_goal")
     recovered = (
         goal & ~phased & t("action_complete") & seen & (conf >= 0.90) & (direct >= 0.65) & (player >= 0.85) & (jv >= 0.85)
         & ((jf >= 0.70) | (goal & sem & (jf >= 0.60))) & (gap <= 1.2) & (pay >= 0.50) & stable)
+    rows = rows.withColumn("_recovered", recovered)
+    recovered = F.col("_recovered")
     done = ~goal | S.not_false("ev_complete") | recovered | sem_goal | rep_goal
+    rows = rows.withColumn("_done", done)
+    done = F.col("_done")
     held = goal & t("ev_complete") & (act >= 0.90) & (pay >= 0.75)
     allow = F.when(goal, F.when(fly | held, 4.0).otherwise(3.0)).otherwise(2.4)
+    rows = rows.withColumn("_allow", allow)
+    allow = F.col("_allow")
     ready = ~goal | (pay >= 0.10)
     phase_act = F.col("event_type").isin("goal", "disallowed_goal", "save", "shot_on_target", "shot_off_target", "big_chance", "assist", "free_kick")
     first_problem = F.when(phase_act & (F.coalesce("problems", F.lit("")) != ""), F.concat(F.lit("keyframe_"), F.element_at(F.split("problems", ","), 1)))
     other = (
         ~goal & sem & least("setup_direct", 0.50, "setup_n") & least("contact_direct", 0.35, "contact_n") & ((z("flight_n") == 0) | least("flight_direct_ball", 0.35, "flight_n"))
         & (z("payoff_n") > 0) & (F.greatest(z("payoff_ball"), z("payoff_joint"), z("payoff_payoff")) >= 0.20) & (direct >= 0.45) & (player >= 0.80) & (gap <= allow) & stable)
+    rows = rows.withColumn("_other", other)
+    other = F.col("_other")
     plain = (
         (z("setup_n") > 0) & F.when(rep, least("setup_joint", 0.50, "setup_n")).otherwise(least("setup_joint", 0.72, "setup_n"))
         & F.when(rep, least("setup_direct", 0.45, "setup_n")).otherwise(least("setup_direct", 0.50, "setup_n")) & (z("contact_n") > 0) & (z("contact_direct") >= 0.35)
         & ((z("flight_n") == 0) | ((z("flight_direct_ball") >= 0.35) & (z("flight_ball") >= 0.75))) & (z("payoff_n") > 0)
         & F.when(goal, pay >= 0.50).otherwise(F.greatest(z("payoff_direct_ball"), z("payoff_payoff")) >= 0.50))
+    rows = rows.withColumn("_plain", plain)
+    plain = F.col("_plain")
     complete = sem_goal | rep_goal | other | plain
     opened = (direct >= 0.55) & (jv >= 0.85) & (jf >= 0.78) & (gap <= 1.2)
     strict = (t("opening") | opened) & (direct >= 0.35) & (jv >= 0.72) & (jf >= 0.68) & (gap <= allow) & stable & ready & done
+    rows = rows.withColumn("_strict", strict)
+    strict = F.col("_strict")
     ai = seen & (conf >= 0.84) & (z("visual_clarity") >= 80)
     local = (player >= 0.80) & (direct >= 0.30) & (jv >= 0.70) & (jf >= 0.65) & (gap <= allow) & stable
     close = rep & ai & (player >= 0.85) & (jf >= 0.62) & (gap <= allow) & stable & (z("visual_clarity") >= 88) & ready & done
@@ -370,7 +392,8 @@ def framing_verdict(rows: DataFrame) -> DataFrame:
         .when(goal & ~done, "incomplete_goal_action").when(goal & ~ready, "missing_goal_payoff")
         .when((direct < 0.30) | (gap > allow), "ball_not_visibly_continuous").when(~stable, "unstable_camera").otherwise("insufficient_joint_framing"))
     good = ["planned_reaction", "full_bleed_repaired", "phase_verified_goal", "phase_verified_action", "strict", "ai_confirmed_joint_scene", "ai_confirmed_close_replay"]
-    return rows.withColumn("mode", mode).withColumn("usable", F.col("mode").isin(*good))
+    extra = [c for c in rows.columns if c.startswith("_")]
+    return rows.withColumn("mode", mode).withColumn("usable", F.col("mode").isin(*good)).drop(*extra)
 
 
 def goal_side_conflict(path: DataFrame, scenes: DataFrame) -> DataFrame:

@@ -34,8 +34,9 @@ def pack_timeline(moments: DataFrame, target_ms: int) -> DataFrame:
     """
     goal = min(80_000, max(1_000, target_ms))
     length = F.col("end_ms") - F.col("start_ms")
+    slim = moments.select("match_id", "moment_id", "ordinal", "duplicate_group", "start_ms", "end_ms", "importance", "confidence")
     cand = (
-        first_per_group(moments).where("end_ms > start_ms AND confidence >= 0.5")
+        first_per_group(slim).where("end_ms > start_ms AND confidence >= 0.5")
         .select("match_id", "moment_id", length.alias("len"), "importance", "start_ms", "ordinal")
     )
     rank = Window.partitionBy("match_id", "len").orderBy(F.desc("importance"), "start_ms", "ordinal")

@@ -621,3 +621,291 @@ def associate_ball(frames: DataFrame, balls: DataFrame, beam: int = 24, top: int
         return pd.DataFrame(rows_, columns=["match_id", "scene_id", "frame", "idx", "cx", "cy"])
 
     return spread_out(rows, SHOT).groupBy(*SHOT).applyInPandas(search, "match_id long, scene_id long, frame long, idx long, cx double, cy double")
+
+
+# -- planning from observations ------------------------------------------------
+
+
+def required_interval(obs: DataFrame, view: float) -> DataFrame:
+    """Allowed crop centre from every required observed box of a row, or an issue.
+
+    Boxes are ``b``/``p``/``k``/``g`` (ball, player, keeper, post) with ``*_x1`` and ``*_x2``; null when unseen.
+    """
+    half, margin = view / 2, min(0.015, view * 0.05)
+    c = F.col
+    span = lambda a, b: F.greatest(F.lit(0.0), c(f"{a}_x1") - c(f"{b}_x2"), c(f"{b}_x1") - c(f"{a}_x2"))
+    rise = lambda a, b: F.greatest(F.lit(0.0), c(f"{a}_y1") - c(f"{b}_y2"), c(f"{b}_y1") - c(f"{a}_y2"))
+    gap = lambda a, b: F.sqrt(F.pow(span(a, b), 2) + F.pow(rise(a, b), 2))
+    fits = lambda a, b: F.greatest(f"{a}_x2", f"{b}_x2") - F.least(f"{a}_x1", f"{b}_x1") <= view
+    seen = lambda a: c(f"{a}_x1").isNotNull()
+    moving = c("phase").isin("flight", "continuation", "payoff")
+    final = (c("phase") == "payoff") & (c("situation") == "result")
+    shot = c("event_type").isin(*S.SHOTS)
+    closed = c("ball_in_play").eqNullSafe(F.lit(False)) | c("event_type").isin(*S.SCORING)
+    keeper = seen("k") & seen("b") & moving & ((gap("k", "b") <= 0.08) | (final & shot & closed)) & fits("k", "b")
+    post = seen("g") & seen("b") & c("phase").isin("flight", "payoff") & ((gap("g", "b") <= 0.12) | (final & shot & fits("g", "b")))
+    use = {"b": seen("b"), "p": seen("p") & c("need_player"), "k": F.coalesce(keeper, F.lit(False)), "g": F.coalesce(post, F.lit(False))}
+    left = F.least(*[F.when(ok, c(f"{n}_x1")) for n, ok in use.items()])
+    right = F.greatest(*[F.when(ok, c(f"{n}_x2")) for n, ok in use.items()])
+    safe = F.greatest(F.lit(0.0), F.least(F.lit(margin), (view - (right - left)) / 2, left, 1 - right))
+    low, high = F.greatest(F.lit(half), right - half + safe), F.least(F.lit(1 - half), left + half - safe)
+    rows = obs.withColumns(dict(_l=left, _lo=low, _hi=high, keeper_context=use["k"], post_context=use["g"]))
+    issue = F.when(c("_l").isNull(), "no_observed_anchor").when(c("_lo") > c("_hi") + 1e-9, "cannot_fit")
+    return rows.withColumns(dict(issue=issue, lo=F.when(issue.isNull(), r5("_lo")), hi=F.when(issue.isNull(), r5(F.greatest("_lo", "_hi"))))).drop("_l", "_lo", "_hi")
+
+
+def framing_interval(records: DataFrame, view: float) -> DataFrame:
+    """Allowed crop centre per record from ball, subject, payoff box and phase."""
+    half = view / 2
+    c = F.col
+    early = c("phase").isin("setup", "contact")
+    edge = F.when(early, min(0.05, view * 0.15)).otherwise(min(0.032, view * 0.09))
+    wide = F.struct(F.lit(half).alias("lo"), F.lit(1 - half).alias("hi"))
+    pair = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+    hold = pair(F.greatest(F.lit(half), c("g_x2") - half), F.least(F.lit(1 - half), c("g_x1") + half))
+    boxed = c("g_x1").isNotNull() & (c("g_x2") - c("g_x1") <= view)
+    blind = c("ball_x").isNull() | (~c("direct") & ~c("guided"))
+    lo1, hi1 = F.least("ball_x", "px1"), F.greatest("ball_x", "px2")
+    joint = c("px").isNotNull() & (early | (F.abs(c("ball_x") - c("px")) <= 0.13)) & (hi1 - lo1 + edge * 2 <= view)
+    left, right = F.when(joint, lo1).otherwise(c("ball_x")), F.when(joint, hi1).otherwise(c("ball_x"))
+    rows = records.withColumns(dict(_e=edge, _l=left, _r=right))
+    low = F.greatest(F.lit(half), c("_r") + F.least(c("_e"), F.greatest(F.lit(0.0), 1 - c("_r"))) - half)
+    high = F.least(F.lit(1 - half), c("_l") - F.least(c("_e"), F.greatest(F.lit(0.0), c("_l"))) + half)
+    rows = rows.withColumns(dict(_a=low, _b=high))
+    a = F.when(c("_a") > c("_b"), F.greatest(F.lit(half), c("_r") - half)).otherwise(c("_a"))
+    b = F.when(c("_a") > c("_b"), F.least(F.lit(1 - half), c("_l") + half)).otherwise(c("_b"))
+    rows = rows.withColumns(dict(_a=a, _b=b))
+    ca = F.greatest("_a", F.greatest(F.lit(half), c("ball_x") - view * 0.25))
+    cb = F.least("_b", F.least(F.lit(1 - half), c("ball_x") + view * 0.25))
+    centred = (early | ((c("phase") == "payoff") & c("possession"))) & (ca <= cb)
+    found = pair(F.when(centred, ca).otherwise(c("_a")), F.when(centred, cb).otherwise(c("_b")))
+    box = F.when(boxed, hold).when(blind | (c("_a") > c("_b")), wide).otherwise(found)
+    rows = rows.withColumn("_i", F.coalesce(box, wide))
+    return rows.select(*records.columns, r5("_i.lo").alias("frame_lo"), r5("_i.hi").alias("frame_hi"))
+
+
+def camera_target(records: DataFrame, view: float) -> DataFrame:
+    """Camera target by phase: carrier and ball before release, the ball with a small lead after it, the last target when blind."""
+    c = F.col
+    clip = lambda x, lo, hi: F.least(hi if isinstance(hi, Column) else F.lit(hi), F.greatest(lo if isinstance(lo, Column) else F.lit(lo), x))
+    early = c("phase").isin("setup", "contact")
+    man = c("px").isNotNull()
+    m = min(0.035, view * 0.11)
+    left, right = F.least("ball_x", "px1"), F.greatest("ball_x", "px2")
+    both = c("ball_x") * 0.72 + c("px") * 0.28 + clip(c("velocity") * 0.06, -0.012, 0.012)
+    snug = F.when(right - left + 2 * m <= view, clip(both, right + m - view / 2, left - m + view / 2)).otherwise(both)
+    fly = c("ball_x") + clip(c("velocity") * F.when(c("goal_mode"), 0.14).otherwise(0.10), -0.04, 0.04)
+    raw = F.when(c("ball_x").isNull(), None).when(early & ~man, None).when(early, clip(snug, 0.0, 1.0)).otherwise(clip(fly, 0.0, 1.0))
+    rows = records.withColumn("_raw", raw)
+    held = F.last("_raw", ignorenulls=True).over(by_time().rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("target", r5(F.coalesce(held, F.lit(0.5)))).drop("_raw")
+
+
+def project_keyframes(records: DataFrame, view: float, width: float = 1080, height: float = 1920) -> DataFrame:
+    """Source coordinates in output pixels, edge clearances and the composition flag."""
+    c = F.col
+    left = c("camera_x") - view / 2
+    px = lambda x: F.round(F.coalesce((c(x) - left) / view * width, F.lit(-320.0)) + 1e-9, 2)
+    py = lambda y: F.round(F.coalesce(c(y) * height, F.lit(-320.0)) + 1e-9, 2)
+    room = lambda a, b: r5(F.coalesce(F.least(c(a) - left, left + view - c(b)) / view, F.lit(-1.0)))
+    mid = (F.least("ball_x", "px1") + F.greatest("ball_x", "px2")) / 2
+    off = F.when(c("ball_x").isNotNull() & c("px1").isNotNull(), F.abs(mid - c("camera_x")) / (view / 2)).otherwise(1.0)
+    rows = in_crop(records, view)
+    safe = ~c("phase").isin("setup", "contact") | (c("joint_in") & (off <= 0.55) & (F.least(c("px1") - left, left + view - c("px2")) / view >= 0.055))
+    return rows.select(
+        *SCENE, "frame", px("px").alias("player_px"), px("ball_x").alias("ball_px"), py("ball_y").alias("ball_py"), room("px1", "px2").alias("player_room"),
+        room("ball_x", "ball_x").alias("ball_room"), r5(off).alias("offset"), F.coalesce(safe, F.lit(False)).alias("composition_safe"))
+
+
+def observation_conflicts(obs: DataFrame, expected: DataFrame) -> DataFrame:
+    """Claimed touches far from the ball, and missing or repeated frame indexes of a scene."""
+    c = F.col
+    dx = F.greatest(F.lit(0.0), c("px1") - c("bx2"), c("bx1") - c("px2"))
+    dy = F.greatest(F.lit(0.0), c("py1") - c("by2"), c("by1") - c("py2"))
+    far = obs.where(((c("phase") == "contact") | c("situation").isin("release", "receive")) & (F.sqrt(dx * dx + dy * dy) > 0.1)).select(*SCENE, "frame", F.lit("touch_far_from_ball").alias("issue"))
+    n = obs.groupBy(*SCENE, "frame").agg(F.count(F.lit(1)).alias("n"))
+    both = expected.withColumn("_want", F.lit(1)).join(n, [*SCENE, "frame"], "full_outer")
+    kind = F.when(c("n").isNull(), "missing_index").when(c("_want").isNull(), "unexpected_index").when(c("n") > 1, "repeated_index")
+    return far.distinct().unionByName(both.select(*SCENE, "frame", kind.alias("issue")).where("issue IS NOT NULL"))
+
+
+def guide_problems(guides: DataFrame) -> DataFrame:
+    """Issues of a guide of at most six anchors ``struct(t, phase, text, x1, x2)`` held in one row."""
+    g = F.col("guide")
+    n = F.size(g)
+    late = F.exists(F.sequence(F.lit(2), F.greatest(F.lit(2), n)), lambda i: F.coalesce(F.try_element_at(g, i)["t"] < F.try_element_at(g, i - 1)["t"], F.lit(False)))
+    bad_box = F.exists(g, lambda a: F.coalesce((a["x1"] < 0) | (a["x2"] > 1000) | (a["x1"] >= a["x2"]), F.lit(False)))
+    act = F.filter(g, lambda a: (a["phase"] != "reaction") & a["x1"].isNotNull())
+    first, last = F.try_element_at(act, F.lit(1)), F.try_element_at(act, F.lit(-1))
+    flat = (F.col("length_ms") >= 2_000) & (F.size(act) >= 3) & (last["t"] - first["t"] < 125) & F.exists(act, lambda a: F.abs(a["x1"] + a["x2"] - first["x1"] - first["x2"]) / 2000 > 0.1)
+    code = lambda c, name: F.when(F.coalesce(c, F.lit(False)), F.lit(name))
+    codes = F.array_compact(F.array(
+        code((n < 1) | (n > 6), "anchor_count"), code(F.exists(g, lambda a: (a["t"] < 0) | (a["t"] > F.col("length_ms"))) | late, "anchor_clock"),
+        code(F.exists(g, lambda a: ~a["phase"].isin("setup", "contact", "flight", "payoff", "reaction")), "anchor_phase"),
+        code(F.exists(g, lambda a: F.length(F.trim(a["text"])) < 8), "anchor_text"), code(bad_box, "anchor_box"), code(flat, "collapsed_clock")))
+    return guides.withColumn("problems", F.array_join(codes, ","))
+
+
+def attach_occlusions(obs: DataFrame, reviews: DataFrame, view: float) -> DataFrame:
+    """Hidden-ball rows a review explains: seen on both sides within 1 s of one shot, corridor fits the crop."""
+    c = F.col
+    span = obs.join(reviews, SCENE).where(c("frame").between(c("before"), c("after")))
+    mid = (c("frame") > c("before")) & (c("frame") < c("after"))
+    left = F.least(F.when(~mid, c("bx1")), F.when(mid, c("px1")))
+    right = F.greatest(F.when(~mid, c("bx2")), F.when(mid, c("px2")))
+    g = span.groupBy(*SCENE, "before", "after").agg(
+        F.count(F.when(~mid & c("bx1").isNotNull(), 1)).alias("ends"), (F.max("t_ms") - F.min("t_ms")).alias("gap"),
+        F.count(F.when((c("frame") > c("before")) & c("cut"), 1)).alias("cuts"), F.count(F.when(mid, 1)).alias("n"),
+        F.count(F.when(mid & c("bx1").isNull() & c("px1").isNotNull() & c("phase").isin("flight", "continuation", "contact"), 1)).alias("ok"), F.min(left).alias("left"), F.max(right).alias("right"))
+    good = g.where((c("ends") == 2) & (c("gap") <= 1_000) & (c("cuts") == 0) & (c("n") > 0) & (c("n") == c("ok")) & (c("right") - c("left") <= view))
+    return good.select(*SCENE, F.explode(F.sequence(c("before") + 1, c("after") - 1)).alias("frame"), r5("left").alias("left"), r5("right").alias("right")).distinct()
+
+
+def greedy_ball(frames: DataFrame, balls: DataFrame) -> DataFrame:
+    """Per-frame choice by confidence minus distance to the last choice. A shot is folded; frames hold few balls."""
+    d = F.struct((-F.col("confidence")).alias("o"), "idx", "cx", "cy", "confidence", "pitch_support", "near")
+    packs = with_shot(frames).select(*SHOT, "frame", "t_ms").join(
+        balls.groupBy(*SCENE, "frame").agg(F.sort_array(F.collect_list(d)).alias("ds")), [*SCENE, "frame"], "left")
+    item = F.struct("t_ms", "frame", "ds")
+    out_t = "array<struct<frame:bigint,idx:bigint,cx:double,cy:double>>"
+    init = F.struct(F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), F.array().cast(out_t).alias("out"))
+
+    def best(ds, score, ok):
+        pool = F.filter(ds, ok)
+        return F.try_element_at(F.sort_array(F.transform(pool, lambda b: F.struct((-score(b)).alias("s"), b["idx"].alias("idx"), b["cx"].alias("cx"), b["cy"].alias("cy")))), F.lit(1))
+
+    def step(acc, i):
+        dist = lambda b: F.sqrt(F.pow(b["cx"] - acc["x"], 2) + F.pow(b["cy"] - acc["y"], 2))
+        fresh = best(i["ds"], lambda b: b["confidence"] + b["pitch_support"] * 0.48 - b["near"] * 0.52, lambda b: (b["pitch_support"] >= 0.10) | (b["near"] <= 0.11))
+        near = best(i["ds"], lambda b: b["confidence"] - dist(b) * 5.5, lambda b: dist(b) <= 9)
+        pick = F.when(acc["x"].isNull(), fresh).when(F.sqrt(F.pow(near["cx"] - acc["x"], 2) + F.pow(near["cy"] - acc["y"], 2)) <= 0.22, near)
+        row = F.struct(i["frame"].alias("frame"), pick["idx"].alias("idx"), pick["cx"].alias("cx"), pick["cy"].alias("cy"))
+        return F.struct(F.coalesce(pick["cx"], acc["x"]).alias("x"), F.coalesce(pick["cy"], acc["y"]).alias("y"),
+                        F.when(pick.isNotNull(), F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"))
+
+    return fold(packs, SHOT, item, init, step).select(*SHOT, F.explode("state.out").alias("o")).select(*SCENE, "o.frame", "o.idx")
+
+
+def hold_pan_path(rows: DataFrame, look_ms: int = 850, persist_ms: int = 280, hold_ms: int = 550, min_pan: float = 0.032, speed: float = 0.075) -> DataFrame:
+    """Tripod camera: hold, and pan once the safe interval has been left persistently.
+
+    State runs through a pan in time, so each bounded scene is a grouped map.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def opening(t, lo, hi, target, cut, i):
+        a, b, got = 0.0, 1.0, []
+        for j in range(i, len(t)):
+            if j > i and (cut[j] or t[j] - t[i] > look_ms):
+                break
+            if hi[j] - lo[j] < 0.92 and max(a, lo[j]) <= min(b, hi[j]):
+                a, b = max(a, lo[j]), min(b, hi[j])
+                got.append(target[j])
+        return float(np.clip(sorted(got)[len(got) // 2], a, b)) if got else float(np.clip(target[i], 0, 1))
+
+    def leaving(t, lo, hi, cut, i, x):
+        side, since, n, dest = 0, None, 0, x
+        for j in range(i + 1, len(t)):
+            if cut[j] or t[j] - t[i] > look_ms:
+                return None
+            now = 1 if x < lo[j] else -1 if x > hi[j] else 0
+            if now == 0 or (side and now != side):
+                side, since, n, dest = 0, None, 0, x
+                continue
+            side, since, n = now, t[j] if since is None else since, n + 1
+            dest = max(dest, lo[j]) if side > 0 else min(dest, hi[j])
+            if n >= 3 and t[j] - since >= persist_ms:
+                return dest
+        return None
+
+    def path(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t_ms")
+        t, lo, hi, target = (pdf[c].to_numpy(float) for c in ("t_ms", "lo", "hi", "target_x"))
+        cut = pdf["cut"].to_numpy(bool)
+        out, x, pan, locked = np.zeros(len(t)), 0.5, None, -np.inf
+        for i in range(len(t)):
+            if i == 0 or cut[i]:
+                x, pan, locked = opening(t, lo, hi, target, cut, i), None, t[i] + hold_ms
+            else:
+                if pan and t[i] >= pan[1]:
+                    x, locked, pan = pan[3], pan[1] + hold_ms, None
+                elif pan:
+                    p = (t[i] - pan[0]) / max(1.0, pan[1] - pan[0])
+                    x = pan[2] + (pan[3] - pan[2]) * p * p * (3 - 2 * p)
+                if pan is None and t[i] >= locked:
+                    dest = leaving(t, lo, hi, cut, i, x)
+                    if dest is not None and abs(dest - x) >= min_pan:
+                        pan = (t[i], t[i] + float(np.clip(1500 * abs(dest - x) / speed, 800, 1800)), x, float(np.clip(dest, 0, 1)))
+            out[i] = np.clip(x, 0, 1)
+        return pdf[["match_id", "scene_id", "frame"]].assign(camera_x=out)
+
+    cols = rows.select(*SCENE, "frame", "t_ms", "cut", "lo", "hi", "target_x")
+    return spread_out(cols, SCENE).groupBy(*SCENE).applyInPandas(path, "match_id long, scene_id long, frame long, camera_x double")
+
+
+def tracked_path(rows: DataFrame, speed: float = 0.32) -> DataFrame:
+    """Velocity-limited follow inside reachable bounds, then twelve bounded smoothing passes per shot (grouped map)."""
+    import numpy as np
+    import pandas as pd
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t_ms")
+        t, target, lo, hi = (pdf[c].to_numpy(float) for c in ("t_ms", "target_x", "lo", "hi"))
+        t = t / 1000
+        a, b = lo.copy(), hi.copy()
+        for i in range(len(t) - 2, -1, -1):
+            reach = speed * max(0.001, t[i + 1] - t[i])
+            low, high = max(lo[i], a[i + 1] - reach), min(hi[i], b[i + 1] + reach)
+            if low <= high:
+                a[i], b[i] = low, high
+        out, v = np.zeros(len(t)), 0.0
+        for i in range(len(t)):
+            if i == 0:
+                out[i] = max(a[i], min(b[i], target[i]))
+                continue
+            dt = max(0.001, t[i] - t[i - 1])
+            want = max(-speed, min(speed, (target[i] - out[i - 1]) * 2.5))
+            v = max(v - 0.7 * dt, min(v + 0.7 * dt, want))
+            out[i] = max(a[i], min(b[i], out[i - 1] + v * dt))
+            v = (out[i] - out[i - 1]) / dt
+        for _ in range(12):
+            mid = out.copy()
+            if len(out) > 2:
+                mid[1:-1] = np.maximum(a[1:-1], np.minimum(b[1:-1], (out[:-2] + 2 * out[1:-1] + out[2:]) / 4))
+            out = mid
+        return pdf[["match_id", "scene_id", "frame"]].assign(camera_x=out)
+
+    cols = with_shot(rows).select(*SHOT, "frame", "t_ms", "lo", "hi", "target_x")
+    return spread_out(cols, SHOT).groupBy(*SHOT).applyInPandas(follow, "match_id long, scene_id long, frame long, camera_x double")
+
+
+def smooth_path(records: DataFrame, half: float, ahead: int = 2, dead: float = 0.004, top_speed: float = 0.42) -> DataFrame:
+    """Look-ahead blend, eased follow with a dead zone and speed cap, then a five-row kernel inside one shot."""
+    rows = with_shot(records)
+    owner = F.when(F.col("phase").isin("setup", "contact"), "carrier").otherwise("ball")
+    rows = rows.withColumn("own", owner)
+    w = by_time(SHOT)
+    ahead_x = F.col("target_x")
+    same = F.lit(True)
+    for k in range(1, ahead + 1):
+        same = same & F.coalesce(F.lead("own", k).over(w) == F.col("own"), F.lit(False))
+        ahead_x = F.when(same, F.lead("target_x", k).over(w)).otherwise(ahead_x)
+    rows = rows.withColumn("aim", F.col("target_x") * 0.92 + ahead_x * 0.08)
+    item = F.struct("t_ms", "frame", "shot", "aim")
+    init = F.struct(F.lit(None).cast("double").alias("x"), F.lit(0).cast("long").alias("t"), F.array().cast("array<struct<frame:bigint,x:double>>").alias("out"))
+
+    def step(acc, i):
+        start = F.coalesce(acc["x"], i["aim"])
+        gap = i["aim"] - start
+        gap = F.when(F.abs(gap) < dead, 0.0).otherwise(gap)
+        cap = F.greatest(F.lit(0.001), (i["t_ms"] - acc["t"]) / 1000) * top_speed
+        move = gap * F.least(F.lit(0.32), F.greatest(F.lit(0.10), 0.10 + F.abs(gap) * 0.58))
+        x = F.least(F.lit(1 - half), F.greatest(F.lit(half), start + F.least(cap, F.greatest(-cap, move))))
+        return F.struct(x.alias("x"), i["t_ms"].alias("t"), F.concat(acc["out"], F.array(F.struct(i["frame"].alias("frame"), x.alias("x")))).alias("out"))
+
+    walked = fold(rows, SHOT, item, init, step).select(*SHOT, F.explode("state.out").alias("o")).select(*SHOT, "o.frame", "o.x")
+    f = Window.partitionBy(*SHOT).orderBy("frame")
+    parts = [F.lag("x", 2).over(f), F.lag("x", 1).over(f), F.col("x"), F.lead("x", 1).over(f), F.lead("x", 2).over(f)]
+    soft = sum((p * k for p, k in zip(parts[1:], (2, 3, 2, 1))), parts[0] * 1) / 9
+    return walked.select(*SCENE, "frame", r5(F.coalesce(soft, F.col("x"))).alias("camera_x"))

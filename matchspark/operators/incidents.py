@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchspark.functions.scalar import SCORING, is_true, kept, not_false, reaction, replay, story
 from matchspark.operators.linking import same_action_ok
 from matchspark.operators.timeline import block_of, fold, interval_join
-from matchspark.session import ensure_checkpoint_dir
+from matchspark.session import cut_lineage
 
 
 def raw_scoring_obligations(drafts: DataFrame) -> DataFrame:
@@ -92,7 +92,8 @@ def reuse_responses(saved: DataFrame, inputs: DataFrame, profiles: Sequence[str]
 
 
 def best_of_conflicts(
-    rows: DataFrame, keys: Sequence[str], rank: Sequence[Column], start: str, end: str, conflict: Column, bin_ms: int = 60_000,
+    rows: DataFrame, keys: Sequence[str], rank: Sequence[Column], start: str, end: str, conflict, bin_ms: int = 60_000,
+    small: int = 5_000,
 ) -> DataFrame:
     """Greedy non-conflicting subset in rank order, without walking a key row by row.
 
@@ -101,33 +102,36 @@ def best_of_conflicts(
     round keeps every row that leads all time bins it touches (nothing better
     left can conflict with it), then drops the rows conflicting with a kept one.
     Rows of different bins decide in parallel, and the written state between
-    rounds goes to the shared checkpoint folder. ``conflict`` compares columns
-    with those prefixed ``o_``.
+    rounds goes to the shared checkpoint folder. Once a counted remainder of at
+    most ``small`` rows is left, an ordered fold finishes it in one step.
+    ``conflict(a, b)`` gets two column getters.
     """
-    ensure_checkpoint_dir(rows.sparkSession)
     cols = rows.columns
-    todo = rows.withColumn("_rank", F.struct(*rank)).checkpoint()
+    body = [c for c in cols if c not in keys]
+    clash = conflict(F.col, lambda c: F.col("o_" + c))
+    todo = cut_lineage(rows.withColumn("_rank", F.struct(*rank)))
     kept_parts = []
-    while True:
+    while todo.count() > small:
         last = F.greatest(F.col(end) - 1, F.col(start))
         spread = todo.withColumn("_bin", F.explode(F.sequence(block_of(F.col(start), bin_ms), block_of(last, bin_ms))))
-        best = F.min("_rank").over(Window.partitionBy(*keys, "_bin"))
-        body = F.struct(*[c for c in cols if c not in keys])
-        led = spread.select(*keys, "_rank", body.alias("_row"), (F.col("_rank") == best).alias("_top")).groupBy(*keys, "_rank").agg(
+        lead = spread.groupBy(*keys, "_bin").agg(F.min("_rank").alias("_best"))
+        led = spread.join(lead, [*keys, "_bin"]).select(*keys, "_rank", F.struct(*body).alias("_row"), (F.col("_rank") == F.col("_best")).alias("_top")).groupBy(*keys, "_rank").agg(
             F.bool_and("_top").alias("_wins"), F.any_value("_row").alias("_row"))
         marked = led.select(*keys, "_rank", "_wins", "_row.*")
-        other = marked.where("_wins").select(*keys, *[F.col(c).alias("o_" + c) for c in cols if c not in keys])
-        losers = interval_join(marked.where("NOT _wins"), other, keys, (start, end), ("o_" + start, "o_" + end), bin_ms).where(conflict)
+        other = marked.where("_wins").select(*keys, *[F.col(c).alias("o_" + c) for c in body])
+        losers = interval_join(marked.where("NOT _wins"), other, keys, (start, end), ("o_" + start, "o_" + end), bin_ms).where(clash)
         lost = losers.select(*keys, "_rank", F.lit(True).alias("_lost")).distinct()
-        state = marked.join(lost, [*keys, "_rank"], "left").where("_lost IS NULL").drop("_lost").checkpoint()
+        state = cut_lineage(marked.join(lost, [*keys, "_rank"], "left").where("_lost IS NULL").drop("_lost"))
         kept_parts.append(state.where("_wins").select(*cols))
         todo = state.where("NOT _wins").drop("_wins")
-        if todo.isEmpty():
-            break
-    out = kept_parts[0]
-    for part in kept_parts[1:]:
-        out = out.unionByName(part)
-    return out
+    left = todo.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_rank", F.struct(*body).alias("r")))).alias("q"))
+    kind = dict(left.dtypes)["q"]
+    hit = lambda k, r: F.coalesce((k[start] < r[end]) & (r[start] < k[end]) & conflict(lambda c: r[c], lambda c: k[c]), F.lit(False))
+    step = lambda acc, x: F.when(F.exists(acc, lambda k: hit(k["r"], x["r"])), acc).otherwise(F.concat(acc, F.array(x)))
+    tail = left.select(*keys, F.explode(F.aggregate("q", F.array().cast(kind), step)).alias("k")).select(*keys, "k.r.*").select(*cols)
+    for part in kept_parts:
+        tail = tail.unionByName(part)
+    return tail
 
 
 def unique_evidence(moments: DataFrame) -> DataFrame:
@@ -150,17 +154,20 @@ def unique_evidence(moments: DataFrame) -> DataFrame:
     valid = rows.where(~invalid)
     cols = ["match_id", "moment_id", "ordinal", "start_ms", "end_ms", "cut_ms", "react", "contact_ms", "proof_start_ms", "proof_end_ms", "r1", "r2", "r3", "r4"]
     base = valid.select(*cols, same_action_ok().alias("clocked"))
-    c = F.col
-    shared = F.least("cut_ms", "o_cut_ms") - F.greatest("start_ms", "o_start_ms")
-    short = F.least(c("cut_ms") - c("start_ms"), c("o_cut_ms") - c("o_start_ms"))
-    whole = F.least("end_ms", "o_end_ms") - F.greatest("start_ms", "o_start_ms")
-    same = (
-        c("clocked") & c("o_clocked") & (whole >= F.least(c("end_ms") - c("start_ms"), c("o_end_ms") - c("o_start_ms")) * 0.35)
-        & (F.abs(c("contact_ms") - c("o_contact_ms")) <= 350) & (F.abs(c("proof_start_ms") - c("o_proof_start_ms")) <= 500)
-        & (F.least("proof_end_ms", "o_proof_end_ms") >= F.greatest("proof_start_ms", "o_proof_start_ms"))
-    )
-    conflict = (F.coalesce(same, F.lit(False)) | (F.greatest(F.lit(0), shared) >= short * 0.8))
-    best = best_of_conflicts(base, ["match_id", "react"], [c("r1"), c("r2"), c("r3"), c("r4"), c("ordinal")], "start_ms", "end_ms", conflict)
+
+    def conflict(a, b):
+        shared = F.least(a("cut_ms"), b("cut_ms")) - F.greatest(a("start_ms"), b("start_ms"))
+        short = F.least(a("cut_ms") - a("start_ms"), b("cut_ms") - b("start_ms"))
+        whole = F.least(a("end_ms"), b("end_ms")) - F.greatest(a("start_ms"), b("start_ms"))
+        near = lambda c, ms: F.abs(a(c) - b(c)) <= ms
+        same = (
+            a("clocked") & b("clocked") & (whole >= F.least(a("end_ms") - a("start_ms"), b("end_ms") - b("start_ms")) * 0.35)
+            & near("contact_ms", 350) & near("proof_start_ms", 500)
+            & (F.least(a("proof_end_ms"), b("proof_end_ms")) >= F.greatest(a("proof_start_ms"), b("proof_start_ms")))
+        )
+        return F.coalesce(same, F.lit(False)) | (F.greatest(F.lit(0), shared) >= short * 0.8)
+
+    best = best_of_conflicts(base, ["match_id", "react"], [F.col(c) for c in ("r1", "r2", "r3", "r4", "ordinal")], "start_ms", "end_ms", conflict)
     return best.select("match_id", "moment_id").unionByName(rows.where(invalid).select("match_id", "moment_id"))
 
 

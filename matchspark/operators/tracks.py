@@ -772,13 +772,16 @@ def greedy_ball(frames: DataFrame, balls: DataFrame) -> DataFrame:
 
     def best(ds, score, ok):
         pool = F.filter(ds, ok)
-        return F.try_element_at(F.sort_array(F.transform(pool, lambda b: F.struct((-score(b)).alias("s"), b["idx"].alias("idx"), b["cx"].alias("cx"), b["cy"].alias("cy")))), F.lit(1))
+        return F.try_element_at(F.sort_array(F.transform(pool, lambda b: F.struct((-score(b)).alias("s"), b["idx"].alias("idx"), b["cx"].alias("cx"), b["cy"].alias("cy"), b["confidence"].alias("conf")))), F.lit(1))
 
     def step(acc, i):
         dist = lambda b: F.sqrt(F.pow(b["cx"] - acc["x"], 2) + F.pow(b["cy"] - acc["y"], 2))
         fresh = best(i["ds"], lambda b: b["confidence"] + b["pitch_support"] * 0.48 - b["near"] * 0.52, lambda b: (b["pitch_support"] >= 0.10) | (b["near"] <= 0.11))
-        near = best(i["ds"], lambda b: b["confidence"] - dist(b) * 5.5, lambda b: dist(b) <= 9)
-        pick = F.when(acc["x"].isNull(), fresh).when(F.sqrt(F.pow(near["cx"] - acc["x"], 2) + F.pow(near["cy"] - acc["y"], 2)) <= 0.22, near)
+        near = best(i["ds"], lambda b: b["confidence"] - dist(b) * 5.5, lambda b: F.lit(True))
+        fly = best(i["ds"], lambda b: b["confidence"] - dist(b) * 2.2, lambda b: (b["near"] >= 0.065) & (b["confidence"] >= 0.65))
+        away = lambda p: F.sqrt(F.pow(p["cx"] - acc["x"], 2) + F.pow(p["cy"] - acc["y"], 2))
+        rescue = fly.isNotNull() & (near["conf"] < 0.45) & (away(fly) <= 0.25)
+        pick = F.when(acc["x"].isNull(), fresh).when(F.coalesce(rescue, F.lit(False)), fly).when(away(near) <= 0.22, near)
         row = F.struct(i["frame"].alias("frame"), pick["idx"].alias("idx"), pick["cx"].alias("cx"), pick["cy"].alias("cy"))
         return F.struct(F.coalesce(pick["cx"], acc["x"]).alias("x"), F.coalesce(pick["cy"], acc["y"]).alias("y"),
                         F.when(pick.isNotNull(), F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"))
@@ -909,3 +912,95 @@ def smooth_path(records: DataFrame, half: float, ahead: int = 2, dead: float = 0
     parts = [F.lag("x", 2).over(f), F.lag("x", 1).over(f), F.col("x"), F.lead("x", 1).over(f), F.lead("x", 2).over(f)]
     soft = sum((p * k for p, k in zip(parts[1:], (2, 3, 2, 1))), parts[0] * 1) / 9
     return walked.select(*SCENE, "frame", r5(F.coalesce(soft, F.col("x"))).alias("camera_x"))
+
+
+def possession_lock(people: DataFrame, balls: DataFrame, view: float) -> DataFrame:
+    """Locked carrier per frame with hysteresis: three wins to lock, then a margin and repeats to switch.
+
+    Referees and people off the pitch never qualify. The lock is a state machine
+    over one bounded shot, so it is a grouped map.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def touch(p, bx, by, weight):
+        foot = np.hypot(p.cx - bx, (p.y2 - by) * weight)
+        h = p.y2 - p.y1
+        inside = h > 0 and p.x1 - 0.012 <= bx <= p.x2 + 0.012 and p.y1 - 0.025 <= by <= p.y1 + h * 0.18
+        return min(foot, np.hypot(p.cx - bx, (p.y1 + h * 0.08 - by) * weight)) if inside else foot
+
+    def lock(pdf: pd.DataFrame) -> pd.DataFrame:
+        held = pending = None
+        count, out = 0, []
+        margin = min(0.056, view * 0.15)
+        frames_: dict = {}
+        for p in pdf.sort_values(["t_ms", "track_id"]).itertuples(index=False):
+            frames_.setdefault((p.t_ms, p.frame), []).append(p)
+        for (_, frame), men in frames_.items():
+            bx, by = men[0].ball_x, men[0].ball_y
+            if bx != bx:
+                out.append((frame, held))
+                continue
+            near = {p.track_id: (touch(p, bx, by, 0.85), touch(p, bx, by, 0.52)) for p in men}
+            score = {p.track_id: near[p.track_id][0] - (0.20 if p.track_id == held else 0) - min(0.035, max(0, p.track_age - 1) * 0.006)
+                     - p.confidence * 0.025 + max(0.0, 0.16 - p.pitch_support) * 0.32 for p in men}
+            close = min(near, key=lambda k: near[k][0])
+            rival = min(score, key=score.get)
+            snug = [p.track_id for p in men if max(bx, p.x2) - min(bx, p.x1) + margin * 2 <= view]
+            fit = min(snug, key=lambda k: near[k][0]) if snug else None
+            if held not in near:
+                want, need = (fit if fit is not None else rival), 3
+            elif close != held and near[held][1] > 0.13 and near[close][1] <= 0.10 and near[close][1] + 0.035 < near[held][1]:
+                want, need = close, 3
+            elif fit is not None and held not in snug:
+                want, need = fit, 3 if near[fit][1] <= 0.12 else None
+            elif near[held][1] > 0.13 and near[close][1] + 0.035 < near[held][1]:
+                want, need = close, 1
+            elif rival != held and score[rival] + 0.11 < score[held]:
+                want, need = rival, 5
+            else:
+                want, need = None, None
+            if want is None:
+                pending, count = None, 0
+            else:
+                count = count + 1 if want == pending else 1
+                pending = want
+                if need is not None and count >= need:
+                    held, pending, count = want, None, 0
+                elif held not in near:
+                    held = None
+            out.append((frame, held))
+        m, s = int(pdf["match_id"].iloc[0]), int(pdf["scene_id"].iloc[0])
+        return pd.DataFrame([(m, s, int(f), h) for f, h in out], columns=["match_id", "scene_id", "frame", "carrier_id"]).astype({"carrier_id": "Int64"})
+
+    men = people.where("pitch_support >= 0.08 AND role <> 'referee' AND track_id IS NOT NULL").drop("t_ms", "cut")
+    shots = with_shot(balls).select(*SHOT, "frame", "t_ms", "ball_x", "ball_y")
+    rows = men.select(*SCENE, "frame", "track_id", "track_age", "confidence", "pitch_support", "cx", "x1", "x2", "y1", "y2").join(shots, [*SCENE, "frame"])
+    return spread_out(rows, SHOT).groupBy(*SHOT).applyInPandas(lock, "match_id long, scene_id long, frame long, carrier_id long")
+
+
+def annotation_cue(records: DataFrame, scenes: DataFrame) -> DataFrame:
+    """First qualifying row of the annotation window and the blended confidence of its cue."""
+    rows = records.join(scenes, SCENE).where(F.col("t_ms").between(F.col("from_ms"), F.col("to_ms")))
+    ok = F.col("direct") & F.col("joint_fit") & (F.col("track_id") == F.col("subject")) & (F.col("subject_confidence") >= 0.5)
+    g = rows.withColumn("ok", F.coalesce(ok, F.lit(False))).groupBy(*SCENE, "to_ms").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("ok"), 1)).alias("k"), F.median(F.when(F.col("ok"), F.col("subject_confidence"))).alias("m"),
+        F.min(F.when(F.col("ok"), F.struct("t_ms", "ball_confidence"))).alias("f"))
+    blend = F.col("m") * 0.68 + F.col("k") / F.col("n") * 0.24 + F.least(F.lit(1.0), F.col("f.ball_confidence") / 0.45) * 0.08
+    conf = F.least(F.lit(1.0), F.greatest(F.lit(0.0), blend))
+    return g.where("k > 0").select(*SCENE, F.col("f.t_ms").alias("cue_ms"), r5(conf).alias("confidence"), F.when(conf >= 0.58, "arrow").otherwise("none").alias("style"),
+                                   F.least(F.lit(2_400), F.greatest(F.lit(600), F.col("to_ms") - F.col("f.t_ms"))).alias("hold_ms"))
+
+
+def support_players(players: DataFrame, passes: DataFrame, kits: DataFrame, limit: int = 2) -> DataFrame:
+    """Up to two players in the kit of both pass ends at a sensible spacing. ``kits`` holds distances to both ends per player."""
+    end = lambda who: players.select(*SCENE, "frame", F.col("track_id").alias(who), F.col("cx").alias(who + "_x"), F.col("y2").alias(who + "_y")).dropDuplicates([*SCENE, "frame", who])
+    rows = players.join(passes, [*SCENE, "frame"]).join(end("from_id"), [*SCENE, "frame", "from_id"]).join(end("to_id"), [*SCENE, "frame", "to_id"]).join(kits, [*SCENE, "frame", "idx"])
+    c = F.col
+    gap = lambda who: F.sqrt(F.pow(c("cx") - c(who + "_x"), 2) + F.pow(c("y2") - c(who + "_y"), 2))
+    space = F.least(gap("from_id"), gap("to_id"))
+    ok = (
+        ~c("track_id").isin(c("from_id"), c("to_id")) & (c("confidence") >= 0.48) & (c("pitch_support") >= 0.08) & (c("track_age") >= 2)
+        & (c("ends_distance") <= 0.34) & (F.greatest("to_from", "to_to") <= 0.30) & space.between(0.045, 0.45))
+    rank = Window.partitionBy(*SCENE, "frame").orderBy((c("to_from") + c("to_to")) / 2 - c("confidence") * 0.05, "idx")
+    return rows.where(ok).withColumn("rn", F.row_number().over(rank)).where(c("rn") <= limit).select(*SCENE, "frame", "idx")

@@ -478,3 +478,86 @@ def sample_times(moments: DataFrame, maximum: int = 12) -> DataFrame:
     return moments.where("end_ms > start_ms").select(
         "match_id", "moment_id", F.explode(F.array_sort(F.slice(ordered, 1, maximum))).alias("t_ms")
     )
+
+
+def sample_windows(scenes: DataFrame, fps: int, most: int = 80) -> DataFrame:
+    """Batches of at most ``most`` ticks per scene with two ticks of context on both sides."""
+    n = F.ceil(F.col("length_ms") * fps / F.lit(1000) - 1e-9)
+    rows = scenes.where("length_ms > 0").withColumn("n", n).withColumn("batch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / most))))
+    first = F.col("batch") * most
+    size = F.least(F.lit(most), F.col("n") - first)
+    return rows.select(
+        "match_id", "moment_id", "batch", size.alias("ticks"), F.greatest(F.lit(0), F.floor((first - 2) * 1000 / F.lit(fps))).alias("from_ms"),
+        F.least("length_ms", F.floor((first + size + 2) * 1000 / F.lit(fps))).alias("to_ms"))
+
+
+# -- clocks of reviewed clips --------------------------------------------------
+
+CLIP_CLOCKS = ["origin_ms", "contact_ms", "flight_ms", "handoff_ms", "payoff_start_ms", "payoff_end_ms"]
+PLAY_EVENTS = [
+    "goal", "disallowed_goal", "save", "shot_on_target", "shot_off_target", "big_chance", "assist", "free_kick", "skill", "dribble", "tackle", "foul", "normal_play",
+]
+
+
+def fix_reel_clock(reviews: DataFrame) -> DataFrame:
+    """Move review clocks from the reel to the clip when the numbers prove they are on the reel.
+
+    Rows carry the clip's ``reel_start_ms`` and ``reel_end_ms``; everything is inside the row.
+    """
+    off, n = F.col("reel_start_ms"), F.col("reel_end_ms") - F.col("reel_start_ms")
+    times = F.array_compact(F.array(*[F.col(c) for c in CLIP_CLOCKS]))
+    fits = F.forall(times, lambda t: (t >= off - 20) & (t <= off + n + 50))
+    out = F.size(F.filter(times, lambda t: t > n + 50))
+    edge = F.coalesce(F.abs(F.col("origin_ms") - off) <= 20, F.lit(False))
+    hit = (off > 0) & (n > 0) & fits & ((out >= 2) | (edge & (out >= 1)))
+    shift = lambda c: F.when(F.col("_hit"), F.col(c) - F.col("reel_start_ms")).otherwise(F.col(c))
+    also = [c for c in ("proof_start_ms", "proof_end_ms", "w_start_ms", "w_end_ms") if c in reviews.columns]
+    rows = reviews.withColumn("_hit", hit)
+    return rows.withColumns({c: shift(c) for c in [*CLIP_CLOCKS, *also]}).withColumnRenamed("_hit", "clock_moved")
+
+
+def fix_result_hold(reviews: DataFrame) -> DataFrame:
+    """Pull a phase end that overruns its window by at most one observed frame back to the proven result."""
+    t = is_true
+    c = F.col
+    box = (c("box_x1") < c("box_x2")) & (c("box_y1") < c("box_y2")) & (c("box_x1") >= 0) & (c("box_y1") >= 0) & (c("box_x2") <= 1) & (c("box_y2") <= 1)
+    over, rest = c("payoff_end_ms") - c("w_end_ms"), c("w_end_ms") - c("proof_end_ms")
+    ok = (
+        t("r_verified") & t("r_complete") & t("window_proven") & t("proof_verified") & (c("proof_event") == c("event_type")) & box & (over > 0) & (over <= 126)
+        & (c("contact_ms") >= c("w_start_ms")) & (c("payoff_start_ms") >= c("contact_ms")) & (c("proof_start_ms") >= c("payoff_start_ms"))
+        & (c("proof_end_ms") > c("proof_start_ms")) & (rest >= 0) & (rest <= 126))
+    ok = F.coalesce(ok, F.lit(False))
+    return reviews.withColumn("held", ok).withColumn("payoff_end_ms", F.when(F.col("held"), c("proof_end_ms")).otherwise(c("payoff_end_ms")))
+
+
+def invalid_timing(reviews: DataFrame) -> DataFrame:
+    """Reviews whose clocks are missing, outside the clip or out of order after both corrections."""
+    rows = fix_result_hold(fix_reel_clock(reviews))
+    c = F.col
+    n = c("reel_end_ms") - c("reel_start_ms")
+    need = [c(k) for k in ("origin_ms", "contact_ms", "payoff_start_ms", "payoff_end_ms")]
+    gone = need[0].isNull() | need[1].isNull() | need[2].isNull() | need[3].isNull()
+    times = F.array_compact(F.array(*[c(k) for k in CLIP_CLOCKS]))
+    out = F.exists(times, lambda t: (t < -50) | (t > n + 50))
+    order = (
+        (c("contact_ms") < c("origin_ms") - 50) | (c("payoff_start_ms") < c("contact_ms") - 125) | (c("payoff_end_ms") <= c("payoff_start_ms")) | (c("payoff_end_ms") <= c("contact_ms") + 50))
+    win = c("w_start_ms").isNotNull() & (
+        (c("w_start_ms") < 0) | (c("w_end_ms") > n + 1) | (c("w_end_ms") <= c("w_start_ms")) | (c("contact_ms") < c("w_start_ms") - 1)
+        | (c("payoff_start_ms") >= c("w_end_ms")) | (c("payoff_end_ms") > c("w_end_ms") + 1))
+    bad = gone | out | F.coalesce(order, F.lit(False)) | F.coalesce(win, F.lit(False))
+    live = is_true("r_verified") & is_true("r_complete") & c("event_type").isin(*PLAY_EVENTS)
+    # a generator instead of a filter: a pushed-down filter would repeat both corrections for every clock it reads
+    hit = F.when(live & (bad | c("reel_start_ms").isNull()), F.array(F.struct("match_id", "moment_id")))
+    return rows.select(F.inline(hit))
+
+
+def review_failures(reviews: DataFrame) -> DataFrame:
+    """Reasons a crop review fails: missing flags and too little timed evidence, as a code list."""
+    support = reaction()
+    flags = [("passed", F.lit(True)), ("correct_subject", F.lit(True)), ("stable_camera", F.lit(True)), ("subject_core", support),
+             ("ball_followed", ~support), ("setup_visible", ~support), ("contact_visible", ~support), ("outcome_visible", ~support)]
+    codes = [F.when(need & ~is_true(c), F.lit(c)) for c, need in flags]
+    phased = ~support & is_true("setup_seen") & is_true("contact_seen") & is_true("payoff_seen")
+    codes.append(F.when((F.coalesce("observation_count", F.lit(0)) < 2) & ~phased, F.lit("timestamped_crop_evidence")))
+    extra = F.filter("required", lambda r: ~F.array_contains("granted", r))
+    return reviews.withColumn("missing", F.array_join(F.array_sort(F.array_union(F.array_compact(F.array(*codes)), extra)), ","))

@@ -124,7 +124,7 @@ def anchor_for_scene(moments: DataFrame, anchors: DataFrame) -> DataFrame:
     A change owns the time after the previous change; the scene is placed by its
     proven, reviewed or contact clock, or by its whole interval without one.
     """
-    block = block_of(F.col("after_ms"), 600_000)
+    block = block_of(F.col("after_ms"), 10_000)
     ends = scan(anchors, ["match_id"], ["after_ms", "anchor_id"], block, prior={"prev_ms": ("last", F.col("after_ms"))})
     owned = ends.select(
         "match_id", "anchor_id", "status", "after_ms", "prev_ms", F.greatest("search_start_ms", F.coalesce("prev_ms", "search_start_ms")).alias("lower_ms"),
@@ -187,7 +187,7 @@ def own_goals(moments: DataFrame, anchors: DataFrame, complete: DataFrame) -> Da
     ).select("match_id", "moment_id", "ordinal", "start_ms", "end_ms", "proof_start_ms")
     # more than .1 s of overlap joins a group: shrink ends so that the plain island test applies
     groups = islands(goals.withColumn("_e", F.col("end_ms") - 100), ["match_id"], "start_ms", "_e", ["ordinal"]).drop("_e")
-    block = block_of(F.col("after_ms"), 600_000)
+    block = block_of(F.col("after_ms"), 10_000)
     order = scan(anchors, ["match_id"], ["after_ms", "anchor_id"], block, upto={"island": ("count", F.lit(1))}).select(
         "match_id", "island", "anchor_id", F.col("search_start_ms").alias("a0"), F.col("search_end_ms").alias("a1")
     )

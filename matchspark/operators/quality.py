@@ -670,7 +670,9 @@ def reusable_outcomes(rows: DataFrame) -> DataFrame:
         & F.when(F.col("goal_scored"), F.col("goal_decision").isin("allowed", "disallowed", "unclear")).otherwise(F.col("goal_decision") == "not_applicable")
         & inside("origin_ms") & inside("contact_ms") & inside("payoff_start_ms") & inside("payoff_end_ms") & (F.col("contact_ms") >= F.col("origin_ms"))
         & (F.col("payoff_start_ms") >= F.col("contact_ms") - 125) & (F.col("payoff_end_ms") > F.col("contact_ms") + 50))
-    return rows.where(F.coalesce(ok, F.lit(False)))
+    # a generator instead of a filter: a pushed-down filter would repeat the inputs of every clock test
+    cols = F.struct("match_id", "moment_id", "o_event", "goal_decision")
+    return rows.select(F.inline(F.when(F.coalesce(ok, F.lit(False)), F.array(cols))))
 
 
 def outcome_correction(rows: DataFrame) -> DataFrame:

@@ -119,7 +119,7 @@ def chapter_order(moments: DataFrame) -> DataFrame:
     phase = F.when(S.reaction(), 2).when(S.replay(), 1).otherwise(0)
     full = rows.withColumn("phase_rank", phase).join(first, ["match_id", "story"])
     order = ["chapter_ms", "chapter_ord", "phase_rank", "start_ms", "ordinal"]
-    placed = scan(full, ["match_id"], order, F.struct("chapter_ms", "chapter_ord", "phase_rank"), upto={"position": ("count", F.lit(1))})
+    placed = scan(full, ["match_id"], order, F.struct("chapter_ms", "chapter_ord", "phase_rank", F.floor(F.col("start_ms") / 1_000).alias("s")), upto={"position": ("count", F.lit(1))})
     return placed.select("match_id", "moment_id", "story", "phase_rank", "position")
 
 
@@ -164,7 +164,7 @@ def pick_clear_angle(moments: DataFrame, segments: DataFrame) -> DataFrame:
         F.when(S.replay(), 1).otherwise(0).alias("o2"), F.greatest(F.lit(1), F.coalesce("cuts", F.lit(1))).alias("o3"), F.col("start_ms").alias("o4"),
         (-F.coalesce("visual_clarity", F.lit(0.0))).alias("o5"), (-F.coalesce("confidence", F.lit(0.0))).alias("o6"), "ordinal",
     )
-    block = F.struct("o1", "o2", "o3", F.floor(F.col("o4") / 60_000))
+    block = F.struct("o1", "o2", "o3", F.floor(F.col("o4") / 1_000).alias("s"))
     ranked = scan(rows, ["match_id", "story"], ["o1", "o2", "o3", "o4", "o5", "o6", "ordinal"], block, upto={"rank": ("count", F.lit(1))})
     return ranked.select("match_id", "story", "moment_id", "rank", (F.col("rank") == 1).alias("primary"))
 

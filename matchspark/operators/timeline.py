@@ -18,8 +18,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: default block of the two-level scan, in milliseconds of media time
-BLOCK_MS = 30_000
+#: default block of the two-level scan, in milliseconds of media time. Small, so that a
+#: match holding a third of all rows still splits into thousands of windows; the carry
+#: then walks at most one row per second of footage.
+BLOCK_MS = 1_000
 #: default bin of the overlap join
 BIN_MS = 20_000
 
@@ -63,7 +65,12 @@ def interval_join(
     ).drop("_bin")
 
 
-def halo(df: DataFrame, t: str, before_ms: int, after_ms: int, block_ms: int = BLOCK_MS) -> DataFrame:
+def reach_block(tol_ms: int) -> int:
+    """Block width for a bounded reach: wide enough that few rows are copied."""
+    return max(BLOCK_MS, 2 * tol_ms)
+
+
+def halo(df: DataFrame, t: str, before_ms: int, after_ms: int, block_ms: int) -> DataFrame:
     """Copy each row into every block that must see it.
 
     A window partitioned by ``(keys, _block)`` then sees all rows up to
@@ -200,7 +207,7 @@ def nearest_within(
     right_t: str,
     tol_ms: int,
     carry: Sequence[str],
-    block_ms: int = BLOCK_MS,
+    block_ms: int | None = None,
 ) -> DataFrame:
     """As-of match on both sides: the ``right`` row closest in time, within ``tol_ms``.
 
@@ -208,6 +215,7 @@ def nearest_within(
     when nothing is near). Right rows are copied only across block edges, and
     both sides meet in one sorted window, so no pairs are formed.
     """
+    block_ms = block_ms or reach_block(tol_ms)
     probe = left.select("*", F.lit(1).alias("_side"), F.col(left_t).alias("_t")).withColumn(
         "_block", block_of(F.col("_t"), block_ms)
     )
@@ -253,13 +261,14 @@ def covered_by(
 
 def asof_within(
     left: DataFrame, right: DataFrame, keys: Sequence[str], left_t: str, right_t: str, tol_ms: int,
-    carry: Sequence[str], side: str, block_ms: int = BLOCK_MS,
+    carry: Sequence[str], side: str, block_ms: int | None = None,
 ) -> DataFrame:
     """The last ``right`` row at or before ``left_t`` (``side="before"``), or the first at
     or after it (``side="after"``), if it lies within ``tol_ms``. Adds ``<side>_ms`` and
     ``<side>_<carry>`` columns.
     """
     back = side == "before"
+    block_ms = block_ms or reach_block(tol_ms)
     probe = left.select("*", F.lit(1 if back else 0).alias("_side"), F.col(left_t).alias("_t")).withColumn(
         "_block", block_of(F.col("_t"), block_ms)
     )

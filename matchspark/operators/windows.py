@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchspark.functions.scalar import SCORING, SHOTS, candidate_state, deferred, is_true, kept, length_ms, reaction, replay
-from matchspark.operators.timeline import block_of, covered_by, covered_length, interval_join, scan
+from matchspark.operators.timeline import BLOCK_MS, block_of, covered_by, covered_length, interval_join, scan
 
 # Events that count as playable action, and those aligned by phase.
 ACTION_EVENTS = [
@@ -106,7 +106,7 @@ def coverage_gaps(moments: DataFrame, sources: DataFrame, min_gap_ms: int = 8_00
     edge = span.groupBy("match_id").agg(
         F.min("s").alias("first_s"), F.max_by("e", F.struct("s", "ordinal")).alias("last_e"), F.max("e").alias("reach")
     )
-    seen = scan(span, ["match_id"], ["s", "ordinal"], block_of(F.col("s"), 30_000), prior={"reach": ("max", F.col("e"))})
+    seen = scan(span, ["match_id"], ["s", "ordinal"], block_of(F.col("s"), BLOCK_MS), prior={"reach": ("max", F.col("e"))})
     inner = seen.select("match_id", F.coalesce("reach", F.lit(0)).alias("g0"), F.col("s").alias("g1"))
     src = sources.select("match_id", "duration_ms")
     tail = src.join(edge, "match_id", "left").select("match_id", F.coalesce("reach", F.lit(0)).alias("g0"), F.col("duration_ms").alias("g1"))

@@ -47,7 +47,7 @@ def _(v):
 @query("phase_wall_time", """WITH n AS (SELECT *, lead(us) OVER w AS nu, lead(restarted) OVER w AS nr FROM job_events_v WINDOW w AS (PARTITION BY job_id ORDER BY us, event_id))
   SELECT job_id, coalesce(phase, stage) AS phase, CAST(sum((nu - us) // 1000) AS BIGINT) AS wall_ms FROM n WHERE stage <> 'completed' AND nu IS NOT NULL AND NOT nr GROUP BY ALL""")
 def _(v):
-    return T.phase_wall_time(v.job_events, F.floor(F.col("us") / T.DAY_US))
+    return T.phase_wall_time(v.job_events, F.floor(F.col("us") / T.MINUTE_US))
 
 
 ERR = """CASE k % 12 WHEN 0 THEN '{"error":{"code":429,"details":[{"@type":"type.x/google.rpc.QuotaFailure","violations":[{"subject":"a"},{"subject":"b"}]}]}}'
@@ -112,7 +112,7 @@ def _(v):
     CASE WHEN NOT stuck THEN CASE WHEN error_code = 'PROCESSOR_RESTART' THEN 5000 ELSE least(180000, 5000 * CAST(pow(2, least(5, attempt - 1)) AS BIGINT)) END END AS delay_ms FROM d""")
 def _(v):
     rows = T.interruption_kind(v.base.selectExpr(*ERRORS)).withColumn("signature", F.floor(F.col("us") / (10 * T.DAY_US)))
-    return T.recovery_state(rows, F.floor(F.col("us") / T.DAY_US))
+    return T.recovery_state(rows, F.floor(F.col("us") / T.MINUTE_US))
 
 
 LINE = """CASE WHEN k % 6 = 0 THEN 'INFO noise' WHEN k % 6 = 1 THEN 'TRACK_PROGRESS not json' WHEN k % 6 = 2 THEN concat('TRACK_PROGRESS {"scene":"s', CAST(k % 4 AS STRING), '","completed":9,"total":0}')

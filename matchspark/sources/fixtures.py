@@ -317,7 +317,7 @@ class Tables:
     @cached_property
     def shots(self) -> DataFrame:
         cuts = self.moments.select("match_id", "start_ms").distinct()
-        block = F.floor(F.col("start_ms") / 600_000)
+        block = F.floor(F.col("start_ms") / 10_000)
         nxt = scan(cuts, ["match_id"], ["start_ms"], block, after={"next_ms": ("min", F.col("start_ms"))})
         return nxt.selectExpr(
             "match_id", "start_ms AS shot_start_ms", "coalesce(next_ms, CAST(5400000 AS BIGINT)) AS shot_end_ms",
@@ -326,8 +326,8 @@ class Tables:
 
     @cached_property
     def numbered(self) -> DataFrame:
-        day = F.floor(F.col("us") / 86_400_000_000)
-        rows = scan(self.base, ["user_id"], ["us", "event_id"], day, prior={"n": ("count", F.lit(1))})
+        minute = F.floor(F.col("us") / 60_000_000)
+        rows = scan(self.base, ["user_id"], ["us", "event_id"], minute, prior={"n": ("count", F.lit(1))})
         return rows.withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
 
     @cached_property

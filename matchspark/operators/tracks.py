@@ -318,7 +318,7 @@ def freeze_anchor(records: DataFrame, requests: DataFrame, tol_ms: int = 150) ->
     w = by_time()
     n1, n2 = F.lead("direct", 1).over(w), F.lead("direct", 2).over(w)
     c1, c2 = F.lead("cut", 1).over(w), F.lead("cut", 2).over(w)
-    ok = F.col("direct") & n1 & n2 & ~c1 & ~c2 & F.col("joint_fit") & (F.col("subject_confidence") >= 0.5)
+    ok = F.col("direct") & n1 & n2 & ~c1 & ~c2 & F.col("joint_fit") & (F.col("subject_confidence") >= 0.85)
     rows = records.withColumn("ok", ok).where("ok").join(requests, SCENE)
     near = rows.where(F.abs(F.col("t_ms") - F.col("want_ms")) <= tol_ms)
     return near.groupBy(*SCENE).agg(F.min_by("t_ms", F.struct(F.abs(F.col("t_ms") - F.col("want_ms")), "t_ms")).alias("anchor_ms"))
@@ -346,7 +346,7 @@ def pass_events(records: DataFrame, reach_ms: int = 5_000) -> DataFrame:
     """Carrier to receiver: three controlled direct rows of another track within reach, no cut between."""
     rows = with_shot(records)
     w = by_time(SHOT)
-    hold = F.col("possession") & F.col("direct") & (F.col("subject_confidence") >= 0.3) & F.col("track_id").isNotNull()
+    hold = F.col("possession") & F.col("direct") & (F.col("subject_confidence") >= 0.70) & F.col("track_id").isNotNull()
     rows = rows.withColumn("hold", hold)
     rows = rows.withColumn("turn", F.when(
         F.col("hold") & F.coalesce(F.lag("hold").over(w) & (F.lag("track_id").over(w) == F.col("track_id")), F.lit(False)), 0).otherwise(1))
@@ -982,7 +982,7 @@ def possession_lock(people: DataFrame, balls: DataFrame, view: float) -> DataFra
 def annotation_cue(records: DataFrame, scenes: DataFrame) -> DataFrame:
     """First qualifying row of the annotation window and the blended confidence of its cue."""
     rows = records.join(scenes, SCENE).where(F.col("t_ms").between(F.col("from_ms"), F.col("to_ms")))
-    ok = F.col("direct") & F.col("joint_fit") & (F.col("track_id") == F.col("subject")) & (F.col("subject_confidence") >= 0.5)
+    ok = F.col("ball_x").isNotNull() & F.col("joint_fit") & (F.col("track_id") == F.col("subject"))
     g = rows.withColumn("ok", F.coalesce(ok, F.lit(False))).groupBy(*SCENE, "to_ms").agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("ok"), 1)).alias("k"), F.median(F.when(F.col("ok"), F.col("subject_confidence"))).alias("m"),
         F.min(F.when(F.col("ok"), F.struct("t_ms", "ball_confidence"))).alias("f"))

@@ -76,7 +76,7 @@ def _(v):
 AC = ["match_id", "scene_id", "CAST(500 AS BIGINT) AS from_ms", "CAST(2200 AS BIGINT) AS to_ms", "match_id % 4 AS subject"]
 
 
-@query("annotation_cue", f"""WITH s AS (SELECT {', '.join(AC)} FROM (SELECT DISTINCT match_id, scene_id FROM frames_v)), r AS (SELECT f.*, to_ms, coalesce(direct AND joint_fit AND track_id = subject AND subject_confidence >= 0.5e0, false) AS ok FROM frames_v f JOIN s USING (match_id, scene_id) WHERE t_ms BETWEEN 500 AND 2200),
+@query("annotation_cue", f"""WITH s AS (SELECT {', '.join(AC)} FROM (SELECT DISTINCT match_id, scene_id FROM frames_v)), r AS (SELECT f.*, to_ms, coalesce(ball_x IS NOT NULL AND joint_fit AND track_id = subject, false) AS ok FROM frames_v f JOIN s USING (match_id, scene_id) WHERE t_ms BETWEEN 500 AND 2200),
   g AS (SELECT match_id, scene_id, count(*) AS n, count(*) FILTER (ok) AS k, median(subject_confidence) FILTER (ok) AS m, min(struct_pack(t := t_ms, b := ball_confidence)) FILTER (ok) AS f FROM r GROUP BY ALL), c AS (SELECT *, least(1e0, m * 0.68e0 + k / n * 0.24e0 + least(1e0, f.b / 0.45e0) * 0.08e0) AS c FROM g WHERE k > 0)
   SELECT match_id, scene_id, f.t AS cue_ms, round(c + 1e-9, 5) AS confidence, CASE WHEN c >= 0.58e0 THEN 'arrow' ELSE 'none' END AS style, least(2400, greatest(600, 2200 - f.t)) AS hold_ms FROM c""")
 def _(v):

@@ -201,10 +201,10 @@ WANT = ["match_id", "scene_id", "1000 + 37 * (match_id % 20) AS want_ms"]
 WANT_SQL = f"wt AS (SELECT {', '.join(WANT)} FROM (SELECT DISTINCT {KEYS} FROM frames_v))"
 
 
-@query("freeze_anchor", f"""WITH {WANT_SQL}, r AS (SELECT *, direct AND lead(direct, 1) OVER w AND lead(direct, 2) OVER w AND NOT lead(cut, 1) OVER w AND NOT lead(cut, 2) OVER w AND joint_fit AND subject_confidence >= 0.5e0 AS ok FROM frames_v WINDOW w AS (PARTITION BY {KEYS} ORDER BY t_ms))
+@query("freeze_anchor", f"""WITH {WANT_SQL}, r AS (SELECT *, direct AND lead(direct, 1) OVER w AND lead(direct, 2) OVER w AND NOT lead(cut, 1) OVER w AND NOT lead(cut, 2) OVER w AND joint_fit AND subject_confidence * 2 >= 0.85e0 AS ok FROM frames_v WINDOW w AS (PARTITION BY {KEYS} ORDER BY t_ms))
   SELECT match_id, scene_id, arg_min(t_ms, struct_pack(d := abs(t_ms - want_ms), t := t_ms)) AS anchor_ms FROM r JOIN wt USING (match_id, scene_id) WHERE ok AND abs(t_ms - want_ms) <= 150 GROUP BY ALL""")
 def _(v):
-    return T.freeze_anchor(v.frames, v.frames.select("match_id", "scene_id").distinct().selectExpr(*WANT))
+    return T.freeze_anchor(v.frames.withColumn("subject_confidence", F.col("subject_confidence") * 2), v.frames.select("match_id", "scene_id").distinct().selectExpr(*WANT))
 
 
 @query("opening_lock", f"""WITH h AS (SELECT *, count(*) FILTER (direct AND joint_fit) OVER w AS s, count(*) OVER w AS n FROM frames_v WHERE t_ms <= 1050 WINDOW w AS (PARTITION BY {KEYS} ORDER BY t_ms ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) SELECT {KEYS}, bool_or(s >= 3 AND n = 5) AS opening FROM h GROUP BY ALL""")
@@ -221,7 +221,7 @@ def _(v):
     return T.motion_path(v.frames, v.frames.select("match_id", "scene_id").distinct().selectExpr(*ANC))
 
 
-PE = ["match_id", "scene_id", "frame", "t_ms", "cut", "k % 6 <> 0 AS possession", "k % 11 <> 0 AS direct", "0.5e0 AS subject_confidence", "CAST(floor((frame + match_id % 3) / 5) AS BIGINT) % 3 AS track_id"]
+PE = ["match_id", "scene_id", "frame", "t_ms", "cut", "k % 6 <> 0 AS possession", "k % 11 <> 0 AS direct", "0.75e0 AS subject_confidence", "CAST(floor((frame + match_id % 3) / 5) AS BIGINT) % 3 AS track_id"]
 
 
 @query("pass_events", f"""WITH e AS (SELECT {', '.join(PE)} FROM frames_v), s AS (SELECT *, sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY {KEYS} ORDER BY t_ms) AS shot, possession AND direct AS hold FROM e),

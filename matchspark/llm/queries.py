@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from matchspark.llm.bpe import bpe_digests
 from matchspark.llm.exact_dedup import exact_dedup
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -44,3 +46,8 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d
 """)
 def op1_exact_dedup(documents: DataFrame) -> DataFrame:
     return exact_dedup(documents)
+
+
+@query("op2_bpe", "documents")
+def op2_bpe(documents: DataFrame) -> DataFrame:
+    return bpe_digests(documents, public_tokenizers.path("byte_bpe_50k.json"))

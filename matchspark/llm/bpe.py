@@ -183,7 +183,7 @@ class Bpe:
     @classmethod
     def shared(cls, raw: bytes) -> Bpe:
         """One instance per worker process and file."""
-        key = hashlib.sha256(raw).hexdigest()
+        key = f"{cls.__name__} {hashlib.sha256(raw).hexdigest()}"
         if key not in cls.loaded:
             cls.loaded[key] = cls(raw)
         return cls.loaded[key]
@@ -251,7 +251,7 @@ class Bpe:
             self.clear()
         new = list(set(chunks) - self.table.keys())
         if new:
-            parts = self.encode_chunks([raw_chunk(c) for c in new])
+            parts = self.encode_chunks([self.whole(c) for c in new])
             n = len(self.table)
             self.table.update(zip(new, range(n, n + len(new))))
             size = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -260,6 +260,11 @@ class Bpe:
             self.pool = np.concatenate([self.pool, *parts])
         return np.fromiter(map(self.table.__getitem__, chunks), np.int64, len(chunks))
 
+    @staticmethod
+    def whole(chunk: str) -> str:
+        """A chunk as it stands in its text: those of ``split_text`` lose the blank that comes before them."""
+        return chunk[1:] if chunk[:1] == "\0" else chunk if chunk[:1] == "\n" else " " + chunk
+
     def clear(self) -> None:
         self.table: dict[str, int] = {}
         self.pool, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -278,11 +283,6 @@ def spread(start: np.ndarray, size: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.repeat(start - ends[:-1], size) + np.arange(ends[-1])
 
 
-def raw_chunk(chunk: str) -> str:
-    """A chunk as it stands in its text: those of ``split_text`` lose the space that comes before them."""
-    return chunk[1:] if chunk[:1] == "\0" else chunk if chunk[:1] == "\n" else " " + chunk
-
-
 def plain_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Rows whose only white space is single blanks and line ends between other characters."""
     gap = (data == 32) | (data == 10)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from matchspark.llm.bpe import bpe_digests
 from matchspark.llm.exact_dedup import exact_dedup
+from matchspark.llm.packing import pack
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +52,8 @@ def op1_exact_dedup(documents: DataFrame) -> DataFrame:
 @query("op2_bpe", "documents")
 def op2_bpe(documents: DataFrame) -> DataFrame:
     return bpe_digests(documents, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op4_pack", "documents")
+def op4_pack(documents: DataFrame) -> DataFrame:
+    return pack(documents, public_tokenizers.path("word_bpe_49k.json"), window=2048, end_id=1)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from matchspark.llm.bpe import bpe_digests
 from matchspark.llm.exact_dedup import exact_dedup
 from matchspark.llm.packing import pack
+from matchspark.llm.url_filter import url_filter
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +58,20 @@ def op2_bpe(documents: DataFrame) -> DataFrame:
 @query("op4_pack", "documents")
 def op4_pack(documents: DataFrame) -> DataFrame:
     return pack(documents, public_tokenizers.path("word_bpe_49k.json"), window=2048, end_id=1)
+
+
+RULES = "VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')"
+
+
+@query("op3_url_filter", "pages", f"""
+WITH r(rh, rp, rv) AS ({RULES}),
+u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
+h AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM u),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+      regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM h),
+f AS (SELECT p.host, p.path, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(rv, length(rh || rp)) AS verdict
+      FROM (SELECT DISTINCT host, path FROM p) p JOIN r ON (p.host = rh OR ends_with(p.host, '.' || rh)) AND starts_with(p.path, rp) GROUP BY p.host, p.path)
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict FROM p LEFT JOIN f ON p.host = f.host AND p.path = f.path
+""")
+def op3_url_filter(pages: DataFrame) -> DataFrame:
+    return url_filter(pages, pages.sparkSession.sql(f"SELECT * FROM {RULES} AS rules(host, path, verdict)"))

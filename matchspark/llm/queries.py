@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from matchspark.llm.bpe import bpe_digests
 from matchspark.llm.exact_dedup import exact_dedup
+from matchspark.llm.language_id import language_id
 from matchspark.llm.packing import pack
 from matchspark.llm.url_filter import url_filter
 
@@ -75,3 +76,8 @@ SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdic
 """)
 def op3_url_filter(pages: DataFrame) -> DataFrame:
     return url_filter(pages, pages.sparkSession.sql(f"SELECT * FROM {RULES} AS rules(host, path, verdict)"))
+
+
+@query("op9_language_id", "documents")
+def op9_language_id(documents: DataFrame) -> DataFrame:
+    return language_id(documents)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from matchspark.llm.bpe import bpe_digests
 from matchspark.llm.exact_dedup import exact_dedup
+from matchspark.llm.fingerprints import fingerprints
 from matchspark.llm.language_id import language_id
 from matchspark.llm.packing import pack
 from matchspark.llm.url_filter import url_filter
@@ -81,3 +82,8 @@ def op3_url_filter(pages: DataFrame) -> DataFrame:
 @query("op9_language_id", "documents")
 def op9_language_id(documents: DataFrame) -> DataFrame:
     return language_id(documents)
+
+
+@query("op8_fingerprints", "documents")
+def op8_fingerprints(documents: DataFrame) -> DataFrame:
+    return fingerprints(documents)

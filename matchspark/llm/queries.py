@@ -12,6 +12,7 @@ from matchspark.llm.bpe import bpe_digests
 from matchspark.llm.exact_dedup import exact_dedup
 from matchspark.llm.fingerprints import fingerprints
 from matchspark.llm.language_id import language_id
+from matchspark.llm.lm_score import lm_score
 from matchspark.llm.packing import pack
 from matchspark.llm.url_filter import url_filter
 
@@ -87,3 +88,8 @@ def op9_language_id(documents: DataFrame) -> DataFrame:
 @query("op8_fingerprints", "documents")
 def op8_fingerprints(documents: DataFrame) -> DataFrame:
     return fingerprints(documents)
+
+
+@query("op7_lm_score", "documents")
+def op7_lm_score(documents: DataFrame) -> DataFrame:
+    return lm_score(documents)

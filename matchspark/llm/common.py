@@ -91,6 +91,14 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * back[start] + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+def eight_bytes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one big-endian number (places whose eight bytes end beyond the data are absent)."""
+    x = data.astype(U64)
+    for step in (1, 2, 4):
+        x = (x[:-step] << U64(8 * step)) | x[step:] if len(x) > step else x[:0]
+    return x
+
+
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 

@@ -14,6 +14,7 @@ from matchspark.llm.fingerprints import fingerprints
 from matchspark.llm.language_id import language_id
 from matchspark.llm.lm_score import lm_score
 from matchspark.llm.packing import pack
+from matchspark.llm.suffix_dedup import suffix_dedup
 from matchspark.llm.url_filter import url_filter
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -93,3 +94,8 @@ def op8_fingerprints(documents: DataFrame) -> DataFrame:
 @query("op7_lm_score", "documents")
 def op7_lm_score(documents: DataFrame) -> DataFrame:
     return lm_score(documents)
+
+
+@query("op6_suffix_dedup", "documents")
+def op6_suffix_dedup(documents: DataFrame) -> DataFrame:
+    return suffix_dedup(documents)

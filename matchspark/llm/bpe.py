@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ NONE = np.int32(1 << 30)
 #: How byte-level vocabularies split words.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Words kept by a worker before its table starts anew.
-TABLE_WORDS = 600_000
+TABLE_WORDS = 1_000_000
 #: Text encoded at a time, the longest word merged beside others, and symbols merged side by side.
 CHUNK_BYTES, WIDE, PART = 4 << 20, 512, 1 << 15
 
@@ -155,6 +155,14 @@ class MergeTable:
         return [x for x, own in zip(ids, alive) if own]
 
 
+class Numbered(dict):
+    """Numbers its keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class Bpe:
     """A byte-level BPE vocabulary file of the tokenizers library, with a table of the words met so far."""
 
@@ -217,48 +225,42 @@ class Bpe:
         ends = np.concatenate([[0], np.cumsum(count)])
         return pool[spread(at[:-1], count, ends)], ends
 
-    def encode_chunks(self, chunks: list[str]) -> list[np.ndarray]:
-        """Ids of each chunk of text."""
-        words: list[bytes] = []
-        plan: list[int | str] = []
-        for chunk in chunks:
-            own = 0
-            if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
-                words.append(chunk.encode())
-                own = 1
-            elif self.cut and self.cut.search(chunk):
-                plan.append(chunk)
-                continue
-            else:
-                found = WORDS.findall(chunk)
-                words.extend(w.encode() for w in found)
-                own = len(found)
-            plan.append(own)
-        flat, ends = self.encode_words(words) if words else (np.zeros(0, np.int32), np.zeros(1, np.int64))
-        out, w = [], 0
-        for step in plan:
-            if isinstance(step, str):
-                ids = [np.array([self.special[x]], np.int32) if x in self.special else self.encode_chunks([x])[0] for x in self.cut.split(step) if x]
-                out.append(np.concatenate(ids) if ids else np.zeros(0, np.int32))
-            else:
-                out.append(flat[ends[w]:ends[w + step]])
-                w += step
-        return out
+    def words(self, chunk: str) -> tuple | list[str]:
+        """The words of a chunk that are merged one by one."""
+        return (chunk,) if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()) else WORDS.findall(chunk)
+
+    def odd(self, chunk: str) -> bool:
+        """Whether a chunk needs ``encode_odd``: those with special tokens."""
+        return self.cut is not None and "<" in chunk and self.cut.search(chunk) is not None
+
+    def encode_odd(self, chunk: str) -> np.ndarray:
+        parts = [np.array([self.special[x]], np.int32) if x in self.special else self.encode_chunks([x])[0] for x in self.cut.split(chunk) if x]
+        return np.concatenate(parts)
+
+    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``chunks`` without odd ones, one after another, and where each chunk's ids start."""
+        found = [self.words(c) for c in chunks]
+        flat, ends = self.encode_words([w.encode() for w in chain.from_iterable(found)])
+        return flat, ends[np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])]
 
     def codes(self, chunks: list[str]) -> np.ndarray:
         """The place in the table of every chunk, after those that it lacked have been encoded."""
         if len(self.table) > TABLE_WORDS:
             self.clear()
-        new = list(set(chunks) - self.table.keys())
-        if new:
-            parts = self.encode_chunks([self.whole(c) for c in new])
-            n = len(self.table)
-            self.table.update(zip(new, range(n, n + len(new))))
-            size = np.fromiter(map(len, parts), np.int64, len(parts))
-            self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.pool = np.concatenate([self.pool, *parts])
-        return np.fromiter(map(self.table.__getitem__, chunks), np.int64, len(chunks))
+        n = len(self.table)
+        out = np.fromiter(map(self.table.__getitem__, chunks), np.int64, len(chunks))
+        new = [self.whole(c) for c in islice(self.table, n, None)]
+        odd = np.fromiter(map(self.odd, new), bool, len(new))
+        flat, ends = self.encode_chunks([c for c, o in zip(new, odd) if not o])
+        rest = [self.encode_odd(c) for c, o in zip(new, odd) if o]
+        size = np.zeros(len(new), np.int64)
+        size[~odd], size[odd] = np.diff(ends), [len(x) for x in rest]
+        start = np.zeros(len(new), np.int64)
+        start[~odd], start[odd] = ends[:-1], len(flat) + np.cumsum(size[odd]) - size[odd]
+        self.start = np.concatenate([self.start, len(self.pool) + start])
+        self.size = np.concatenate([self.size, size])
+        self.pool = np.concatenate([self.pool, flat, *rest])
+        return out
 
     @staticmethod
     def whole(chunk: str) -> str:
@@ -266,7 +268,7 @@ class Bpe:
         return chunk[1:] if chunk[:1] == "\0" else chunk if chunk[:1] == "\n" else " " + chunk
 
     def clear(self) -> None:
-        self.table: dict[str, int] = {}
+        self.table = Numbered()
         self.pool, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode_lists(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:

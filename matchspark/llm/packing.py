@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from matchspark.llm.bpe import CHUNK_BYTES, Bpe, vocabulary
-from matchspark.llm.common import byte_slices, texts
+from matchspark.llm.common import SPACE, byte_slices, texts
 
 #: Fixed value: how the lower-case vocabulary splits words.
 LOWER_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -41,38 +41,41 @@ class WordBpe(Bpe):
     def whole(chunk: str) -> str:
         return chunk
 
-    def by_library(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
-
-    def encode_chunks(self, chunks: list[str]) -> list[np.ndarray]:
-        """Latin-1 words go through the merge trees; other words, and texts passed whole, through the library."""
-        words: list[bytes] = []
-        plan: list[int] = []
-        for chunk in chunks:
-            if chunk[:1] == "\0" or not (chunk.isascii() or max(chunk) <= "\xff"):
-                plan.append(-1)
-            elif chunk.isalpha():
-                words.append(chunk.lower().encode())
-                plan.append(1)
-            else:
-                found = LOWER_WORDS.findall(chunk.lower())
-                words.extend(w.encode() for w in found)
-                plan.append(len(found))
-        flat, ends = self.encode_words(words) if words else (np.zeros(0, np.int32), np.zeros(1, np.int64))
-        out, w = [], 0
-        for chunk, n in zip(chunks, plan):
-            if n < 0:
-                out.append(self.by_library(chunk[1:] if chunk[:1] == "\0" else chunk))
-            else:
-                out.append(flat[ends[w]:ends[w + n]])
-                w += n
-        return out
-
-
-def split_words(text: str) -> list[str]:
-    """White-space separated words; a text with special tokens or with separators that only Python splits at stays whole."""
+    def words(self, chunk: str) -> tuple | list[str]:
+        chunk = chunk.lower()
+        return (chunk,) if chunk.isalpha() else LOWER_WORDS.findall(chunk)
+
+    def odd(self, chunk: str) -> bool:
+        """Texts passed whole and words beyond Latin-1 go through the library."""
+        return not chunk.isascii() and max(chunk) > "\xff" or chunk[:1] == "\0"
+
+    def encode_odd(self, chunk: str) -> np.ndarray:
+        return np.array(self.library.encode(chunk.lstrip("\0"), add_special_tokens=False).ids, np.int32)
+
+
+def simple_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Rows of Latin-1 text whose points and commas before white space all follow a letter or digit."""
+    letter = (data >= 48) & (data <= 57) | (data >= 65) & (data <= 90) | (data >= 97) & (data <= 122)
+    letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    odd = data >= 0xC4
+    odd[1:-1] |= ((data[1:-1] == 44) | (data[1:-1] == 46)) & SPACE[data[2:]] & ~letter[:-2]
+    odd[:1] |= (data[:1] == 44) | (data[:1] == 46)
+    out = np.ones(len(offsets) - 1, bool)
+    out[np.searchsorted(offsets, np.flatnonzero(odd), "right") - 1] = False
+    begin = offsets[:-1][offsets[1:] > offsets[:-1]]
+    out[offsets[1:] > offsets[:-1]] &= (data[begin] != 44) & (data[begin] != 46)
+    return out
+
+
+def split_words(text: str, simple: bool) -> list[str]:
+    """White-space separated words, of simple texts in lower case and without the points and commas at their ends.
+
+    A text with special tokens or with separators that only Python splits at stays whole.
+    """
     if "<|" in text or "\0" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
         return ["\0" + text]
+    if simple:
+        text = text.lower().replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
     return text.split()
 
 
@@ -184,9 +187,10 @@ def pack(df: DataFrame, path: str, window: int = 2048, end_id: int = 1, with_ids
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
         for batch in batches:
-            for lo, hi, _, _ in byte_slices(batch.column(1), CHUNK_BYTES):
+            for lo, hi, data, offsets in byte_slices(batch.column(1), CHUNK_BYTES):
                 docs = batch.column(0).slice(lo, hi - lo).to_pylist()
-                flat, at = bpe.encode_lists([split_words(t or "") for t in batch.column(1).slice(lo, hi - lo).to_pylist()])
+                simple = simple_rows(data, offsets).tolist()
+                flat, at = bpe.encode_lists([split_words(t or "", s) for t, s in zip(batch.column(1).slice(lo, hi - lo).to_pylist(), simple)])
                 for doc, a, b in zip(docs, at, at[1:]):
                     ids = np.append(flat[a:b], np.int32(end_id))
                     whole = len(ids) - len(ids) % window

@@ -13,6 +13,7 @@ from matchspark.llm.exact_dedup import exact_dedup
 from matchspark.llm.fingerprints import fingerprints
 from matchspark.llm.language_id import language_id
 from matchspark.llm.lm_score import lm_score
+from matchspark.llm.near_dedup import near_components
 from matchspark.llm.packing import pack
 from matchspark.llm.suffix_dedup import suffix_dedup
 from matchspark.llm.url_filter import url_filter
@@ -99,3 +100,8 @@ def op7_lm_score(documents: DataFrame) -> DataFrame:
 @query("op6_suffix_dedup", "documents")
 def op6_suffix_dedup(documents: DataFrame) -> DataFrame:
     return suffix_dedup(documents)
+
+
+@query("op10_near_dedup", "documents")
+def op10_near_dedup(documents: DataFrame) -> DataFrame:
+    return near_components(documents, width=2, percent=80)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from matchspark.llm.bpe import bpe_digests
 from matchspark.llm.exact_dedup import exact_dedup
 from matchspark.llm.fingerprints import fingerprints
+from matchspark.llm.html_text import html_text
 from matchspark.llm.language_id import language_id
 from matchspark.llm.lm_score import lm_score
 from matchspark.llm.near_dedup import near_components
@@ -105,3 +106,8 @@ def op6_suffix_dedup(documents: DataFrame) -> DataFrame:
 @query("op10_near_dedup", "documents")
 def op10_near_dedup(documents: DataFrame) -> DataFrame:
     return near_components(documents, width=2, percent=80)
+
+
+@query("op5_html_text", "pages")
+def op5_html_text(pages: DataFrame) -> DataFrame:
+    return html_text(pages)

@@ -1,13 +1,97 @@
-"""A corpus pipeline: language ID, exact dedup, near-dedup, suffix-array dedup, packing."""
+"""A corpus pipeline: language ID, exact dedup, near-dedup, removal of repeated passages, packing.
+
+Every stage takes all documents that its predecessor kept. The first four return the columns of documents.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from matchspark.llm.common import ascii_lower, row_key, sized, texts
+from matchspark.llm.exact_dedup import exact_dedup
+from matchspark.llm.language_id import held_out, predict, train
+from matchspark.llm.near_dedup import near_components
+from matchspark.llm.packing import pack
+from matchspark.llm.queries import ship
+from matchspark.llm.suffix_dedup import cut_text, repeated_spans
+from matchspark.session import cut_lineage
+
+#: Calibrated probability below which a document's language counts as unknown.
+MIN_SCORE = 0.5
+
+
+def empty_text() -> Column:
+    return F.coalesce("text", F.lit(""))
+
+
+def without(docs: DataFrame, dropped: DataFrame, key: Column) -> DataFrame:
+    """Rows of ``docs`` whose (doc_id, key) is not in ``dropped`` (doc_id, key)."""
+    gone = cut_lineage(dropped.select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")))
+    gone = sized(gone, gone.count(), 32)
+    return docs.join(gone, (key == F.col("gone_key")) & F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised."""
+    ship(spark)
+    known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
+    model = train(known.select("doc_id", empty_text().alias("text"), "lang"))
+    found = predict(docs.withColumn("_text", empty_text()), model)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(docs.columns)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    ship(spark)
+    found = cut_lineage(exact_dedup(docs).select("doc_id", "keep_id", "kept", F.col("fp").alias("key")))
+    fp = F.xxhash64(ascii_lower(empty_text()))
+    stays = without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))), fp)
+    twice = cut_lineage(found.where(~F.col("kept") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "key").distinct())
+    n = twice.count()
+    if not n:
+        return stays
+    again = sized(twice.select(F.col("doc_id").alias("twice_id"), F.col("key").alias("twice_key")), n, 32)
+    repeated = stays.join(again, (fp == F.col("twice_key")) & F.col("doc_id").eqNullSafe(F.col("twice_id")), "left_semi").withColumn("_fp", fp).dropDuplicates(["doc_id", "_fp"]).drop("_fp")
+    return without(stays, twice, fp).unionByName(repeated)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    ship(spark)
+    found = cut_lineage(near_components(docs, width=5, percent=80).select("doc_id", "n_shingles", "component_id", "kept", F.col("rk").alias("key")))
+    first = F.row_number().over(Window.partitionBy("component_id").orderBy("key"))
+    extra = found.where(F.col("kept") & (F.col("n_shingles") > 0)).withColumn("first", first).where("first > 1")
+    return without(docs, found.where(~F.col("kept")).select("doc_id", "key").union(extra.select("doc_id", "key")), F.xxhash64(F.col("doc_id").cast("long"), empty_text()))
+
+
+def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that repeat; ``n_chars`` follows."""
+    ship(spark)
+    spans = cut_lineage(repeated_spans(row_key(texts(docs))).select(F.col("doc_id").alias("span_id"), F.col("rk").alias("span_key"), "spans"))
+    weight = spans.agg(F.sum(F.size("spans") + 2).alias("n")).first()["n"] or 0
+    key = F.xxhash64(F.col("doc_id").cast("long"), empty_text())
+    joined = docs.join(sized(spans, weight, 24), (key == F.col("span_key")) & F.col("doc_id").eqNullSafe(F.col("span_id")), "left")
+    text = joined.withColumn("text", cut_text("text", "spans"))
+    return text.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents, packed into sequences."""
+    ship(spark)
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
-from matchspark.llm import exact_dedup
 
-STAGES: list = []
+STAGES = [
+    ("language_id", language_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage), ("suffix_dedup", passage_stage), ("packing", packing_stage),
+]
+#: Hash sketches, fitted weights and tokenizers are beyond SQL; see tests/llm for the brute-force version.
+ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -114,7 +114,7 @@ def repeated_fingerprints(prints: DataFrame, rows: int) -> DataFrame:
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256 and fp (the fingerprint of the lower-cased text).
 
     Texts are equal when identical after lower-casing A-Z. Of equal texts the row with the largest id stays; a row
     written more than once counts each time and one of it stays. A null text is empty, and empty texts equal each
@@ -133,7 +133,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     own = F.col("group_size").isNull()
     out = base.join(sized(groups, n, 120), ["fp", "text_sha256"], "left").select(
         "doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.when(own, F.lit(1)).otherwise(F.col("group_size")).cast("long").alias("group_size"), "text_sha256",
+        F.when(own, F.lit(1)).otherwise(F.col("group_size")).cast("long").alias("group_size"), "text_sha256", "fp",
     )
     copy = F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy(F.lit(0)))
-    return out.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (copy == 1)).alias("kept"), "text_sha256")
+    return out.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (copy == 1)).alias("kept"), "text_sha256", "fp")

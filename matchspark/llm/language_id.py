@@ -181,8 +181,10 @@ def train(docs: DataFrame) -> Model:
     model = Model(languages, np.log((1 + n) / (1 + df)) + 1)
     if not languages:
         return model
-    keys = row_key(docs).select("lang", "doc_id", "rk").dropDuplicates(["lang", "rk"])
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("rk"), "rk"))
+    # about twice SAMPLE keys of each language by their hash, so that ranking them is small work
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1 << 20, (2 * SAMPLE << 20) // r["count"] + 64)) for r in counts], "lang string, share long")
+    keys = row_key(docs).select("lang", "rk").join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("rk"), F.lit(1 << 20)) < F.col("share")).dropDuplicates(["lang", "rk"])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("rk"), F.lit(1 << 20)), "rk"))
     chosen = keys.withColumn("place", place).where(F.col("place") <= SAMPLE).select("lang", "rk")
     sample = row_key(docs).join(F.broadcast(chosen), ["lang", "rk"], "left_semi")  # at most SAMPLE * MAX_LANGUAGES keys
     sample = sample.dropDuplicates(["lang", "rk"])
@@ -203,14 +205,14 @@ def train(docs: DataFrame) -> Model:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (any columns, with text) plus lang_pred and score."""
+    """The columns of ``docs`` except ``_text``, which is read, plus lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2**16 features by the languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            text = batch.column(batch.schema.get_field_index("text"))
-            rest = [i for i, name in enumerate(batch.schema.names) if name != "text"]
+            text = batch.column(batch.schema.get_field_index("_text"))
+            rest = [i for i, name in enumerate(batch.schema.names) if name != "_text"]
             for lo, hi, data, offsets in byte_slices(text, PART):
                 row, feature, value, letters = own.vectors(data, offsets)
                 if own.languages:
@@ -224,7 +226,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 columns = [batch.column(i).slice(lo, hi - lo) for i in rest]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(name, pa.string()), pa.array(score)], [*[batch.schema.names[i] for i in rest], "lang_pred", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "_text")
     return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
@@ -244,4 +246,4 @@ def language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     docs = docs.withColumn("held_out", held_out(F.col("doc_id")))
     model = train(docs.where(~F.col("held_out") & F.col("lang").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang"))
-    return predict(docs.select("doc_id", "held_out", F.coalesce("text", F.lit("")).alias("text")), model)
+    return predict(docs.select("doc_id", "held_out", F.coalesce("text", F.lit("")).alias("_text")), model)

@@ -229,7 +229,7 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def near_components(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+    """One row per input row: doc_id, n_shingles, component_id, kept and rk (see ``row_key``).
 
     Words are separated by ASCII white space, A-Z lower-cased; shingles have ``width`` words, or all words of a shorter
     text. Documents are linked when 100 * intersection >= ``percent`` * union of their sets; the component's id is its
@@ -266,9 +266,9 @@ def near_components(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     named = labelled(classes, labels, "rep", "label")
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     named = named.join(least, "label").select("s1", "s2", "component_id")
-    out = table.select("doc_id", "n", "s1", "s2").join(sized(named, total, 40), ["s1", "s2"], "left")
+    out = table.select("doc_id", "rk", "n", "s1", "s2").join(sized(named, total, 40), ["s1", "s2"], "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "rk")
 
 
 def crossing(full: DataFrame, labels: DataFrame, done: DataFrame, percent: int) -> DataFrame:

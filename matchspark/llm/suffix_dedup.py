@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from matchspark.llm.common import U64, byte_slices, eight_bytes, mix, row_key, signed, sized, span_hashes, texts
 from matchspark.session import cut_lineage
@@ -239,10 +241,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return every.groupBy("doc_id", "rk").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
 
-def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
+def merged(spans) -> list[tuple[int, int]]:
     """Spans in order, joined where they touch or overlap."""
     out: list[tuple[int, int]] = []
-    for begin, end in sorted({(s["begin"], s["end"]) for s in spans or []}):
+    for begin, end in sorted({(s["begin"], s["end"]) for s in ([] if spans is None else spans)}):
         if out and begin <= out[-1][1]:
             out[-1] = (out[-1][0], max(end, out[-1][1]))
         else:
@@ -255,6 +257,12 @@ def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
 
+@pandas_udf(StringType())
+def cut_text(text: pd.Series, spans: pd.Series) -> pd.Series:
+    """Texts without their spans; a character of which a part was cut goes too. Texts without spans stay as they are."""
+    return pd.Series([t if t is None or s is None else without(t.encode(), merged(s)).decode("utf-8", "ignore") for t, s in zip(text, spans)])
+
+
 def suffix_dedup(df: DataFrame, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``, the remaining bytes, if asked for).
 

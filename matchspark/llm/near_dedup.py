@@ -4,8 +4,8 @@ A document is the set of its word shingles. Its sketch holds, for each register,
 values of the shingles, on a logarithmic scale of base B; registers of a union are the maxima, so sketches merge. Equal
 sets are one class from the start. Classes that agree in a band of registers share a bucket. Every bucket names a leader;
 members are compared with it first by the likelihood of both sketches, then on full sets. Buckets that still hold more
-than one component compare the members outside their largest component with all the others, so nothing depends on the
-choice of leaders and no group is ever paired with itself.
+than one component compare the members outside their largest component with all the others, in blocks, so nothing depends
+on the choice of leaders and no pairs of a group are ever listed.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -30,6 +31,8 @@ REACH = 6.0
 #: Six standard deviations of the estimate at 0.8; pairs estimated lower are not verified.
 MARGIN = 0.15
 PART = 1 << 20
+#: Sets compared at a time on either side, and distinct items at a time.
+BLOCK, COLUMNS = 512, 4096
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -257,12 +260,9 @@ def near_components(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     if rest.limit(1).count():
         edges = edges.union(verified(rest, sets, percent))
         labels = components(edges)
-    open_pairs = cut_lineage(crossing(full, labels, pairs, percent))
-    if open_pairs.limit(1).count():
-        likely = estimated(open_pairs, reps, percent)
-        nodes = cut_lineage(likely.select(F.col("a").alias("rep")).union(likely.select("b")).distinct())
-        edges = edges.union(verified(likely, full_sets(docs, reps, nodes, nodes.count(), width), percent))
-        labels = components(edges)
+    more = crossing_links(full, labels, percent, lambda nodes: full_sets(docs, reps, nodes, nodes.count(), width))
+    if more.limit(1).count():
+        labels = components(edges.union(more))
     named = labelled(classes, labels, "rep", "label")
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     named = named.join(least, "label").select("s1", "s2", "component_id")
@@ -271,14 +271,63 @@ def near_components(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "rk")
 
 
-def crossing(full: DataFrame, labels: DataFrame, done: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket in different components that were not compared yet, each with an end outside the largest component."""
-    rows = labelled(full.select("key", "rep", "n", "leader"), labels, "rep", "label")
+def block_links(group: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links between the outsiders (side 1) and the members (side 0) of one block, as few as connect the same components."""
+    a, b = group[group["side"] == 1], group[group["side"] == 0]
+    sets = [[np.frombuffer(x, U64) for x in part["items"]] for part in (a, b)]
+    size = [np.array([len(x) for x in part], np.int64) for part in sets]
+    flat = [np.concatenate(part) if part else np.zeros(0, U64) for part in sets]
+    shared = np.intersect1d(*flat)
+    owner, code = [], []
+    for items, n in zip(flat, size):
+        at = np.searchsorted(shared, items)
+        on = shared[np.minimum(at, max(0, len(shared) - 1))] == items if len(shared) else np.zeros(len(items), bool)
+        order = np.argsort(at[on], kind="stable")
+        owner.append(np.repeat(np.arange(len(n)), n)[on][order])
+        code.append(at[on][order])
+    common = np.zeros((len(a), len(b)), np.float32)
+    for low in range(0, len(shared), COLUMNS):
+        wide = []
+        for who, what, n in zip(owner, code, size):
+            i, j = np.searchsorted(what, [low, low + COLUMNS])
+            wide.append(np.zeros((len(n), COLUMNS), np.float32))
+            wide[-1][who[i:j], what[i:j] - low] = 1
+        common += wide[0] @ wide[1].T
+    la, lb = a["label"].to_numpy(np.int64), b["label"].to_numpy(np.int64)
+    union = size[0][:, None] + size[1][None, :] - common
+    x, y = np.nonzero((100 * common >= percent * union) & (la[:, None] != lb[None, :]))
+    pair = np.unique(np.stack([np.minimum(la[x], lb[y]), np.maximum(la[x], lb[y])]), axis=1, return_index=True)[1] if len(x) else np.zeros(0, np.int64)
+    root: dict[int, int] = {}
+
+    def find(k: int) -> int:
+        while root.get(k, k) != k:
+            k = root[k]
+        return k
+
+    kept = []
+    for k in pair:
+        p, q = find(int(la[x[k]])), find(int(lb[y[k]]))
+        if p != q:
+            root[p] = q
+            kept.append(k)
+    return pd.DataFrame({"a": a["rep"].to_numpy(np.int64)[x[kept]], "b": b["rep"].to_numpy(np.int64)[y[kept]]})
+
+
+def crossing_links(full: DataFrame, labels: DataFrame, percent: int, sets_of) -> DataFrame:
+    """Links between different components that share a bucket, as few as connect them.
+
+    The buckets whose largest component is the same go together: the classes outside it are compared on full sets with
+    all classes of these buckets, in blocks of about BLOCK by BLOCK, so a task holds two blocks whatever the group's size.
+    """
+    rows = labelled(full.select("key", "rep"), labels, "rep", "label")
     parts = rows.groupBy("key", "label").agg(F.count("*").alias("members"))
     mixed = parts.groupBy("key").agg(F.max_by("label", "members").alias("main"), F.count("*").alias("parts"), F.sum("members").alias("members")).where("parts > 1 and members > 2")
-    rows = cut_lineage(rows.join(mixed.select("key", "main"), "key"))
-    outside = rows.where("label <> main").select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    every = rows.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), "main")
-    found = outside.join(every, "key").where((F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b")))).where(near_sizes("na", "nb", percent))
-    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return found.join(done.select("a", "b"), ["a", "b"], "left_anti")
+    flat = cut_lineage(rows.join(mixed.select("key", "main"), "key").select("main", "rep", "label").distinct())
+    sizes = flat.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.ceil(F.count(F.when(F.col("label") != F.col("main"), 1)) / BLOCK).alias("outer"))
+    flat = flat.join(sizes, "main")
+    inner, outer = F.pmod(F.xxhash64("rep"), "blocks"), F.pmod(F.xxhash64("rep", F.lit(1)), "outer")
+    members = flat.select("main", "rep", "label", F.lit(0).alias("side"), inner.alias("block"), F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("by"))
+    outside = flat.where("label <> main").select("main", "rep", "label", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), outer.alias("by"))
+    sets = sets_of(flat.select("rep").distinct())
+    dealt = members.unionByName(outside).join(sets, "rep").select("main", "block", "by", "side", "rep", "label", "items")
+    return cut_lineage(dealt.groupBy("main", "block", "by").applyInPandas(lambda g: block_links(g, percent), "a long, b long"))

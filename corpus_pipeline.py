@@ -70,9 +70,8 @@ def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Texts without passages that repeat; ``n_chars`` follows."""
     ship(spark)
     spans = cut_lineage(repeated_spans(row_key(texts(docs))).select(F.col("doc_id").alias("span_id"), F.col("rk").alias("span_key"), "spans"))
-    weight = spans.agg(F.sum(F.size("spans") + 2).alias("n")).first()["n"] or 0
     key = F.xxhash64(F.col("doc_id").cast("long"), empty_text())
-    joined = docs.join(sized(spans, weight, 24), (key == F.col("span_key")) & F.col("doc_id").eqNullSafe(F.col("span_id")), "left")
+    joined = docs.join(spans, (key == F.col("span_key")) & F.col("doc_id").eqNullSafe(F.col("span_id")), "left")
     text = joined.withColumn("text", cut_text("text", "spans"))
     return text.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 

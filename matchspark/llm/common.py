@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,24 @@ def same_row(a: DataFrame, b: DataFrame) -> Column:
     return (a["rk"] == b["rk"]) & a["doc_id"].eqNullSafe(b["doc_id"])
 
 
+def packed_texts(df: DataFrame) -> DataFrame:
+    """``df`` (doc_id, text, rk) with the text compressed into ``packed``, to be shuffled; see ``unpack_text``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                packed = pa.array([pack(t.encode()) for t in part.column(1).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), packed], ["doc_id", "rk", "packed"])
+
+    return df.select("doc_id", "text", "rk").mapInArrow(run, "doc_id long, rk long, packed binary")
+
+
+def unpack_text(packed: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(packed)
+
+
 def byte_slices(column: pa.Array, budget: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Consecutive rows as ``(first row, end row, bytes, offsets)``, about ``budget`` bytes each and one row at least.
 

@@ -6,8 +6,9 @@ of one anchor that follow each other form a segment. Segments that are equal as
 anchor stands in several different segments, one of each goes to a suffix array: suffixes smaller than their successors
 are sorted directly, the rest is induced by bucket scans, and neighbours with a common prefix of LENGTH mark repeats.
 
-Suffix arrays are built over ranges of anchors of bounded size. An anchor in very many different segments (a line that
-half of all documents hold) would not fit one; its strings are counted by their hashes in a plain grouping instead.
+Suffix arrays are built over groups of anchors of bounded size. The segments of an anchor that stands in very many (a
+line that half of all documents hold) are dealt out over several arrays; what each array found, and the strings that are
+single in it, are then compared across arrays by their hashes.
 """
 
 from __future__ import annotations
@@ -24,15 +25,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from matchspark.llm.common import U64, byte_slices, eight_bytes, mix, row_key, signed, sized, span_hashes, texts
+from matchspark.llm.common import U64, byte_slices, eight_bytes, mix, packed_texts, row_key, signed, span_hashes, texts, unpack_text
 from matchspark.session import cut_lineage
 
 LENGTH, GRAM = 200, 32
 SPREAD = LENGTH - GRAM + 1
 MULTIPLIERS = (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
 PART = 1 << 20
-#: Different segments of an anchor up to which it is sorted, and bytes per suffix array on average.
-HOT_SEGMENTS, ARRAY_BYTES = 512, 512 << 10
+#: Different segments of an anchor up to which one array takes them all, and bytes per suffix array on average.
+HOT_SEGMENTS, ARRAY_BYTES = 1024, 512 << 10
+#: Strings compared across arrays at a time, on average.
+BUCKET_STRINGS = 500_000
 #: A byte that UTF-8 never holds.
 SEPARATOR = 0xFF
 
@@ -170,48 +173,77 @@ def segment_table(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "rk").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-PIECES = pa.schema([("array", pa.int64()), ("doc", pa.int64()), ("loc", pa.int64()), ("n", pa.int64()), ("raw", pa.binary()), ("h1", pa.int64()), ("h2", pa.int64())])
+PIECES = pa.schema([("array", pa.int64()), ("doc", pa.int64()), ("loc", pa.int64()), ("n", pa.int64()), ("hot", pa.bool_()), ("raw", pa.binary())])
 
 
 def member_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows ``text, doc, need``: the bytes of each needed segment, or (array null) the hashes of its strings where it is hot."""
+    """From rows ``packed, doc, need``: the bytes of each needed segment."""
     for batch in batches:
-        cold: list[tuple] = []
+        out: list[tuple] = []
         size = 0
-        for text, doc, need in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            raw = text.encode()
-            hot = []
+        for packed, doc, need in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            raw = unpack_text(packed)
             for m in need:
-                if m["hot"]:
-                    hot.append((m["loc"] >> 8, m["loc"] & 255, m["n"]))
-                else:
-                    begin = m["loc"] >> 8
-                    cold.append((m["array"], doc, m["loc"], m["n"], raw[begin:begin + (m["loc"] & 255) - 1 + LENGTH], None, None))
-                    size += len(cold[-1][4])
-            if hot:
-                begin, count, n = (np.array(x, np.int64) for x in zip(*hot))
-                start = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
-                data = np.frombuffer(raw, np.uint8)
-                h1, h2 = span_hashes(data, start, start + LENGTH), span_hashes(np.ascontiguousarray(data[::-1]), len(data) - start - LENGTH, len(data) - start)
-                none = pa.nulls(len(start), pa.int64())
-                columns = [none, pa.array(np.full(len(start), doc)), pa.array(start << 8 | 1), pa.array(np.repeat(n, count)), pa.nulls(len(start), pa.binary()), pa.array(signed(h1)), pa.array(signed(h2))]
-                yield pa.RecordBatch.from_arrays(columns, schema=PIECES)
+                begin = m["loc"] >> 8
+                out.append((m["array"], doc, m["loc"], m["n"], m["hot"], raw[begin:begin + (m["loc"] & 255) - 1 + LENGTH]))
+                size += len(out[-1][5])
             if size > 4 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cold), PIECES.types)], schema=PIECES)
-                cold, size = [], 0
-        if cold:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cold), PIECES.types)], schema=PIECES)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), PIECES.types)], schema=PIECES)
+                out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), PIECES.types)], schema=PIECES)
 
 
-def sorted_repeats(group: pd.DataFrame) -> pd.DataFrame:
-    """Repeated strings of the segments of one suffix array, for those that occur once as a whole: doc, begin, end."""
-    part, at = repeated_starts(list(group["raw"]))
-    own = (group["n"].to_numpy() == 1)[part]
-    part, at = part[own], at[own]
-    first = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (at[1:] != at[:-1] + 1))) if len(part) else np.zeros(0, np.int64)
-    last = np.append(first[1:], len(part)) - 1 if len(part) else first
-    base = (group["loc"].to_numpy(np.int64) >> 8)[part[first]]
-    return pd.DataFrame({"doc": group["doc"].to_numpy(np.int64)[part[first]], "begin": base + at[first], "end": base + at[last] + LENGTH})
+FOUND = "doc long, begin long, end long, bucket long, strings binary"
+STRING = np.dtype([("h1", "<i8"), ("h2", "<i8"), ("n", "<i8"), ("doc", "<i8"), ("begin", "<i8")])
+
+
+def sorted_repeats(group: pd.DataFrame, buckets: int) -> pd.DataFrame:
+    """Repeated strings of the segments of one suffix array, as far as they occur once as a whole: doc, begin, end.
+
+    Of hot anchors also every string by its hashes, packed by bucket: those found once, and one of each of the others with n = 2.
+    """
+    raw = list(group["raw"])
+    part, at = repeated_starts(raw)
+    single = group["n"].to_numpy() == 1
+    base, doc = group["loc"].to_numpy(np.int64) >> 8, group["doc"].to_numpy(np.int64)
+    p, x = part[single[part]], at[single[part]]
+    first = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (x[1:] != x[:-1] + 1))) if len(p) else np.zeros(0, np.int64)
+    last = np.append(first[1:], len(p)) - 1 if len(p) else first
+    spans = pd.DataFrame({"doc": doc[p[first]], "begin": base[p[first]] + x[first], "end": base[p[first]] + x[last] + LENGTH, "bucket": None, "strings": None})
+    hot = group["hot"].to_numpy(bool)
+    if not hot.any():
+        return spans
+    size = np.array([len(r) for r in raw], np.int64)
+    begin = np.cumsum(size) - size
+    count = np.where(hot, size - LENGTH + 1, 0)
+    owner = np.repeat(np.arange(len(raw)), count)
+    offset = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    start = begin[owner] + offset
+    repeated = np.zeros(len(data) + 1, bool)
+    repeated[begin[part] + at] = True
+    once = single[owner] & ~repeated[start]
+    strings = np.zeros(len(start), STRING)
+    strings["h1"] = signed(span_hashes(data, start, start + LENGTH))
+    strings["h2"] = signed(span_hashes(np.ascontiguousarray(data[::-1]), len(data) - start - LENGTH, len(data) - start))
+    strings["n"], strings["doc"], strings["begin"] = np.where(once, 1, 2), doc[owner], base[owner] + offset
+    often = strings[~once]
+    strings = np.concatenate([strings[once], often[np.unique(often[["h1", "h2"]], return_index=True)[1]]])
+    bucket = strings["h1"] % buckets
+    order = np.argsort(bucket, kind="stable")
+    strings, bucket = strings[order], bucket[order]
+    cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+    packed = [x.tobytes() for x in np.split(strings, cut[1:])] if len(bucket) else []
+    return pd.concat([spans, pd.DataFrame({"doc": None, "begin": None, "end": None, "bucket": bucket[cut], "strings": packed})])
+
+
+def across_arrays(group: pd.DataFrame) -> pd.DataFrame:
+    """Strings of one bucket that their own array holds once and another array holds too."""
+    strings = np.concatenate([np.frombuffer(x, STRING) for x in group["strings"]])
+    _, at = np.unique(strings[["h1", "h2"]], return_inverse=True)
+    own = strings[(strings["n"] == 1) & (np.bincount(at, strings["n"])[at] > 1)]
+    return pd.DataFrame({"doc": own["doc"], "begin": own["begin"], "end": own["begin"] + LENGTH})
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -220,25 +252,27 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     own = table.where(F.col("anchor").isNull()).select("doc", "doc_id", "rk")
     found = table.where(F.col("anchor").isNotNull()).select("doc", "loc", "anchor", "segment")
     anchors = cut_lineage(found.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor"))
-    found = cut_lineage(found.join(sized(anchors, anchors.count(), 16), "anchor"))
+    found = cut_lineage(found.join(anchors, "anchor"))
     pairs = cut_lineage(found.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min("doc").alias("doc"), F.min_by("loc", "doc").alias("loc")))
     whole = pairs.where("n > 1").select("anchor", "segment")
-    spans = found.join(sized(whole, whole.count(), 32), ["anchor", "segment"], "left_semi").select("doc", F.shiftright("loc", 8).alias("begin"), (F.shiftright("loc", 8) + F.col("loc").bitwiseAND(255) - 1 + LENGTH).alias("end"))
+    begin = F.shiftright("loc", 8)
+    spans = found.join(whole, ["anchor", "segment"], "left_semi").select("doc", begin.alias("begin"), (begin + F.col("loc").bitwiseAND(255) - 1 + LENGTH).alias("end"))
     kinds = pairs.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    members = cut_lineage(pairs.join(sized(kinds, kinds.count(), 24), "anchor").withColumn("hot", F.col("kinds") > HOT_SEGMENTS).select("anchor", "doc", "loc", "n", "hot"))
-    rows, total = own.count(), members.count()
-    arrays = max(1, total * 300 // ARRAY_BYTES)
-    place = F.pmod(F.xxhash64("anchor"), F.lit(arrays)).alias("array")
-    need = members.groupBy("doc").agg(F.collect_list(F.struct("loc", "n", "hot", place)).alias("need"))  # bounded by a document's own segments
-    need = sized(need.join(sized(own, rows, 40), "doc").select("doc", F.col("doc_id").alias("id"), F.col("rk").alias("key"), "need"), total, 48)
-    joined = docs.join(need, (F.col("rk") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "doc", "need")
-    pieces = cut_lineage(joined.mapInArrow(member_pieces, "array long, doc long, loc long, n long, raw binary, h1 long, h2 long"))
-    by_array = pieces.where(F.col("array").isNotNull()).select("array", "doc", "loc", "n", "raw").groupBy("array").applyInPandas(sorted_repeats, "doc long, begin long, end long")
-    hot = pieces.where(F.col("array").isNull()).select("doc", F.shiftright("loc", 8).alias("begin"), "n", "h1", "h2")
-    often = hot.groupBy("h1", "h2").agg(F.sum("n").alias("total")).where("total > 1").select("h1", "h2")
-    by_hash = hot.where("n = 1").join(often, ["h1", "h2"], "left_semi").select("doc", "begin", (F.col("begin") + LENGTH).alias("end"))
-    every = spans.unionByName(by_array).unionByName(by_hash).join(sized(own, rows, 40), "doc")
-    return every.groupBy("doc_id", "rk").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    members = cut_lineage(pairs.join(kinds, "anchor").select("anchor", "doc", "loc", "n", "kinds"))
+    arrays = max(1, members.count() * 300 // ARRAY_BYTES)
+    share = F.pmod(F.xxhash64("doc", "loc"), F.ceil(F.col("kinds") / HOT_SEGMENTS))  # 0 for all segments of most anchors
+    place = F.pmod(F.xxhash64("anchor", share), F.lit(arrays)).alias("array")
+    need = members.groupBy("doc").agg(F.collect_list(F.struct("loc", "n", (F.col("kinds") > HOT_SEGMENTS).alias("hot"), place)).alias("need"))  # a document's own segments
+    need = need.join(own, "doc").select("doc", F.col("doc_id").alias("id"), F.col("rk").alias("key"), "need")
+    joined = packed_texts(docs).join(need, (F.col("rk") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("packed", "doc", "need")
+    pieces = joined.mapInArrow(member_pieces, "array long, doc long, loc long, n long, hot boolean, raw binary")
+    buckets = 16 + members.where(F.col("kinds") > HOT_SEGMENTS).count() * 100 // BUCKET_STRINGS
+    result = cut_lineage(pieces.groupBy("array").applyInPandas(lambda g: sorted_repeats(g, buckets), FOUND))
+    across = result.where(F.col("strings").isNotNull()).select("bucket", "strings").groupBy("bucket").applyInPandas(across_arrays, "doc long, begin long, end long")
+    every = spans.unionByName(result.where(F.col("strings").isNull()).select("doc", "begin", "end")).unionByName(across)
+    joint = F.array_sort(F.collect_list(F.struct("begin", "end")))
+    lists = every.groupBy("doc").agg(joint.alias("spans")).join(own, "doc")
+    return lists.groupBy("doc_id", "rk").agg(F.first("spans").alias("spans"))  # rows written twice have equal spans
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -272,8 +306,7 @@ def suffix_dedup(df: DataFrame, with_text: bool = False, id_col: str = "doc_id",
     """
     docs = row_key(texts(df, id_col, text_col))
     spans = cut_lineage(repeated_spans(docs).withColumnsRenamed({"doc_id": "id", "rk": "key"}))
-    weight = spans.agg(F.sum(F.size("spans") + 2).alias("n")).first()["n"] or 0
-    joined = docs.join(sized(spans, weight, 24), (F.col("rk") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")), "left").select("doc_id", "text", "spans")
+    joined = packed_texts(docs).join(spans, (F.col("rk") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")), "left").select("doc_id", "packed", "spans")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][:6 if with_text else 5]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,8 +314,8 @@ def suffix_dedup(df: DataFrame, with_text: bool = False, id_col: str = "doc_id",
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 out = []
-                for doc, text, found in zip(*(c.to_pylist() for c in part.columns)):
-                    raw, own = text.encode(), merged(found)
+                for doc, packed, found in zip(*(c.to_pylist() for c in part.columns)):
+                    raw, own = unpack_text(packed), merged(found)
                     kept = without(raw, own)
                     out.append((doc, len(raw), len(raw) - len(kept), len(own), hashlib.sha256(kept).hexdigest(), kept)[:len(names)])
                 kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]

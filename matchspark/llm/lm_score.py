@@ -8,6 +8,7 @@ longer context alone, so all terms are fixed once the counts are known and whole
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from matchspark.session import cut_lineage
 #: Context length, bits per symbol (0: before the text, 1-256: bytes, 257: end), symbols.
 ORDER, BITS, SYMBOLS = 5, 9, 257
 #: Nodes of the trie's last level and words whose counts are broadcast; beyond them the rarest grams are pruned, and words are joined.
-MAX_GRAMS, MAX_WORDS = 1 << 21, 1 << 20
+MAX_GRAMS, MAX_WORDS = 1 << 20, 1 << 20
 GRAM, WORD, TEXT = 0, 1, 2
 PART = 1 << 20
 MASK = (1 << BITS) - 1
@@ -104,9 +105,10 @@ def most_frequent(counts: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray
         held, least = held + rows, -n
     if least is None:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), not sizes
-    rows = counts.where(F.col("n") >= least).select("key", "n").toPandas()
-    order = np.argsort(rows["key"].to_numpy(np.int64), kind="stable")
-    return rows["key"].to_numpy(np.int64)[order], rows["n"].to_numpy(np.int64)[order], held == sum(r for _, r in sizes)
+    rows = counts.where(F.col("n") >= least).select("key", "n").toArrow()
+    key, n = rows.column("key").to_numpy(), rows.column("n").to_numpy()
+    order = np.argsort(key, kind="stable")
+    return key[order], n[order], held == sum(r for _, r in sizes)
 
 
 class HashTable:
@@ -213,6 +215,21 @@ class Ppm:
         return out
 
 
+class Model:
+    """The trie and the table of frequent words of the counts in use, built once per worker."""
+
+    source = ""
+    built: tuple = ()
+
+    @classmethod
+    def of(cls, name: str, arrays) -> tuple[Ppm, HashTable, np.ndarray]:
+        if cls.source != name:
+            cls.built = ()
+            keys, n, heavy, heavy_n = arrays.value
+            cls.built, cls.source = (Ppm(keys, n), HashTable(heavy), np.log10(heavy_n + 1.0)), name
+        return cls.built
+
+
 def held_out(doc_id: Column) -> Column:
     """Documents whose crc32(doc_id as text) mod 7 is 2; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
@@ -236,11 +253,10 @@ def lm_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     distinct = (ends > 0) + (sums[WORD]["keys"] if WORD in sums else 0)
     heavy, heavy_n, _ = most_frequent(words, MAX_WORDS)
     keys, n, _ = most_frequent(counts.where(F.col("kind") == GRAM), MAX_GRAMS)
-    model = df.sparkSession.sparkContext.broadcast((Ppm(keys, n), HashTable(heavy), heavy_n))
+    arrays, name = df.sparkSession.sparkContext.broadcast((keys, n, heavy, heavy_n)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ppm, table, known_n = model.value
-        known_log = np.log10(known_n + 1.0)
+        ppm, table, known_log = Model.of(name, arrays)
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
             for lo, hi, data, offsets in byte_slices(batch.column(1), PART):

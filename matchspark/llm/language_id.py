@@ -93,7 +93,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         held = np.append(np.flatnonzero(total), -1)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(np.append(total[held[:-1]], n))], ["feature", "df"])
 
-    found = docs.select("text").mapInArrow(count, "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")).toPandas()
+    found = docs.select("text").mapInArrow(count, "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")).toArrow().to_pandas()
     out, n = np.zeros(1 << FEATURE_BITS), 0
     for feature, df in zip(found["feature"], found["df"]):
         if feature < 0:
@@ -197,7 +197,7 @@ def train(docs: DataFrame) -> Model:
                 lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (feature.astype(np.int32), value.astype(np.float32))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), *lists], ["lang", "rk", "feature", "value"])
 
-    rows = sample.select("lang", "text", "rk").mapInArrow(vectors, "lang string, rk long, feature array<int>, value array<float>").toPandas()
+    rows = sample.select("lang", "text", "rk").mapInArrow(vectors, "lang string, rk long, feature array<int>, value array<float>").toArrow().to_pandas()
     rows = rows[[len(x) > 0 for x in rows["feature"]]].sort_values("rk", ignore_index=True)
     place_of = {x: i for i, x in enumerate(languages)}
     model.fit([(np.asarray(f, np.int64), np.asarray(v, float)) for f, v in zip(rows["feature"], rows["value"])], rows["lang"].map(place_of).to_numpy(np.int64))

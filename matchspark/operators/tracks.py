@@ -23,9 +23,8 @@ def r5(c: Column | str) -> Column:
 
 
 def spread_out(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Hash rows for a Python grouped map at the full shuffle width, which AQE then leaves alone."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, *keys)
+    """Hash rows for a Python grouped map; the number of partitions is left to Spark."""
+    return rows.repartition(*keys)
 
 
 def by_time(keys=SCENE):
@@ -792,95 +791,106 @@ def greedy_ball(frames: DataFrame, balls: DataFrame) -> DataFrame:
 def hold_pan_path(rows: DataFrame, look_ms: int = 850, persist_ms: int = 280, hold_ms: int = 550, min_pan: float = 0.032, speed: float = 0.075) -> DataFrame:
     """Tripod camera: hold, and pan once the safe interval has been left persistently.
 
-    State runs through a pan in time, so each bounded scene is a grouped map.
+    A shot is a short list of holds and pans. For a hold, the samples ahead are cut into runs on one side of the camera;
+    the first run that lasts gives the pan, whose easing is computed for all its rows at once. Rows without bounds say
+    nothing. Each bounded scene is a grouped map.
     """
+    import functools
+
     import numpy as np
     import pandas as pd
 
-    def opening(t, lo, hi, target, cut, i):
-        a, b, got = 0.0, 1.0, []
-        for j in range(i, len(t)):
-            if j > i and (cut[j] or t[j] - t[i] > look_ms):
-                break
-            if hi[j] - lo[j] < 0.92 and max(a, lo[j]) <= min(b, hi[j]):
-                a, b = max(a, lo[j]), min(b, hi[j])
-                got.append(target[j])
-        return float(np.clip(sorted(got)[len(got) // 2], a, b)) if got else float(np.clip(target[i], 0, 1))
-
-    def leaving(t, lo, hi, cut, i, x):
-        side, since, n, dest = 0, None, 0, x
-        for j in range(i + 1, len(t)):
-            if cut[j] or t[j] - t[i] > look_ms:
-                return None
-            now = 1 if x < lo[j] else -1 if x > hi[j] else 0
-            if now == 0 or (side and now != side):
-                side, since, n, dest = 0, None, 0, x
+    def opening(t, lo, hi, target):
+        near = (t - t[0] <= look_ms) & (hi - lo < 0.92)
+        meet = lambda box, r: (*np.clip((lo[r], hi[r]), box[0], box[1]), box[2] + [target[r]]) if max(lo[r], box[0]) <= min(hi[r], box[1]) else box
+        low, high, seen = functools.reduce(meet, np.flatnonzero(near), (0.0, 1.0, []))
+        seen = np.sort(np.array([x for x in seen if np.isfinite(x)]))
+        return float(np.clip(seen[len(seen) // 2], low, high)) if len(seen) else float(np.clip(target[0], 0, 1))
+
+    def exit_after(t, lo, hi, i, x):
+        ahead = np.flatnonzero((np.arange(len(t)) > i) & (t - t[i] <= look_ms) & np.isfinite(lo) & np.isfinite(hi))
+        side = np.where(x < lo[ahead], 1, np.where(x > hi[ahead], -1, 0))
+        before = 0
+        for run in np.split(np.arange(len(ahead)), np.flatnonzero(np.diff(side)) + 1):
+            if not len(run) or side[run[0]] == 0:
+                before = 0
                 continue
-            side, since, n = now, t[j] if since is None else since, n + 1
-            dest = max(dest, lo[j]) if side > 0 else min(dest, hi[j])
-            if n >= 3 and t[j] - since >= persist_ms:
-                return dest
+            own = side[run[0]]
+            run = ahead[run[1:] if before == -own else run]  # the sample that changes sides only ends the run before
+            lasting = np.flatnonzero(t[run] - t[run[0]] >= persist_ms) if len(run) >= 3 else []
+            if len(lasting):
+                run = run[:max(3, lasting[0] + 1)]
+                return max(x, lo[run].max()) if own > 0 else min(x, hi[run].min())
+            before = own if len(run) else 0
         return None
 
+    def shot(t, lo, hi, target):
+        x, free, at = opening(t, lo, hi, target), t[0] + hold_ms, 0
+        out = np.full(len(t), x)
+        while at < len(t):
+            goals = ((i, exit_after(t, lo, hi, i, x)) for i in range(max(at, 1), len(t)) if t[i] >= free)
+            i, goal = next(((i, g) for i, g in goals if g is not None and abs(g - x) >= min_pan), (len(t), x))
+            out[at:i + 1] = x
+            if i == len(t):
+                break
+            stop = t[i] + float(np.clip(1500 * abs(goal - x) / speed, 800, 1800))
+            goal = float(np.clip(goal, 0, 1))
+            after = max(i + 1, int(np.searchsorted(t, stop)))
+            p = (t[i + 1:after] - t[i]) / max(1.0, stop - t[i])
+            out[i + 1:after] = x + (goal - x) * p * p * (3 - 2 * p)
+            x, free, at = goal, stop + hold_ms, after
+        return np.clip(out, 0, 1)
+
     def path(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t_ms")
         t, lo, hi, target = (pdf[c].to_numpy(float) for c in ("t_ms", "lo", "hi", "target_x"))
-        cut = pdf["cut"].to_numpy(bool)
-        out, x, pan, locked = np.zeros(len(t)), 0.5, None, -np.inf
-        for i in range(len(t)):
-            if i == 0 or cut[i]:
-                x, pan, locked = opening(t, lo, hi, target, cut, i), None, t[i] + hold_ms
-            else:
-                if pan and t[i] >= pan[1]:
-                    x, locked, pan = pan[3], pan[1] + hold_ms, None
-                elif pan:
-                    p = (t[i] - pan[0]) / max(1.0, pan[1] - pan[0])
-                    x = pan[2] + (pan[3] - pan[2]) * p * p * (3 - 2 * p)
-                if pan is None and t[i] >= locked:
-                    dest = leaving(t, lo, hi, cut, i, x)
-                    if dest is not None and abs(dest - x) >= min_pan:
-                        pan = (t[i], t[i] + float(np.clip(1500 * abs(dest - x) / speed, 800, 1800)), x, float(np.clip(dest, 0, 1)))
-            out[i] = np.clip(x, 0, 1)
-        return pdf[["match_id", "scene_id", "frame"]].assign(camera_x=out)
+        cuts = np.flatnonzero(pdf["cut"].to_numpy(bool))
+        shots = [x for x in np.split(np.arange(len(t)), cuts) if len(x)]
+        return pdf[["match_id", "scene_id", "frame"]].assign(camera_x=np.concatenate([shot(t[s], lo[s], hi[s], target[s]) for s in shots]))
 
     cols = rows.select(*SCENE, "frame", "t_ms", "cut", "lo", "hi", "target_x")
     return spread_out(cols, SCENE).groupBy(*SCENE).applyInPandas(path, "match_id long, scene_id long, frame long, camera_x double")
 
 
 def tracked_path(rows: DataFrame, speed: float = 0.32) -> DataFrame:
-    """Velocity-limited follow inside reachable bounds, then twelve bounded smoothing passes per shot (grouped map)."""
-    import numpy as np
-    import pandas as pd
+    """Velocity-limited follow inside reachable bounds, then twelve bounded smoothing passes.
 
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t_ms")
-        t, target, lo, hi = (pdf[c].to_numpy(float) for c in ("t_ms", "target_x", "lo", "hi"))
-        t = t / 1000
-        a, b = lo.copy(), hi.copy()
-        for i in range(len(t) - 2, -1, -1):
-            reach = speed * max(0.001, t[i + 1] - t[i])
-            low, high = max(lo[i], a[i + 1] - reach), min(hi[i], b[i + 1] + reach)
-            if low <= high:
-                a[i], b[i] = low, high
-        out, v = np.zeros(len(t)), 0.0
-        for i in range(len(t)):
-            if i == 0:
-                out[i] = max(a[i], min(b[i], target[i]))
-                continue
-            dt = max(0.001, t[i] - t[i - 1])
-            want = max(-speed, min(speed, (target[i] - out[i - 1]) * 2.5))
-            v = max(v - 0.7 * dt, min(v + 0.7 * dt, want))
-            out[i] = max(a[i], min(b[i], out[i - 1] + v * dt))
-            v = (out[i] - out[i - 1]) / dt
-        for _ in range(12):
-            mid = out.copy()
-            if len(out) > 2:
-                mid[1:-1] = np.maximum(a[1:-1], np.minimum(b[1:-1], (out[:-2] + 2 * out[1:-1] + out[2:]) / 4))
-            out = mid
-        return pdf[["match_id", "scene_id", "frame"]].assign(camera_x=out)
-
-    cols = with_shot(rows).select(*SHOT, "frame", "t_ms", "lo", "hi", "target_x")
-    return spread_out(cols, SHOT).groupBy(*SHOT).applyInPandas(follow, "match_id long, scene_id long, frame long, camera_x double")
+    A shot is one bounded array: a fold from its end narrows the bounds to what stays reachable, a fold from its start
+    moves the camera, and the smoothing transforms the array of positions.
+    """
+    clamp = lambda x, low, high: F.greatest(low, F.least(high, x))
+    packs = with_shot(rows).groupBy(*SHOT).agg(F.sort_array(F.collect_list(F.struct("t_ms", "frame", F.col("lo").alias("low"), F.col("hi").alias("high"), "target_x"))).alias("seq"))
+
+    def narrow(later, row):
+        nxt = F.element_at(later, 1)
+        reach = F.greatest(F.lit(1), nxt["t_ms"] - row["t_ms"]) * speed / 1000
+        low, high = F.greatest(row["low"], nxt["low"] - reach), F.least(row["high"], nxt["high"] + reach)
+        possible = F.coalesce(low <= high, F.lit(False))
+        tight = F.struct(row["t_ms"].alias("t_ms"), row["frame"].alias("frame"), F.when(possible, low).otherwise(row["low"]).alias("low"), F.when(possible, high).otherwise(row["high"]).alias("high"), row["target_x"].alias("target_x"))
+        return F.concat(F.array(F.when(F.size(later) > 0, tight).otherwise(row)), later)
+
+    packs = packs.withColumn("seq", F.aggregate(F.reverse("seq"), F.filter("seq", lambda r: F.lit(False)), narrow))
+    first = F.element_at("seq", 1)
+    start = clamp(first["target_x"], first["low"], first["high"])
+    init = F.struct(start.alias("x"), F.lit(0.0).alias("v"), first["t_ms"].alias("t"), F.array(start).alias("out"))
+
+    def move(acc, row):
+        dt = F.greatest(F.lit(0.001), (row["t_ms"] - acc["t"]) / 1000)
+        wish = clamp((row["target_x"] - acc["x"]) * 2.5, F.lit(-speed), F.lit(speed))
+        x = clamp(acc["x"] + clamp(wish, acc["v"] - dt * 0.7, acc["v"] + dt * 0.7) * dt, row["low"], row["high"])
+        return F.struct(x.alias("x"), ((x - acc["x"]) / dt).alias("v"), row["t_ms"].alias("t"), F.concat(acc["out"], F.array(x)).alias("out"))
+
+    walked = packs.withColumn("xs", F.aggregate(F.slice("seq", F.lit(2), F.size("seq")), init, move)["out"])
+
+    def soften(xs, _):
+        def one(x, i):
+            around = (F.get(xs, i - 1) + x * 2 + F.get(xs, i + 1)) / 4
+            return F.when((i == 0) | (i == F.size("seq") - 1), x).otherwise(clamp(around, F.get("seq", i)["low"], F.get("seq", i)["high"]))
+
+        return F.transform(xs, one)
+
+    smooth = walked.withColumn("xs", F.aggregate(F.sequence(F.lit(1), F.lit(12)), F.col("xs"), soften))
+    return smooth.select(*SCENE, F.explode(F.arrays_zip(F.col("seq.frame").alias("frame"), F.col("xs").alias("x"))).alias("o")).select(*SCENE, "o.frame", F.col("o.x").alias("camera_x"))
 
 
 def smooth_path(records: DataFrame, half: float, ahead: int = 2, dead: float = 0.004, top_speed: float = 0.42) -> DataFrame:

@@ -93,45 +93,33 @@ def reuse_responses(saved: DataFrame, inputs: DataFrame, profiles: Sequence[str]
 
 def best_of_conflicts(
     rows: DataFrame, keys: Sequence[str], rank: Sequence[Column], start: str, end: str, conflict, bin_ms: int = 60_000,
-    small: int = 5_000,
 ) -> DataFrame:
     """Greedy non-conflicting subset in rank order, without walking a key row by row.
 
-    Equivalent to visiting the rows of a key by ``rank`` and keeping each that
-    conflicts with no kept row, where only overlapping rows can conflict. Each
-    round keeps every row that leads all time bins it touches (nothing better
-    left can conflict with it), then drops the rows conflicting with a kept one.
-    Rows of different bins decide in parallel, and the written state between
-    rounds goes to the shared checkpoint folder. Once a counted remainder of at
-    most ``small`` rows is left, an ordered fold finishes it in one step.
+    Equivalent to visiting the rows of a key by ``rank`` (distinct within a key) and keeping each that conflicts with no
+    kept row, where only overlapping rows can conflict. The conflicts are found once, as edges from the better row to
+    the worse. Each round keeps every row without a better one left and drops what those conflict with; rounds end when
+    no edge is left, and their number is the longest chain of conflicts that depend on each other.
     ``conflict(a, b)`` gets two column getters.
     """
     cols = rows.columns
     body = [c for c in cols if c not in keys]
     clash = conflict(F.col, lambda c: F.col("o_" + c))
-    todo = cut_lineage(rows.withColumn("_rank", F.struct(*rank)))
-    kept_parts = []
-    while todo.count() > small:
-        last = F.greatest(F.col(end) - 1, F.col(start))
-        spread = todo.withColumn("_bin", F.explode(F.sequence(block_of(F.col(start), bin_ms), block_of(last, bin_ms))))
-        lead = spread.groupBy(*keys, "_bin").agg(F.min("_rank").alias("_best"))
-        led = spread.join(lead, [*keys, "_bin"]).select(*keys, "_rank", F.struct(*body).alias("_row"), (F.col("_rank") == F.col("_best")).alias("_top")).groupBy(*keys, "_rank").agg(
-            F.bool_and("_top").alias("_wins"), F.any_value("_row").alias("_row"))
-        marked = led.select(*keys, "_rank", "_wins", "_row.*")
-        other = marked.where("_wins").select(*keys, *[F.col(c).alias("o_" + c) for c in body])
-        losers = interval_join(marked.where("NOT _wins"), other, keys, (start, end), ("o_" + start, "o_" + end), bin_ms).where(clash)
-        lost = losers.select(*keys, "_rank", F.lit(True).alias("_lost")).distinct()
-        state = cut_lineage(marked.join(lost, [*keys, "_rank"], "left").where("_lost IS NULL").drop("_lost"))
-        kept_parts.append(state.where("_wins").select(*cols))
-        todo = state.where("NOT _wins").drop("_wins")
-    left = todo.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_rank", F.struct(*body).alias("r")))).alias("q"))
-    kind = dict(left.dtypes)["q"]
-    hit = lambda k, r: F.coalesce((k[start] < r[end]) & (r[start] < k[end]) & conflict(lambda c: r[c], lambda c: k[c]), F.lit(False))
-    step = lambda acc, x: F.when(F.exists(acc, lambda k: hit(k["r"], x["r"])), acc).otherwise(F.concat(acc, F.array(x)))
-    tail = left.select(*keys, F.explode(F.aggregate("q", F.array().cast(kind), step)).alias("k")).select(*keys, "k.r.*").select(*cols)
-    for part in kept_parts:
-        tail = tail.unionByName(part)
-    return tail
+    ranked = cut_lineage(rows.withColumn("_rank", F.struct(*rank)))
+    other = ranked.select(*keys, F.col("_rank").alias("o__rank"), *[F.col(c).alias("o_" + c) for c in body])
+    near = interval_join(ranked, other, keys, (start, end), ("o_" + start, "o_" + end), bin_ms)
+    edges = cut_lineage(near.where((F.col("o__rank") < F.col("_rank")) & clash).select(*keys, F.col("o__rank").alias("better"), F.col("_rank").alias("worse")))
+    lost_parts = []
+    while edges.limit(1).count():
+        beaten = edges.select(*keys, F.col("worse").alias("better")).distinct()
+        winners = edges.select(*keys, "better").distinct().join(beaten, [*keys, "better"], "left_anti")
+        lost = cut_lineage(edges.join(winners, [*keys, "better"], "left_semi").select(*keys, "worse").distinct())
+        lost_parts.append(lost)
+        left = edges.join(lost, [*keys, "worse"], "left_anti").join(lost.withColumnRenamed("worse", "better"), [*keys, "better"], "left_anti")
+        edges = cut_lineage(left)
+    for lost in lost_parts:
+        ranked = ranked.join(lost.withColumnRenamed("worse", "_rank"), [*keys, "_rank"], "left_anti")
+    return ranked.select(*cols)
 
 
 def unique_evidence(moments: DataFrame) -> DataFrame:

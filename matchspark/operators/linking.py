@@ -30,8 +30,8 @@ def enrich_with_annotations(moments: DataFrame, samples: DataFrame, shots: DataF
     shot_n = seen.groupBy("match_id", "moment_id").agg(F.count(F.lit(1)).alias("shot_count"))
     words = interval_join(m, texts, ["match_id"], ("start_ms", "end_ms"), ("x_start_ms", "x_end_ms")).where("text <> ''")
     order = Window.partitionBy("match_id", "moment_id").orderBy("x_start_ms", "text_id")
-    # one character and a space at least per text, so 350 texts always fill 700 characters
-    listed = words.withColumn("rn", F.row_number().over(order)).where("rn <= 350")
+    # one character and a space at least per text, so 351 texts always fill 700 characters
+    listed = words.withColumn("rn", F.row_number().over(order)).where("rn <= 351")
     said = listed.groupBy("match_id", "moment_id").agg(
         F.array_sort(F.collect_list(F.struct("rn", "text"))).alias("q")
     ).select(

@@ -40,15 +40,22 @@ def narration_sections(scenes: DataFrame, block: Column) -> DataFrame:
         F.count(F.lit(1)).alias("scenes"), F.min("out_start_ms").alias("start_ms"), F.max_by("out_end_ms", "slot").alias("end_ms"), F.array_join(text["t"], " ").alias("narration"))
 
 
-def locked_slots(moments: DataFrame, manifest: DataFrame, length: DataFrame) -> DataFrame:
-    """Slots of a locked edit, or the violation that forbids narration.
+def locked_slots(moments: DataFrame, manifest: DataFrame, length: DataFrame, block: Column) -> DataFrame:
+    """Slots of a locked edit per match, or the violation that forbids narration.
 
-    The whole match is in violation when any scene or clock disagrees.
+    Manifest rows of scenes that are not locked are left out. The rest must name every locked scene exactly once, lie
+    within the edit, and not start before their predecessor in ``position`` (blocks of it bound a task).
     """
-    both = moments.select("match_id", "moment_id", F.lit(True).alias("_m")).join(manifest, ["match_id", "moment_id"], "full_outer").join(length, "match_id", "left")
-    bad = F.col("_m").isNull() | F.col("out_start_ms").isNull() | (F.col("out_start_ms") < 0) | (F.col("out_end_ms") <= F.col("out_start_ms")) | (F.col("out_end_ms") > F.col("edit_ms") + 1)
-    g = both.groupBy("match_id").agg(F.count("_m").alias("scenes"), F.count(F.when(F.coalesce(bad, F.lit(True)), 1)).alias("bad"))
-    return g.select("match_id", "scenes", F.when(F.col("bad") > 0, "timing_disagrees").alias("violation"))
+    scenes = moments.groupBy("match_id").agg(F.count("*").alias("scenes"), F.count_distinct(F.nullif("moment_id", F.lit(""))).alias("ids"))
+    slots = manifest.join(moments.select("match_id", "moment_id").distinct(), ["match_id", "moment_id"], "left_semi").join(length, "match_id", "left")
+    ordered = scan(slots, ["match_id"], ["position"], block, prior={"_prev": ("last", F.col("out_start_ms"))})
+    start, end = F.col("out_start_ms"), F.col("out_end_ms")
+    bad = start.isNull() | end.isNull() | (start < 0) | (end <= start) | (end > F.col("edit_ms") + 1) | (start < F.col("_prev"))
+    found = ordered.groupBy("match_id").agg(F.count("*").alias("slots"), F.count_distinct("moment_id").alias("named"), F.count(F.when(F.coalesce(bad, F.lit(False)), 1)).alias("bad"))
+    rows = scenes.join(found, "match_id", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    disagree = (zero("slots") != F.col("scenes")) | (zero("named") != F.col("scenes")) | (zero("bad") > 0)
+    return rows.select("match_id", "scenes", zero("slots").alias("slots"), F.when(F.col("ids") != F.col("scenes"), "ids_not_unique").when(disagree, "timing_disagrees").alias("violation"))
 
 
 # Opening cues and payoff cues by event.

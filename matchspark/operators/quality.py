@@ -473,17 +473,18 @@ def section_summary(moments: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def sync_problems(beats: DataFrame, block: Column) -> DataFrame:
-    """Narration entries out of order, without speech, overrunning or repeated."""
-    rows = scan(beats, ["match_id"], ["ordinal"], block, prior={"_prev": ("last", F.col("visual_ms"))})
+    """Narration entries out of order or without a start, without speech, overrunning or repeated; without a beat id the moment names the entry."""
+    named = beats.withColumn("identity", F.coalesce(F.nullif("beat_id", F.lit("")), F.col("moment_id")))
+    rows = scan(named, ["match_id"], ["ordinal"], block, prior={"_prev": ("last", F.col("visual_ms"))})
     told = F.coalesce("narration", F.lit("")) != ""
-    first = rows.where(told).groupBy("match_id", "beat_id").agg(F.min("ordinal").alias("_first"))
-    rows = rows.join(first, ["match_id", "beat_id"], "left")
+    first = rows.where(told).groupBy("match_id", "identity").agg(F.min("ordinal").alias("_first"))
+    rows = rows.join(first, ["match_id", "identity"], "left")
     speech = F.coalesce("speech_ms", F.lit(0))
     codes = F.array_compact(F.array(
-        F.when(F.coalesce(F.col("visual_ms") + 1 < F.col("_prev"), F.lit(False)), "non_monotonic_visual"), F.when(told & (speech <= 0), "missing_speech"),
+        F.when(F.col("visual_ms").isNull() | F.coalesce(F.col("visual_ms") + 1 < F.col("_prev"), F.lit(False)), "non_monotonic_visual"), F.when(told & (speech <= 0), "missing_speech"),
         F.when(told & (speech > 0) & ((F.coalesce("length_ms", F.lit(0)) <= 0) | (F.col("length_ms") + 30 < speech)), "speech_exceeds_visual"),
         F.when(told & (F.col("ordinal") > F.col("_first")), "duplicate_narrated_beat")))
-    return rows.select("match_id", "ordinal", "beat_id", F.explode(codes).alias("problem"))
+    return rows.select("match_id", "ordinal", F.col("identity").alias("beat_id"), F.explode(codes).alias("problem"))
 
 
 def order_problems(beats: DataFrame, manifest: DataFrame, block: Column) -> DataFrame:

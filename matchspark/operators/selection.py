@@ -348,26 +348,33 @@ def fit_selected(segments: DataFrame, target_ms: int) -> DataFrame:
 
 
 def rank_backups(planned: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Best relevance of each candidate to any planned scene.
+    """Best relevance of each candidate to any planned scene of its match, 0 where nothing is planned.
 
-    ``planned`` is bounded by the edit's time budget, so each candidate meets a
-    fixed number of planned scenes; token overlaps come from an equi-join on
-    the token and are summed before the pair is scored.
+    Only pairs that share a story or a word can score beyond the event's points, so pairs come from equi-joins on those;
+    the event alone is counted per match and event, without pairs.
     """
     from matchspark.functions.text import EVIDENCE_WORDS, semantic_tokens
 
-    text = F.concat_ws(" ", "description", "commentary")
+    keys = ["match_id", "moment_id"]
     p = planned.select(
-        "match_id", F.col("moment_id").alias("p_id"), F.col("story_id").alias("p_story"), F.col("event_type").alias("p_event"), S.reaction().alias("p_react"), text.alias("p_text"))
+        "match_id", F.col("moment_id").alias("p_id"), F.col("story_id").alias("p_story"), F.col("event_type").alias("p_event"), S.reaction().alias("p_react"),
+        F.concat_ws(" ", "description", "commentary").alias("p_text"))
+    c = candidates.select(*keys, "story_id", "event_type", S.reaction().alias("react"), "description")
     pt = p.select("match_id", "p_id", F.explode(semantic_tokens(F.col("p_text"))).alias("tok"))
-    ct = candidates.select("match_id", "moment_id", F.explode(semantic_tokens(F.col("description"))).alias("tok"))
+    ct = c.select(*keys, F.explode(semantic_tokens(F.col("description"))).alias("tok"))
     points = F.when(F.col("tok").isin(*EVIDENCE_WORDS), 18).when(F.length("tok") >= 7, 10).otherwise(6)
-    shared = pt.join(ct, ["match_id", "tok"]).groupBy("match_id", "p_id", "moment_id").agg(F.sum(points).alias("pts"))
-    pair = candidates.select("match_id", "moment_id", "story_id", "event_type", S.reaction().alias("react")).join(p.drop("p_text"), "match_id").join(
-        shared, ["match_id", "p_id", "moment_id"], "left")
+    shared = pt.join(ct, ["match_id", "tok"]).groupBy(*keys, "p_id").agg(F.sum(points).alias("pts"))
+    told = c.join(p.select("match_id", F.col("p_story").alias("story_id"), "p_id"), ["match_id", "story_id"]).select(*keys, "p_id", F.lit(0).cast("long").alias("pts"))
+    pairs = shared.unionByName(told).groupBy(*keys, "p_id").agg(F.max("pts").alias("pts")).where("p_id <> moment_id")
+    pairs = pairs.join(p.drop("p_text"), ["match_id", "p_id"]).join(c.drop("description"), keys)
     score = (
         F.when(F.col("p_story") == F.col("story_id"), 60).otherwise(0) + F.when(F.col("p_event") == F.col("event_type"), 8).otherwise(0)
-        - F.when(F.col("react") & ~F.col("p_react"), 60).otherwise(0) + F.coalesce("pts", F.lit(0))
+        - F.when(F.col("react") & ~F.col("p_react"), 60).otherwise(0) + F.col("pts")
     )
-    return pair.groupBy("match_id", "moment_id").agg(
-        F.greatest(F.lit(0), F.max(F.when(F.col("p_id") == F.col("moment_id"), -1).otherwise(score))).alias("semantic_score"))
+    best = pairs.groupBy(*keys).agg(F.max(score).alias("best"))
+    events = p.groupBy("match_id", F.col("p_event").alias("event_type")).agg(F.count("*").alias("same"), F.count(F.when(F.col("p_react"), 1)).alias("same_react"))
+    own = p.select("match_id", F.col("p_id").alias("moment_id"), F.lit(1).alias("self")).distinct()
+    rows = c.drop("description").join(events, ["match_id", "event_type"], "left").join(own, keys, "left").join(best, keys, "left")
+    others = F.when(F.col("react"), F.col("same_react")).otherwise(F.col("same")) - F.coalesce("self", F.lit(0))
+    alone = F.when(others > 0, 8).otherwise(0)
+    return rows.select(*keys, F.greatest(F.lit(0), alone, F.coalesce("best", F.lit(0))).cast("long").alias("semantic_score"))

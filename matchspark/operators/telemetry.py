@@ -211,7 +211,7 @@ def recovery_state(interruptions: DataFrame, block: Column) -> DataFrame:
 
 def progress_events(lines: DataFrame) -> DataFrame:
     """Valid progress lines, clamped, reduced to the latest per scene."""
-    body = F.when(F.col("line").startswith("TRACK_PROGRESS "), F.from_json(F.substring("line", 16, 1 << 20), "scene STRING, completed DOUBLE, total DOUBLE"))
+    body = F.when(F.col("line").startswith("TRACK_PROGRESS "), F.from_json(F.expr("substring(line, 16)"), "scene STRING, completed DOUBLE, total DOUBLE"))
     rows = lines.withColumn("p", body).where("p.completed IS NOT NULL AND p.total >= 1")
     return rows.groupBy("job_id", F.col("p.scene").alias("scene")).agg(
         F.max_by(F.struct(F.greatest(F.lit(0.0), F.least("p.total", "p.completed")).alias("completed"), F.col("p.total").alias("total")), F.col("seq")).alias("l")

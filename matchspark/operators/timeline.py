@@ -13,6 +13,7 @@ one task. Four shapes cover the library:
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -164,7 +165,9 @@ def scan(
         *part, *[carry_kind[k](F.col(f"_t_{n}")).over(reach[side]).alias(f"_c_{n}") for side, n, k, _ in specs]
     )
     local = rows.select("*", *[_LOCAL[k](c).over(span[side]).alias(f"_l_{n}") for side, n, k, c in specs])
-    joined = local.join(carry, part, "left")
+    named = carry.select(*[F.col(c).alias(f"_k_{c}") for c in part], *[f"_c_{n}" for _, n, _, _ in specs])
+    alike = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in part])
+    joined = local.join(named, alike, "left")
     return joined.select(
         *[F.col(c) for c in df.columns],
         *[_merge(side, k, F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for side, n, k, _ in specs],

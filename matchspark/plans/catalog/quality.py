@@ -241,11 +241,11 @@ def _(v):
     return Q.section_summary(v.moments, W.section_plan(src(v)))
 
 
-SB = ["match_id", "ordinal", "concat('b', CAST(ordinal % 40 AS STRING)) AS beat_id", "ordinal * 10 - (ordinal % 5) * 900 AS visual_ms", "CASE WHEN ordinal % 4 = 0 THEN NULL ELSE description END AS narration", "CASE WHEN ordinal % 6 <> 1 THEN 2000 + ordinal % 900 END AS speech_ms", "2300 + ordinal % 700 AS length_ms"]
+SB = ["match_id", "ordinal", "CASE WHEN ordinal % 11 = 3 THEN '' WHEN ordinal % 11 <> 5 THEN concat('b', CAST(ordinal % 40 AS STRING)) END AS beat_id", "moment_id", "CASE WHEN ordinal % 13 <> 4 THEN ordinal * 10 - (ordinal % 5) * 900 END AS visual_ms", "CASE WHEN ordinal % 4 = 0 THEN NULL ELSE description END AS narration", "CASE WHEN ordinal % 6 <> 1 THEN 2000 + ordinal % 900 END AS speech_ms", "2300 + ordinal % 700 AS length_ms"]
 
 
-@query("sync_problems", f"""WITH b AS (SELECT {', '.join(SB)} FROM moments_v), r AS (SELECT *, lag(visual_ms) OVER (PARTITION BY match_id ORDER BY ordinal) AS pv FROM b), f AS (SELECT match_id, beat_id, min(ordinal) AS fo FROM b WHERE narration IS NOT NULL GROUP BY ALL),
-  c AS (SELECT r.match_id, ordinal, r.beat_id, CASE WHEN visual_ms + 1 < pv THEN 'non_monotonic_visual' END AS p1, CASE WHEN narration IS NOT NULL AND speech_ms IS NULL THEN 'missing_speech' END AS p2, CASE WHEN narration IS NOT NULL AND length_ms + 30 < speech_ms THEN 'speech_exceeds_visual' END AS p3,
+@query("sync_problems", f"""WITH b0 AS (SELECT {', '.join(SB)} FROM moments_v), b AS (SELECT * REPLACE (coalesce(nullif(beat_id, ''), moment_id) AS beat_id) FROM b0), r AS (SELECT *, last_value(visual_ms IGNORE NULLS) OVER (PARTITION BY match_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pv FROM b), f AS (SELECT match_id, beat_id, min(ordinal) AS fo FROM b WHERE narration IS NOT NULL GROUP BY ALL),
+  c AS (SELECT r.match_id, ordinal, r.beat_id, CASE WHEN visual_ms IS NULL OR visual_ms + 1 < pv THEN 'non_monotonic_visual' END AS p1, CASE WHEN narration IS NOT NULL AND speech_ms IS NULL THEN 'missing_speech' END AS p2, CASE WHEN narration IS NOT NULL AND length_ms + 30 < speech_ms THEN 'speech_exceeds_visual' END AS p3,
     CASE WHEN narration IS NOT NULL AND ordinal > fo THEN 'duplicate_narrated_beat' END AS p4 FROM r LEFT JOIN f ON f.match_id = r.match_id AND f.beat_id = r.beat_id)
   SELECT match_id, ordinal, beat_id, p AS problem FROM (SELECT match_id, ordinal, beat_id, unnest([p1, p2, p3, p4]) AS p FROM c) WHERE p IS NOT NULL""")
 def _(v):

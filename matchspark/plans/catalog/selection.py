@@ -41,9 +41,9 @@ def nms_sql(src_sql: str) -> str:
 FIT = """SELECT * FROM moments_v WHERE selection_locked IS TRUE OR (keep_decision <> 'reject' AND semantic_verified IS NOT FALSE AND NOT angle_deferred AND NOT support_deferred AND (semantic_verified IS TRUE OR confidence >= 0.4e0))"""
 
 
-@query("director_candidates", f"WITH RECURSIVE {nms_sql(FIT)} SELECT match_id, moment_id, importance FROM nms QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY importance DESC, ordinal) <= 20")
+@query("director_candidates", f"WITH RECURSIVE {nms_sql(FIT)} SELECT match_id, moment_id, importance FROM nms QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY importance DESC, ordinal) <= 180")
 def _(v):
-    return SEL.director_candidates(v.moments, 20).select("match_id", "moment_id", "importance")
+    return SEL.director_candidates(v.moments, 180).select("match_id", "moment_id", "importance")
 
 
 @query("story_capacity", f"""WITH RECURSIVE {nms_sql('SELECT * FROM moments_v')} SELECT match_id, round(sum(CASE WHEN react THEN least(3000e0, end_ms - start_ms) ELSE least(12000e0, (end_ms - start_ms) / 0.72e0) + 1000 END), 3) AS capacity_ms FROM nms GROUP BY match_id""")
@@ -220,7 +220,7 @@ def _(v):
     return Q.editable_seconds(v.moments)
 
 
-PLANNED = "(SELECT * FROM moments_v WHERE selected QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY importance DESC, ordinal) <= 4)"
+PLANNED = "(SELECT * FROM moments_v WHERE selected AND match_id % 4 <> 3)"
 TOK = """SELECT DISTINCT match_id, moment_id, tok FROM (SELECT match_id, moment_id, CASE WHEN tok LIKE 'clear%' THEN 'clearance' WHEN tok LIKE 'cross%' THEN 'cross' WHEN tok LIKE 'defen%' THEN 'defense' WHEN tok LIKE 'attack%' THEN 'attack'
    WHEN tok LIKE 'celebr%' THEN 'celebration' WHEN tok LIKE 'dribbl%' THEN 'dribble' WHEN tok LIKE 'finish%' THEN 'finish' WHEN tok LIKE 'head%' THEN 'header' WHEN tok LIKE 'sav%' THEN 'save' WHEN tok LIKE 'shoot%' THEN 'shot' WHEN tok LIKE 'tackl%' THEN 'tackle'
    WHEN length(tok) > 4 AND tok LIKE '%s' THEN left(tok, -1) ELSE tok END AS tok FROM (SELECT match_id, moment_id, unnest(string_split_regex(trim(regexp_replace(lower({text}), '[^a-z0-9]+', ' ', 'g')), '\\s+')) AS tok FROM {src}))
@@ -229,11 +229,9 @@ TOK = """SELECT DISTINCT match_id, moment_id, tok FROM (SELECT match_id, moment_
 
 @query("rank_backups", f"""WITH pl AS {PLANNED}, pt AS ({TOK.format(text="coalesce(description, '') || ' ' || coalesce(commentary, '')", src='pl')}), ct AS ({TOK.format(text='description', src='moments_v')}),
   ov AS (SELECT p.match_id, p.moment_id AS pid, c.moment_id AS cid, sum(CASE WHEN p.tok IN ('assist', 'clearance', 'cross', 'dribble', 'header', 'offside', 'save', 'shot', 'tackle', 'volley') THEN 18 WHEN length(p.tok) >= 7 THEN 10 ELSE 6 END) AS pts FROM pt p JOIN ct c ON p.match_id = c.match_id AND p.tok = c.tok GROUP BY ALL),
-  sc AS (SELECT m.match_id, m.moment_id, max(CASE WHEN p.moment_id = m.moment_id THEN -1 ELSE CASE WHEN p.story_id = m.story_id THEN 60 ELSE 0 END + CASE WHEN p.event_type = m.event_type THEN 8 ELSE 0 END
+  sc AS (SELECT m.match_id, m.moment_id, max(CASE WHEN p.moment_id IS NULL THEN 0 WHEN p.moment_id = m.moment_id THEN -1 ELSE CASE WHEN p.story_id = m.story_id THEN 60 ELSE 0 END + CASE WHEN p.event_type = m.event_type THEN 8 ELSE 0 END
      - CASE WHEN (m.event_type = 'celebration' OR m.story_phase = 'reaction') AND NOT (p.event_type = 'celebration' OR p.story_phase = 'reaction') THEN 60 ELSE 0 END + coalesce(pts, 0) END) AS s
-     FROM moments_v m JOIN pl p USING (match_id) LEFT JOIN ov ON ov.match_id = m.match_id AND pid = p.moment_id AND cid = m.moment_id GROUP BY ALL)
+     FROM moments_v m LEFT JOIN pl p ON p.match_id = m.match_id LEFT JOIN ov ON ov.match_id = m.match_id AND pid = p.moment_id AND cid = m.moment_id GROUP BY ALL)
   SELECT match_id, moment_id, CAST(greatest(0, s) AS BIGINT) AS semantic_score FROM sc""")
 def _(v):
-    top = Window.partitionBy("match_id").orderBy(F.desc("importance"), "ordinal")
-    planned = v.moments.where("selected").withColumn("rn", F.row_number().over(top)).where("rn <= 4").drop("rn")
-    return SEL.rank_backups(planned, v.moments)
+    return SEL.rank_backups(v.moments.where("selected AND match_id % 4 <> 3"), v.moments)

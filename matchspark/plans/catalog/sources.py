@@ -56,10 +56,10 @@ def _(v):
 
 
 @query("thin_samples", """WITH t AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY match_id, scene_id, track_id) AS n FROM players_v WINDOW w AS (PARTITION BY match_id, scene_id, track_id ORDER BY t_ms, frame, idx))
-  SELECT match_id, scene_id, track_id, frame, idx FROM t WHERE i % greatest(1, CAST(ceil(n / 6) AS BIGINT)) = 0 OR i = n - 1""")
+  SELECT match_id, scene_id, track_id, frame, idx FROM t WHERE i % greatest(1, CAST(ceil(n / 12) AS BIGINT)) = 0 OR i = n - 1""")
 def _(v):
     p = v.players.withColumn("frame2", F.col("frame")).withColumn("frame", F.col("frame") * 8 + F.col("idx"))
-    return R.thin_samples(p, 6).select("match_id", "scene_id", "track_id", F.col("frame2").alias("frame"), "idx")
+    return R.thin_samples(p, 12).select("match_id", "scene_id", "track_id", F.col("frame2").alias("frame"), "idx")
 
 
 @query("upsert_observations", """WITH b AS (SELECT 'sig' || match_id AS signature, ordinal // 3 AS frame, ordinal, ordinal * 10 AS written_us FROM moments_v) SELECT signature, frame, arg_max('p' || ordinal, written_us) AS payload, max(written_us) AS written_us FROM b GROUP BY ALL""")

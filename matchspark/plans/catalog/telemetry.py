@@ -39,9 +39,9 @@ def _(v):
 
 
 @query("minute_buckets", f"""SELECT * FROM (SELECT job_id, model, us // 60000000 * 60000000 AS minute_us, count(*) AS requests, count(*) FILTER (status = 'capacity') AS limited, {', '.join(SUM(c) for c in T.COUNTERS[2:5])}
-  FROM requests_v WHERE model IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY job_id, model ORDER BY minute_us DESC) <= 5""")
+  FROM requests_v WHERE model IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY job_id, model ORDER BY minute_us DESC) <= 60""")
 def _(v):
-    return T.minute_buckets(v.requests, keep=5)
+    return T.minute_buckets(v.requests, keep=60)
 
 
 @query("phase_wall_time", """WITH n AS (SELECT *, lead(us) OVER w AS nu, lead(restarted) OVER w AS nr FROM job_events_v WINDOW w AS (PARTITION BY job_id ORDER BY us, event_id))

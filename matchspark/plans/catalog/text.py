@@ -218,12 +218,22 @@ def _(v):
     return N.narration_sections(rows, F.floor(F.col("slot") / 2048))
 
 
-@query("locked_slots", """WITH m AS (SELECT match_id, moment_id FROM moments_v WHERE NOT (match_id % 5 = 2 AND ordinal % 40 = 1)), c AS (SELECT match_id, moment_id, start_ms AS s, end_ms AS e FROM moments_v WHERE NOT (match_id % 5 = 3 AND ordinal % 40 = 1)),
-  b AS (SELECT coalesce(m.match_id, c.match_id) AS match_id, m.moment_id AS mm, s, e FROM m FULL JOIN c ON m.match_id = c.match_id AND m.moment_id = c.moment_id)
-  SELECT match_id, count(mm) AS scenes, CASE WHEN count(*) FILTER (mm IS NULL OR s IS NULL OR e > 5400001 + CASE WHEN match_id % 3 = 0 THEN 100000 ELSE 0 END) > 0 THEN 'timing_disagrees' END AS violation FROM b GROUP BY match_id""")
+LOCKED = "NOT (match_id % 5 = 2 AND ordinal % 40 = 1)"
+MANIFEST = ["match_id", "moment_id", "ordinal AS position", "start_ms AS out_start_ms", "CASE WHEN match_id % 7 = 4 AND ordinal % 50 = 7 THEN start_ms ELSE end_ms END AS out_end_ms"]
+MANIFEST_ROWS = "NOT (match_id % 5 = 3 AND ordinal % 40 = 1)"
+EDIT = "5400000 + CASE WHEN match_id % 3 = 0 THEN 100000 ELSE 0 END AS edit_ms"
+
+
+@query("locked_slots", f"""WITH m AS (SELECT match_id, moment_id FROM moments_v WHERE {LOCKED}), c0 AS (SELECT {', '.join(MANIFEST)} FROM moments_v WHERE {MANIFEST_ROWS}),
+  c AS (SELECT * FROM c0 UNION ALL SELECT * FROM c0 WHERE match_id % 11 = 5 AND position % 30 = 2), k AS (SELECT c.* FROM c SEMI JOIN m ON c.match_id = m.match_id AND c.moment_id = m.moment_id),
+  o AS (SELECT *, lag(out_start_ms) OVER (PARTITION BY match_id ORDER BY position) AS prev FROM k),
+  f AS (SELECT match_id, count(*) AS slots, count(DISTINCT moment_id) AS named, count(*) FILTER (out_end_ms <= out_start_ms OR out_start_ms < prev OR out_end_ms > 5400001 + CASE WHEN match_id % 3 = 0 THEN 100000 ELSE 0 END) AS bad FROM o GROUP BY match_id),
+  s AS (SELECT match_id, count(*) AS scenes FROM m GROUP BY match_id)
+  SELECT s.match_id, scenes, coalesce(slots, 0) AS slots, CASE WHEN coalesce(slots, 0) <> scenes OR coalesce(named, 0) <> scenes OR coalesce(bad, 0) > 0 THEN 'timing_disagrees' END AS violation FROM s LEFT JOIN f ON f.match_id = s.match_id""")
 def _(v):
-    man = v.moments.where("NOT (match_id % 5 = 3 AND ordinal % 40 = 1)").selectExpr("match_id", "moment_id", "start_ms AS out_start_ms", "end_ms AS out_end_ms")
-    return N.locked_slots(v.moments.where("NOT (match_id % 5 = 2 AND ordinal % 40 = 1)"), man, v.sources.selectExpr("match_id", "5400000 + CASE WHEN match_id % 3 = 0 THEN 100000 ELSE 0 END AS edit_ms"))
+    man = v.moments.where(MANIFEST_ROWS).selectExpr(*MANIFEST)
+    man = man.union(man.where("match_id % 11 = 5 AND position % 30 = 2"))
+    return N.locked_slots(v.moments.where(LOCKED), man, v.sources.selectExpr("match_id", EDIT), F.floor(F.col("position") / 2048))
 
 
 SC = ["match_id", "moment_id", "event_type", "story_phase", "CASE ordinal % 5 WHEN 0 THEN 'SAVED AT LAST' WHEN 1 THEN 'ONE TOUCH MORE' WHEN 2 THEN 'x' END AS caption", "end_ms - start_ms AS out_ms", "CASE WHEN ordinal % 3 <> 0 THEN 200 * (ordinal % 30) END AS window_start_ms", "200 * (ordinal % 30) + 1500 AS window_end_ms"]

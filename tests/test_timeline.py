@@ -78,10 +78,7 @@ def test_nearest_and_asof(spark):
 def test_conflict_rounds_equal_the_greedy_walk(spark):
     rows = [r for r in spans(seed=8) if r[3] > r[2]]
     clash = lambda a, b: F.least(a("e"), b("e")) - F.greatest(a("s"), b("s")) >= F.least(a("e") - a("s"), b("e") - b("s")) * 0.5
-    by_rounds = best_of_conflicts(table(spark, rows), ["match_id"], [F.col("id")], "s", "e", clash, 10_000, small=0)
-    by_fold = best_of_conflicts(table(spark, rows), ["match_id"], [F.col("id")], "s", "e", clash, 10_000)
-    got = {r.id for r in by_rounds.collect()}
-    assert got == {r.id for r in by_fold.collect()}
+    got = {r.id for r in best_of_conflicts(table(spark, rows), ["match_id"], [F.col("id")], "s", "e", clash, 10_000).collect()}
     kept = []
     for r in sorted(rows, key=lambda x: x[1]):
         clash = any(k[0] == r[0] and min(k[3], r[3]) - max(k[2], r[2]) >= min(k[3] - k[2], r[3] - r[2]) * 0.5 and min(k[3], r[3]) > max(k[2], r[2]) for k in kept)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchspark.session import cut_lineage
+
 from matchspark.functions.scalar import DECISIONS, SCORING, deferred, is_true, kept, length_ms, lookup, reaction, replay
 from matchspark.operators.timeline import interval_join, nearest_within
 
@@ -286,3 +288,40 @@ def guide_brief(moments: DataFrame) -> DataFrame:
         F.when(shot, dest).alias("goal_focus_x"), F.when(shot, F.when(dest > touch["ball_x"], "right").otherwise("left")).alias("attack_direction"),
         F.when(shot, finish["t"]).alias("payoff_start_ms"), (shot & real_goal).alias("proof"),
     )
+
+
+# Events whose outcome another angle can show.
+OUTCOME_EVENTS = ["goal", "disallowed_goal", "save", "shot_on_target", "shot_off_target", "big_chance"]
+
+
+def alternate_angles(moments: DataFrame, k: int = 2) -> DataFrame:
+    """Up to ``k`` other clips of a moment's incident that overlap neither it nor each other by more than .25 s.
+
+    Needs ``anchor_id`` and ``segments``. An incident is its score anchor, else its story. Verified clips come first,
+    then those with fewer camera segments, then the closest in time. Each step is a ``min_by`` over the clips left, so
+    no list of an incident is held; only clips within reach of the rank can meet a moment.
+    """
+    other = moments.where(
+        F.col("event_type").isin(*OUTCOME_EVENTS) & (is_true("score_observation") | is_true("semantic_verified")) & is_true("action_complete")
+        & (F.col("end_ms") > F.col("start_ms")) & (length_ms() <= 30_000)
+    ).select(
+        "match_id", F.col("moment_id").alias("o_id"), F.col("ordinal").alias("o_ordinal"), F.col("start_ms").alias("o_start"), F.col("end_ms").alias("o_end"), F.col("anchor_id").alias("o_anchor"),
+        F.col("story_id").alias("o_story"), F.when(is_true("semantic_verified"), 0).otherwise(1).alias("o_class"), F.coalesce("segments", F.lit(1)).alias("o_segments"),
+        (is_true("is_replay") | F.coalesce(F.col("story_phase") == "replay", F.lit(False))).alias("o_replay"),
+    )
+    own = moments.select("match_id", "moment_id", "anchor_id", "story_id", "start_ms", "end_ms")
+    by_anchor = own.where("anchor_id IS NOT NULL").join(other.where("o_anchor IS NOT NULL").withColumn("anchor_id", F.col("o_anchor")), ["match_id", "anchor_id"])
+    by_story = own.where("anchor_id IS NULL AND story_id IS NOT NULL").join(other.withColumn("story_id", F.col("o_story")), ["match_id", "story_id"])
+    cols = ["match_id", "moment_id", "start_ms", "end_ms", "o_id", "o_ordinal", "o_start", "o_end", "o_class", "o_segments", "o_replay"]
+    apart = F.least("o_end", "end_ms") - F.greatest("o_start", "start_ms") <= 250
+    left = by_anchor.select(*cols).unionByName(by_story.select(*cols)).where((F.col("o_id") != F.col("moment_id")) & apart)
+    rank = F.struct("o_class", "o_segments", F.abs(F.col("o_start") - F.col("start_ms")), "o_ordinal")
+    out = None
+    for place in range(1, k + 1):
+        pick = F.min_by(F.struct("o_id", "o_start", "o_end", "o_replay"), rank).alias("best")
+        best = cut_lineage(left.groupBy("match_id", "moment_id").agg(pick))
+        rows = best.select("match_id", "moment_id", F.lit(place).alias("place"), F.col("best.o_id").alias("angle_id"), F.col("best.o_start").alias("angle_start_ms"), F.col("best.o_end").alias("angle_end_ms"), F.col("best.o_replay").alias("angle_replay"))
+        out = rows if out is None else out.unionByName(rows)
+        free = F.least("o_end", "best.o_end") - F.greatest("o_start", "best.o_start") <= 250
+        left = left.join(best, ["match_id", "moment_id"]).where(free & (F.col("o_id") != F.col("best.o_id"))).select(*cols)
+    return out

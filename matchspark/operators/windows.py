@@ -561,3 +561,56 @@ def review_failures(reviews: DataFrame) -> DataFrame:
     codes.append(F.when((F.coalesce("observation_count", F.lit(0)) < 2) & ~phased, F.lit("timestamped_crop_evidence")))
     extra = F.filter("required", lambda r: ~F.array_contains("granted", r))
     return reviews.withColumn("missing", F.array_join(F.array_sort(F.array_union(F.array_compact(F.array(*codes)), extra)), ","))
+
+
+# Events that are reviewed alone.
+ALONE = ["goal", "disallowed_goal", "save", "shot_on_target", "shot_off_target", "big_chance"]
+
+
+def review_batches(moments: DataFrame, limit_ms: int = 45_000, most: int = 4, block_rows: int = 512) -> DataFrame:
+    """Batches of moments in input order: decisive ones alone, others up to ``most`` and ``limit_ms`` together.
+
+    Adds ``batch``, counted from 1 per match. A decisive moment closes the open batch, so what follows it does not
+    depend on what came before: each run between decisive moments is folded alone. A run longer than ``block_rows`` is
+    cut into blocks; a block is folded from every state in which the batch before it can be open (empty, or its last
+    1 to ``most - 1`` moments), and the states are then chained over one row per block.
+    """
+    alone = is_true("score_observation") | is_true("additional_action") | F.coalesce(F.col("event_type").isin(*ALONE), F.lit(False))
+    length = F.greatest(F.lit(500), F.col("end_ms") - F.col("start_ms"))
+    rows = moments.select("match_id", "moment_id", "ordinal", alone.alias("alone"), length.alias("ms"))
+    by_input = F.floor(F.col("ordinal") / 4096)
+    counts = {"place": ("count", F.lit(1)), "run": ("sum", F.when(F.col("alone"), 1).otherwise(0))}
+    rows = scan(rows, ["match_id"], ["ordinal"], by_input, upto=counts)
+    quiet = rows.where("NOT alone").withColumn("blk", F.floor(F.col("place") / block_rows))  # full blocks but for a run's first and last
+    item = F.struct("ordinal", "ms")
+    packs = quiet.groupBy("match_id", "run", "blk").agg(F.sort_array(F.collect_list(item)).alias("q"))  # block_rows at most
+    last = F.slice("q", F.greatest(F.lit(1), F.size("q") - most + 2), F.lit(most - 1))
+    before = Window.partitionBy("match_id", "run").orderBy("blk")
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("ms"), F.array().cast("array<bigint>").alias("opens"))
+
+    def step(acc, r):
+        fresh = (acc["n"] == 0) | (acc["n"] >= most) | (acc["ms"] + r["ms"] > limit_ms)
+        return F.struct(F.when(fresh, 1).otherwise(acc["n"] + 1).alias("n"), F.when(fresh, r["ms"]).otherwise(acc["ms"] + r["ms"]).alias("ms"),
+                        F.when(fresh, F.concat(acc["opens"], F.array(r["ordinal"]))).otherwise(acc["opens"]).alias("opens"))
+
+    # every entry state of a block: j moments of the block before are in the open batch
+    tails = packs.withColumn("tail", F.lag(last).over(before))
+    entry = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda j: j)
+    def from_state(j):
+        kept = F.slice("tail", F.greatest(F.lit(1), F.size("tail") - j + 1), F.greatest(j, F.lit(1)))
+        ms = F.when(j == 0, F.lit(0).cast("long")).otherwise(F.aggregate(kept, F.lit(0).cast("long"), lambda a, r: a + r["ms"]))
+        state = F.struct(j.cast("int").alias("n"), ms.alias("ms"), F.array().cast("array<bigint>").alias("opens"))
+        return F.aggregate("q", F.when(j >= most, F.struct(F.lit(most).alias("n"), F.lit(0).cast("long").alias("ms"), F.array().cast("array<bigint>").alias("opens"))).otherwise(state), step)
+
+    first = F.aggregate("q", start, step)
+    table = tails.withColumn("by_state", F.when(F.col("tail").isNull(), F.array(first)).otherwise(F.transform(entry, from_state)))
+    # chain: one row per block holds the exit state of each entry state
+    exits = table.groupBy("match_id", "run").agg(F.sort_array(F.collect_list(F.struct("blk", F.transform("by_state", lambda s: s["n"]).alias("to")))).alias("chain"))
+    walk = F.aggregate("chain", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<blk:bigint,state:int>>").alias("out")),
+                       lambda acc, b: F.struct(F.coalesce(F.get(b["to"], F.when(F.size(b["to"]) == 1, F.lit(0)).otherwise(acc["at"])), F.lit(0)).alias("at"),
+                                               F.concat(acc["out"], F.array(F.struct(b["blk"].alias("blk"), F.when(F.size(b["to"]) == 1, F.lit(0)).otherwise(acc["at"]).alias("state")))).alias("out")),
+                       lambda acc: acc["out"])
+    states = exits.select("match_id", "run", F.explode(walk).alias("s")).select("match_id", "run", "s.blk", "s.state")
+    opened = table.join(states, ["match_id", "run", "blk"]).select("match_id", F.explode(F.get("by_state", F.col("state"))["opens"]).alias("ordinal"), F.lit(1).alias("opens"))
+    marked = rows.join(opened, ["match_id", "ordinal"], "left").withColumn("new", F.when(F.col("alone") | (F.col("opens") == 1), 1).otherwise(0))
+    return scan(marked.drop("place", "run", "opens"), ["match_id"], ["ordinal"], by_input, upto={"batch": ("sum", F.col("new"))}).select("match_id", "moment_id", F.col("batch").cast("long").alias("batch"))

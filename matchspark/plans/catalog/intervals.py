@@ -315,3 +315,17 @@ def _(v):
   SELECT match_id, moment_id, t_ms FROM f QUALIFY row_number() OVER (PARTITION BY match_id, moment_id ORDER BY pr) <= 12""")
 def _(v):
     return W.sample_times(v.moments)
+
+
+BATCH = ["match_id", "moment_id", "ordinal", "CASE WHEN ordinal % 97 < 90 AND event_type IN ('goal', 'save') THEN 'tackle' ELSE event_type END AS event_type", "ordinal % 29 = 5 AS score_observation", "ordinal % 31 = 8 AS additional_action", "start_ms", "end_ms"]
+BATCH_ROWS = """SELECT *, coalesce(score_observation, false) OR coalesce(additional_action, false) OR coalesce(event_type IN ('goal', 'disallowed_goal', 'save', 'shot_on_target', 'shot_off_target', 'big_chance'), false) AS alone,
+    greatest(500, end_ms - start_ms) AS ms, row_number() OVER (PARTITION BY match_id ORDER BY ordinal) AS rn"""
+
+
+@query("review_batches", f"""WITH RECURSIVE m AS MATERIALIZED ({BATCH_ROWS} FROM (SELECT {', '.join(BATCH)} FROM moments_v)),
+  w(match_id, rn, moment_id, batch, n, ms) AS (SELECT match_id, rn, moment_id, 1::BIGINT, CASE WHEN alone THEN 0 ELSE 1 END, CASE WHEN alone THEN 0::BIGINT ELSE CAST(ms AS BIGINT) END FROM m WHERE rn = 1 UNION ALL
+    SELECT m.match_id, m.rn, m.moment_id, CASE WHEN alone OR w.n = 0 OR w.n >= 4 OR w.ms + m.ms > 45000 THEN batch + 1 ELSE batch END, CASE WHEN alone THEN 0 WHEN w.n = 0 OR w.n >= 4 OR w.ms + m.ms > 45000 THEN 1 ELSE w.n + 1 END,
+      CAST(CASE WHEN alone THEN 0 WHEN w.n = 0 OR w.n >= 4 OR w.ms + m.ms > 45000 THEN m.ms ELSE w.ms + m.ms END AS BIGINT) FROM w JOIN m ON m.match_id = w.match_id AND m.rn = w.rn + 1)
+  SELECT match_id, moment_id, batch FROM w""")
+def _(v):
+    return W.review_batches(v.moments.selectExpr(*BATCH), block_rows=8)

@@ -297,3 +297,21 @@ def _(v):
   SELECT match_id, scene_id, frame, role, x.i AS idx FROM (SELECT match_id, scene_id, frame, role, unnest(kept) AS x FROM (SELECT * FROM wk QUALIFY row_number() OVER (PARTITION BY match_id, scene_id, frame, role ORDER BY rn DESC) = 1))""")
 def _(v):
     return I.box_nms(v.players.selectExpr("match_id", "scene_id", "frame", "role", "idx", "confidence", "cx / 4 AS x1", "cy / 4 AS y1", "cx / 4 + 0.2e0 AS x2", "cy / 4 + 0.3e0 AS y2"))
+
+
+ANGLE = ["match_id", "moment_id", "ordinal", "story_id", "event_type", "story_phase", "start_ms", "end_ms", "score_observation", "semantic_verified", "action_complete", "is_replay",
+         "CASE WHEN ordinal % 7 = 2 THEN concat('a', story_id) END AS anchor_id", "CASE WHEN ordinal % 3 <> 0 THEN 1 + ordinal % 4 END AS segments"]
+
+
+@query("alternate_angles", f"""WITH m AS (SELECT {', '.join(ANGLE)} FROM moments_v),
+  o AS (SELECT * FROM m WHERE event_type IN ('goal', 'disallowed_goal', 'save', 'shot_on_target', 'shot_off_target', 'big_chance') AND (score_observation IS TRUE OR semantic_verified IS TRUE) AND action_complete IS TRUE AND end_ms > start_ms AND end_ms - start_ms <= 30000),
+  p AS (SELECT m.match_id, m.moment_id, o.moment_id AS o_id, o.start_ms AS os, o.end_ms AS oe, o.is_replay IS TRUE OR coalesce(o.story_phase = 'replay', false) AS orep,
+    CASE WHEN o.semantic_verified IS TRUE THEN 0 ELSE 1 END AS c1, coalesce(o.segments, 1) AS c2, abs(o.start_ms - m.start_ms) AS c3, o.ordinal AS c4
+    FROM m JOIN o ON m.match_id = o.match_id AND CASE WHEN m.anchor_id IS NOT NULL THEN o.anchor_id = m.anchor_id ELSE o.story_id = m.story_id END
+    WHERE m.moment_id <> o.moment_id AND least(o.end_ms, m.end_ms) - greatest(o.start_ms, m.start_ms) <= 250),
+  a1 AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY match_id, moment_id ORDER BY c1, c2, c3, c4) = 1),
+  p2 AS (SELECT p.* FROM p JOIN a1 ON p.match_id = a1.match_id AND p.moment_id = a1.moment_id WHERE p.o_id <> a1.o_id AND least(p.oe, a1.oe) - greatest(p.os, a1.os) <= 250),
+  a2 AS (SELECT * FROM p2 QUALIFY row_number() OVER (PARTITION BY match_id, moment_id ORDER BY c1, c2, c3, c4) = 1)
+  SELECT match_id, moment_id, place, o_id AS angle_id, os AS angle_start_ms, oe AS angle_end_ms, orep AS angle_replay FROM (SELECT *, 1 AS place FROM a1 UNION ALL SELECT *, 2 AS place FROM a2)""")
+def _(v):
+    return K.alternate_angles(v.moments.selectExpr(*ANGLE))

@@ -517,9 +517,9 @@ def simplify_path(keyframes: DataFrame, tolerance: float) -> DataFrame:
 
 
 def associate_people(frames: DataFrame, people: DataFrame, ttl_ms: int = 750) -> DataFrame:
-    """Track ids by greedy matching on motion, overlap and size, restarted at each cut.
+    """Track ids by greedy matching on motion, overlap and size. A cut ends all tracks; ids go on counting through the scene.
 
-    Sequential by nature: a grouped map over one bounded shot, numpy inside.
+    Sequential by nature: a grouped map over one bounded scene, numpy inside.
     """
     import numpy as np
     import pandas as pd
@@ -531,11 +531,13 @@ def associate_people(frames: DataFrame, people: DataFrame, ttl_ms: int = 750) ->
         feet = np.stack([pdf["cx"].to_numpy(float), boxes[:, 3]], 1)
         kits = pdf["kit"].to_numpy(float)
         ids, ages = np.zeros(len(pdf), int), np.ones(len(pdf), int)
+        shot = pdf["shot"].to_numpy()
         live, fresh = {}, 1
         edges = [0, *(np.flatnonzero(np.diff(times)) + 1), len(times)]
         for a, b in zip(edges, edges[1:]):
             t, box, foot, kit = times[a], boxes[a:b], feet[a:b], kits[a:b]
-            live = {k: v for k, v in live.items() if t - v["t"] <= ttl_ms}
+            same_shot = a > 0 and shot[a] == shot[a - 1]
+            live = {k: v for k, v in live.items() if same_shot and t - v["t"] <= ttl_ms}
             pairs = []
             for k, v in live.items():
                 guess = np.clip(v["foot"] + v["vel"] * (t - v["t"]) / 1000, 0, 1)
@@ -567,7 +569,7 @@ def associate_people(frames: DataFrame, people: DataFrame, ttl_ms: int = 750) ->
 
     shots = with_shot(frames).select(*SCENE, "frame", "shot")
     rows = people.select(*SCENE, "frame", "t_ms", "idx", "cx", "x1", "y1", "x2", "y2", "kit").join(shots, [*SCENE, "frame"])
-    return spread_out(rows, SHOT).groupBy(*SHOT).applyInPandas(track, "match_id long, scene_id long, frame long, idx long, track_id long, track_age long")
+    return spread_out(rows, SCENE).groupBy(*SCENE).applyInPandas(track, "match_id long, scene_id long, frame long, idx long, track_id long, track_age long")
 
 
 def associate_ball(frames: DataFrame, balls: DataFrame, beam: int = 24, top: int = 8, miss: float = 2.5) -> DataFrame:

@@ -12,6 +12,7 @@ from matchspark.operators import selection as SEL
 from matchspark.operators import windows as W
 from matchspark.operators.timeline import scan
 from matchspark.plans.catalog.intervals import PLAN_SQL, src
+from matchspark.plans.catalog.moments import PACK_SQL, scored
 from matchspark.plans.registry import query
 
 LIVE = "NOT (is_replay OR story_phase = 'replay')"
@@ -190,16 +191,15 @@ def _(v):
     return SEL.repair_priority(v.moments, v.moments.where("ordinal % 8 <> 3").selectExpr(*RP))
 
 
-@query("fit_rate", """WITH RECURSIVE s AS (SELECT match_id, (end_ms - start_ms)::DOUBLE AS len, playback_rate AS rate, CASE WHEN effect = 'freeze_analysis' THEN least(1000e0, greatest(400e0, freeze_ms)) ELSE 0 END
-     - CASE WHEN row_number() OVER (PARTITION BY match_id ORDER BY start_ms, ordinal) > 1 THEN least(360e0, greatest(40e0, transition_ms)) ELSE 0 END AS extra FROM (SELECT * FROM moments_v QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY importance DESC, ordinal) <= 8)),
+@query("fit_rate", PACK_SQL + """, s AS (SELECT match_id, (end_ms - start_ms)::DOUBLE AS len, playback_rate AS rate, CASE WHEN effect = 'freeze_analysis' THEN least(1000e0, greatest(400e0, freeze_ms)) ELSE 0 END
+     - CASE WHEN row_number() OVER (PARTITION BY match_id ORDER BY start_ms, ordinal) > 1 THEN least(360e0, greatest(40e0, transition_ms)) ELSE 0 END AS extra FROM packed WHERE chosen),
   b(match_id, i, lo, hi) AS (SELECT match_id, 0, 1e0, 2e0 FROM (SELECT DISTINCT match_id FROM s) UNION ALL
-    SELECT match_id, i + 1, CASE WHEN tot > 70000 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN tot > 70000 THEN hi ELSE (lo + hi) / 2 END FROM (SELECT b.match_id, i, lo, hi, t.tot FROM b JOIN LATERAL (SELECT sum(least(30000e0, len / least(1.18e0, greatest(0.72e0, rate * (b.lo + b.hi) / 2))) + extra) AS tot FROM s WHERE s.match_id = b.match_id) t ON true WHERE i < 32)),
+    SELECT match_id, i + 1, CASE WHEN tot > 45000 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN tot > 45000 THEN hi ELSE (lo + hi) / 2 END FROM (SELECT b.match_id, i, lo, hi, t.tot FROM b JOIN LATERAL (SELECT sum(least(30000e0, len / least(1.18e0, greatest(0.72e0, rate * (b.lo + b.hi) / 2))) + extra) AS tot FROM s WHERE s.match_id = b.match_id) t ON true WHERE i < 32)),
   m AS (SELECT match_id, hi FROM b WHERE i = 32), x AS (SELECT match_id, sum(least(30000e0, len / least(1.18e0, greatest(0.72e0, rate))) + extra) AS t1, sum(least(30000e0, len / least(1.18e0, greatest(0.72e0, rate * 2))) + extra) AS t2 FROM s GROUP BY 1),
-  f AS (SELECT match_id, CASE WHEN t1 <= 70000 THEN 1e0 WHEN t2 > 70000 THEN 2e0 ELSE hi END AS mu FROM m JOIN x USING (match_id))
+  f AS (SELECT match_id, CASE WHEN t1 <= 45000 THEN 1e0 WHEN t2 > 45000 THEN 2e0 ELSE hi END AS mu FROM m JOIN x USING (match_id))
   SELECT match_id, round(any_value(mu), 4) AS multiplier, round(sum(least(30000e0, len / least(1.18e0, greatest(0.72e0, rate * mu))) + extra), 1) AS planned_ms FROM s JOIN f USING (match_id) GROUP BY match_id""")
 def _(v):
-    top = Window.partitionBy("match_id").orderBy(F.desc("importance"), "ordinal")
-    return SEL.fit_rate(v.moments.withColumn("rn", F.row_number().over(top)).where("rn <= 8"), 70_000)
+    return SEL.fit_rate(SEL.pack_timeline(scored(v), 60_000).where("selected"), 45_000)
 
 
 EST = ["match_id", "moment_id", "ordinal", "start_ms", "coalesce(edit_order, 1000000) AS edit_key", "CASE WHEN ordinal % 9 = 0 THEN commentary END AS commentary", "end_ms - start_ms AS est_ms"]

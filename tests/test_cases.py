@@ -148,7 +148,16 @@ def test_associate_people_keeps_identity_and_restarts_at_a_cut(spark):
     rows = [(1, 1, i, 100 * i, k, x + 0.01 * i, x + 0.01 * i - 0.02, 0.4, x + 0.01 * i + 0.02, 0.6, float(k)) for i in range(5) for k, x in enumerate((0.2, 0.7))]
     df = one(spark, "match_id long, scene_id long, frame long, t_ms long, idx long, cx double, x1 double, y1 double, x2 double, y2 double, kit double", *rows)
     got = {(r.frame, r.idx): (r.track_id, r.track_age) for r in T.associate_people(shot, df).collect()}
-    assert got[(2, 0)] == (1, 3) and got[(2, 1)] == (2, 3) and got[(3, 0)][1] == 1 and got[(4, 1)][1] == 2
+    assert got[(2, 0)] == (1, 3) and got[(2, 1)] == (2, 3) and got[(3, 0)] == (3, 1) and got[(4, 1)] == (4, 2)
+
+
+def test_possession_lock_needs_three_wins_and_survives_empty_frames(spark):
+    frames = one(spark, "match_id long, scene_id long, frame long, t_ms long, cut boolean, ball_x double, ball_y double", *[(1, 1, i, 100 * i, False, 0.3, 0.8) for i in range(9)])
+    man = lambda i, k, x: (1, 1, i, k, 5, 0.9, 0.5, x, 0.7, x - 0.03, x + 0.03, 0.6, 0.8, "player")
+    rows = [man(i, k, x) for i in (0, 1, 3, 4, 5, 8) for k, x in ((7, 0.3), (8, 0.7))]
+    schema = "match_id long, scene_id long, frame long, track_id long, track_age long, confidence double, pitch_support double, cx double, cy double, x1 double, x2 double, y1 double, y2 double, role string"
+    got = {r.frame: r.carrier_id for r in T.possession_lock(one(spark, schema, *rows), frames, 0.5).collect()}
+    assert [got[i] for i in range(9)] == [None, None, None, None, None, 7, 7, 7, 7]  # frame 2 is empty, so the count starts anew
 
 
 def test_simplify_path_keeps_corners(spark):

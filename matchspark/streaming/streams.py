@@ -1,7 +1,7 @@
 """Streaming forms of the telemetry, score and gap-filling operators.
 
 Keyed state is small and of fixed shape per key. Within one trigger a key's rows
-are put in event order first; the trigger size bounds how many there are.
+are put in event order first; what one trigger takes up bounds how many there are.
 """
 
 from __future__ import annotations
@@ -125,18 +125,25 @@ def fill_gaps(frames: DataFrame, max_gap_ms: int = 450) -> DataFrame:
         _gap_step(max_gap_ms), "match_id long, scene_id long, frame long, guide_x double, guide_y double", "body string", "append", GroupStateTimeout.NoTimeout)
 
 
-def replay(spark: SparkSession, table: DataFrame, stream, files: int = 4, order: str | None = None) -> DataFrame:
-    """Run a streaming operator over a stored table and return what it wrote.
+def replay(spark: SparkSession, table: DataFrame, stream, order: str | None = None, triggers: int = 3) -> DataFrame:
+    """Run a streaming operator over a stored table in several triggers and return what it wrote.
 
-    The table is written to the shared checkpoint folder, streamed file by file
-    with ``availableNow`` into a parquet sink, and the sink is read back.
+    The table arrives in ``triggers`` parts, by ranges of ``order`` (cut at approximate quantiles) or by hash. Each part
+    is appended to the stream's folder under the shared checkpoint folder, as many files as it has partitions, and one
+    ``availableNow`` run on the same checkpoint takes it up; state carries over. The sink is read back.
     """
     base = f"{ensure_checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
-    parts = table.repartitionByRange(files, order) if order else table.repartition(files)
-    parts.write.parquet(f"{base}/in")
-    source = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1 if order is None else files).parquet(f"{base}/in")
-    query = (
-        stream(source).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
-        .outputMode("append").trigger(availableNow=True).start())
-    query.awaitTermination()
+    if order:
+        cuts = sorted(set(table.approxQuantile(order, [i / triggers for i in range(1, triggers)], 0.05)))
+        slot = sum((F.when(F.col(order) > cut, 1).otherwise(0) for cut in cuts), F.lit(0))  # a null comes first
+        parts = [slot == i for i in range(len(cuts) + 1)]
+    else:
+        parts = [F.pmod(F.xxhash64(*table.columns), F.lit(triggers)) == i for i in range(triggers)]
+    for part in parts:
+        table.where(part).write.mode("append").parquet(f"{base}/in")
+        source = spark.readStream.schema(table.schema).parquet(f"{base}/in")
+        query = (
+            stream(source).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
+            .outputMode("append").trigger(availableNow=True).start())
+        query.awaitTermination()
     return spark.read.parquet(f"{base}/out")

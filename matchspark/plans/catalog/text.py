@@ -146,16 +146,17 @@ def _(v):
     return TX.word_budgets(v.moments.selectExpr(*WB), F.col("rate")).select("moment_id", "suggested", "maximum")
 
 
-PLAN = ["conv_id", "turn", "CASE turn % 3 WHEN 0 THEN 'Five words make one title' WHEN 1 THEN 'Short one' ELSE NULL END AS title", "concat(text, CASE turn % 6 WHEN 0 THEN ' Watch this run.' WHEN 1 THEN ' He clips the post.' WHEN 2 THEN ' The replay shows it.' WHEN 3 THEN ' The moment unfolds and teammates celebrate.' WHEN 4 THEN ' He scored.' ELSE '' END) AS script",
-        "turn % 4 AS beats", "2 AS slots", "turn % 2 AS goal_count", "20 + turn % 30 AS target_s", "CASE WHEN turn % 5 <> 0 THEN 'x' END AS thesis", "'q' AS question", "'a' AS answer"]
+PLAN = ["conv_id", "turn", "CASE turn % 3 WHEN 0 THEN 'Five words make one title' WHEN 1 THEN 'Short one' ELSE NULL END AS title", "concat(text, CASE turn % 8 WHEN 0 THEN ' Watch this run.' WHEN 1 THEN ' He clips the post.' WHEN 2 THEN ' The replay shows it.' WHEN 3 THEN ' The moment unfolds.' WHEN 4 THEN ' He scored.' WHEN 5 THEN ' He pumps his fist.' WHEN 6 THEN ' That seals a late win.' ELSE '' END) AS script",
+        "turn % 4 AS beats", "2 AS slots", "turn % 2 AS goal_count", "20 + turn % 30 AS target_s", "CASE WHEN turn % 5 <> 0 THEN 'x' END AS thesis", "'q' AS question", "'a' AS answer", "turn % 5 <> 2 AS complete", "turn % 2 = 0 AS auto", "CASE WHEN conv_id % 3 = 0 THEN 'verified' WHEN conv_id % 3 = 1 THEN 'open' END AS context_status"]
 
 
 @query("plan_problems", rf"""WITH p AS (SELECT {', '.join(PLAN)} FROM conversations), w AS (SELECT *, len(string_split(trim(regexp_replace(script, '\s+', ' ', 'g')), ' ')) AS n, CASE WHEN title IS NULL THEN 0 ELSE len(string_split(title, ' ')) END AS tw FROM p)
-  SELECT conv_id, turn, array_to_string([x FOR x IN [CASE WHEN tw NOT BETWEEN 5 AND 10 THEN 'recap_title_must_have_5_to_10_words' END, CASE WHEN n < floor(target_s * 2.55e0 + 0.5e0) THEN 'script_too_short' END, CASE WHEN n > floor(target_s * 2.85e0 + 0.5e0) THEN 'script_too_long' END,
-    CASE WHEN thesis IS NULL THEN 'missing_analysis_structure' END, CASE WHEN beats < slots THEN 'too_few_content_beats' END, CASE WHEN beats > slots THEN 'too_many_content_beats' END, CASE WHEN turn % 6 = 0 THEN 'directing_filler_language' END, CASE WHEN turn % 6 = 2 THEN 'recap_mentions_editing_or_replay' END,
-    CASE WHEN turn % 6 = 3 THEN 'slow_documentary_filler' END, CASE WHEN goal_count = 0 AND turn % 6 = 4 THEN 'goal_claim_without_verified_live_action' END] IF x IS NOT NULL], ',') AS problems FROM w""")
+  SELECT conv_id, turn, array_to_string([x FOR x IN [CASE WHEN complete AND tw NOT BETWEEN 5 AND 10 THEN 'recap_title_must_have_5_to_10_words' END, CASE WHEN n < floor(target_s * 2.55e0 + 0.5e0) THEN 'script_too_short' END, CASE WHEN n > floor(target_s * 2.85e0 + 0.5e0) THEN 'script_too_long' END,
+    CASE WHEN auto AND turn % 9 = 4 THEN 'caption_must_be_complete_2_to_4_word_headline' END, CASE WHEN thesis IS NULL THEN 'missing_analysis_structure' END, CASE WHEN beats < slots THEN 'too_few_content_beats' END, CASE WHEN beats > slots THEN 'too_many_content_beats' END, CASE WHEN turn % 8 = 0 THEN 'directing_filler_language' END, CASE WHEN turn % 8 = 2 THEN 'recap_mentions_editing_or_replay' END,
+    CASE WHEN complete AND turn % 8 = 3 THEN 'slow_documentary_filler' END, CASE WHEN complete AND turn % 8 = 5 THEN 'reaction_description_as_analysis' END, CASE WHEN complete AND turn % 8 = 6 AND conv_id % 3 <> 0 THEN 'unverified_match_outcome_claim' END, CASE WHEN goal_count = 0 AND turn % 8 = 4 THEN 'goal_claim_without_verified_live_action' END] IF x IS NOT NULL], ',') AS problems FROM w""")
 def _(v):
-    return TX.plan_problems(v.parquet("conversations").selectExpr(*PLAN)).select("conv_id", "turn", "problems")
+    captions = F.when(F.col("turn") % 9 == 4, F.array(F.lit("LATE WINNER"), F.lit("ALONE"))).otherwise(F.array(F.lit("LATE WINNER")))
+    return TX.plan_problems(v.parquet("conversations").selectExpr(*PLAN).withColumn("captions", captions)).select("conv_id", "turn", "problems")
 
 
 IB = ["match_id", "concat('b', CAST(ordinal AS STRING)) AS beat_id", "story_id", "event_type = 'goal' AS goal_beat", "CASE ordinal % 4 WHEN 0 THEN 'A low shot by Ann O''Dea (9).' WHEN 1 THEN 'Bo-Lee waits' WHEN 2 THEN 'Anna O''Dea runs, bo-lee!' ELSE 'nobody' END AS narration", "CAST(NULL AS STRING) AS caption"]

@@ -78,6 +78,7 @@ def sparse_cues(moments: DataFrame) -> DataFrame:
     return moments.where(~S.reaction()).select("match_id", "moment_id", F.inline(cues))
 
 
+# Fixed values.
 OUTCOME_TEXT = {
     "goal": "The moving ball crosses the goal line inside the goal.", "keeper_save": "The goalkeeper visibly stops or deflects the shot.",
     "woodwork": "The ball strikes the goal frame and stays out.", "blocked": "The attempt is blocked and the ball stays out.",

@@ -65,6 +65,7 @@ def editable_seconds(moments: DataFrame) -> DataFrame:
         F.round(F.sum(F.when(~S.reaction(), at(0.72)).otherwise(0.0)) + F.least(F.lit(18_000.0), F.sum(F.when(S.reaction(), at(0.84)).otherwise(0.0))), 2).alias("editable_ms"))
 
 
+# Fixed values.
 REPAIRABLE = r"framing|camera|ball|goal_action|action_phases|keyframe_(?:opening|contact|ball_flight|payoff)"
 
 
@@ -546,9 +547,11 @@ def workflow_progress(jobs: DataFrame, moments: DataFrame, states: DataFrame) ->
 
 # -- reviews ------------------------------------------------------------------
 
+# Fixed values.
 CORE = ["passed", "correct_subject", "stable_camera", "ball_followed", "setup_visible", "contact_visible", "outcome_visible"]
 # Physical outcome of a reviewed crop to event type.
 CROP_EVENT = {"keeper_save": "save", "woodwork": "big_chance", "blocked": "big_chance", "wide": "shot_off_target", "over": "shot_off_target"}
+# Fixed values.
 GOAL_DOWNGRADE = {"woodwork": "big_chance", "blocked": "big_chance", "wide": "shot_off_target", "over": "shot_off_target"}
 NON_GOAL_SHOTS = ["save", "shot_on_target", "shot_off_target", "big_chance"]
 

@@ -38,7 +38,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     ship(spark)
     known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
     model = train(known.select("doc_id", empty_text().alias("text"), "lang"))
-    found = predict(docs.withColumn("_text", empty_text()), model)
+    found = predict(docs, model, keep_text=True)
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(docs.columns)
 
 

@@ -23,7 +23,7 @@ NONE = np.int32(1 << 30)
 #: How byte-level vocabularies split words.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Words kept by a worker before its table starts anew.
-TABLE_WORDS = 1_000_000
+TABLE_WORDS = 300_000
 #: Text encoded at a time, the longest word merged beside others, and symbols merged side by side.
 CHUNK_BYTES, WIDE, PART = 4 << 20, 512, 1 << 15
 

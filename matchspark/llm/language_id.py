@@ -204,15 +204,15 @@ def train(docs: DataFrame) -> Model:
     return model
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of ``docs`` except ``_text``, which is read, plus lang_pred and score."""
+def predict(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """The columns of ``docs`` (the text itself only if asked for), plus lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2**16 features by the languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            text = batch.column(batch.schema.get_field_index("_text"))
-            rest = [i for i, name in enumerate(batch.schema.names) if name != "_text"]
+            text = batch.column(batch.schema.get_field_index(text_col))
+            rest = [i for i, name in enumerate(batch.schema.names) if keep_text or name != text_col]
             for lo, hi, data, offsets in byte_slices(text, PART):
                 row, feature, value, letters = own.vectors(data, offsets)
                 if own.languages:
@@ -226,7 +226,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 columns = [batch.column(i).slice(lo, hi - lo) for i in rest]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(name, pa.string()), pa.array(score)], [*[batch.schema.names[i] for i in rest], "lang_pred", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "_text")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if keep_text or f.name != text_col)
     return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
@@ -246,4 +246,4 @@ def language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     docs = docs.withColumn("held_out", held_out(F.col("doc_id")))
     model = train(docs.where(~F.col("held_out") & F.col("lang").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang"))
-    return predict(docs.select("doc_id", "held_out", F.coalesce("text", F.lit("")).alias("_text")), model)
+    return predict(docs.select("doc_id", "held_out", F.coalesce("text", F.lit("")).alias("text")), model)

@@ -25,7 +25,8 @@ ORACLES: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers that were started elsewhere import this package."""
+    """Let Python workers that were started elsewhere import this package, and keep Arrow batches of long texts small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     path = spark.sparkContext.environment.get("PYTHONPATH", "")
     if ROOT not in path.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, path) if x)

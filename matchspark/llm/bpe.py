@@ -340,6 +340,7 @@ def encoded(raw, columns: Callable, names: list[str]):
                 plain = plain_rows(data, offsets).tolist()
                 ids, at = bpe.encode_lists([split_text(t or "", p) for t, p in zip(batch.column(1).slice(lo, hi - lo).to_pylist(), plain)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *columns(bpe, ids, at)], ["doc_id", *names])
+        bpe.clear()  # the worker lives on and may serve other operators
 
     return run
 

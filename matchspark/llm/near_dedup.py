@@ -30,7 +30,7 @@ ZERO = 20_000
 REACH = 6.0
 #: Six standard deviations of the estimate at 0.8; pairs estimated lower are not verified.
 MARGIN = 0.15
-PART = 1 << 20
+PART = 1 << 18
 #: Sets compared at a time on either side, and distinct items at a time.
 BLOCK, COLUMNS = 512, 4096
 

@@ -203,5 +203,6 @@ def pack(df: DataFrame, path: str, window: int = 2048, end_id: int = 1, with_ids
         for pieces in packer.finish():
             emit(pieces)
         yield batch_of()
+        bpe.clear()  # the worker lives on and may serve other operators
 
     return texts(df, id_col, text_col).mapInArrow(run, schema)

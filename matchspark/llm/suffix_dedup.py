@@ -31,7 +31,7 @@ from matchspark.session import cut_lineage
 LENGTH, GRAM = 200, 32
 SPREAD = LENGTH - GRAM + 1
 MULTIPLIERS = (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
-PART = 1 << 20
+PART = 1 << 19
 #: Different segments of an anchor up to which one array takes them all, and bytes per suffix array on average.
 HOT_SEGMENTS, ARRAY_BYTES = 1024, 512 << 10
 #: Strings compared across arrays at a time, on average.

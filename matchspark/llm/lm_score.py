@@ -3,7 +3,8 @@
 The model is a trie of byte contexts up to ORDER symbols long, counted over all training texts. A symbol is coded in the
 longest context that is known; where it is new there, an escape (half a count for every distinct follower) leads
 to the next shorter context, in which the symbols of the longer one are excluded. What is excluded follows from the
-longer context alone, so all terms are fixed once the counts are known and whole batches of text are scored by lookups.
+longer context alone, so all terms are fixed once the counts are known: the score of a (context, symbol) is worked out once
+per distinct one, by joins from level to level. Texts look up the frequent ones in a table and are joined with the rest.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from matchspark.session import cut_lineage
 
 #: Context length, bits per symbol (0: before the text, 1-256: bytes, 257: end), symbols.
 ORDER, BITS, SYMBOLS = 5, 9, 257
-#: Nodes of the trie's last level and words whose counts are broadcast; beyond them the rarest grams are pruned, and words are joined.
+#: Grams whose scores and words whose counts are broadcast; the rest of both are joined.
 MAX_GRAMS, MAX_WORDS = 1 << 20, 1 << 20
 GRAM, WORD, TEXT = 0, 1, 2
 PART = 1 << 20
@@ -68,31 +69,86 @@ class Tally:
         self.parts, self.waiting = [], 0
 
 
-def count_training(docs: DataFrame) -> DataFrame:
-    """kind, key, n over all texts: grams, word hashes, and the number of texts (key 0)."""
+def count_texts(docs: DataFrame) -> DataFrame:
+    """kind, key, n, uses: grams, word hashes and the number of texts (key 0), ``n`` in training texts; ``uses`` of grams also counts held-out ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tallies, n = {GRAM: Tally(), WORD: Tally()}, 0
+        tallies, n = [(GRAM, 1, Tally()), (GRAM, 0, Tally()), (WORD, 1, Tally())], 0
         for batch in batches:
             for lo, hi, data, offsets in byte_slices(batch.column(0), PART):
                 data = lower_bytes(data)
-                tallies[GRAM].add(grams(data, offsets)[0])
-                start, end, _ = word_spans(data, offsets)
-                tallies[WORD].add(signed(span_hashes(data, start, end)))
-                n += hi - lo
-        for kind, tally in tallies.items():
+                train = ~np.asarray(batch.column(1).slice(lo, hi - lo).to_numpy(zero_copy_only=False), bool)
+                key, row = grams(data, offsets)
+                tallies[0][2].add(key[train[row]])
+                tallies[1][2].add(key[~train[row]])
+                start, end, row = word_spans(data, offsets)
+                tallies[2][2].add(signed(span_hashes(data, start, end))[train[row]])
+                n += int(train.sum())
+        for kind, learnt, tally in tallies:
             tally.merge()
             for i in range(0, len(tally.keys), 100_000):
-                keys = tally.keys[i:i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(tally.counts[i:i + 100_000])], ["kind", "key", "n"])
+                keys, uses = tally.keys[i:i + 100_000], tally.counts[i:i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(uses * learnt), pa.array(uses)], COUNTS)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([TEXT], pa.int32()), pa.array([0]), pa.array([n])], ["kind", "key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([TEXT], pa.int32()), pa.array([0]), pa.array([n]), pa.array([n])], COUNTS)
+
+    counted = docs.select("text", "held_out").mapInArrow(run, "kind int, key long, n long, uses long")
+    return counted.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("uses").alias("uses"))
+
 
-    return docs.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+def last(key: Column, symbols: int) -> Column:
+    return key.bitwiseAND(F.lit((1 << BITS * symbols) - 1))
 
 
-def most_frequent(counts: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Keys and counts of at most ``limit`` rows of the highest counts, sorted by key, and whether these are all rows.
+def gram_scores(counts: DataFrame) -> DataFrame:
+    """key, uses, score (log10 probability of the symbol after its context) of every gram of ``counts`` (key, n, uses).
+
+    The same terms as ``Ppm``, by joins: a shorter gram or context is the end of at most SYMBOLS longer ones by one symbol,
+    so no key of the counts is hot. Tables of two symbols at most are broadcast.
+    """
+    small = lambda df, symbols: F.broadcast(df) if symbols <= 2 else df
+    level = {ORDER: counts.where("n > 0").select("key", "n")}
+    for order in range(ORDER - 1, -1, -1):
+        level[order] = cut_lineage(level[order + 1].groupBy(last(F.col("key"), order + 1).alias("key")).agg(F.sum("n").alias("n")))
+    contexts: dict[int, DataFrame] = {}
+    for order in range(ORDER + 1):
+        own = level[order].withColumn("context", F.shiftright("key", BITS))
+        if not order:
+            own = own.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("distinct"))
+            contexts[0] = cut_lineage(own.withColumn("low_all", F.lit(0.0)).withColumn("low_escape", F.lit(0.0)))
+            continue
+        below = level[order - 1].select(F.col("key").alias("low"), F.col("n").alias("low_n"))
+        own = own.withColumn("low", last(F.col("key"), order)).join(small(below, order), "low").groupBy("context").agg(
+            F.sum("n").alias("total"), F.count("*").alias("distinct"), F.sum("low_n").alias("seen"))
+        shorter = contexts[order - 1].select(F.col("context").alias("low"), F.col("total").alias("low_total"), F.col("distinct").alias("low_distinct"))
+        own = own.withColumn("low", last(F.col("context"), order - 1)).join(small(shorter, order - 1), "low")
+        new = F.col("low_distinct") > F.col("distinct")
+        own = own.withColumn("low_all", F.when(new, F.log10(F.col("low_total") - F.col("seen"))).otherwise(0.0))
+        own = own.withColumn("low_escape", F.when(new, F.log10((F.col("low_distinct") - F.col("distinct")) / 2) - F.col("low_all")).otherwise(0.0))
+        contexts[order] = cut_lineage(own.select("context", "total", "distinct", "low_all", "low_escape"))
+    known = contexts[0].select("distinct").first()
+    unseen = -float(np.log10(max(1, SYMBOLS - (known[0] if known else 0))))
+
+    learnt = counts.where("n > 0").withColumn("context", F.shiftright("key", BITS)).join(contexts[ORDER].select("context", "total"), "context")
+    scores = learnt.select("key", "uses", (F.log10(F.col("n") - 0.5) - F.log10("total")).alias("score"))
+    todo = counts.where("n = 0").select("key", "uses", F.lit(0.0).alias("score"), F.lit(False).alias("came"), F.lit(0.0).alias("all"), F.lit(0.0).alias("escape"))
+    for order in range(ORDER, -1, -1):
+        found = level[order].select(F.col("key").alias("own"), "n")
+        costs = contexts[order].select("context", F.log10("total").alias("own_all"), (F.log10(F.col("distinct") / 2) - F.log10("total")).alias("own_escape"), "low_all", "low_escape")
+        at = todo.withColumn("own", last(F.col("key"), order + 1)).withColumn("context", F.shiftright("own", BITS))
+        at = at.join(small(found, order + 1), "own", "left").join(small(costs, order), "context", "left")
+        base, out = F.when(F.col("came"), F.col("all")).otherwise(F.col("own_all")), F.when(F.col("came"), F.col("escape")).otherwise(F.coalesce("own_escape", F.lit(0.0)))
+        term = F.when(F.col("n").isNotNull(), F.log10(F.col("n") - 0.5) - base).otherwise(out)
+        at = cut_lineage(at.select(
+            "key", "uses", (F.col("score") + term).alias("score"), F.col("n").isNotNull().alias("done"), F.col("own_all").isNotNull().alias("came"),
+            F.coalesce("low_all", F.lit(0.0)).alias("all"), F.coalesce("low_escape", F.lit(0.0)).alias("escape")))
+        scores = scores.unionByName(at.where("done").select("key", "uses", "score"))
+        todo = at.where("NOT done").drop("done")
+    return cut_lineage(scores.unionByName(todo.select("key", "uses", (F.col("score") + unseen).alias("score"))))
+
+
+def most_frequent(counts: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Keys and values of at most ``limit`` rows (key, n, value) of the highest ``n``, sorted by key, and the least ``n`` of them.
 
     Rows of equal count stay or go together: the least count follows from how many rows each count has.
     """
@@ -104,11 +160,11 @@ def most_frequent(counts: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray
             break
         held, least = held + rows, -n
     if least is None:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), not sizes
-    rows = counts.where(F.col("n") >= least).select("key", "n").toArrow()
-    key, n = rows.column("key").to_numpy(), rows.column("n").to_numpy()
+        return np.zeros(0, np.int64), np.zeros(0), 1 << 62
+    rows = counts.where(F.col("n") >= least).select("key", "value").toArrow()
+    key, value = rows.column("key").to_numpy(), rows.column("value").to_numpy()
     order = np.argsort(key, kind="stable")
-    return key[order], n[order], held == sum(r for _, r in sizes)
+    return key[order], value[order], least
 
 
 class HashTable:
@@ -170,7 +226,7 @@ class Level:
 
 
 class Ppm:
-    """The pretrained model of (context, symbol) counts of the full context length."""
+    """The model of (context, symbol) counts of the full context length in memory; ``gram_scores`` has it as joins."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
         self.levels: list[Level] = []
@@ -216,17 +272,17 @@ class Ppm:
 
 
 class Model:
-    """The trie and the table of frequent words of the counts in use, built once per worker."""
+    """The tables of frequent grams and words in use, built once per worker."""
 
     source = ""
     built: tuple = ()
 
     @classmethod
-    def of(cls, name: str, arrays) -> tuple[Ppm, HashTable, np.ndarray]:
+    def of(cls, name: str, arrays) -> tuple[HashTable, np.ndarray, HashTable, np.ndarray]:
         if cls.source != name:
             cls.built = ()
-            keys, n, heavy, heavy_n = arrays.value
-            cls.built, cls.source = (Ppm(keys, n), HashTable(heavy), np.log10(heavy_n + 1.0)), name
+            keys, scores, heavy, heavy_log = arrays.value
+            cls.built, cls.source = (HashTable(keys), scores, HashTable(heavy), heavy_log), name
         return cls.built
 
 
@@ -244,59 +300,69 @@ def lm_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     other columns are ignored; an empty table gives an empty result.
     """
     docs = texts(df, id_col, text_col).withColumn("held_out", held_out(F.col("doc_id")))
-    counts = cut_lineage(count_training(docs.where(~F.col("held_out"))))
-    words = counts.where(F.col("kind") == WORD).select("key", "n")
+    counts = cut_lineage(count_texts(docs))
+    words = counts.where(F.col("kind") == WORD).select("key", "n", F.log10(F.col("n") + 1.0).alias("value"))
     sums = counts.where(F.col("kind") != GRAM).groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("keys")).collect()
     sums = {r["kind"]: r for r in sums}
     ends = sums[TEXT]["n"] if TEXT in sums else 0
     total = ends + (sums[WORD]["n"] if WORD in sums else 0)
     distinct = (ends > 0) + (sums[WORD]["keys"] if WORD in sums else 0)
-    heavy, heavy_n, _ = most_frequent(words, MAX_WORDS)
-    keys, n, _ = most_frequent(counts.where(F.col("kind") == GRAM), MAX_GRAMS)
-    arrays, name = df.sparkSession.sparkContext.broadcast((keys, n, heavy, heavy_n)), uuid.uuid4().hex
+    heavy, heavy_log, least_word = most_frequent(words, MAX_WORDS)
+    scores = gram_scores(counts.where(F.col("kind") == GRAM).select("key", "n", "uses")).select("key", F.col("uses").alias("n"), F.col("score").alias("value"))
+    keys, values, least_gram = most_frequent(scores, MAX_GRAMS)
+    arrays, name = df.sparkSession.sparkContext.broadcast((keys, values, heavy, heavy_log)), uuid.uuid4().hex
+
+    def rare_rows(kind: int, ids: np.ndarray, row: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((key, row))
+        key, row = key[order], row[order]
+        first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (row[1:] != row[:-1])))
+        m = len(first)
+        return pa.RecordBatch.from_arrays([
+            pa.array(ids[row[first]]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.array(np.diff(np.append(first, len(key)))),
+            pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()), pa.array(np.full(m, kind, np.int32)), pa.array(key[first]),
+        ], NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ppm, table, known_log = Model.of(name, arrays)
+        table, gram_score, word_table, known_log = Model.of(name, arrays)
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
             for lo, hi, data, offsets in byte_slices(batch.column(1), PART):
                 rows = hi - lo
                 data = lower_bytes(data)
-                key, row = grams(data, offsets)
-                score = np.bincount(row, ppm.log10(key), rows)
+                gram, gram_row = grams(data, offsets)
+                place = table.find(gram)
+                hit = place >= 0
+                score = np.bincount(gram_row[hit], gram_score[place[hit]], rows).astype(float)
                 start, end, row = word_spans(data, offsets)
                 word = signed(span_hashes(data, start, end))
-                at = table.find(word)
+                at = word_table.find(word)
                 known = at >= 0
                 ids = number + np.arange(rows)
                 number += rows
-                none = pa.nulls(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays([
                     pa.array(ids), batch.column(0).slice(lo, rows), batch.column(2).slice(lo, rows), pa.array(np.bincount(row, minlength=rows) + 1),
-                    pa.array(np.bincount(row[known], minlength=rows)), pa.array(np.bincount(row[known], known_log[at[known]], rows)), pa.array(score), none,
+                    pa.array(np.bincount(row[known], minlength=rows)), pa.array(np.bincount(row[known], known_log[at[known]], rows).astype(float)), pa.array(score),
+                    pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64()),
                 ], NAMES)
                 if not known.all():
-                    rare = word[~known]
-                    order = np.lexsort((rare, row[~known]))
-                    rare, row = rare[order], row[~known][order]
-                    first = np.flatnonzero(np.append(True, (rare[1:] != rare[:-1]) | (row[1:] != row[:-1])))
-                    m = len(first)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(ids[row[first]]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.array(np.diff(np.append(first, len(rare)))),
-                        pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()), pa.array(rare[first]),
-                    ], NAMES)
-
-    scored = cut_lineage(docs.select("doc_id", "text", "held_out").mapInArrow(run, "row long, doc_id long, held_out boolean, n long, known long, log double, score double, word long"))
-    rare = scored.where(F.col("word").isNotNull()).select("row", "word", "n")
-    least = int(heavy_n.min()) if len(heavy_n) else 1 << 62
-    rest = words.where(F.col("n") < least).select(F.col("key").alias("word"), F.col("n").alias("c"))
-    found = rare.join(rest, "word").groupBy("row").agg(F.sum("n").alias("rare_known"), F.sum(F.col("n") * F.log10(F.col("c") + F.lit(1.0))).alias("rare_log"))
+                    yield rare_rows(WORD, ids, row[~known], word[~known])
+                if not hit.all():
+                    yield rare_rows(GRAM, ids, gram_row[~hit], gram[~hit])
+
+    scored = cut_lineage(docs.select("doc_id", "text", "held_out").mapInArrow(run, "row long, doc_id long, held_out boolean, n long, known long, log double, score double, kind int, key long"))
+    rare = scored.where(F.col("kind").isNotNull()).select("row", "kind", "key", "n")
+    rest = words.where(F.col("n") < least_word).select(F.lit(WORD).alias("kind"), "key", "value").unionByName(scores.where(F.col("n") < least_gram).select(F.lit(GRAM).alias("kind"), "key", "value"))
+    is_word, value = F.col("kind") == WORD, F.col("n") * F.col("value")
+    found = rare.join(rest, ["kind", "key"]).groupBy("row").agg(
+        F.sum(F.when(is_word, F.col("n"))).alias("rare_known"), F.sum(F.when(is_word, value)).alias("rare_log"), F.sum(F.when(~is_word, value)).alias("rare_score"))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return scored.where(F.col("word").isNull()).join(found, "row", "left").select(
+    return scored.where(F.col("kind").isNull()).join(found, "row", "left").select(
         "doc_id", "held_out", F.col("n").alias("n_tokens"), (F.col("known") + zero(F.col("rare_known")) + int(ends > 0)).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("log") + zero(F.col("rare_log")) + float(np.log10(ends + 1)) - F.col("n") * float(np.log10(total + distinct + 1))).alias("base_score"), "score",
+        (F.col("log") + zero(F.col("rare_log")) + float(np.log10(ends + 1)) - F.col("n") * float(np.log10(total + distinct + 1))).alias("base_score"),
+        (F.col("score") + zero(F.col("rare_score"))).alias("score"),
     )
 
 
-NAMES = ["row", "doc_id", "held_out", "n", "known", "log", "score", "word"]
+NAMES = ["row", "doc_id", "held_out", "n", "known", "log", "score", "kind", "key"]
+COUNTS = ["kind", "key", "n", "uses"]

@@ -16,6 +16,7 @@ from matchspark.llm.language_id import language_id
 from matchspark.llm.lm_score import lm_score
 from matchspark.llm.near_dedup import near_components
 from matchspark.llm.packing import pack
+from matchspark.llm.resample import importance_resample
 from matchspark.llm.suffix_dedup import suffix_dedup
 from matchspark.llm.url_filter import url_filter
 
@@ -32,13 +33,13 @@ def ship(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, path) if x)
 
 
-def query(name: str, table: str, sql: str | None = None):
-    """Register ``fn(table)`` as ``name``."""
+def query(name: str, tables: str, sql: str | None = None):
+    """Register ``fn(*tables)`` as ``name``; ``tables`` are names with spaces between."""
 
-    def wrap(fn: Callable[[DataFrame], DataFrame]):
+    def wrap(fn: Callable[..., DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship(spark)
-            return fn(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+            return fn(*(spark.read.parquet(f"{sf_dir}/{table}.parquet") for table in tables.split()))
 
         QUERIES[name] = run
         if sql:
@@ -112,3 +113,8 @@ def op10_near_dedup(documents: DataFrame) -> DataFrame:
 @query("op5_html_text", "pages")
 def op5_html_text(pages: DataFrame) -> DataFrame:
     return html_text(pages)
+
+
+@query("op13_resample", "documents benchmark")
+def op13_resample(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    return importance_resample(documents, benchmark, percent=5, least_words=20, seed=42).select("doc_id", "n_features", "weight", "score", "rank")

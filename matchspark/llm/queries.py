@@ -55,7 +55,7 @@ g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256 FROM d JOIN g ON d.t = g.t
 """)
 def op1_exact_dedup(documents: DataFrame) -> DataFrame:
-    return exact_dedup(documents)
+    return exact_dedup(documents).drop("fp")
 
 
 @query("op2_bpe", "documents")

@@ -9,11 +9,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from matchspark.llm.bpe import bpe_digests
+from matchspark.llm.collocations import collocations
 from matchspark.llm.exact_dedup import exact_dedup
 from matchspark.llm.fingerprints import fingerprints
 from matchspark.llm.html_text import html_text
 from matchspark.llm.language_id import language_id
 from matchspark.llm.lm_score import lm_score
+from matchspark.llm.maxscore import maxscore_search
 from matchspark.llm.near_dedup import near_components
 from matchspark.llm.packing import pack
 from matchspark.llm.resample import importance_resample
@@ -118,3 +120,33 @@ def op5_html_text(pages: DataFrame) -> DataFrame:
 @query("op13_resample", "documents benchmark")
 def op13_resample(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     return importance_resample(documents, benchmark, percent=5, least_words=20, seed=42).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op11_maxscore", "embeddings", """
+WITH v AS (SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS c FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum([q.c[i] * v.c[i] FOR i IN range(1, len(q.c) + 1)]) AS BIGINT) AS score
+  FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 10
+""")
+def op11_maxscore(embeddings: DataFrame) -> DataFrame:
+    return maxscore_search(embeddings, k=10, scale=1024, every=100)
+
+
+@query("op12_collocations", "documents", """
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, [x FOR x IN string_split_regex(piece, '[ \\t]+') IF x <> ''] AS w FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d)),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM p, unnest(range(1, 6)) AS a(k), unnest(range(1, len(w) - k + 2)) AS b(i)),
+f AS (SELECT lang, phrase, k, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+o AS (SELECT lang, phrase, max(a) AS o FROM (SELECT lang, a, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM c, unnest(range(2, k)) AS x(m), unnest(range(1, k - m + 2)) AS y(i)) GROUP BY ALL),
+s AS (SELECT c.lang, c.phrase, c.a, n.n, j, l.f AS l, r.f AS r, CAST((CAST(1000 AS HUGEINT) * c.a * n.n) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM c LEFT JOIN o ON o.lang = c.lang AND o.phrase = c.phrase, unnest(range(1, c.k)) AS x(j)
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:j], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[j + 1:c.k], ' ') JOIN n ON n.lang = c.lang
+  WHERE o.o IS NULL OR 100 * o.o < 100 * c.a),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM b QUALIFY rank <= 2000
+""")
+def op12_collocations(documents: DataFrame) -> DataFrame:
+    return collocations(documents, least=100, longest=5, top=2000, percent=100)

@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from matchspark.llm.common import byte_slices, texts
+from matchspark.llm.common import byte_slices, lean, texts
 
 NONE = np.int32(1 << 30)
 #: How byte-level vocabularies split words.
@@ -333,6 +333,7 @@ class Pieces:
 def encoded(raw, columns: Callable, names: list[str]):
     """A ``mapInArrow`` function: ``columns(bpe, ids, at)`` of the documents of each slice, after doc_id."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe.shared(raw.value)
         for batch in batches:
@@ -368,6 +369,7 @@ def bpe_decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     """doc_id and text of every row's ids; null ids are none, broken UTF-8 becomes U+FFFD, unknown ids are left out."""
     raw = vocabulary(df, path)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Bpe.shared(raw.value).bytes
         for batch in batches:

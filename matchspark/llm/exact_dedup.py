@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchspark.llm.common import U64, ascii_lower, sized, texts
+from matchspark.llm.common import U64, ascii_lower, lean, sized, texts
 from matchspark.session import cut_lineage
 
 #: Fingerprints that a range holds at most on average, which bounds the group that merges it.
@@ -93,6 +93,7 @@ def repeated_fingerprints(prints: DataFrame, rows: int) -> DataFrame:
     lead = max(4, (rows // RANGE_ROWS).bit_length() + 4)
     bits = 64 - lead
 
+    @lean
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b.column(0).to_numpy(zero_copy_only=False) for b in batches if b.num_rows]
         if not held:

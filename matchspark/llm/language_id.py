@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchspark.llm.common import U64, byte_slices, mix, row_key
+from matchspark.llm.common import U64, byte_slices, lean, mix, row_key
 
 FEATURE_BITS, ORDERS = 16, (1, 2, 3)
 #: Labelled documents per language that the weights are fitted on, and how many languages a model may hold.
@@ -83,6 +83,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """How many texts hold each feature, and how many texts there are; partial sums per task, bounded by the feature count."""
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(1 << FEATURE_BITS, np.int64), 0
         for batch in batches:
@@ -189,6 +190,7 @@ def train(docs: DataFrame) -> Model:
     sample = row_key(docs).join(F.broadcast(chosen), ["lang", "rk"], "left_semi")  # at most SAMPLE * MAX_LANGUAGES keys
     sample = sample.dropDuplicates(["lang", "rk"])
 
+    @lean
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in byte_slices(batch.column(1), PART):
@@ -208,6 +210,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bo
     """The columns of ``docs`` (the text itself only if asked for), plus lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2**16 features by the languages
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchspark.llm.common import U64, byte_slices, lower_bytes, mix, row_key, signed, sized, span_hashes, texts, word_spans
+from matchspark.llm.common import U64, byte_slices, lean, lean_group, lower_bytes, mix, row_key, signed, sized, span_hashes, texts, word_spans
 from matchspark.session import cut_lineage
 
 #: Registers, registers in a band, bands. At similarity 0.8 a pair shares no band with probability 3e-6.
@@ -109,6 +109,7 @@ def sketch_table(docs: DataFrame, width: int) -> DataFrame:
     """doc (a number of this one evaluation), doc_id, rk, n, s1, s2 (hashes of the set) and sketch (null where empty)."""
     names = ["doc", "doc_id", "rk", "n", "s1", "s2", "sketch"]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -137,6 +138,7 @@ def registers(column: pa.Array) -> np.ndarray:
 def bucket_rows(sketches: DataFrame) -> DataFrame:
     """key, rep, n: every class in the bucket of each of its bands."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -159,6 +161,7 @@ def estimated(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     one = near.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     two = near.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
@@ -176,6 +179,7 @@ def full_sets(docs: DataFrame, reps: DataFrame, nodes: DataFrame, total: int, wi
     keys = reps.join(sized(nodes, total, 16), "rep", "left_semi").select("rep", F.col("doc_id").alias("id"), F.col("rk").alias("own"))
     joined = docs.join(sized(keys, total, 40), (F.col("rk") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("rep", "text")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in byte_slices(batch.column(1), PART):
@@ -189,6 +193,7 @@ def full_sets(docs: DataFrame, reps: DataFrame, nodes: DataFrame, total: int, wi
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             on = []
@@ -330,4 +335,4 @@ def crossing_links(full: DataFrame, labels: DataFrame, percent: int, sets_of) ->
     outside = flat.where("label <> main").select("main", "rep", "label", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), outer.alias("by"))
     sets = sets_of(flat.select("rep").distinct())
     dealt = members.unionByName(outside).join(sets, "rep").select("main", "block", "by", "side", "rep", "label", "items")
-    return cut_lineage(dealt.groupBy("main", "block", "by").applyInPandas(lambda g: block_links(g, percent), "a long, b long"))
+    return cut_lineage(dealt.groupBy("main", "block", "by").applyInPandas(lean_group(lambda g: block_links(g, percent)), "a long, b long"))

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from matchspark.llm.bpe import CHUNK_BYTES, Bpe, vocabulary
-from matchspark.llm.common import SPACE, byte_slices, texts
+from matchspark.llm.common import SPACE, byte_slices, lean, texts
 
 #: Fixed value: how the lower-case vocabulary splits words.
 LOWER_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -166,6 +166,7 @@ def pack(df: DataFrame, path: str, window: int = 2048, end_id: int = 1, with_ids
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<int>" if with_ids else "")
     names = [x.split(" ")[0] for x in schema.split(", ")]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, packer = WordBpe.shared(raw.value), Packer(window)
         sequence = TaskContext.get().partitionId() << 40

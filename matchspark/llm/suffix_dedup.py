@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from matchspark.llm.common import U64, byte_slices, eight_bytes, mix, packed_texts, row_key, signed, span_hashes, texts, unpack_text
+from matchspark.llm.common import U64, byte_slices, eight_bytes, lean, lean_group, mix, packed_texts, release, row_key, signed, span_hashes, texts, unpack_text
 from matchspark.session import cut_lineage
 
 LENGTH, GRAM = 200, 32
@@ -158,6 +158,7 @@ def segment_table(docs: DataFrame) -> DataFrame:
     """
     names = ["doc", "doc_id", "rk", "loc", "anchor", "segment"]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -176,6 +177,7 @@ def segment_table(docs: DataFrame) -> DataFrame:
 PIECES = pa.schema([("array", pa.int64()), ("doc", pa.int64()), ("loc", pa.int64()), ("n", pa.int64()), ("hot", pa.bool_()), ("raw", pa.binary())])
 
 
+@lean
 def member_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows ``packed, doc, need``: the bytes of each needed segment."""
     for batch in batches:
@@ -267,8 +269,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     joined = packed_texts(docs).join(need, (F.col("rk") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("packed", "doc", "need")
     pieces = joined.mapInArrow(member_pieces, "array long, doc long, loc long, n long, hot boolean, raw binary")
     buckets = 16 + members.where(F.col("kinds") > HOT_SEGMENTS).count() * 100 // BUCKET_STRINGS
-    result = cut_lineage(pieces.groupBy("array").applyInPandas(lambda g: sorted_repeats(g, buckets), FOUND))
-    across = result.where(F.col("strings").isNotNull()).select("bucket", "strings").groupBy("bucket").applyInPandas(across_arrays, "doc long, begin long, end long")
+    result = cut_lineage(pieces.groupBy("array").applyInPandas(lean_group(lambda g: sorted_repeats(g, buckets)), FOUND))
+    across = result.where(F.col("strings").isNotNull()).select("bucket", "strings").groupBy("bucket").applyInPandas(lean_group(across_arrays), "doc long, begin long, end long")
     every = spans.unionByName(result.where(F.col("strings").isNull()).select("doc", "begin", "end")).unionByName(across)
     joint = F.array_sort(F.collect_list(F.struct("begin", "end")))
     lists = every.groupBy("doc").agg(joint.alias("spans")).join(own, "doc")
@@ -294,7 +296,9 @@ def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 @pandas_udf(StringType())
 def cut_text(text: pd.Series, spans: pd.Series) -> pd.Series:
     """Texts without their spans; a character of which a part was cut goes too. Texts without spans stay as they are."""
-    return pd.Series([t if t is None or s is None else without(t.encode(), merged(s)).decode("utf-8", "ignore") for t, s in zip(text, spans)])
+    out = pd.Series([t if t is None or s is None else without(t.encode(), merged(s)).decode("utf-8", "ignore") for t, s in zip(text, spans)])
+    release()
+    return out
 
 
 def suffix_dedup(df: DataFrame, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -309,6 +313,7 @@ def suffix_dedup(df: DataFrame, with_text: bool = False, id_col: str = "doc_id",
     joined = packed_texts(docs).join(spans, (F.col("rk") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")), "left").select("doc_id", "packed", "spans")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][:6 if with_text else 5]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):

@@ -138,10 +138,10 @@ def _(v):
 SNAP = ["match_id", "moment_id", "ordinal", "event_type", "story_phase", "semantic_verified", "action_complete", "keep_decision", "importance", "proof_verified",
         "start_ms - start_ms % 8000 AS start_ms", "end_ms - start_ms % 8000 AS end_ms", "contact_ms - start_ms % 8000 - (contact_ms - start_ms) % 1500 AS contact_ms",
         "proof_start_ms - start_ms % 8000 + 1000 - (proof_start_ms - start_ms) % 3000 AS proof_start_ms", "proof_end_ms - start_ms % 8000 AS proof_end_ms"]
-SAME_SQL = f"""sn AS (SELECT {', '.join(SNAP)} FROM moments_v),
- sok AS (SELECT * FROM sn WHERE semantic_verified AND action_complete AND NOT {REACT} AND end_ms > start_ms AND proof_verified AND contact_ms BETWEEN start_ms AND end_ms AND proof_start_ms >= contact_ms AND proof_end_ms >= proof_start_ms AND proof_end_ms <= end_ms),
+PAIR_SQL = f"""sok AS (SELECT * FROM sn WHERE semantic_verified AND action_complete AND NOT {REACT} AND end_ms > start_ms AND proof_verified AND contact_ms BETWEEN start_ms AND end_ms AND proof_start_ms >= contact_ms AND proof_end_ms >= proof_start_ms AND proof_end_ms <= end_ms),
  same AS (SELECT a.match_id, a.moment_id AS a_id, b.moment_id AS b_id FROM sok a JOIN sok b ON a.match_id = b.match_id AND a.ordinal < b.ordinal AND abs(a.contact_ms - b.contact_ms) <= 350 AND abs(a.proof_start_ms - b.proof_start_ms) <= 500
     AND least(a.end_ms, b.end_ms) - greatest(a.start_ms, b.start_ms) >= least(a.end_ms - a.start_ms, b.end_ms - b.start_ms) * 0.35e0 AND least(a.proof_end_ms, b.proof_end_ms) >= greatest(a.proof_start_ms, b.proof_start_ms))"""
+SAME_SQL = f"sn AS (SELECT {', '.join(SNAP)} FROM moments_v), {PAIR_SQL}"
 
 
 @query("same_action_pairs", f"WITH {SAME_SQL} SELECT * FROM same")
@@ -149,7 +149,8 @@ def _(v):
     return K.same_action_pairs(v.moments.selectExpr(*SNAP))
 
 
-@query("unique_evidence", f"""WITH RECURSIVE {SAME_SQL},
+#: From rows ``sn`` to ``fin`` joined with ``rk``: what is left after interval suppression.
+UNIQUE_SQL = f"""{PAIR_SQL},
   ev AS MATERIALIZED (SELECT *, {REACT} AS react, CASE WHEN {REACT} THEN least(end_ms, start_ms + 3000) ELSE end_ms END AS cut FROM sn),
   rk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY CASE WHEN semantic_verified AND action_complete IS NOT FALSE AND keep_decision <> 'reject' THEN 0 ELSE 1 END, CASE WHEN semantic_verified IS FALSE THEN 1 ELSE 0 END,
      importance DESC, end_ms - start_ms DESC, ordinal) AS rn FROM ev),
@@ -159,7 +160,10 @@ def _(v):
   wk AS (SELECT match_id, 0::BIGINT AS rn, []::BIGINT[] AS kept FROM (SELECT DISTINCT match_id FROM rk) UNION ALL
     SELECT w.match_id, w.rn + 1, CASE WHEN list_has_any(coalesce(cf.worse_than, []::BIGINT[]), w.kept) THEN w.kept ELSE list_append(w.kept, w.rn + 1) END
     FROM wk w JOIN rk r ON r.match_id = w.match_id AND r.rn = w.rn + 1 LEFT JOIN cf ON cf.match_id = w.match_id AND cf.rn = w.rn + 1),
-  fin AS (SELECT match_id, unnest(kept) AS rn FROM (SELECT * FROM wk QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY rn DESC) = 1))
+  fin AS (SELECT match_id, unnest(kept) AS rn FROM (SELECT * FROM wk QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY rn DESC) = 1))"""
+
+
+@query("unique_evidence", f"""WITH RECURSIVE sn AS (SELECT {', '.join(SNAP)} FROM moments_v), {UNIQUE_SQL}
   SELECT match_id, moment_id FROM fin JOIN rk USING (match_id, rn)""")
 def _(v):
     return I.unique_evidence(v.moments.selectExpr(*SNAP))

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from matchspark.operators import reels as R
 from matchspark.operators import stories as S
+from matchspark.operators.ledger import VERIFIED_DECISIONS
+from matchspark.plans.catalog.linking import UNIQUE_SQL
 from matchspark.plans.registry import query
 
 REACT = "(event_type = 'celebration' OR coalesce(story_phase = 'reaction', false))"
@@ -97,3 +100,94 @@ AFTER = "x.start_ms BETWEEN g.end_ms - 100 AND g.end_ms + 1000"
   FROM l2 LEFT JOIN vr ON vr.match_id = l2.match_id AND vr.moment_id = l2.moment_id LEFT JOIN vp ON vp.match_id = vr.match_id AND vp.grp = vr.grp LEFT JOIN ch ON ch.match_id = l2.match_id AND ch.moment_id = l2.moment_id""")
 def _(v):
     return S.incident_views(close(v).withColumns({k: F.expr(e) for k, e in VIEWED.items()}))
+
+
+MORE = "ordinal % 2 = 1"
+EXTRA = f"{MORE} AND angle_selected AND {SOUND} AND event_type IN ({', '.join(repr(x) for x in R.EXTRA_EVENTS)}) AND CASE WHEN visual_clarity <> 0 THEN visual_clarity ELSE importance END >= 55"
+
+
+@query("extra_actions", f"""WITH x AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY CASE event_type WHEN 'save' THEN 5 WHEN 'shot_on_target' THEN 5 WHEN 'big_chance' THEN 4 WHEN 'tackle' THEN 3 WHEN 'shot_off_target' THEN 2 ELSE 0 END DESC,
+    visual_clarity DESC, importance DESC, start_ms, ordinal) AS rank FROM moments_v WHERE {EXTRA}),
+  b AS (SELECT match_id, 0 AS rank, start_ms AS s, end_ms AS e FROM moments_v WHERE NOT ({MORE}) AND semantic_verified IS TRUE AND keep_decision <> 'reject' AND NOT angle_deferred AND NOT support_deferred UNION ALL SELECT match_id, rank, start_ms, end_ms FROM x),
+  p AS (SELECT x.match_id, x.moment_id, x.rank, b.s, b.e FROM x LEFT JOIN b ON b.match_id = x.match_id AND b.rank < x.rank),
+  m AS (SELECT *, max(e) OVER (PARTITION BY match_id, rank ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM p),
+  c AS (SELECT match_id, moment_id, rank, coalesce(sum(greatest(0, e - greatest(s, coalesce(reach, s)))), 0) AS covered FROM m GROUP BY ALL)
+  SELECT a.match_id, a.moment_id, coalesce(rank <= 1 OR covered < 180000, false) AS extra_selected, NOT coalesce(rank <= 1 OR covered < 180000, false) AS angle_deferred
+  FROM moments_v a LEFT JOIN c ON c.match_id = a.match_id AND c.moment_id = a.moment_id WHERE {MORE}""")
+def _(v):
+    return R.extra_actions(v.moments.withColumn("additional_action", F.expr(MORE)), 1, 180_000)
+
+
+COMPRESSED = "ordinal % 17 = 3"
+RATE = "least(1.18e0, greatest(0.72e0, playback_rate))"
+SHOWN = lambda rate: f"least(30000e0, d / {rate})"
+WHOLE = lambda want: f"least(1.18e0, greatest(0.72e0, {want}, d / 30000))"
+
+
+@query("expand_timeline", f"""WITH RECURSIVE t AS (SELECT *, CAST(end_ms - start_ms AS DOUBLE) AS d, {RATE} AS rate, {REACT} AS react, {REPLAY} AS again, effect = 'freeze_analysis' AS frozen, row_number() OVER (PARTITION BY match_id ORDER BY ordinal) AS pos FROM moments_v WHERE selected),
+  u AS (SELECT *, NOT react AND NOT again AND event_type IN ({', '.join(repr(x) for x in R.ANALYSED)}) AND NOT {COMPRESSED} AS live, CASE WHEN frozen THEN least(1000, greatest(800, freeze_ms)) ELSE 800 END AS held,
+    CASE WHEN frozen THEN CAST(least(1000, greatest(400, CASE WHEN freeze_ms = 0 THEN 650 ELSE freeze_ms END)) AS DOUBLE) ELSE 0e0 END AS now, CASE WHEN pos = 1 THEN 0 ELSE least(360, greatest(40, transition_ms)) END AS cost FROM t),
+  r AS (SELECT *, CASE WHEN live THEN least(rate, {WHOLE('0.82e0')}) ELSE rate END AS r1, least(rate, {WHOLE('0.84e0')}) AS r4 FROM u), q AS (SELECT *, CASE WHEN NOT react THEN least(r1, {WHOLE('0.72e0')}) ELSE r1 END AS r3 FROM r),
+  g AS (SELECT match_id, moment_id, 1 AS stage, 0 AS late, -importance AS back, ordinal, {SHOWN('r1')} - {SHOWN('rate')} AS gain FROM q WHERE live UNION ALL SELECT match_id, moment_id, 2, 0, -importance, ordinal, held - now FROM q WHERE live
+    UNION ALL SELECT match_id, moment_id, 3, CASE WHEN is_replay THEN 1 ELSE 0 END, -importance, ordinal, {SHOWN('r3')} - {SHOWN('r1')} FROM q WHERE NOT react UNION ALL SELECT match_id, moment_id, 4, 0, 0, ordinal, {SHOWN('r4')} - {SHOWN('rate')} FROM q WHERE react),
+  s AS (SELECT match_id, list(struct_pack(moment_id, stage, gain) ORDER BY stage, late, back, ordinal) AS l FROM g GROUP BY match_id), b AS (SELECT match_id, sum({SHOWN('rate')} + now - cost) AS total FROM q GROUP BY match_id),
+  w AS (SELECT s.match_id, l, 0 AS i, total, CAST([] AS INTEGER[]) AS took FROM s JOIN b USING (match_id) UNION ALL
+    SELECT match_id, l, i + 1, CASE WHEN ok THEN total + l[i + 1].gain ELSE total END, CASE WHEN ok THEN list_append(took, i + 1) ELSE took END FROM (SELECT *, total < 499250 AND (l[i + 1].stage < 4 OR (l[i + 1].gain > 0 AND total + l[i + 1].gain <= 503000)) AS ok FROM w WHERE i < len(l))),
+  k AS (SELECT match_id, l[j].moment_id AS moment_id, l[j].stage AS stage FROM (SELECT match_id, l, unnest(took) AS j FROM w WHERE i = len(l))), h AS (SELECT match_id, moment_id, bool_or(stage = 1) AS t1, bool_or(stage = 2) AS t2, bool_or(stage = 3) AS t3, bool_or(stage = 4) AS t4 FROM k GROUP BY ALL)
+  SELECT q.match_id, q.moment_id, row_number() OVER (PARTITION BY q.match_id ORDER BY edit_order IS NULL, edit_order, start_ms, ordinal) - 1 AS edit_order,
+    CASE WHEN t4 THEN r4 WHEN t3 AND r3 < CASE WHEN t1 THEN r1 ELSE rate END THEN r3 WHEN t1 AND r1 < rate THEN r1 ELSE playback_rate END AS playback_rate, CASE WHEN t2 THEN 'freeze_analysis' ELSE effect END AS effect, CASE WHEN t2 THEN held ELSE freeze_ms END AS freeze_ms
+  FROM q LEFT JOIN h ON h.match_id = q.match_id AND h.moment_id = q.moment_id""")
+def _(v):
+    return R.expand_timeline(v.moments.withColumn("compressed", F.expr(COMPRESSED)), 500_000)
+
+
+HOOK = "CAST((ordinal * 17) % 101 AS DOUBLE)"
+LEADS = f"event_type IN ({', '.join(repr(x) for x in R.REEL_WEIGHT)})"
+
+
+@query("reel_plan", f"""WITH RECURSIVE a AS (SELECT match_id, story_id AS story, moment_id, ordinal, start_ms, end_ms, event_type, story_phase, visual_clarity, {REPLAY} AS again, {REACT} AS react, event_type IN ('var', 'offside', 'disallowed_goal') AS decides, (end_ms - start_ms) / {RATE} AS own_len,
+    round(CASE event_type WHEN 'goal' THEN 42 WHEN 'disallowed_goal' THEN 40 WHEN 'save' THEN 30 WHEN 'shot_on_target' THEN 24 WHEN 'big_chance' THEN 20 ELSE 0 END + importance * 0.2e0 + {HOOK} * 0.12e0 + completeness * 0.16e0 + visual_clarity * 0.12e0, 6) AS worth
+    FROM moments_v WHERE semantic_verified IS TRUE AND keep_decision <> 'reject' AND coalesce(tracking_decision, '') NOT IN ({', '.join(repr(x) for x in R.NOT_SHOWN)})),
+  ac AS (SELECT * FROM a WHERE {LEADS} AND NOT again QUALIFY row_number() OVER (PARTITION BY match_id, story ORDER BY worth DESC, ordinal) = 1),
+  co AS (SELECT match_id, story, least(12, 6 * count(*) FILTER (again)) + least(8, 4 * count(*) FILTER (react)) + least(10, 5 * count(*) FILTER (decides)) AS company, bool_or(decides) AS decision FROM a GROUP BY ALL),
+  st AS (SELECT ac.match_id, ac.story, worth + company AS score, decision, ac.moment_id AS action, ac.start_ms AS action_start FROM ac JOIN co USING (match_id, story)),
+  rp AS (SELECT * FROM a WHERE again QUALIFY row_number() OVER (PARTITION BY match_id, story ORDER BY visual_clarity DESC, start_ms, ordinal) = 1),
+  re AS (SELECT *, row_number() OVER (PARTITION BY match_id, story ORDER BY start_ms, ordinal) AS n FROM a WHERE react QUALIFY n <= 2), de AS (SELECT *, row_number() OVER (PARTITION BY match_id, story ORDER BY start_ms, ordinal) AS n FROM a WHERE NOT react AND event_type IN ('var', 'offside') QUALIFY n <= 2),
+  bu AS (SELECT a.* FROM a JOIN st USING (match_id, story) WHERE a.moment_id <> action AND story_phase = 'build_up' AND end_ms <= action_start + 250 QUALIFY row_number() OVER (PARTITION BY match_id, story ORDER BY end_ms DESC, a.ordinal) = 1),
+  sq AS (SELECT match_id, story, moment_id, 'build_up' AS role, 0 AS place, end_ms, (end_ms - start_ms) / 1e0 AS len FROM bu WHERE own_len >= 4000 UNION ALL SELECT match_id, story, moment_id, 'action', 10, end_ms, (end_ms - start_ms) / 0.72e0 + 900 FROM ac
+    UNION ALL SELECT re.match_id, re.story, re.moment_id, 'reaction', CASE WHEN rp.start_ms IS NULL OR re.start_ms < rp.start_ms THEN 20 ELSE 50 END + n, least(re.end_ms, re.start_ms + 7000), least(re.end_ms - re.start_ms, 7000) / 1e0 FROM re LEFT JOIN rp ON rp.match_id = re.match_id AND rp.story = re.story
+    UNION ALL SELECT rp.match_id, rp.story, rp.moment_id, 'replay', 30, rp.end_ms, (rp.end_ms - rp.start_ms) / 0.82e0 + CASE WHEN decision THEN 720 ELSE 0 END FROM rp JOIN co USING (match_id, story) UNION ALL SELECT match_id, story, moment_id, 'decision', 40 + n, end_ms, (end_ms - start_ms) / 1e0 FROM de),
+  e AS (SELECT sq.* REPLACE (round(len, 3) AS len), score, action_start FROM sq JOIN st USING (match_id, story) QUALIFY row_number() OVER (PARTITION BY match_id, sq.story, moment_id ORDER BY place) = 1),
+  l AS (SELECT match_id, list(struct_pack(story, moment_id, len) ORDER BY score DESC, action_start, story, place) AS l FROM e GROUP BY match_id),
+  w AS (SELECT match_id, l, 0 AS i, 0e0 AS total, '' AS story, false AS fin, CAST([] AS INTEGER[]) AS took FROM l UNION ALL
+    SELECT match_id, l, i + 1, CASE WHEN ok THEN total + l[i + 1].len ELSE total END, l[i + 1].story, stop, CASE WHEN ok THEN list_append(took, i + 1) ELSE took END FROM
+     (SELECT *, NOT stop AND (len(took) = 0 OR total + l[i + 1].len <= 45000) AS ok FROM (SELECT *, fin OR (story <> l[i + 1].story AND total >= 30000) AS stop FROM w WHERE i < len(l)))),
+  k AS (SELECT match_id, l[took[j]].moment_id AS moment_id, j - 1 AS edit_order FROM (SELECT match_id, l, took, unnest(range(1, len(took) + 1)) AS j FROM w WHERE i = len(l)))
+  SELECT e.match_id, e.story, e.moment_id, e.role, CAST(edit_order AS INTEGER) AS edit_order, e.end_ms, e.len AS shown_ms FROM e JOIN k ON k.match_id = e.match_id AND k.moment_id = e.moment_id""")
+def _(v):
+    return R.reel_plan(v.moments.withColumn("hook", F.expr(HOOK)))
+
+
+THREE = "concat('s', CAST(ordinal % (1 + match_id % 3) AS STRING))"
+CHOICE = ["match_id * 8 + ordinal % 8 AS plan_id", "match_id", "CASE WHEN ordinal % 16 < 8 THEN start_ms ELSE ordinal END AS position", "CASE WHEN ordinal % 311 = 7 THEN 'unknown' ELSE moment_id END AS moment_id", "CAST(6000 * (1 + ordinal % 8) AS BIGINT) AS target_ms"]
+CHOSEN = f"selected AND {SOUND} AND NOT {REACT}"
+NEEDS = "CASE WHEN g THEN 'goal' WHEN d THEN 'disallowed_goal' ELSE 'decision' END"
+DECIDED = f"semantic_verified IS TRUE AND keep_decision <> 'reject' AND tracking_decision IN ({', '.join(repr(x) for x in VERIFIED_DECISIONS)})"
+
+
+@query("story_check", f"""WITH RECURSIVE mo AS (SELECT * REPLACE ({THREE} AS story_id) FROM moments_v), pl AS (SELECT {', '.join(CHOICE)} FROM mo WHERE {CHOSEN} UNION ALL SELECT {', '.join(CHOICE)} FROM mo WHERE {CHOSEN} AND ordinal % 37 = 5),
+  ap AS (SELECT plan_id, any_value(match_id) AS match_id, max(target_ms) AS target_ms FROM pl GROUP BY plan_id), pk AS (SELECT pl.plan_id, pl.position, pl.moment_id AS chosen, mo.* FROM pl LEFT JOIN mo ON mo.match_id = pl.match_id AND mo.moment_id = pl.moment_id),
+  sn AS (SELECT DISTINCT * REPLACE (plan_id AS match_id) FROM (SELECT * EXCLUDE (position) FROM pk WHERE moment_id IS NOT NULL)), {UNIQUE_SQL},
+  v1 AS (SELECT plan_id FROM pk GROUP BY plan_id HAVING count(DISTINCT chosen) < count(chosen) OR count(moment_id) < count(chosen)),
+  v2 AS (SELECT DISTINCT plan_id FROM (SELECT plan_id, start_ms, lag(start_ms) OVER (PARTITION BY plan_id ORDER BY position) AS last FROM pk WHERE moment_id IS NOT NULL) WHERE start_ms < last),
+  nd AS (SELECT match_id, story_id, bool_or(event_type = 'goal') AS g, bool_or(event_type = 'disallowed_goal') AS d FROM mo WHERE semantic_verified AND event_type IN ('goal', 'var', 'offside', 'disallowed_goal') GROUP BY ALL),
+  v3 AS (SELECT DISTINCT plan_id FROM ap JOIN nd ON nd.match_id = ap.match_id WHERE NOT EXISTS (SELECT 1 FROM sn WHERE sn.plan_id = ap.plan_id AND sn.story_id = nd.story_id AND {DECIDED} AND
+    CASE WHEN g THEN event_type = 'goal' AND action_complete IS TRUE AND (NOT {REPLAY} OR angle_selected) WHEN d THEN event_type = 'disallowed_goal' AND action_complete IS TRUE ELSE event_type IN ('offside', 'var') AND action_complete IS NOT FALSE AND tracking_passed IS NOT FALSE END)),
+  kp AS (SELECT rk.* FROM fin JOIN rk USING (match_id, rn)), v4 AS (SELECT DISTINCT plan_id FROM sn WHERE NOT EXISTS (SELECT 1 FROM kp WHERE kp.match_id = sn.match_id AND kp.moment_id = sn.moment_id)),
+  cp AS (SELECT match_id, sum(CASE WHEN {REACT} THEN least(3000e0, end_ms - start_ms) ELSE least(12000e0, (end_ms - start_ms) / 0.72e0) + 1000 END) AS capacity FROM kp GROUP BY match_id),
+  v5 AS (SELECT plan_id FROM ap LEFT JOIN cp ON cp.match_id = ap.plan_id WHERE target_ms < 10000 OR target_ms > 40010 OR target_ms > coalesce(capacity, 0) + 10)
+  SELECT plan_id, array_to_string([x FOR x IN [CASE WHEN plan_id IN (FROM v1) THEN 'candidates' END, CASE WHEN plan_id IN (FROM v2) THEN 'order' END, CASE WHEN plan_id IN (FROM v3) THEN 'coverage' END, CASE WHEN plan_id IN (FROM v4) THEN 'unique' END, CASE WHEN plan_id IN (FROM v5) THEN 'duration' END] IF x IS NOT NULL], ',') AS violations FROM ap""")
+def _(v):
+    m = v.moments.withColumn("story_id", F.expr(THREE))
+    chosen = m.where(CHOSEN).selectExpr(*CHOICE)
+    return R.story_check(chosen.unionByName(m.where(CHOSEN).where("ordinal % 37 = 5").selectExpr(*CHOICE)), m, 10_000, 40_000)

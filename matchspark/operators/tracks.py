@@ -1024,3 +1024,54 @@ def support_players(players: DataFrame, passes: DataFrame, kits: DataFrame, limi
         & (c("ends_distance") <= 0.34) & (F.greatest("to_from", "to_to") <= 0.30) & space.between(0.045, 0.45))
     rank = Window.partitionBy(*SCENE, "frame").orderBy((c("to_from") + c("to_to")) / 2 - c("confidence") * 0.05, "idx")
     return rows.where(ok).withColumn("rn", F.row_number().over(rank)).where(c("rn") <= limit).select(*SCENE, "frame", "idx")
+
+
+def drawable_passes(records: DataFrame, players: DataFrame, reach_ms: int = 5_000) -> DataFrame:
+    """Rows of a scene in which a pass can be drawn: SCENE, t_ms, to_id, from_x, from_y, to_x, to_y.
+
+    The row shows a controlled ball in frame with its carrier, and no cut follows within reach. The receiver, seen in the
+    same frame, is the player who owns the ball at the next verified contact (away from the ball, with a steady carrier
+    behind it), else the first player who later controls the ball in three rows on end. Scenes are bounded, so windows and
+    joins inside one are.
+    """
+    owns = F.col("possession") & F.col("track_id").isNotNull() & (F.col("subject_confidence") >= 0.70)
+    later = by_time().rangeBetween(1, reach_ms)
+    rows = records.withColumns(dict(
+        cut_ahead=F.coalesce(F.max(F.col("cut").cast("int")).over(later), F.lit(0)) > 0,
+        owner=F.first(F.when((F.col("phase") == "contact") & owns, F.col("track_id")), ignorenulls=True).over(later),
+        steady=F.count(F.when(F.col("possession"), 1)).over(Window.partitionBy(*SCENE, "track_id").orderBy("t_ms").rangeBetween(-500, 0)),
+        three=F.lead("t_ms", 2).over(by_time()),
+    ))
+    hold = owns & F.col("direct")
+    alike = hold
+    for k in (1, 2):
+        alike = alike & F.coalesce(F.lead(hold, k).over(by_time()) & (F.lead("track_id", k).over(by_time()) == F.col("track_id")), F.lit(False))
+    rows = rows.withColumn("turns", alike)
+    fit = rows.where("direct AND joint_fit AND possession AND subject_confidence >= 0.78 AND NOT cut_ahead AND track_id IS NOT NULL AND ball_x IS NOT NULL")
+    anchors = fit.select(*SCENE, "frame", "t_ms", "track_id", "owner", "steady", F.col("ball_x").alias("from_x"), F.col("ball_y").alias("from_y"))
+    runs = rows.where("turns").select(*SCENE, F.col("t_ms").alias("r_ms"), F.col("three").alias("r_end"), F.col("track_id").alias("to_id"))
+    seen = players.where("track_id IS NOT NULL").select(*SCENE, "frame", F.col("track_id").alias("to_id"), "idx", F.col("cx").alias("to_x"), F.col("y2").alias("to_y"))
+    first_seen = seen.groupBy(*SCENE, "frame", "to_id").agg(F.min(F.struct("idx", "to_x", "to_y")).alias("p"))
+    both = anchors.join(first_seen, [*SCENE, "frame"]).where(F.col("to_id") != F.col("track_id"))
+    apart = F.sqrt(F.pow(F.col("from_x") - F.col("p.to_x"), 2) + F.pow(F.col("from_y") - F.col("p.to_y"), 2))
+    at_contact = both.where((F.col("to_id") == F.col("owner")) & (F.col("steady") >= 2) & (apart >= 0.045)).withColumn("way", F.lit(0))
+    near = (F.col("r_ms") > F.col("t_ms")) & (F.col("r_end") <= F.col("t_ms") + reach_ms)
+    by_run = both.join(runs, [*SCENE, "to_id"]).where(near).select(both.columns).distinct().withColumn("way", F.lit(1))
+    best = at_contact.unionByName(by_run).groupBy(*SCENE, "t_ms", "from_x", "from_y").agg(F.min(F.struct("way", "p", "to_id")).alias("b"))
+    return best.select(*SCENE, "t_ms", "b.to_id", "from_x", "from_y", F.col("b.p.to_x").alias("to_x"), F.col("b.p.to_y").alias("to_y"))
+
+
+def pass_anchor(records: DataFrame, players: DataFrame, requests: DataFrame, reach_ms: int = 7_000) -> DataFrame:
+    """The row of each requested scene in which its pass is drawn: SCENE, anchor_ms and the ends of the pass.
+
+    The row nearest ``want_ms`` if a pass can be drawn there, else the latest drawable row before some contact of the
+    scene (or the latest at all), at most ``reach_ms`` away.
+    """
+    wanted = records.join(requests.select(*SCENE, "want_ms"), SCENE)
+    gap = F.abs(F.col("t_ms") - F.col("want_ms"))
+    nearest = wanted.groupBy(*SCENE, "want_ms").agg(F.min_by("t_ms", F.struct(gap, "t_ms")).alias("near_ms"), F.max(F.when(F.col("phase") == "contact", F.col("t_ms"))).alias("touch_ms"))
+    drawn = drawable_passes(records, players).join(nearest, SCENE)
+    rank = F.struct((F.col("t_ms") == F.col("near_ms")).alias("a"), F.coalesce(F.col("touch_ms") > F.col("t_ms"), F.lit(False)).alias("b"), F.col("t_ms"))
+    row = F.struct(F.col("t_ms").alias("anchor_ms"), "to_id", "from_x", "from_y", "to_x", "to_y", (F.col("t_ms") == F.col("near_ms")).alias("asked"), gap.alias("gap"))
+    best = drawn.groupBy(*SCENE).agg(F.max_by(row, rank).alias("r"))
+    return best.where(F.col("r.asked") | (F.col("r.gap") <= reach_ms)).select(*SCENE, *[F.col(f"r.{c}").alias(c) for c in ("anchor_ms", "to_id", "from_x", "from_y", "to_x", "to_y")])

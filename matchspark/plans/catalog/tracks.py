@@ -341,3 +341,23 @@ def _(v):
 @query("associate_ball")
 def _(v):
     return T.associate_ball(v.frames, v.balls.drop("t_ms").withColumn("near", F.expr("(ordinal % 40) / 128e0")))
+
+
+PA = ["match_id", "scene_id", "frame", "t_ms * 3 AS t_ms", "k % 97 = 0 AS cut", "k % 6 <> 0 AS possession", "k % 11 <> 0 AS direct", "k % 7 <> 2 AS joint_fit", "0.7e0 + (k % 5) / 32e0 AS subject_confidence", "CASE WHEN k % 29 <> 3 THEN CAST(floor((frame + match_id % 3) / 5) AS BIGINT) % 3 END AS track_id",
+      "CASE WHEN k % 13 = 5 THEN 'contact' ELSE phase END AS phase", "CASE WHEN k % 11 <> 0 THEN k / 128e0 END AS ball_x", "0.5e0 + (k % 7) / 64e0 AS ball_y"]
+PP = ["match_id", "scene_id", "frame", "idx", "(idx + k) % 4 AS track_id", "cx", "y2"]
+PQ = ["match_id", "scene_id", "CAST(300 * (match_id % 30) AS BIGINT) AS want_ms"]
+NEXT = "r.match_id = a.match_id AND r.scene_id = a.scene_id AND r.t_ms > a.t_ms AND r.t_ms <= a.t_ms + 5000"
+
+
+@query("pass_anchor", f"""WITH f AS (SELECT {', '.join(PA)} FROM frames_v), p AS (SELECT {', '.join(PP)} FROM players_v), q AS (SELECT {', '.join(PQ)} FROM (SELECT DISTINCT {KEYS} FROM frames_v)),
+  h AS (SELECT *, possession AND track_id IS NOT NULL AND subject_confidence >= 0.7e0 AS owns FROM f), l AS (SELECT *, owns AND direct AND lead(owns AND direct, 1) OVER w AND lead(owns AND direct, 2) OVER w AND lead(track_id, 1) OVER w = track_id AND lead(track_id, 2) OVER w = track_id AS turns, lead(t_ms, 2) OVER w AS three FROM h WINDOW w AS (PARTITION BY {KEYS} ORDER BY t_ms)),
+  a AS (SELECT *, (SELECT arg_min(r.track_id, r.t_ms) FROM l r WHERE {NEXT} AND r.phase = 'contact' AND r.owns) AS owner, (SELECT count(*) FROM l r WHERE r.match_id = a.match_id AND r.scene_id = a.scene_id AND r.t_ms BETWEEN a.t_ms - 500 AND a.t_ms AND r.track_id = a.track_id AND r.possession) AS steady
+    FROM l a WHERE direct AND joint_fit AND possession AND subject_confidence >= 0.78e0 AND track_id IS NOT NULL AND ball_x IS NOT NULL AND NOT EXISTS (SELECT 1 FROM l r WHERE {NEXT} AND r.cut)),
+  b AS (SELECT a.*, p.track_id AS to_id, idx, cx, y2 FROM a JOIN p ON p.match_id = a.match_id AND p.scene_id = a.scene_id AND p.frame = a.frame AND p.track_id <> a.track_id QUALIFY row_number() OVER (PARTITION BY a.match_id, a.scene_id, a.frame, p.track_id ORDER BY idx) = 1),
+  c AS (SELECT *, 0 AS way FROM b WHERE to_id = owner AND steady >= 2 AND sqrt(pow(ball_x - cx, 2) + pow(ball_y - y2, 2)) >= 0.045e0 UNION ALL SELECT *, 1 FROM b a WHERE EXISTS (SELECT 1 FROM l r WHERE {NEXT} AND r.turns AND r.three <= a.t_ms + 5000 AND r.track_id = a.to_id)),
+  d AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY {KEYS}, frame ORDER BY way, idx) = 1), n AS (SELECT f.match_id, f.scene_id, any_value(want_ms) AS want_ms, arg_min(t_ms, struct_pack(g := abs(t_ms - want_ms), t := t_ms)) AS near_ms, max(t_ms) FILTER (phase = 'contact') AS touch_ms FROM f JOIN q ON q.match_id = f.match_id AND q.scene_id = f.scene_id GROUP BY ALL),
+  e AS (SELECT d.*, want_ms, near_ms FROM d JOIN n ON n.match_id = d.match_id AND n.scene_id = d.scene_id QUALIFY row_number() OVER (PARTITION BY d.match_id, d.scene_id ORDER BY t_ms = near_ms DESC, coalesce(touch_ms > t_ms, false) DESC, t_ms DESC) = 1)
+  SELECT {KEYS}, t_ms AS anchor_ms, to_id, ball_x AS from_x, ball_y AS from_y, cx AS to_x, y2 AS to_y FROM e WHERE t_ms = near_ms OR abs(t_ms - want_ms) <= 7000""")
+def _(v):
+    return T.pass_anchor(v.frames.selectExpr(*PA), v.players.selectExpr(*PP), v.frames.select("match_id", "scene_id").distinct().selectExpr(*PQ))

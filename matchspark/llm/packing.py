@@ -22,7 +22,7 @@ from matchspark.llm.common import SPACE, byte_slices, lean, texts
 
 #: Fixed value: how the lower-case vocabulary splits words.
 LOWER_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-#: Windows a task may hold open; beyond it the fullest one is closed as it is.
+#: Windows a task may hold open; beyond it half of them are levelled out, as all are at the end.
 MAX_OPEN = 8192
 
 
@@ -88,8 +88,8 @@ class Packer:
         self.at: list[list[list]] = [[] for _ in range(window + 1)]
         self.open = 0
 
-    def place(self, piece: tuple) -> list | None:
-        """Put one rest into the best level; returns the pieces of a window that this fills or closes."""
+    def place(self, piece: tuple) -> list[list]:
+        """Put one rest into the best level; returns the windows that this fills, each as its pieces."""
         n = len(piece[2])
         top = self.window - n
         to = self.count[n:self.window + 1].copy()
@@ -105,11 +105,15 @@ class Packer:
             pieces = []
         pieces.append(piece)
         if level + n == self.window:
-            return pieces
+            return [pieces]
         self.put(level + n, pieces)
-        if self.open > MAX_OPEN:
-            return self.take(int(np.flatnonzero(self.count)[-1]))
-        return None
+        if self.open <= MAX_OPEN:
+            return []
+        rest = self.drained()
+        out = list(self.levelled(rest, MAX_OPEN // 2))
+        for level, pieces in rest:
+            self.put(level, pieces)
+        return out
 
     def take(self, level: int) -> list:
         self.count[level] -= 1
@@ -121,11 +125,16 @@ class Packer:
         self.count[level] += 1
         self.open += 1
 
-    def finish(self) -> Iterator[list]:
-        """Windows still open, levelled out: all full, then one rest as sequences of powers of two."""
+    def drained(self) -> list[tuple]:
+        """All open windows with their levels, the fullest first; none stays open."""
         rest = [(level, pieces) for level in range(self.window, 0, -1) for pieces in self.at[level]]
+        self.__init__(self.window)
+        return rest
+
+    def levelled(self, rest: list[tuple], keep: int) -> Iterator[list]:
+        """Fill the fullest of ``rest`` with cuts of the emptiest until at most ``keep`` stay in it; yields the full ones."""
         full, low = 0, len(rest) - 1
-        while full < low:
+        while full < low and low - full >= keep:
             level, pieces = rest[full]
             below, giver = rest[low]
             doc, start, ids = giver.pop()
@@ -139,8 +148,13 @@ class Packer:
                 full += 1
             if below == n:
                 low -= 1
-        if full == low:
-            level, pieces = rest[full]
+        rest[:] = rest[full:low + 1]
+
+    def finish(self) -> Iterator[list]:
+        """Windows still open, levelled out: all full, then one rest as sequences of powers of two."""
+        rest = self.drained()
+        yield from self.levelled(rest, 1)
+        for level, pieces in rest:
             size = 1 << (level.bit_length() - 1)
             while pieces:
                 own, need = [], size
@@ -197,8 +211,9 @@ def pack(df: DataFrame, path: str, window: int = 2048, end_id: int = 1, with_ids
                     whole = len(ids) - len(ids) % window
                     for start in range(0, whole, window):
                         emit([((doc, len(ids)), start, ids[start:start + window])])
-                    if whole < len(ids) and (full := packer.place(((doc, len(ids)), whole, ids[whole:]))):
-                        emit(full)
+                    if whole < len(ids):
+                        for full in packer.place(((doc, len(ids)), whole, ids[whole:])):
+                            emit(full)
                 if len(out) > 5000:
                     yield batch_of()
         for pieces in packer.finish():

@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from matchspark.llm.bpe import Bpe, bpe_decode, bpe_digests, bpe_encode
+import matchspark.llm.packing as packing
 from matchspark.llm.packing import Packer, pack
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -103,6 +104,26 @@ def test_level_choice_minimises_the_sum_of_squares():
         assert int((packer.count[1:32] ** 2).sum()) == min(after(h) for h in options)
 
 
+def test_open_windows_are_levelled_out_beyond_the_limit(monkeypatch):
+    """Rests too long to pair up fill no window by themselves; however few may stay open, none is closed short."""
+    monkeypatch.setattr(packing, "MAX_OPEN", 8)
+    rng = np.random.default_rng(11)
+    packer, out = packing.Packer(2048), []
+    sizes = rng.integers(1200, 2041, 700).tolist()
+    for doc, n in enumerate(sizes):
+        out += packer.place((doc, 0, np.arange(n, dtype=np.int32)))
+        assert packer.open <= 9
+    rest = list(packer.finish())
+    assert {sum(len(ids) for _, _, ids in w) for w in out} == {2048}
+    short = [n for n in (sum(len(ids) for _, _, ids in w) for w in rest) if n < 2048]
+    assert sum(short) < 2048 and all(n & (n - 1) == 0 for n in short)
+    held = {}
+    for doc, start, ids in (p for w in out + rest for p in w):
+        assert ids.tolist() == list(range(start, start + len(ids)))
+        held.setdefault(doc, []).extend(ids.tolist())
+    assert [sorted(held[d]) for d in range(len(sizes))] == [list(range(n)) for n in sizes]
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert bpe_digests(empty, BYTES).count() == bpe_encode(empty, BYTES).count() == pack(empty, WORDS).count() == 0

@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from matchspark.llm.common import U64, byte_slices, lean, mix, row_key
 
 FEATURE_BITS, ORDERS = 16, (1, 2, 3)
-#: Labelled documents per language that the weights are fitted on, and how many languages a model may hold.
-SAMPLE, MAX_LANGUAGES = 1000, 500
+#: Labelled documents that the weights are fitted on: per language, and at most in all.
+SAMPLE, SAMPLE_ALL = 1000, 500_000
+#: Weights of a model. With more than 256 languages n-grams share more features, so that every language is learnt.
+CELLS = 1 << 24
 EPOCHS, ALPHA, BETA, L1, L2 = 6, 0.5, 1.0, 1e-5, 1e-6
 PART = 512 << 10
 
@@ -56,7 +58,7 @@ class Letters:
         return cls.table[points]
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(data: np.ndarray, offsets: np.ndarray, bits: int = FEATURE_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Feature and row of every n-gram of letters (runs of other characters count as one gap), and each row's letters."""
     points, at = code_points(data, offsets)
     letter = Letters.fold(points)
@@ -74,28 +76,28 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         for i in range(order):
             key = (key << U64(20)) ^ letter[i:n + i] if order == 3 else (key << U64(21)) | letter[i:n + i]
         own = (row[:n] == row[order - 1:]) & ((letter[:n] > 0) | (letter[order - 1:] > 0))
-        ids.append((mix(key[own] + U64(order)) >> U64(64 - FEATURE_BITS)).astype(np.int64))
+        ids.append((mix(key[own] + U64(order)) >> U64(64 - bits)).astype(np.int64))
         rows.append(row[:n][own])
     empty = [np.zeros(0, np.int64)]
     return np.concatenate(ids or empty), np.concatenate(rows or empty), letters
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
+def document_frequencies(docs: DataFrame, bits: int) -> tuple[np.ndarray, int]:
     """How many texts hold each feature, and how many texts there are; partial sums per task, bounded by the feature count."""
 
     @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(1 << FEATURE_BITS, np.int64), 0
+        total, n = np.zeros(1 << bits, np.int64), 0
         for batch in batches:
             for lo, hi, data, offsets in byte_slices(batch.column(0), PART):
-                ids, rows, _ = features(data, offsets)
-                total += np.bincount(np.unique(rows << FEATURE_BITS | ids) & ((1 << FEATURE_BITS) - 1), minlength=len(total))
+                ids, rows, _ = features(data, offsets, bits)
+                total += np.bincount(np.unique(rows << bits | ids) & ((1 << bits) - 1), minlength=len(total))
                 n += hi - lo
         held = np.append(np.flatnonzero(total), -1)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(np.append(total[held[:-1]], n))], ["feature", "df"])
 
     found = docs.select("text").mapInArrow(count, "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")).toArrow().to_pandas()
-    out, n = np.zeros(1 << FEATURE_BITS), 0
+    out, n = np.zeros(1 << bits), 0
     for feature, df in zip(found["feature"], found["df"]):
         if feature < 0:
             n = int(df)
@@ -115,9 +117,10 @@ class Model:
 
     def vectors(self, data: np.ndarray, offsets: np.ndarray) -> tuple:
         """Rows, features and values of the unit TF-IDF vectors of texts, and each text's letters."""
-        ids, rows, letters = features(data, offsets)
-        key, count = np.unique(rows << FEATURE_BITS | ids, return_counts=True)
-        row, feature = key >> FEATURE_BITS, key & ((1 << FEATURE_BITS) - 1)
+        bits = len(self.idf).bit_length() - 1
+        ids, rows, letters = features(data, offsets, bits)
+        key, count = np.unique(rows << bits | ids, return_counts=True)
+        row, feature = key >> bits, key & (len(self.idf) - 1)
         value = (1 + np.log(count)) * self.idf[feature]
         norm = np.sqrt(np.bincount(row, value * value, minlength=len(letters)))
         return row, feature, value / np.maximum(norm[row], 1e-9), letters
@@ -176,18 +179,20 @@ class Model:
 
 def train(docs: DataFrame) -> Model:
     """A model of the labelled ``docs`` (doc_id, text, lang). Frequencies cover all of them; see SAMPLE for the fit."""
-    counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = docs.groupBy("lang").count().collect()  # one row a language
     languages = sorted(r["lang"] for r in counts)
-    df, n = document_frequencies(docs)
+    bits = max(4, min(FEATURE_BITS, (CELLS // max(1, len(languages))).bit_length() - 1))
+    each = max(1, min(SAMPLE, SAMPLE_ALL // max(1, len(languages))))
+    df, n = document_frequencies(docs, bits)
     model = Model(languages, np.log((1 + n) / (1 + df)) + 1)
     if not languages:
         return model
-    # about twice SAMPLE keys of each language by their hash, so that ranking them is small work
-    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1 << 20, (2 * SAMPLE << 20) // r["count"] + 64)) for r in counts], "lang string, share long")
+    # about twice the sample's keys of each language by their hash, so that ranking them is small work
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1 << 20, (2 * each << 20) // r["count"] + 64)) for r in counts], "lang string, share long")
     keys = row_key(docs).select("lang", "rk").join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("rk"), F.lit(1 << 20)) < F.col("share")).dropDuplicates(["lang", "rk"])
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("rk"), F.lit(1 << 20)), "rk"))
-    chosen = keys.withColumn("place", place).where(F.col("place") <= SAMPLE).select("lang", "rk")
-    sample = row_key(docs).join(F.broadcast(chosen), ["lang", "rk"], "left_semi")  # at most SAMPLE * MAX_LANGUAGES keys
+    chosen = keys.withColumn("place", place).where(F.col("place") <= each).select("lang", "rk")
+    sample = row_key(docs).join(F.broadcast(chosen), ["lang", "rk"], "left_semi")  # at most SAMPLE_ALL keys
     sample = sample.dropDuplicates(["lang", "rk"])
 
     @lean

@@ -1,8 +1,9 @@
 """Document fingerprints from closed syncmers.
 
 A k-mer is a closed syncmer when its smallest inner s-mer stands at its first or last place. That depends on the k-mer
-alone, so the same passage yields the same anchors in any document. The fingerprint keeps the anchors of smallest hash
-(a bottom sketch), from which the likeness of two texts is estimated.
+alone, so the same passage yields the same anchors in any document. Texts are matched by position: two neighbouring
+anchors and their distance are one link, and likeness is the share of links that two texts have in common, counted over all
+anchors of both. The printed fingerprint holds the anchors of smallest hash (a bottom sketch) and a digest of all links.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from matchspark.llm.common import U64, byte_slices, eight_bytes, mix, texts
+from matchspark.llm.common import U64, byte_slices, eight_bytes, lean, mix, texts
 
 K, S = 16, 8
-#: Anchors in a fingerprint.
+#: Anchors printed in a fingerprint.
 KEPT = 64
 #: Rows per range of ids, and ranges at most (a driver-side list of that many ids).
 RANGE_ROWS, MAX_RANGES = 1024, 4096
@@ -53,30 +54,40 @@ def syncmers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at - offsets[row], row, value
 
 
-def sketches(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """The KEPT smallest distinct 32-bit anchor hashes of each row, ascending."""
-    _, row, value = syncmers(data, offsets)
+def anchors(data: np.ndarray, offsets: np.ndarray) -> list[tuple[str, np.ndarray]]:
+    """The printed fingerprint and the sorted links of each row.
+
+    A link is hashed from two neighbouring anchors and their distance; a text with a single anchor has that as its only
+    link. A passage that two texts share gives both all links inside it, wherever it stands.
+    """
+    at, row, value = syncmers(data, offsets)
+    order = np.lexsort((at, row))
+    at, row, value = at[order], row[order], value[order]
+    joined = row[1:] == row[:-1]
+    link = mix(value[:-1] + mix(value[1:] ^ mix((at[1:] - at[:-1]).astype(U64))))[joined] if len(at) else value
+    owner = row[:-1][joined] if len(at) else row
+    alone = np.flatnonzero(np.bincount(row, minlength=len(offsets) - 1)[row] == 1) if len(at) else row
+    link, owner = np.append(link, value[alone]), np.append(owner, row[alone])
+    order = np.lexsort((link, owner))
+    link, cut = link[order], np.searchsorted(owner[order], np.arange(len(offsets)))
     key = np.unique(row.astype(U64) << U64(32) | value >> U64(32))
     first = np.searchsorted(key, np.arange(len(offsets), dtype=U64) << U64(32))
-    low = (key & U64(0xFFFFFFFF)).astype(np.uint32)
-    return [low[a:min(b, a + KEPT)] for a, b in zip(first, first[1:])]
+    low = (key & U64(0xFFFFFFFF)).astype(">u4")
+    out = []
+    for i in range(len(offsets) - 1):
+        own = link[cut[i]:cut[i + 1]]
+        digest = hashlib.blake2b(own.astype(">u8").tobytes(), digest_size=8).hexdigest() if len(own) else ""
+        out.append((digest + low[first[i]:min(first[i + 1], first[i] + KEPT)].tobytes().hex(), own))
+    return out
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of anchors that two fingerprints have in common: among the smallest of both, those in both."""
+    """Links in both over links in either, repeats counted; two texts without links are alike."""
     if not len(a) and not len(b):
         return 1.0
-    both = np.concatenate([a, b])
-    both.sort()
-    same = both[1:] == both[:-1]
-    first = np.append(True, ~same)
-    union = np.cumsum(first)
-    kept = min(int(union[-1]), KEPT)
-    return float(np.sum(same & (union[1:] <= kept))) / kept
-
-
-def hexes(sketch: np.ndarray) -> str:
-    return sketch.astype(">u4").tobytes().hex()
+    keys, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = np.bincount(at[:len(a)], minlength=len(keys)), np.bincount(at[len(a):], minlength=len(keys))
+    return float(np.minimum(x, y).sum() / np.maximum(x, y).sum())
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -121,20 +132,21 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     names = [x.split(" ")[0] for x in schema.split(", ")]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
         for batch in batches:
             for lo, hi, data, offsets in byte_slices(batch.column(3)):
                 part = batch.slice(lo, hi - lo)
                 ids, guests, own = part.column(2).to_pylist(), part.column(1).to_pylist(), part.column(3).to_pylist()
-                rows = list(zip(ids, guests, own, sketches(data, offsets)))
+                rows = list(zip(ids, guests, own, anchors(data, offsets)))
                 rows = ([held] if held else []) + rows
                 pairs = [(a, b) for a, b in zip(rows, rows[1:]) if not a[1]]
                 held = rows[-1]
                 edited = [a[2][:len(a[2]) - len(a[2]) // 2] + b[2][:len(a[2]) // 2] for a, b in pairs]
-                prints = [s for _, _, d, o in byte_slices(pa.array(edited, pa.string())) for s in sketches(d, o)]
+                prints = [s for _, _, d, o in byte_slices(pa.array(edited, pa.string())) for s in anchors(d, o)]
                 out = [
-                    (a[0], len(a[2]), hashlib.sha256(e.encode()).hexdigest(), hexes(a[3]), hexes(p), likeness(a[3], p), likeness(a[3], b[3]))
+                    (a[0], len(a[2]), hashlib.sha256(e.encode()).hexdigest(), a[3][0], p[0], likeness(a[3][1], p[1]), likeness(a[3][1], b[3][1]))
                     for (a, b), e, p in zip(pairs, edited, prints)
                 ]
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]

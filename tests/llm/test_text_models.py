@@ -7,11 +7,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import matchspark.llm.suffix_dedup as suffix
-from matchspark.llm.common import eight_bytes
-from matchspark.llm.fingerprints import fingerprints
+from matchspark.llm.common import byte_slices, eight_bytes, mix
+from matchspark.llm.fingerprints import K, S, anchors, fingerprints, likeness
 from matchspark.llm.html_text import blocks, html_text
 from matchspark.llm.language_id import language_id
 from matchspark.llm.lm_score import Ppm, grams, lm_score
@@ -128,6 +129,50 @@ def test_fingerprints(table, request):
         assert np.mean([r.near_edited for r in got]) > 0.25 > 0.05 > np.mean([r.near_next for r in got])
 
 
+def brute_links(text):
+    """Links of a text from the definition: k-mers whose smallest inner s-mer stands at an edge, and the steps between them."""
+    data = text.encode()
+    rank = lambda s: int(mix(np.array([int.from_bytes(s, "big")], np.uint64))[0])
+    found = []
+    for i in range(len(data) - K + 1):
+        inner = [rank(data[j:j + S]) for j in range(i, i + K - S + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            found.append((i, data[i:i + K]))
+    if len(found) == 1 or (data and len(data) < K):
+        return Counter([found[0][1] if found else data])
+    return Counter((a[1], b[1], b[0] - a[0]) for a, b in zip(found, found[1:]))
+
+
+def test_likeness_of_all_links():
+    rng = np.random.default_rng(2)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdeé"), 5)) for _ in range(n))
+    shared = words(60)
+    cases = [("", ""), ("", "x"), ("abc", "abc"), ("abc", "abd"), (words(40), words(40)), (words(80) + shared + words(50), words(10) + shared), (shared * 3, shared), (shared, shared[:90] + "X" + shared[91:]), ("a" * 40, "a" * 60)]
+    for a, b in cases:
+        x, y = brute_links(a), brute_links(b)
+        either = sum((x | y).values())
+        mine = [anchors(d, o)[0][1] for t in (a, b) for _, _, d, o in byte_slices(pa.array([t]))]
+        assert likeness(*mine) == pytest.approx(sum((x & y).values()) / either if either else 1.0)
+
+
+def test_small_parts_of_long_texts_count(spark):
+    rng = np.random.default_rng(4)
+    text = lambda n: " ".join(map(str, rng.integers(0, 10**6, n)))
+    passage, long = text(400), text(20000)
+    rows = [(1, text(20000) + passage), (2, passage + text(20000)), (3, long), (4, long[:70000] + "abc" + long[70003:])]
+    got = {r.doc_id: r for r in fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert 0.005 < got[1].near_next < 0.02 and 0.99 < got[3].near_next < 1
+    assert got[3].fingerprint != got[4].fingerprint
+
+
+def test_every_language_is_learnt(spark):
+    rows = [(i, f"{chr(0x4E00 + i % 600) * 3} {chr(0x4E00 + i % 600) * 2}", f"l{i % 600:03}") for i in range(2400)]
+    got = language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    known = {x for i, _, x in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert len({r.lang_pred for r in got}) > 500 and {r.lang_pred for r in got} <= known
+    assert np.mean([r.lang_pred == rows[r.doc_id][2] for r in got]) > 0.9
+
+
 PAGE = """<html><head><title>T &amp; x</title><style>p{}</style></head><body><header>Site</header><nav><ul><li>a<li>b</ul></nav><div id="cookie-notice">We use</div>
 <article><h1>Big &lt;T&gt;</h1><p>One<b>two</b> three&nbsp;x<br>y<p>Next <script>var t="</p>";</script>para<aside>side</aside><form>f<input></form><div class="ad">buy</div>
 <table><tr><td>c1<td>c2</table></article><section class="comments"><article>cmt</article></section><footer>foot</footer></body>"""

@@ -351,14 +351,15 @@ def rank_backups(planned: DataFrame, candidates: DataFrame) -> DataFrame:
     """Best relevance of each candidate to any planned scene of its match, 0 where nothing is planned.
 
     Only pairs that share a story or a word can score beyond the event's points, so pairs come from equi-joins on those;
-    the event alone is counted per match and event, without pairs.
+    the event alone is counted per match and event, without pairs. Planned scenes also have analysis_purpose, screen_text
+    and role (``reaction`` lets reactions stand in).
     """
     from matchspark.functions.text import EVIDENCE_WORDS, semantic_tokens
 
     keys = ["match_id", "moment_id"]
     p = planned.select(
-        "match_id", F.col("moment_id").alias("p_id"), F.col("story_id").alias("p_story"), F.col("event_type").alias("p_event"), S.reaction().alias("p_react"),
-        F.concat_ws(" ", "description", "commentary").alias("p_text"))
+        "match_id", F.col("moment_id").alias("p_id"), F.col("story_id").alias("p_story"), F.col("event_type").alias("p_event"), (S.reaction() | F.coalesce(F.col("role") == "reaction", F.lit(False))).alias("p_react"),
+        F.concat_ws(" ", "description", "commentary", "analysis_purpose", "screen_text").alias("p_text"))
     c = candidates.select(*keys, "story_id", "event_type", S.reaction().alias("react"), "description")
     pt = p.select("match_id", "p_id", F.explode(semantic_tokens(F.col("p_text"))).alias("tok"))
     ct = c.select(*keys, F.explode(semantic_tokens(F.col("description"))).alias("tok"))

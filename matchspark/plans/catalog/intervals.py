@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from matchspark.functions import scalar as S
+from matchspark.operators import ledger as L
 from matchspark.operators import windows as W
 from matchspark.operators.timeline import block_of, scan
+from matchspark.plans.catalog.ledger import LEDGER_SQL, ledger
 from matchspark.plans.registry import query
 
 # sources of varying length, so tiles and tails differ per match
@@ -127,14 +129,14 @@ def _(v):
     return W.chop_windows(wide, v.sources)
 
 
-@query("goal_gap_windows", f"""WITH {CHOP_SQL.format(src='(SELECT match_id, start_ms - 10000 AS start_ms, end_ms + 10000 AS end_ms FROM moments_v WHERE ordinal % 97 = 5)')},
+@query("goal_gap_windows", f"""{LEDGER_SQL}, {CHOP_SQL.format(src='(SELECT match_id // 1000 AS match_id, x.s - 10000 AS start_ms, x.e + 10000 AS end_ms FROM (SELECT match_id, unnest(gaps) AS x FROM final))')},
   {MERGED_SQL}, {fresh_sql('hot', 'chop')}, {gaps_sql('gaps', 4000)}, {fresh_sql('cold', 'gaps')},
   a AS (SELECT match_id, start_ms, end_ms, 'score_jump' AS origin FROM hot QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY start_ms, end_ms) <= 4),
   b AS (SELECT match_id, greatest(0, start_ms - 2000) AS start_ms, least(5400000, end_ms + 2000) AS end_ms, 'gap' AS origin FROM cold
      QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY (interior OR opening) DESC, uncovered_ms DESC, cold.start_ms) <= 4)
   SELECT * FROM a UNION ALL SELECT * FROM b WHERE match_id NOT IN (SELECT match_id FROM a)""")
 def _(v):
-    jumps = v.moments.where("ordinal % 97 = 5").select("match_id", "start_ms", "end_ms")
+    jumps = L.ledger_unresolved(ledger(v)).select(F.expr("match_id div 1000").alias("match_id"), "start_ms", "end_ms")  # periods of a match
     return W.goal_gap_windows(jumps, v.moments, v.sources, v.searched)
 
 

@@ -220,18 +220,21 @@ def _(v):
     return Q.editable_seconds(v.moments)
 
 
-PLANNED = "(SELECT * FROM moments_v WHERE selected AND match_id % 4 <> 3)"
+PURPOSE = "CASE WHEN ordinal % 5 = 1 THEN concat('explains the crossing run ', CAST(ordinal % 9 AS STRING)) END"
+SCREEN = "CASE WHEN ordinal % 6 = 2 THEN 'Goalkeeper saves volley' END"
+PLAN_ROLE = "CASE WHEN ordinal % 10 = 3 THEN 'reaction' ELSE 'action' END"
+PLANNED = f"(SELECT *, {PURPOSE} AS analysis_purpose, {SCREEN} AS screen_text, {PLAN_ROLE} AS role FROM moments_v WHERE selected)"
 TOK = """SELECT DISTINCT match_id, moment_id, tok FROM (SELECT match_id, moment_id, CASE WHEN tok LIKE 'clear%' THEN 'clearance' WHEN tok LIKE 'cross%' THEN 'cross' WHEN tok LIKE 'defen%' THEN 'defense' WHEN tok LIKE 'attack%' THEN 'attack'
    WHEN tok LIKE 'celebr%' THEN 'celebration' WHEN tok LIKE 'dribbl%' THEN 'dribble' WHEN tok LIKE 'finish%' THEN 'finish' WHEN tok LIKE 'head%' THEN 'header' WHEN tok LIKE 'sav%' THEN 'save' WHEN tok LIKE 'shoot%' THEN 'shot' WHEN tok LIKE 'tackl%' THEN 'tackle'
    WHEN length(tok) > 4 AND tok LIKE '%s' THEN left(tok, -1) ELSE tok END AS tok FROM (SELECT match_id, moment_id, unnest(string_split_regex(trim(regexp_replace(lower({text}), '[^a-z0-9]+', ' ', 'g')), '\\s+')) AS tok FROM {src}))
   WHERE length(tok) >= 4 AND tok NOT IN ('with', 'from', 'into', 'over', 'past', 'that', 'this', 'their', 'before', 'after', 'shows', 'showing', 'scene', 'clip', 'replay', 'player', 'ball', 'football', 'toward', 'towards', 'through')"""
 
 
-@query("rank_backups", f"""WITH pl AS {PLANNED}, pt AS ({TOK.format(text="coalesce(description, '') || ' ' || coalesce(commentary, '')", src='pl')}), ct AS ({TOK.format(text='description', src='moments_v')}),
+@query("rank_backups", f"""WITH pl AS {PLANNED}, pt AS ({TOK.format(text="concat_ws(' ', description, commentary, analysis_purpose, screen_text)", src='pl')}), ct AS ({TOK.format(text='description', src='moments_v')}),
   ov AS (SELECT p.match_id, p.moment_id AS pid, c.moment_id AS cid, sum(CASE WHEN p.tok IN ('assist', 'clearance', 'cross', 'dribble', 'header', 'offside', 'save', 'shot', 'tackle', 'volley') THEN 18 WHEN length(p.tok) >= 7 THEN 10 ELSE 6 END) AS pts FROM pt p JOIN ct c ON p.match_id = c.match_id AND p.tok = c.tok GROUP BY ALL),
   sc AS (SELECT m.match_id, m.moment_id, max(CASE WHEN p.moment_id IS NULL THEN 0 WHEN p.moment_id = m.moment_id THEN -1 ELSE CASE WHEN p.story_id = m.story_id THEN 60 ELSE 0 END + CASE WHEN p.event_type = m.event_type THEN 8 ELSE 0 END
-     - CASE WHEN (m.event_type = 'celebration' OR m.story_phase = 'reaction') AND NOT (p.event_type = 'celebration' OR p.story_phase = 'reaction') THEN 60 ELSE 0 END + coalesce(pts, 0) END) AS s
+     - CASE WHEN (m.event_type = 'celebration' OR m.story_phase = 'reaction') AND NOT (p.event_type = 'celebration' OR p.story_phase = 'reaction' OR p.role = 'reaction') THEN 60 ELSE 0 END + coalesce(pts, 0) END) AS s
      FROM moments_v m LEFT JOIN pl p ON p.match_id = m.match_id LEFT JOIN ov ON ov.match_id = m.match_id AND pid = p.moment_id AND cid = m.moment_id GROUP BY ALL)
   SELECT match_id, moment_id, CAST(greatest(0, s) AS BIGINT) AS semantic_score FROM sc""")
 def _(v):
-    return SEL.rank_backups(v.moments.where("selected AND match_id % 4 <> 3"), v.moments)
+    return SEL.rank_backups(v.moments.where("selected").withColumns(dict(analysis_purpose=F.expr(PURPOSE), screen_text=F.expr(SCREEN), role=F.expr(PLAN_ROLE))), v.moments)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from matchspark.operators import moments as M
-from matchspark.sources import readers as R
 from matchspark.plans.registry import query
+from matchspark.session import ensure_checkpoint_dir
+from matchspark.sources import readers as R
 
 DOC = """concat('{"id":"job-', CAST(match_id AS STRING), '","stage":"ranking","moments":[{"id":"', moment_id, '","startTime":', CAST(start_ms / 1000e0 AS STRING), ',"endTime":', CAST(end_ms / 1000e0 AS STRING), ',"eventType":"', event_type, '","confidence":0.5,"isReplay":',
   CASE WHEN is_replay THEN 'true' ELSE 'false' END, '},{"id":"', moment_id, '-b","startTime":1.0,"endTime":2.5,"eventType":"save","ballVisible":true}]}')"""
@@ -68,6 +71,15 @@ def _(v):
     return R.upsert_observations(rows.where("ordinal % 2 = 0").drop("ordinal"), rows.where("ordinal % 2 = 1").drop("ordinal"))
 
 
+@query("upsert_table", """WITH b AS (SELECT 'sig' || match_id AS signature, ordinal // 3 AS frame, ordinal, ordinal * 10 AS written_us FROM moments_v) SELECT signature, frame, arg_max('p' || ordinal, written_us) AS payload, max(written_us) AS written_us FROM b GROUP BY ALL""")
+def _(v):
+    rows = v.moments.selectExpr("concat('sig', CAST(match_id AS STRING)) AS signature", "ordinal div 3 AS frame", "concat('p', CAST(ordinal AS STRING)) AS payload", "ordinal * 10 AS written_us", "ordinal")
+    path = f"{ensure_checkpoint_dir(v.spark)}/observations/{uuid.uuid4().hex}"
+    for turn in (1, 0, 2):
+        R.upsert_table(rows.where(f"ordinal % 3 = {turn}").drop("ordinal"), path, 16)
+    return v.spark.read.parquet(path).drop("part")
+
+
 @query("dedup_uploads", "SELECT sha256(text) AS digest, 'f' || min(lpad(CAST(doc_id AS VARCHAR), 9, '0')) AS path, count(*) AS copies FROM documents GROUP BY text")
 def _(v):
     files = v.parquet("documents").select(F.expr("concat('f', lpad(CAST(doc_id AS STRING), 9, '0'))").alias("path"), F.encode("text", "UTF-8").alias("content"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from matchspark.session import cut_lineage
+
 JOB = """id STRING, stage STRING, progress DOUBLE, moments ARRAY<STRUCT<id: STRING, startTime: DOUBLE, endTime: DOUBLE, eventType: STRING, confidence: DOUBLE,
   ballVisible: BOOLEAN, mainPlayerVisible: BOOLEAN, isReplay: BOOLEAN, storyId: STRING, storyPhase: STRING, keepDecision: STRING, duplicateGroup: STRING, importanceScore: DOUBLE>>"""
 TRACKING = """moments MAP<STRING, STRUCT<sampledFrames: BIGINT, keyframes: ARRAY<STRUCT<time: DOUBLE, cameraX: DOUBLE, directBall: BOOLEAN>>,
@@ -118,18 +120,65 @@ def upsert_observations(new: DataFrame, old: DataFrame) -> DataFrame:
     return both.groupBy("signature", "frame").agg(F.max_by(F.struct(*cols), F.col("written_us")).alias("_r")).select("signature", "frame", "_r.*")
 
 
+def upsert_table(new: DataFrame, path: str, parts: int = 64) -> None:
+    """Merge ``new`` observations into the table at ``path``, rewriting only the partitions they fall into.
+
+    The table is partitioned by ``part``, a hash of the signature. The merged rows are written to the checkpoint folder
+    before they replace anything, so a lost executor costs no old row. A first write creates the table.
+    """
+    spark = new.sparkSession
+    placed = new.withColumn("part", F.pmod(F.xxhash64("signature"), F.lit(parts)).cast("int"))
+    merged = placed.drop("part")
+    if table_exists(spark, path):
+        touched = placed.select("part").distinct()  # at most ``parts`` rows
+        old = spark.read.parquet(path).join(F.broadcast(touched), "part", "left_semi").drop("part")
+        merged = upsert_observations(merged, old.select(merged.columns))
+    else:
+        merged = upsert_observations(merged.limit(0), merged)
+    out = cut_lineage(merged.withColumn("part", F.pmod(F.xxhash64("signature"), F.lit(parts)).cast("int")))
+    out.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path``, in any store that Spark reads, holds anything."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(at) and len(fs.listStatus(at)) > 0
+
+
+def published(spark: SparkSession, path: str) -> int | None:
+    """The version that the pointer at ``path`` names, if any: the highest one whose data were complete."""
+    if not table_exists(spark, f"{path}/pointer"):
+        return None
+    return spark.read.schema("version long").parquet(f"{path}/pointer").agg(F.max("version")).first()[0]
+
+
 def write_snapshot(df: DataFrame, path: str, version: int) -> str:
-    """Write a version directory once; a retry of the same version overwrites only itself."""
-    target = f"{path}/version={version}"
-    df.write.mode("overwrite").parquet(target)
+    """Write a version's data, then the pointer row that publishes it.
+
+    Readers follow the pointer, so a run that stops in between leaves the former version visible, and the next attempt
+    overwrites what it left. A published version, or one older than that, is not written again.
+    """
+    spark, target = df.sparkSession, f"{path}/data/version={version}"
+    now = published(spark, path)
+    if now is None or version > now:
+        df.write.mode("overwrite").parquet(target)
+        spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").parquet(f"{path}/pointer")
     return target
 
 
 def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the highest complete version under ``path``."""
-    rows = spark.read.option("basePath", path).parquet(f"{path}/version=*")
-    top = rows.agg(F.max("version")).first()[0]
-    return rows.where(F.col("version") == top).drop("version")
+    """Rows of the published version under ``path``."""
+    version = published(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"nothing is published under {path}")
+    return spark.read.parquet(f"{path}/data/version={version}")
+
+
+def snapshot_batches(path: str):
+    """A ``foreachBatch`` function that publishes each micro-batch once, however often it is tried."""
+    return lambda df, batch_id: write_snapshot(df, path, batch_id + 1)
 
 
 def dedup_uploads(files: DataFrame) -> DataFrame:

@@ -150,9 +150,12 @@ def gram_scores(counts: DataFrame) -> DataFrame:
 def most_frequent(counts: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Keys and values of at most ``limit`` rows (key, n, value) of the highest ``n``, sorted by key, and the least ``n`` of them.
 
-    Rows of equal count stay or go together: the least count follows from how many rows each count has.
+    Rows of equal count stay or go together: the least count follows from how many rows each count has. Counts of 2**16
+    and more are taken by their nine leading bits.
     """
-    sizes = counts.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).count().collect()  # at most 2**16 rows
+    low = "CAST(floor(log2(n)) AS INT) - 8"
+    step = F.when(F.col("n") < 1 << 16, F.col("n")).otherwise(F.expr(f"shiftleft(shiftright(n, {low}), {low})"))
+    sizes = counts.groupBy(step.alias("n")).count().collect()  # at most 2**16 rows and 2**9 for each further bit
     sizes = sorted((-r["n"], r["count"]) for r in sizes)
     held, least = 0, None
     for n, rows in sizes:

@@ -27,3 +27,10 @@ def test_scores_use_all_counts(table, most, request, monkeypatch):
     assert got.keys() == ids.keys()
     for i, scores in ids.items():
         assert np.allclose(sorted(got[i]), sorted(scores), rtol=1e-5, atol=0.01)  # Ppm holds logs in single precision
+
+
+def test_the_most_frequent_of_many_large_counts(spark):
+    """Large counts are told apart, so a full table never empties the broadcast."""
+    rows = [(i, n, float(i)) for i, n in enumerate([3] * 50 + list(range(65_000, 75_000)) + [1 << 40, (1 << 40) + 5])]
+    key, value, least = lm.most_frequent(spark.createDataFrame(rows, "key long, n long, value double"), 1000)
+    assert 500 < len(key) <= 1000 and {r[0] for r in rows if r[1] >= least} == set(key.tolist()) and value.tolist() == [float(k) for k in key]

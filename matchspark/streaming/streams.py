@@ -2,6 +2,9 @@
 
 Keyed state is small and of fixed shape per key. Within one trigger a key's rows
 are put in event order first; what one trigger takes up bounds how many there are.
+Rows carry their event time in ``at``. Rows behind the watermark are dropped; a
+key whose last row lies ``ttl_ms`` behind it loses its state, and starts anew if
+rows come again.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ import json
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -31,6 +34,27 @@ def ingest_sections(sections: DataFrame, late: str = "1 hour") -> DataFrame:
     return sections.withWatermark("at", late).dropDuplicatesWithinWatermark(["match_id", "section"])
 
 
+def _stateful(rows: DataFrame, keys: list[str], step, schema: str, state: str, late: str, ttl_ms: int) -> DataFrame:
+    """Run ``step(key, batches, state)`` per key; the state ends by an event-time timer ``ttl_ms`` after the key's last row."""
+
+    def timed(key, batches, held: GroupState):
+        if held.hasTimedOut:
+            held.remove()
+            return
+        seen = list(batches)
+        yield from step(key, seen, held)
+        newest = max(int(b["at"].max().value // 1_000_000) for b in seen if len(b))
+        held.setTimeoutTimestamp(max(newest, held.getCurrentWatermarkMs()) + ttl_ms)
+
+    return rows.withWatermark("at", late).groupBy(*keys).applyInPandasWithState(timed, schema, state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def newest_minutes(buckets: DataFrame, keep: int = 60) -> DataFrame:
+    """The newest ``keep`` minutes of each job and model among closed buckets."""
+    order = Window.partitionBy("job_id", "model").orderBy(F.col("window.start").desc())
+    return buckets.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= keep).drop("_n")
+
+
 def _ordered(batches, cols: list[str]) -> pd.DataFrame:
     return pd.concat(list(batches)).sort_values(cols, kind="stable")
 
@@ -46,10 +70,10 @@ def _phase_spans(key, batches, state: GroupState):
     yield pd.DataFrame(out, columns=["job_id", "event_id", "phase", "wall_ms"])
 
 
-def phase_wall_time(events: DataFrame) -> DataFrame:
-    """Wall time closed by each job event, charged to the phase before it."""
-    return events.groupBy("job_id").applyInPandasWithState(
-        _phase_spans, "job_id string, event_id long, phase string, wall_ms long", "us long, phase string, stage string", "append", GroupStateTimeout.NoTimeout)
+def phase_wall_time(events: DataFrame, late: str = "10 minutes", ttl_ms: int = 86_400_000) -> DataFrame:
+    """Wall time closed by each job event, charged to the phase before it. The phase open when a job goes quiet has none."""
+    rows = events.withColumn("at", F.timestamp_micros("us"))
+    return _stateful(rows, ["job_id"], _phase_spans, "job_id string, event_id long, phase string, wall_ms long", "us long, phase string, stage string", late, ttl_ms)
 
 
 def _ledger_step(key, batches, state: GroupState):
@@ -84,14 +108,14 @@ def _ledger_step(key, batches, state: GroupState):
     yield pd.DataFrame(out, columns=["match_id", "kind", "no", "side", "before_ms", "after_ms"])
 
 
-def score_ledger(samples: DataFrame) -> DataFrame:
+def score_ledger(samples: DataFrame, late: str = "10 minutes", ttl_ms: int = 21_600_000) -> DataFrame:
     """Score changes as they are read: anchors, reversals and unexplained changes.
 
-    Scores end at 20, so the open anchors kept per match are at most forty.
+    Scores end at 20, so the open anchors kept per match are at most forty. A match quiet for ``ttl_ms`` is over.
     """
     ok = samples.where("readable AND home BETWEEN 0 AND 20 AND away BETWEEN 0 AND 20").withColumn("clock_s", match_clock_seconds(F.col("clock")))
-    return ok.select("match_id", "t_ms", "home", "away", "clock_s").groupBy("match_id").applyInPandasWithState(
-        _ledger_step, "match_id long, kind string, no long, side string, before_ms long, after_ms long", "body string", "append", GroupStateTimeout.NoTimeout)
+    rows = ok.select("match_id", "t_ms", "home", "away", "clock_s", "at")
+    return _stateful(rows, ["match_id"], _ledger_step, "match_id long, kind string, no long, side string, before_ms long, after_ms long", "body string", late, ttl_ms)
 
 
 def _gap_step(max_gap_ms: int):
@@ -119,10 +143,13 @@ def _gap_step(max_gap_ms: int):
     return step
 
 
-def fill_gaps(frames: DataFrame, max_gap_ms: int = 450) -> DataFrame:
-    """Interpolated rows, emitted when the right endpoint arrives within the gap."""
-    return frames.select("match_id", "scene_id", "frame", "t_ms", "cut", "ball_x", "ball_y").groupBy("match_id", "scene_id").applyInPandasWithState(
-        _gap_step(max_gap_ms), "match_id long, scene_id long, frame long, guide_x double, guide_y double", "body string", "append", GroupStateTimeout.NoTimeout)
+def fill_gaps(frames: DataFrame, max_gap_ms: int = 450, late: str = "1 minute", ttl_ms: int = 600_000) -> DataFrame:
+    """Interpolated rows, emitted when the right endpoint arrives within the gap.
+
+    Rows still waiting when a scene has been quiet for ``ttl_ms`` have no right endpoint and stay empty.
+    """
+    rows = frames.select("match_id", "scene_id", "frame", "t_ms", "cut", "ball_x", "ball_y", "at")
+    return _stateful(rows, ["match_id", "scene_id"], _gap_step(max_gap_ms), "match_id long, scene_id long, frame long, guide_x double, guide_y double", "body string", late, ttl_ms)
 
 
 def replay(spark: SparkSession, table: DataFrame, stream, order: str | None = None, triggers: int = 3) -> DataFrame:

@@ -9,7 +9,9 @@ from matchspark.plans.catalog.tracks import ENDS_SQL
 from matchspark.plans.registry import query
 from matchspark.streaming import streams as S
 
-AT = "CAST(timestamp_millis(t_ms) AS TIMESTAMP) AS at"
+#: Event times start on a day of their own: a row at the very first instant is already behind the first watermark.
+DAY = 1_704_067_200_000
+AT = f"CAST(timestamp_millis({DAY} + t_ms) AS TIMESTAMP) AS at"
 
 
 @query("stream_phase_wall_time", """WITH n AS (SELECT *, lead(us) OVER w AS nu, lead(restarted) OVER w AS nr, lead(event_id) OVER w AS ne FROM job_events_v WINDOW w AS (PARTITION BY job_id ORDER BY us, event_id))
@@ -39,6 +41,6 @@ def _(v):
     """Every section of every match, those without a moment too, each delivered twice and taken once."""
     tiles = v.sources.selectExpr("match_id", "explode(sequence(0L, 29L)) AS section")
     found = v.moments.groupBy("match_id", F.expr("start_ms div 180000").alias("section")).agg(F.count("*").alias("moments"))
-    rows = tiles.join(found, ["match_id", "section"], "left").selectExpr("match_id", "section", "coalesce(moments, 0L) AS moments", "CAST(timestamp_millis(section * 180000) AS TIMESTAMP) AS at", "explode(array(0, 1)) AS attempt")
+    rows = tiles.join(found, ["match_id", "section"], "left").selectExpr("match_id", "section", "coalesce(moments, 0L) AS moments", f"CAST(timestamp_millis({DAY} + section * 180000) AS TIMESTAMP) AS at", "explode(array(0, 1)) AS attempt")
     out = S.replay(v.spark, rows, lambda s: S.ingest_sections(s.drop("attempt"), "3 hours"))
     return out.select("match_id", "section", "moments")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -117,7 +118,8 @@ def best_of_conflicts(
         lost_parts.append(lost)
         left = edges.join(lost, [*keys, "worse"], "left_anti").join(lost.withColumnRenamed("worse", "better"), [*keys, "better"], "left_anti")
         edges = cut_lineage(left)
-    for lost in lost_parts:
+    if lost_parts:
+        lost = functools.reduce(DataFrame.unionByName, lost_parts)  # each row is lost once
         ranked = ranked.join(lost.withColumnRenamed("worse", "_rank"), [*keys, "_rank"], "left_anti")
     return ranked.select(*cols)
 

@@ -32,7 +32,8 @@ def issues(*pairs: tuple[str, Column]) -> Column:
 def observation_problems(moments: DataFrame, duration_ms: int, slack_ms: int = 50) -> DataFrame:
     """Every reason a first observation cannot be used, as a code list.
 
-    ``shot_count``, ``outcome``, ``setup_text`` and ``*_seen`` columns describe the observation.
+    ``shot_count``, ``setup_text``, ``continuation_text``, ``result_text``, ``outcome`` and ``*_seen`` columns describe the
+    observation; all four texts must be there.
     """
     start, end = F.col("start_ms"), F.col("end_ms")
     clocks = [F.col(c) for c in ("origin_ms", "contact_ms", "flight_ms", "payoff_start_ms", "payoff_end_ms")]
@@ -53,7 +54,7 @@ def observation_problems(moments: DataFrame, duration_ms: int, slack_ms: int = 5
             ("missing_incident_id", F.trim(F.coalesce("story_id", F.lit(""))) == ""),
             ("invalid_confidence", ~F.col("confidence").between(0, 1)),
             ("incomplete_action", ~is_true("action_complete") | ~kept()),
-            ("missing_source_description", F.trim(F.coalesce("setup_text", F.lit(""))) == ""),
+            ("missing_source_description", F.least(*[F.length(F.trim(F.coalesce(c, F.lit("")))) for c in ("setup_text", "continuation_text", "result_text", "outcome")]) == 0),
             ("outcome_class_conflict", ~F.col("outcome").eqNullSafe(F.col("event_type"))),
             ("missing_visible_action_phase", act & unseen),
             ("invalid_action_phase_clock", act & bad_clock),

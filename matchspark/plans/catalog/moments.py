@@ -79,7 +79,7 @@ def _(v):
 
 
 OBSERVED = ["*", "CASE WHEN ordinal % 10 = 9 THEN 0 ELSE 2 END AS shot_count", "CASE WHEN ordinal % 6 = 5 THEN 'save' ELSE event_type END AS outcome",
-            "CASE WHEN ordinal % 8 = 7 THEN '  ' ELSE description END AS setup_text", "ordinal % 5 <> 4 AS initiator_seen",
+            "CASE WHEN ordinal % 8 = 7 THEN '  ' ELSE description END AS setup_text", "CASE WHEN ordinal % 13 = 4 THEN NULL ELSE 'runs on' END AS continuation_text", "CASE WHEN ordinal % 17 = 6 THEN '' ELSE 'ends' END AS result_text", "ordinal % 5 <> 4 AS initiator_seen",
             "ordinal % 7 <> 6 AS continuation_seen", "ordinal % 9 <> 8 AS result_seen"]
 
 
@@ -90,7 +90,7 @@ OBSERVED = ["*", "CASE WHEN ordinal % 10 = 9 THEN 0 ELSE 2 END AS shot_count", "
     CASE WHEN trim(coalesce(story_id, '')) = '' THEN 'missing_incident_id' END,
     CASE WHEN confidence < 0 OR confidence > 1 THEN 'invalid_confidence' END,
     CASE WHEN action_complete IS NOT TRUE OR keep_decision = 'reject' THEN 'incomplete_action' END,
-    CASE WHEN trim(setup_text) = '' THEN 'missing_source_description' END,
+    CASE WHEN trim(setup_text) = '' OR continuation_text IS NULL OR result_text = '' OR coalesce(outcome, '') = '' THEN 'missing_source_description' END,
     CASE WHEN outcome <> event_type THEN 'outcome_class_conflict' END,
     CASE WHEN NOT react AND NOT (ball_visible IS TRUE AND player_visible IS TRUE AND initiator_seen AND continuation_seen AND result_seen) THEN 'missing_visible_action_phase' END,
     CASE WHEN NOT react AND (origin_ms IS NULL OR contact_ms IS NULL OR flight_ms IS NULL

@@ -25,7 +25,7 @@ TRK = """concat('{"moments":{"', moment_id, '":{"sampledFrames":3,"keyframes":[{
 
 @query("read_tracking", "SELECT moment_id, 0 AS n, 100 AS t_ms, 0.5e0 AS camera_x, true AS direct FROM moments_v UNION ALL SELECT moment_id, 1, ordinal % 9 * 1000 + 250, 0.25e0, false FROM moments_v")
 def _(v):
-    return R.parse_tracking(v.moments.selectExpr(f"{TRK} AS doc"))["keyframes"]
+    return R.parse_tracking(v.moments.selectExpr(f"{TRK} AS doc"))["keyframes"].select("moment_id", "n", "t_ms", "camera_x", "direct")
 
 
 OBS = ["concat('sig', CAST(match_id AS STRING)) AS signature", "ordinal AS frame", """CASE WHEN ordinal % 5 = 0 THEN '[[],[]]' ELSE concat('[[{"cx":0.5,"cy":0.25,"confidence":0.', CAST(ordinal % 9 + 1 AS STRING), '}],[{"cx":0.1,"cy":0.2,"confidence":0.3},{"cx":0.4,"cy":0.5,"confidence":0.6}]]') END AS payload""", "ordinal * 10 AS written_us"]
@@ -33,7 +33,17 @@ OBS = ["concat('sig', CAST(match_id AS STRING)) AS signature", "ordinal AS frame
 
 @query("read_observations", "SELECT 'sig' || match_id AS signature, ordinal AS frame, i AS idx, CASE i WHEN 0 THEN 0.1e0 WHEN 1 THEN 0.4e0 END AS cx, CASE i WHEN 0 THEN 0.3e0 WHEN 1 THEN 0.6e0 END AS confidence FROM moments_v, (SELECT unnest([0, 1]) AS i) WHERE ordinal % 5 <> 0 UNION ALL SELECT 'sig' || match_id, ordinal, NULL, NULL, NULL FROM moments_v WHERE ordinal % 5 = 0")
 def _(v):
-    return R.parse_observations(v.moments.selectExpr(*OBS))[1].drop("cy")
+    return R.parse_observations(v.moments.selectExpr(*OBS))[1].select("signature", "frame", "idx", "cx", "confidence")
+
+
+RECORD = """concat('{"moments":{"', moment_id, '":{"sampledFrames":3,"metrics":{"jointCoverage":0.', CAST(ordinal % 10 AS STRING), '},"keyframes":[{"time":1.5,"cropBox":[0.1,0.2,0.3,0.4],"jointFit":1,"payoffRegionInFrame":true}],"sourceRecords":[{"time":0.2,"ball_x":0.75,"player_x1":0.25,"player_track_id":', CAST(ordinal % 7 AS STRING), ',"scene_cut":false,"possession":', CASE WHEN ordinal % 2 = 0 THEN 'true' ELSE 'null' END, ',"action_phase":"flight","payoff_box":[0.5,0.5,0.75,0.75]}]}}}')"""
+
+
+@query("read_records", "SELECT moment_id, 0 AS n, 200 AS t_ms, 0.75e0 AS ball_x, 0.25e0 AS px1, ordinal % 7 AS track_id, false AS cut, CASE WHEN ordinal % 2 = 0 THEN true END AS possession, 'flight' AS phase, 0.75e0 AS payoff_x2, (ordinal % 10) / 10e0 AS joint_coverage, 0.4e0 AS crop_y2 FROM moments_v")
+def _(v):
+    parts = R.parse_tracking(v.moments.selectExpr(f"{RECORD} AS doc"))
+    rows = parts["records"].join(parts["scene_evidence"], "moment_id").join(parts["keyframes"].select("moment_id", "crop"), "moment_id")
+    return rows.selectExpr("moment_id", "n", "t_ms", "ball_x", "px1", "track_id", "cut", "possession", "phase", "payoff_box[2] AS payoff_x2", "metrics['jointCoverage'] AS joint_coverage", "crop[3] AS crop_y2")
 
 
 @query("read_shots", "SELECT match_id, shot_id FROM shots_v WHERE match_id IN (SELECT match_id FROM shots_v GROUP BY match_id HAVING max(shot_end_ms) >= (5900000 + match_id * 1000) * 0.9e0)")

@@ -11,11 +11,60 @@ from pyspark.sql import functions as F
 
 from matchspark.session import cut_lineage
 
-JOB = """id STRING, stage STRING, progress DOUBLE, moments ARRAY<STRUCT<id: STRING, startTime: DOUBLE, endTime: DOUBLE, eventType: STRING, confidence: DOUBLE,
-  ballVisible: BOOLEAN, mainPlayerVisible: BOOLEAN, isReplay: BOOLEAN, storyId: STRING, storyPhase: STRING, keepDecision: STRING, duplicateGroup: STRING, importanceScore: DOUBLE>>"""
-TRACKING = """moments MAP<STRING, STRUCT<sampledFrames: BIGINT, keyframes: ARRAY<STRUCT<time: DOUBLE, cameraX: DOUBLE, directBall: BOOLEAN>>,
-  sourceRecords: ARRAY<STRUCT<time: DOUBLE, ball_x: DOUBLE, direct_ball: BOOLEAN>>>>"""
-OBSERVATION = """ARRAY<ARRAY<STRUCT<cx: DOUBLE, cy: DOUBLE, confidence: DOUBLE>>>"""
+# Fields of a moment in a job document, with their types and the columns they become.
+MOMENT_FIELDS = {
+    "id": ("STRING", "moment_id"), "startTime": ("DOUBLE", "start_ms"), "endTime": ("DOUBLE", "end_ms"), "eventType": ("STRING", "event_type"), "storyId": ("STRING", "story_id"),
+    "storyPhase": ("STRING", "story_phase"), "keepDecision": ("STRING", "keep_decision"), "sourceImportanceScore": ("DOUBLE", "source_importance"), "hookScore": ("DOUBLE", "hook"),
+    "flowScore": ("DOUBLE", "flow"), "visualClarity": ("DOUBLE", "visual_clarity"), "excitementScore": ("DOUBLE", "excitement"), "narrativeCompleteness": ("DOUBLE", "completeness"),
+    "rejectReason": ("STRING", "reject_reason"), "isReplay": ("BOOLEAN", "is_replay"), "editOrder": ("INT", "edit_order"), "beatId": ("STRING", "beat_id"), "role": ("STRING", "role"),
+    "transitionIn": ("STRING", "transition_in"), "playerHighlight": ("BOOLEAN", "player_highlight"), "tacticalDrawing": ("STRING", "tactical_drawing"), "transitionDuration": ("DOUBLE", "transition_ms"),
+    "effect": ("STRING", "effect"), "playbackRate": ("DOUBLE", "playback_rate"), "freezeAtPhase": ("STRING", "freeze_at_phase"), "freezeDuration": ("DOUBLE", "freeze_ms"),
+    "narrationDelay": ("DOUBLE", "narration_delay_ms"), "suppressPayoffCaption": ("BOOLEAN", "suppress_payoff_caption"), "identityLabel": ("STRING", "identity_label"),
+    "analysisPurpose": ("STRING", "analysis_purpose"), "onScreenText": ("STRING", "screen_text"), "eventCallout": ("STRING", "event_callout"), "colorGrade": ("STRING", "color_grade"),
+    "soundEffect": ("STRING", "sound_effect"), "importanceScore": ("DOUBLE", "importance"), "description": ("STRING", "description"), "confidence": ("DOUBLE", "confidence"),
+    "ballVisible": ("BOOLEAN", "ball_visible"), "mainPlayerVisible": ("BOOLEAN", "player_visible"), "recommendedCrop": ("ARRAY<STRUCT<time: DOUBLE, x: DOUBLE, y: DOUBLE, confidence: DOUBLE>>", "recommended_crop"),
+    "selectedForFinalVideo": ("BOOLEAN", "selected"), "commentary": ("STRING", "commentary"), "duplicateGroup": ("STRING", "duplicate_group"),
+    "semanticVerified": ("BOOLEAN", "semantic_verified"), "actionComplete": ("BOOLEAN", "action_complete"), "trackingDecision": ("STRING", "tracking_decision"),
+}
+JOB = "id STRING, stage STRING, progress DOUBLE, moments ARRAY<STRUCT<" + ", ".join(f"{k}: {kind}" for k, (kind, _) in MOMENT_FIELDS.items()) + ">>"
+# Fields of a tracking record and of a cached detection, likewise.
+RECORD_FIELDS = {
+    "time": ("DOUBLE", "t_ms"), "camera_target_x": ("DOUBLE", "target_x"), "camera_target_y": ("DOUBLE", "target_y"), "action_spread": ("DOUBLE", "spread"), "player_x": ("DOUBLE", "px"),
+    "player_y": ("DOUBLE", "py"), "player_top": ("DOUBLE", "ptop"), "player_bottom": ("DOUBLE", "pbottom"), "player_x1": ("DOUBLE", "px1"), "player_x2": ("DOUBLE", "px2"),
+    "player_track_id": ("BIGINT", "track_id"), "ball_x": ("DOUBLE", "ball_x"), "ball_y": ("DOUBLE", "ball_y"), "direct_ball": ("BOOLEAN", "direct"), "ball_guidance": ("BOOLEAN", "guided"),
+    "joint_visible": ("BOOLEAN", "joint_visible"), "joint_fit": ("BOOLEAN", "joint_fit"), "joint_span": ("DOUBLE", "joint_span"), "possession": ("BOOLEAN", "possession"),
+    "ball_pixel_diameter": ("DOUBLE", "ball_diameter"), "subject_confidence": ("DOUBLE", "subject_confidence"), "scene_cut": ("BOOLEAN", "cut"), "ball_confidence": ("DOUBLE", "ball_confidence"),
+    "observed_closeup_box": ("ARRAY<DOUBLE>", "closeup_box"), "allow_outcome_lookahead": ("BOOLEAN", "outcome_lookahead"), "semantic_outcome_region": ("ARRAY<DOUBLE>", "outcome_region"),
+    "subject_recently_ball_linked": ("BOOLEAN", "ball_linked"), "pitch_ball": ("BOOLEAN", "pitch_ball"), "origin_track_id": ("BIGINT", "origin_id"), "action_phase": ("STRING", "phase"),
+    "camera_owner": ("STRING", "owner"), "payoff_box": ("ARRAY<DOUBLE>", "payoff_box"), "goal_focus_x": ("DOUBLE", "goal_focus_x"),
+}
+KEYFRAME_FIELDS = {
+    "time": ("DOUBLE", "t_ms"), "cameraX": ("DOUBLE", "camera_x"), "cameraY": ("DOUBLE", "camera_y"), "playerCenterX": ("DOUBLE", "player_px"), "playerCenterY": ("DOUBLE", "player_py"),
+    "playerTopY": ("DOUBLE", "player_top"), "ballCenterX": ("DOUBLE", "ball_px"), "ballCenterY": ("DOUBLE", "ball_py"), "markerVisible": ("INT", "marker_visible"),
+    "ballMarkerVisible": ("INT", "ball_marker_visible"), "ballConfidence": ("DOUBLE", "ball_confidence"), "subjectConfidence": ("DOUBLE", "subject_confidence"), "jointVisible": ("INT", "joint_visible"),
+    "jointFit": ("INT", "joint_fit"), "sceneCut": ("INT", "cut"), "cameraCut": ("INT", "camera_cut"), "directBall": ("BOOLEAN", "direct"), "ballGuidance": ("BOOLEAN", "guided"),
+    "ballInFrame": ("BOOLEAN", "ball_in_frame"), "playerInFrame": ("BOOLEAN", "player_in_frame"), "playerTrackId": ("BIGINT", "track_id"), "playerEdgeClearance": ("DOUBLE", "player_room"),
+    "ballEdgeClearance": ("DOUBLE", "ball_room"), "actionCenterOffset": ("DOUBLE", "offset"), "compositionSafe": ("BOOLEAN", "composition_safe"),
+    "outcomeSubjectInFrame": ("BOOLEAN", "outcome_subject_in_frame"), "goalMouthAnchorInFrame": ("BOOLEAN", "goal_anchor_in_frame"), "goalContextInFrame": ("BOOLEAN", "goal_context_in_frame"),
+    "cropBox": ("ARRAY<DOUBLE>", "crop"), "payoffRegionInFrame": ("BOOLEAN", "payoff_in_frame"), "actionPhase": ("STRING", "phase"), "originTrackId": ("BIGINT", "origin_id"),
+    "highlightMode": ("STRING", "highlight_mode"),
+}
+DETECTION_FIELDS = {
+    "cx": "DOUBLE", "cy": "DOUBLE", "confidence": "DOUBLE", "x1": "DOUBLE", "y1": "DOUBLE", "x2": "DOUBLE", "y2": "DOUBLE", "role": "STRING", "trackId": "BIGINT", "pitchSupport": "DOUBLE",
+}
+
+
+def typed(fields: dict) -> str:
+    return "ARRAY<STRUCT<" + ", ".join(f"{k}: {v if isinstance(v, str) else v[0]}" for k, v in fields.items()) + ">>"
+
+
+TRACKING = f"moments MAP<STRING, STRUCT<sampledFrames: BIGINT, metrics: MAP<STRING, DOUBLE>, keyframes: {typed(KEYFRAME_FIELDS)}, sourceRecords: {typed(RECORD_FIELDS)}>>"
+OBSERVATION = f"ARRAY<{typed(DETECTION_FIELDS)}>"
+
+
+def columns(row: str, fields: dict) -> list[Column]:
+    """Each field of the struct ``row`` under its column; seconds become milliseconds."""
+    return [(ms(F.col(f"{row}.{k}")) if name.endswith("_ms") else F.col(f"{row}.{k}")).alias(name) for k, (_, name) in fields.items()]
 
 
 def ms(seconds: Column) -> Column:
@@ -27,11 +76,7 @@ def parse_moments(docs: DataFrame) -> DataFrame:
     """One row per moment of each job document (column ``doc``), job fields denormalised."""
     job = docs.select(F.from_json("doc", JOB).alias("j")).where("j.id IS NOT NULL")
     rows = job.select("j.id", "j.stage", F.posexplode("j.moments").alias("ordinal", "m"))
-    return rows.select(
-        F.col("id").alias("job_id"), "stage", "ordinal", F.col("m.id").alias("moment_id"), ms(F.col("m.startTime")).alias("start_ms"), ms(F.col("m.endTime")).alias("end_ms"),
-        F.col("m.eventType").alias("event_type"), "m.confidence", F.col("m.ballVisible").alias("ball_visible"), F.col("m.mainPlayerVisible").alias("player_visible"),
-        F.col("m.isReplay").alias("is_replay"), F.col("m.storyId").alias("story_id"), F.col("m.storyPhase").alias("story_phase"), F.col("m.keepDecision").alias("keep_decision"),
-        F.col("m.duplicateGroup").alias("duplicate_group"), F.col("m.importanceScore").alias("importance"))
+    return rows.select(F.col("id").alias("job_id"), "stage", "ordinal", *columns("m", MOMENT_FIELDS))
 
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
@@ -49,9 +94,9 @@ def parse_tracking(docs: DataFrame) -> dict[str, DataFrame]:
     frames = scene.select("moment_id", F.posexplode("s.keyframes").alias("n", "k"))
     records = scene.select("moment_id", F.posexplode("s.sourceRecords").alias("n", "r"))
     return {
-        "keyframes": frames.select("moment_id", "n", ms(F.col("k.time")).alias("t_ms"), F.col("k.cameraX").alias("camera_x"), F.col("k.directBall").alias("direct")),
-        "records": records.select("moment_id", "n", ms(F.col("r.time")).alias("t_ms"), F.col("r.ball_x").alias("ball_x"), F.col("r.direct_ball").alias("direct")),
-        "scene_evidence": scene.select("moment_id", F.col("s.sampledFrames").alias("sampled_frames"), F.size("s.keyframes").alias("keyframes"), F.size("s.sourceRecords").alias("records")),
+        "keyframes": frames.select("moment_id", "n", *columns("k", KEYFRAME_FIELDS)),
+        "records": records.select("moment_id", "n", *columns("r", RECORD_FIELDS)),
+        "scene_evidence": scene.select("moment_id", F.col("s.sampledFrames").alias("sampled_frames"), F.size("s.keyframes").alias("keyframes"), F.size("s.sourceRecords").alias("records"), F.col("s.metrics").alias("metrics")),
     }
 
 
@@ -62,7 +107,8 @@ def read_tracking(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 def parse_observations(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """People and balls of cached payloads ``[people, balls]`` keyed by signature and frame."""
     pair = rows.select("signature", "frame", F.from_json("payload", OBSERVATION).alias("p"))
-    side = lambda i: pair.select("signature", "frame", F.posexplode_outer(F.try_element_at("p", F.lit(i))).alias("idx", "d")).select("signature", "frame", "idx", "d.cx", "d.cy", "d.confidence")
+    side = lambda i: pair.select("signature", "frame", F.posexplode_outer(F.try_element_at("p", F.lit(i))).alias("idx", "d")).select(
+        "signature", "frame", "idx", *[F.col(f"d.{c}").alias({"trackId": "track_id", "pitchSupport": "pitch_support"}.get(c, c)) for c in DETECTION_FIELDS])
     return side(1), side(2)
 
 

@@ -67,7 +67,8 @@ def _phase_spans(key, batches, state: GroupState):
             out.append((key[0], int(r.event_id), last[1], (int(r.us) - last[0]) // 1000))
         last = (int(r.us), r.phase if r.phase is not None else r.stage, r.stage)
     state.update(last)
-    yield pd.DataFrame(out, columns=["job_id", "event_id", "phase", "wall_ms"])
+    if out:
+        yield pd.DataFrame(out, columns=["job_id", "event_id", "phase", "wall_ms"])
 
 
 def phase_wall_time(events: DataFrame, late: str = "10 minutes", ttl_ms: int = 86_400_000) -> DataFrame:
@@ -105,7 +106,8 @@ def _ledger_step(key, batches, state: GroupState):
                 out.append((key[0], "multiple_or_inconsistent_score_change", 0, side, prev[0], now[0]))
         prev = now
     state.update((json.dumps({"prev": prev, "anchors": anchors, "opened": opened}),))
-    yield pd.DataFrame(out, columns=["match_id", "kind", "no", "side", "before_ms", "after_ms"])
+    if out:
+        yield pd.DataFrame(out, columns=["match_id", "kind", "no", "side", "before_ms", "after_ms"])
 
 
 def score_ledger(samples: DataFrame, late: str = "10 minutes", ttl_ms: int = 21_600_000) -> DataFrame:
@@ -138,7 +140,8 @@ def _gap_step(max_gap_ms: int):
                     out.append((*key, frame, last[1] * (1 - a) + r.ball_x * a, last[2] * (1 - a) + r.ball_y * a))
             last, waiting = (int(r.t_ms), float(r.ball_x), float(r.ball_y)), []
         state.update((json.dumps((last, waiting)),))
-        yield pd.DataFrame(out, columns=["match_id", "scene_id", "frame", "guide_x", "guide_y"])
+        if out:
+            yield pd.DataFrame(out, columns=["match_id", "scene_id", "frame", "guide_x", "guide_y"])
 
     return step
 

@@ -10,6 +10,7 @@ again by their text. Only frequent phrases are turned into text, by their pointe
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchspark.llm.common import BASE, BASE_INVERSE, U64, ascii_lower, byte_slices, mix, powers, signed, sized
+from matchspark.llm.common import BASE, BASE_INVERSE, U64, ascii_lower, byte_slices, lean, mix, powers, signed, sized
 from matchspark.session import cut_lineage
 
 BREAK = np.zeros(256, bool)
@@ -37,7 +38,7 @@ MAX_KEYS = 1 << 22
 BITS = 64
 #: The number of words of a language is summed under this as a run of no words.
 TOTAL = 0x5851F42D4C957F2D
-COLUMNS = "fp long, copies long, low int, high int, rk long, at int, n int"
+COLUMNS = "fp long, n int, copies long, low int, high int, rk long, at int"
 
 
 @dataclass
@@ -98,15 +99,18 @@ def among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def summed(parts: list[tuple]) -> pa.RecordBatch:
-    """One row a fingerprint: copies, range of the second fingerprint, and a pointer."""
-    fp, copies, other, rk, at, n = (np.concatenate(x) for x in zip(*parts))
+    """One row a fingerprint: copies, and where pointers are given the range of the second fingerprint and a pointer."""
+    names, n = [c.split()[0] for c in COLUMNS.split(", ")], parts[0][0]
+    fp, copies = (np.concatenate([x[i] for x in parts]) for i in (1, 2))
     order = np.argsort(fp)
     fp = fp[order]
     first = np.flatnonzero(np.append(True, fp[1:] != fp[:-1]))
+    columns = [pa.array(signed(fp[first])), pa.array(np.full(len(first), n, np.int32)), pa.array(np.add.reduceat(copies[order], first))]
+    if len(parts[0]) == 3:
+        return pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(first), t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.int32()))], names)
+    other, rk, at = (np.concatenate([x[i] for x in parts]) for i in (3, 4, 5))
     other, own = other[order], order[first]
-    low, high = np.minimum.reduceat(other, first), np.maximum.reduceat(other, first)
-    columns = signed(fp[first]), np.add.reduceat(copies[order], first), low, high, rk[own], at[own], n[own]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], [c.split()[0] for c in COLUMNS.split(", ")])
+    return pa.RecordBatch.from_arrays([*columns, *map(pa.array, (np.minimum.reduceat(other, first), np.maximum.reduceat(other, first), rk[own], at[own]))], names)
 
 
 def runs(words: Words, sizes: range, known: np.ndarray | None, inner: int, salt: np.ndarray, poly) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -126,38 +130,47 @@ def runs(words: Words, sizes: range, known: np.ndarray | None, inner: int, salt:
         yield n, i, fingerprint(poly, words.start[i], words.end[i + n - 1], salt[words.row[i]])
 
 
-def counted(docs: DataFrame, sizes: range, known: DataFrame | None, inner: int) -> DataFrame:
-    """Fingerprints of all runs of ``sizes`` words whose runs of ``inner`` words are in ``known``, summed over the table.
+def counted(docs: DataFrame, sizes: range, known: DataFrame | None, inner: int, pointed: bool) -> DataFrame:
+    """Fingerprints of runs of words summed over the table: fp, n (words), copies, low, high, rk, at.
 
-    The words of a language are counted with the runs of one word, as a run of none.
+    Runs of ``sizes`` words are counted where all their runs of ``inner`` words are in ``known``; they have a pointer (rk,
+    at) and the range of second fingerprints if ``pointed``. The runs of ``inner`` words in ``known`` are counted again,
+    with pointers. Without ``known``, the words of each language are counted as a run of none.
     """
-    held = key_array(known)
+    held, first_step = key_array(known), known is None
+    again = range(0) if first_step else range(inner, inner + 1)
 
+    @lean
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, rows, keys = [], 0, held.value if held else None
+        parts, rows, keys = defaultdict(list), 0, held.value if held else None
         for batch in batches:
             rk, salts = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for lo, hi, data, offsets in byte_slices(batch.column(2)):
                 words, salt = words_of(data, offsets), salts[lo:hi].astype(U64)
-                poly, other = polynomial(words.data, BASE, BASE_INVERSE), polynomial(words.data, OTHER, OTHER_INVERSE)
-                for n, i, fp in runs(words, sizes, keys, inner, salt, poly):
-                    second = (prints(other, words.start[i], words.end[i + n - 1], salt[words.row[i]]) >> U64(33)).astype(np.int32)
-                    parts.append((fp, np.ones(len(i), np.int64), second, rk[lo + words.row[i]], words.at[i].astype(np.int32), np.full(len(i), n, np.int32)))
+                poly = polynomial(words.data, BASE, BASE_INVERSE)
+                other = polynomial(words.data, OTHER, OTHER_INVERSE) if pointed or again else None
+                for n, i, fp in [*runs(words, again, keys, inner, salt, poly), *runs(words, sizes, keys, inner, salt, poly)]:
+                    if not len(i):
+                        continue
+                    part = (n, fp, np.ones(len(i), np.int64))
+                    if pointed or n in again:
+                        second = (prints(other, words.start[i], words.end[i + n - 1], salt[words.row[i]]) >> U64(33)).astype(np.int32)
+                        part += (second, rk[lo + words.row[i]], words.at[i].astype(np.int32))
+                    parts[n].append(part)
                     rows += len(i)
-                if 1 in sizes and len(words.row):
+                if first_step and len(words.row):
                     own, copies = np.unique(words.row, return_counts=True)
                     none = np.zeros(len(own), np.int32)
-                    parts.append((mix(salt[own] ^ U64(TOTAL)), copies, none, rk[lo + own], none, none))
+                    parts[0].append((0, mix(salt[own] ^ U64(TOTAL)), copies, none, rk[lo + own], none))
                     rows += len(own)
                 if rows >= CHUNK:
-                    yield summed(parts)
-                    parts, rows = [], 0
-        if rows:
-            yield summed(parts)
+                    yield from map(summed, parts.values())
+                    parts, rows = defaultdict(list), 0
+        yield from map(summed, parts.values())
 
-    return docs.select("rk", "salt", "text").mapInArrow(emit, COLUMNS).groupBy("fp").agg(
-        F.sum("copies").alias("copies"), F.min("low").alias("low"), F.max("high").alias("high"), F.first("rk").alias("rk"), F.first("at").alias("at"), F.first("n").alias("n"),
-    )
+    pointer = [F.first(c, ignorenulls=True).alias(c) for c in ("rk", "at")]  # rows hold both or none
+    found = docs.select("rk", "salt", "text").mapInArrow(emit, COLUMNS)
+    return found.groupBy("fp", "n").agg(F.sum("copies").alias("copies"), F.min("low").alias("low"), F.max("high").alias("high"), *pointer)
 
 
 def key_array(known: DataFrame | None):
@@ -170,13 +183,17 @@ def key_array(known: DataFrame | None):
 
 def materialised(docs: DataFrame, frequent: DataFrame) -> DataFrame:
     """lang, phrase, n, copies of each fingerprint of ``frequent``, read at its pointer."""
+    rows = frequent.count()
     pointers = frequent.groupBy("rk").agg(F.collect_list(F.struct("at", "n", "fp", "copies")).alias("runs"))  # at most the runs of one text
-    there = docs.join(sized(pointers, frequent.count(), 64), "rk")
+    there = docs.join(sized(frequent.select("rk").distinct(), rows, 16), "rk", "left_semi")
+    once = there.groupBy("rk").agg(*[F.first(c).alias(c) for c in ("lang", "salt", "text")])  # copies of a text are alike
+    names = ["lang", "phrase", "n", "copies", "fp"]
 
+    @lean
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, salts, texts, lists = (batch.column(i).to_pylist() for i in range(4))
-            for lang, salt, text, found in zip(langs, salts, texts, lists):
+            out = []
+            for lang, salt, text, found in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = text.encode()
                 cut = []
                 for x in found:
@@ -191,20 +208,20 @@ def materialised(docs: DataFrame, frequent: DataFrame) -> DataFrame:
                 size = np.array([len(x) for x in cut])
                 end = np.cumsum(size)
                 fp = fingerprint(polynomial(np.frombuffer(b"".join(cut), np.uint8), BASE, BASE_INVERSE), end - size, end, np.full(len(cut), salt).astype(U64))
-                # a text of the same key but other words is passed over
-                same = [p for p, (x, h) in enumerate(zip(found, signed(fp).tolist())) if x["n"] == 0 or h == x["fp"]]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([lang] * len(same)), pa.array([cut[p].decode() for p in same], pa.string()), pa.array([found[p]["n"] for p in same], pa.int32()),
-                    pa.array([found[p]["copies"] for p in same], pa.int64()), pa.array([found[p]["fp"] for p in same], pa.int64()),
-                ], ["lang", "phrase", "n", "copies", "fp"])
+                # another text of the same key holds other words at the pointer
+                out += [(lang, c.decode(), x["n"], x["copies"], x["fp"]) for x, c, h in zip(found, cut, signed(fp).tolist()) if x["n"] == 0 or h == x["fp"]]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()))], names)
 
-    return there.select("lang", "salt", "text", "runs").mapInArrow(read, "lang string, phrase string, n int, copies long, fp long").dropDuplicates(["fp"]).drop("fp")
+    joined = once.join(sized(pointers, rows, 64), "rk").select("lang", "salt", "text", "runs")
+    return joined.mapInArrow(read, "lang string, phrase string, n int, copies long, fp long").dropDuplicates(["fp", "n"]).drop("fp")
 
 
 def by_text(docs: DataFrame, sizes: range, doubtful: DataFrame) -> DataFrame:
-    """lang, phrase, n, copies of all runs with a fingerprint of ``doubtful``, counted by their text."""
+    """lang, phrase, n, copies of all runs with a fingerprint and size of ``doubtful``, counted by their text."""
     held = key_array(doubtful)
 
+    @lean
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             salts = batch.column(1).to_numpy(zero_copy_only=False)
@@ -219,9 +236,7 @@ def by_text(docs: DataFrame, sizes: range, doubtful: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([langs.take(pa.array(words.row[i])), pa.array(text, pa.string()), pa.array(np.full(len(i), n, np.int32)), pa.array(signed(fp))], ["lang", "phrase", "n", "fp"])
 
     found = docs.select("lang", "salt", "text").mapInArrow(emit, "lang string, phrase string, n int, fp long")
-    if not held:
-        found = found.join(doubtful.select("fp"), "fp", "left_semi")
-    return found.groupBy("lang", "phrase", "n").agg(F.count("*").alias("copies"))
+    return found.join(doubtful.select("fp", "n"), ["fp", "n"], "left_semi").groupBy("lang", "phrase", "n").agg(F.count("*").alias("copies"))
 
 
 def frequent_phrases(docs: DataFrame, least: int, longest: int) -> DataFrame:
@@ -229,18 +244,19 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int) -> DataFrame:
 
     ``docs`` has lang, salt, text (lower-cased) and rk. The row with n = 0 has the number of all words of its language.
     """
-    steps = [(range(1, 2), 1), (range(2, 3), 1), (range(3, longest + 1), 2)]
     known, out = None, None
-    for sizes, inner in steps:
-        if sizes.start > longest:
+    # each step counts longer runs, and points at the frequent ones of the step before
+    for sizes, inner, pointed in ((range(1, 2), 1, False), (range(2, min(longest, 2) + 1), 1, False), (range(3, longest + 1), 2, True)):
+        if inner > longest:
             break
-        found = cut_lineage(counted(docs, sizes, known, inner).where((F.col("copies") >= least) | (F.col("n") == 0)))
-        known = found.where("n > 0")
+        found = cut_lineage(counted(docs, sizes, known, inner, pointed).where((F.col("copies") >= least) | (F.col("n") == 0)))
+        known = found.where(F.col("n") == sizes.start)
+        whole = found.where("rk IS NOT NULL")
         doubt = (F.col("low") != F.col("high")) & (F.col("n") > 0)
-        phrases = materialised(docs, found.where(~doubt))
-        doubtful = found.where(doubt)
+        phrases = materialised(docs, whole.where(~doubt))
+        doubtful = whole.where(doubt)
         if not doubtful.isEmpty():
-            phrases = phrases.unionByName(by_text(docs, sizes, doubtful).where(F.col("copies") >= least))
+            phrases = phrases.unionByName(by_text(docs, range(inner, longest + 1), doubtful).where(F.col("copies") >= least))
         out = phrases if out is None else out.unionByName(phrases)
     return cut_lineage(out)
 

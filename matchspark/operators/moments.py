@@ -82,7 +82,7 @@ def _phase(c: str, ratio_pct: Column | int) -> Column:
 
 
 def normalize_brief(moments: DataFrame) -> DataFrame:
-    """Fill missing phase clocks by ratio, clamp to the scene and force their order."""
+    """Fill missing phase clocks by ratio, clamp to the scene and force their order; the annotation spans the contact."""
     origin = _phase("origin_ms", 6)
     contact = _phase("contact_ms", F.when(reaction(), 18).otherwise(34))
     flight = F.greatest(origin, _phase("flight_ms", 38))
@@ -92,9 +92,12 @@ def normalize_brief(moments: DataFrame) -> DataFrame:
     mode = F.when(
         F.col("camera_mode").isin("stable", "joint_follow", "ball_flight", "goal_hold", "reaction"), F.col("camera_mode")
     ).when(reaction(), "reaction").when(F.col("event_type") == "goal", "goal_hold").otherwise("joint_follow")
+    goal = F.col("event_type") == "goal"
+    a0 = F.when(goal & F.col("annotation_start_ms").isNull(), F.greatest(F.col("start_ms"), contact - 1200)).otherwise(_phase("annotation_start_ms", 8))
+    a1 = F.when(goal & F.col("annotation_end_ms").isNull(), F.least(F.col("end_ms"), contact + 450)).otherwise(F.greatest(a0, F.least(contact + 650, _phase("annotation_end_ms", 42))))
     return moments.withColumns(
         dict(origin_ms=origin, contact_ms=contact, flight_ms=flight, handoff_ms=handoff, payoff_start_ms=p0,
-             payoff_end_ms=p1, camera_mode=mode)
+             payoff_end_ms=p1, camera_mode=mode, annotation_start_ms=a0, annotation_end_ms=a1)
     )
 
 

@@ -7,6 +7,8 @@ large match is spread over its scenes.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -607,6 +609,37 @@ def review_verdict(rows: DataFrame) -> DataFrame:
         "usable", (F.size(codes) == 0) & (F.coalesce("observation_count", F.lit(0)) >= 2))
 
 
+# Checks that a review may have been asked for.
+REVIEW_CHECKS = [
+    "receiverVisible", "keeperContactVisible", "keeperContextVisible", "reboundFollowed", "possessionOcclusionVerified", "trajectoryOcclusionVerified", "shotEntryOcclusionVerified",
+]
+
+
+def crop_gate(rows: DataFrame) -> DataFrame:
+    """Whether a reviewed crop may be used, and its mode.
+
+    Besides the columns of ``effective_checks``: ``versions_current`` (framing, clock and outcome versions), geometry_verified,
+    semantic_verified, action_complete, subject_core, keeper_contact, goal_visible, ``required`` (null: not listed) and
+    ``granted`` (checks the review answered with true). Celebrations, reactions and decisions need the subject's core in
+    view; all others the ball followed from set-up to outcome. A goal that no reviewed outcome downgrades must be seen
+    entering; a finish with an outcome needs one that the review supports; an observed save needs the keeper's contact.
+    """
+    checked = effective_checks(reviewed_event(rows))
+    support = S.reaction() | F.col("event_type").isin(*S.DECISIONS)
+    seen, event = F.col("reviewed_event"), F.col("event_type")
+    all_true = lambda *cols: functools.reduce(lambda a, b: a & b, [S.is_true(c) for c in cols])
+    goal = event.isin(*S.SCORING) & (seen.isNull() | (seen == event))
+    left = F.filter(F.split("checks", ","), lambda x: x != "")
+    met = F.forall(left, lambda x: x.isin(*REVIEW_CHECKS) & F.array_contains(F.coalesce("granted", F.array().cast("array<string>")), x))
+    usable = (
+        all_true("versions_current", "geometry_verified", "semantic_verified", "passed", "correct_subject", "stable_camera") & S.not_false("action_complete")
+        & (~support | S.is_true("subject_core")) & (support | all_true("ball_followed", "setup_visible", "contact_visible", "outcome_visible"))
+        & (~goal | all_true("goal_visible", "ball_entered")) & (~event.isin(*S.SHOTS) | F.col("outcome_type").isNull() | seen.isNotNull())
+        & (~F.coalesce(seen == "save", F.lit(False)) | S.is_true("keeper_contact")) & F.col("required").isNotNull() & F.coalesce(met, F.lit(False)) & F.coalesce(F.col("issue_count") == 0, F.lit(False))
+    )
+    return checked.withColumn("usable", usable).withColumn("mode", F.when(F.col("usable"), "gemini_crop_verified").otherwise("gemini_crop_review_incomplete"))
+
+
 def reviewed_brief(checks: DataFrame, scenes: DataFrame) -> DataFrame:
     """Phase clocks from a complete review: first setup, last contact before the payoff, first flight after it.
 

@@ -115,7 +115,10 @@ def _(v):
     return bad.select("moment_id", "reasons")
 
 
-@query("normalize_brief", """WITH p AS (SELECT *, greatest(1, end_ms - start_ms) AS len, (event_type = 'celebration' OR story_phase = 'reaction') AS react FROM moments_v),
+NOTED = ["CASE WHEN ordinal % 3 <> 0 THEN start_ms - 300 + 150 * (ordinal % 11) END AS annotation_start_ms", "CASE WHEN ordinal % 4 <> 0 THEN end_ms - 700 * (ordinal % 13) END AS annotation_end_ms"]
+
+
+@query("normalize_brief", f"""WITH p AS (SELECT *, {', '.join(NOTED)}, greatest(1, end_ms - start_ms) AS len, (event_type = 'celebration' OR story_phase = 'reaction') AS react FROM moments_v),
   a AS (SELECT *, least(end_ms, greatest(start_ms, origin_ms)) AS o,
      least(end_ms, greatest(start_ms, coalesce(contact_ms, start_ms + CAST(floor(len * CASE WHEN react THEN 18 ELSE 34 END / 100) AS BIGINT)))) AS c,
      least(end_ms, greatest(start_ms, coalesce(flight_ms, start_ms + CAST(floor(len * 38 / 100) AS BIGINT)))) AS f0,
@@ -123,9 +126,11 @@ def _(v):
      least(end_ms, greatest(start_ms, payoff_start_ms)) AS s0, least(end_ms, greatest(start_ms, payoff_end_ms)) AS e0 FROM p)
   SELECT moment_id, o AS origin_ms, c AS contact_ms, greatest(o, f0) AS flight_ms, greatest(o, f0, h0) AS handoff_ms,
     greatest(c, o, f0, h0, s0) AS payoff_start_ms, greatest(c, o, f0, h0, s0, e0) AS payoff_end_ms,
-    CASE WHEN camera_mode <> 'drone' THEN camera_mode WHEN react THEN 'reaction' WHEN event_type = 'goal' THEN 'goal_hold' ELSE 'joint_follow' END AS camera_mode FROM a""")
+    CASE WHEN camera_mode <> 'drone' THEN camera_mode WHEN react THEN 'reaction' WHEN event_type = 'goal' THEN 'goal_hold' ELSE 'joint_follow' END AS camera_mode, n0 AS annotation_start_ms,
+    CASE WHEN event_type = 'goal' AND annotation_end_ms IS NULL THEN least(end_ms, c + 450) ELSE greatest(n0, least(c + 650, least(end_ms, greatest(start_ms, coalesce(annotation_end_ms, start_ms + CAST(floor(len * 42 / 100) AS BIGINT)))))) END AS annotation_end_ms
+  FROM (SELECT *, CASE WHEN event_type = 'goal' AND annotation_start_ms IS NULL THEN greatest(start_ms, c - 1200) ELSE least(end_ms, greatest(start_ms, coalesce(annotation_start_ms, start_ms + CAST(floor(len * 8 / 100) AS BIGINT)))) END AS n0 FROM a)""")
 def _(v):
-    return M.normalize_brief(v.moments).select("moment_id", *M.PHASE_CLOCKS[:6], "camera_mode")
+    return M.normalize_brief(v.moments.selectExpr("*", *NOTED)).select("moment_id", *M.PHASE_CLOCKS[:6], "camera_mode", "annotation_start_ms", "annotation_end_ms")
 
 
 WINDOW_SQL = """w AS (SELECT *, greatest(start_ms, proof_start_ms) AS lo, least(end_ms, proof_end_ms) AS hi,

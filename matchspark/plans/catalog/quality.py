@@ -327,6 +327,23 @@ def _(v):
     return Q.review_verdict(rows).select("moment_id", "missing", "usable")
 
 
+GATE = ["ordinal % 41 <> 3 AS versions_current", "ordinal % 43 <> 5 AS geometry_verified", "CASE WHEN ordinal % 47 <> 6 THEN true END AS semantic_verified", "CASE ordinal % 37 WHEN 8 THEN false WHEN 9 THEN NULL ELSE true END AS action_complete", "ordinal % 3 <> 1 AS subject_core"]
+ASKED = ["keeperContactVisible", "reboundFollowed", "receiverVisible"]
+
+
+@query("crop_gate", f"""WITH {RVW_SQL}, g AS (SELECT rv.*, {', '.join(GATE)}, {REACT} OR event_type IN ('var', 'offside', 'disallowed_goal') AS sup, [x FOR x IN {ASKED!r} IF NOT (x = 'keeperContactVisible' AND reviewed_event IS NOT NULL AND coalesce(outcome_type, '') IN ('goal', 'woodwork', 'blocked', 'wide', 'over'))
+    AND NOT (x = 'reboundFollowed' AND coalesce((reviewed_event = 'goal' AND ball_entered IS TRUE) OR reviewed_event IN ('shot_off_target', 'big_chance'), false))] AS need FROM rv),
+  u AS (SELECT moment_id, ordinal % 53 <> 7 AND versions_current AND geometry_verified AND semantic_verified IS TRUE AND passed AND correct_subject AND stable_camera AND action_complete IS NOT FALSE AND (NOT sup OR subject_core) AND (sup OR (ball_followed AND setup_visible AND contact_visible AND outcome_visible))
+    AND (NOT (event_type IN ('goal', 'disallowed_goal') AND (reviewed_event IS NULL OR reviewed_event = event_type)) OR (goal_visible AND ball_entered IS TRUE)) AND (NOT event_type IN ('goal', 'disallowed_goal', 'save', 'shot_on_target', 'shot_off_target', 'big_chance') OR outcome_type IS NULL OR reviewed_event IS NOT NULL)
+    AND (coalesce(reviewed_event, '') <> 'save' OR keeper_contact) AND issue_count = 0 AND (ordinal % 4 <> 0 OR NOT list_contains(need, 'keeperContactVisible')) AS usable FROM g)
+  SELECT moment_id, usable, CASE WHEN usable THEN 'gemini_crop_verified' ELSE 'gemini_crop_review_incomplete' END AS mode FROM u""")
+def _(v):
+    asked = F.array(*map(F.lit, ASKED))
+    rows = v.moments.selectExpr(*RVW, *GATE).withColumns(dict(
+        required=F.when(F.col("ordinal") % 53 != 7, asked), granted=F.when(F.col("ordinal") % 4 == 0, F.array_remove(asked, "keeperContactVisible")).otherwise(asked)))
+    return Q.crop_gate(rows).select("moment_id", "usable", "mode")
+
+
 CHK = [("setup", 100, "ordinal % 5 <> 0"), ("contact", 700, "true"), ("contact", 1500, "ordinal % 3 = 0"), ("flight", 900, "ordinal % 4 <> 1"), ("flight", 1700, "true"), ("payoff", 1900, "ordinal % 2 = 0"), ("payoff", 1200, "ordinal % 7 = 0"), ("contact", 1950, "true")]
 CHK_SQL = "chk AS (" + " UNION ALL ".join(f"SELECT match_id, moment_id, '{p}' AS phase, {t} AS c_ms, {b} AS ball_seen, ordinal % 6 <> {i % 6} AS player_seen, CASE WHEN ordinal % 11 = {i} THEN 'short' ELSE 'ball is struck cleanly' END AS text FROM moments_v" for i, (p, t, b) in enumerate(CHK)) + ")"
 

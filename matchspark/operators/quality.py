@@ -526,7 +526,7 @@ def sequence_problems(moments: DataFrame, block: Column) -> DataFrame:
 
 
 def workflow_progress(jobs: DataFrame, moments: DataFrame, states: DataFrame) -> DataFrame:
-    """Scene counts, verified counts and the phase of each job."""
+    """Scene counts, verified counts and the phase of each job; waiting for a retry or for capacity."""
     locked = moments.where(S.is_true("selection_locked")).join(states, ["match_id", "moment_id"], "left")
     ok = S.is_true("tracking_passed") | F.coalesce(F.col("saved_status") == "verified", F.lit(False))
     per = locked.groupBy("match_id").agg(
@@ -537,14 +537,80 @@ def workflow_progress(jobs: DataFrame, moments: DataFrame, states: DataFrame) ->
     st = F.col("stage")
     phase = (
         F.when(st.isin("failed", "waiting_retry", "attention_required", "queued", "restoring", "downloading"), F.coalesce("workflow_phase", F.lit("split")))
-        .when(st.isin("completed", "validating"), "review").when(st.isin("rendering", "editing"), "render").when(st == "generating_commentary", "voice")
+        .when(st.isin("completed", "validating"), "review").when((st == "editing") & timed_narration() & F.col("narration_recorded").eqNullSafe(F.lit(False)), "effects")
+        .when(st.isin("rendering", "editing"), "render").when(st == "generating_commentary", "voice")
         .when(st == "writing_content", "script").when(st.isin("aligning_content", "ranking"), "effects")
         .when((st == "tracking") & (z("selected") > 0) & (z("prepared") == z("selected")), "tracking").otherwise("split"))
     done = st == "completed"
     return jobs.join(per, "match_id", "left").select(
         "match_id", phase.alias("phase"), z("selected").alias("selected"), z("verified").alias("verified"), z("needs_repair").alias("needs_repair"),
         z("selected_ms").alias("selected_ms"), (done | ((z("selected") > 0) & (z("prepared") == z("selected")))).alias("split_done"),
-        (done | ((z("selected") > 0) & (z("verified") == z("selected")))).alias("tracking_done"), (st == "waiting_retry").alias("waiting"))
+        (done | ((z("selected") > 0) & (z("verified") == z("selected")))).alias("tracking_done"), ((st == "waiting_retry") | S.is_true("capacity_wait")).alias("waiting"))
+
+
+def timed_narration() -> Column:
+    """Jobs whose narration is recorded over the finished visual edit."""
+    return F.coalesce(F.col("production_version") == 1, F.lit(False))
+
+
+def scene_progress(jobs: DataFrame, moments: DataFrame, states: DataFrame) -> DataFrame:
+    """Every locked scene: match_id, moment_id, place (by start), status, round and source_prepared.
+
+    ``states`` has saved_status, saved_round and prepared; ``jobs`` the scene under work (active_id, active_status,
+    active_round). A verified scene stays so; the one under work shows what happens to it, others what was saved.
+    """
+    locked = moments.where(S.is_true("selection_locked")).select("match_id", "moment_id", "ordinal", "start_ms", "tracking_passed")
+    placed = scan(locked, ["match_id"], ["start_ms", "ordinal"], block_of(F.col("start_ms"), 1_000), upto={"place": ("count", F.lit(1))})
+    both = placed.join(states, ["match_id", "moment_id"], "left").join(jobs.select("match_id", "stage", "active_id", "active_status", "active_round"), "match_id", "left")
+    saved = F.coalesce("saved_status", F.lit("pending"))
+    done = S.is_true("tracking_passed") | (saved == "verified")
+    now = F.coalesce(F.col("active_id") == F.col("moment_id"), F.lit(False)) & ~done
+    status = (
+        F.when(done, "verified").when(now & (F.col("stage") == "failed"), "needs_repair").when(now & F.col("active_status").isin("repairing", "tracking"), F.col("active_status"))
+        .when(saved == "needs_repair", "needs_repair").otherwise("pending"))
+    turn = F.when(now, F.coalesce(F.when(F.col("active_round") != 0, F.col("active_round")), F.lit(1))).otherwise(F.coalesce("saved_round", F.lit(0)))
+    return both.select("match_id", "moment_id", "place", status.alias("status"), turn.cast("long").alias("round"), S.is_true("prepared").alias("source_prepared"))
+
+
+def section_progress(sections: DataFrame, moments: DataFrame) -> DataFrame:
+    """Scenes whose middle lies in each section, and their length: the locked ones of a match, else its verified ones.
+
+    ``sections`` has match_id, section, start_ms, end_ms, scene_count and selected_ms; a match with neither kind of scene keeps them.
+    """
+    sound = S.is_true("semantic_verified") & S.is_true("action_complete") & S.kept() & ~S.deferred()
+    kind = F.when(S.is_true("selection_locked"), 0).when(sound, 1)
+    able = moments.withColumn("kind", F.when(S.is_true("selection_locked") | sound, kind)).where("kind IS NOT NULL")
+    also = able.where((F.col("kind") == 0) & sound).withColumn("kind", F.lit(1))  # a locked scene may be verified too
+    scenes = able.unionByName(also)
+    first = scenes.groupBy("match_id").agg(F.min("kind").alias("kind"))
+    middle = scenes.join(first, ["match_id", "kind"], "left_semi").select("match_id", F.floor((F.col("start_ms") + F.col("end_ms")) / 2).alias("_m"), S.length_ms().alias("len"))
+    inside = interval_join(middle.withColumn("_n", F.col("_m") + 1), sections.select("match_id", "section", F.col("start_ms").alias("_s"), F.col("end_ms").alias("_e")), ["match_id"], ("_m", "_n"), ("_s", "_e"), 180_000)
+    per = inside.groupBy("match_id", "section").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("ms"))
+    told = first.select("match_id", F.lit(True).alias("_told"))
+    out = sections.join(told, "match_id", "left").join(per, ["match_id", "section"], "left")
+    fresh = F.coalesce("_told", F.lit(False))
+    return out.select("match_id", "section", F.when(fresh, F.coalesce("n", F.lit(0))).otherwise(F.col("scene_count")).alias("scene_count"), F.when(fresh, F.coalesce("ms", F.lit(0))).otherwise(F.col("selected_ms")).alias("selected_ms"))
+
+
+# Steps of a job, in order.
+STEPS = ["split", "tracking", "effects", "script", "voice", "render", "review"]
+
+
+def step_status(progress: DataFrame, jobs: DataFrame) -> DataFrame:
+    """match_id, step, number and status of each step, from ``workflow_progress`` and the job's own flags."""
+    rows = progress.select("match_id", "phase", "split_done", "tracking_done", "waiting").join(jobs, "match_id")
+    complete = F.col("stage") == "completed"
+    ready = F.when(timed_narration(), S.is_true("visual_ready")).otherwise(S.is_true("visual_locked"))
+    done = dict(
+        split=F.col("split_done"), tracking=F.col("tracking_done"), effects=ready, script=S.is_true("script_approved"), voice=S.is_true("narration_recorded"), render=S.is_true("render_completed"), review=F.lit(False))
+    halted = F.when(F.col("stage").isin("failed", "attention_required"), "paused").when(F.col("waiting"), "waiting").otherwise("active")
+
+    def status(step: str) -> Column:
+        skipped = F.lit(step == "voice") & F.col("voice").eqNullSafe(F.lit(False))
+        return F.when(skipped, "skipped").when(complete | done[step], "complete").when(F.col("phase") == step, halted).otherwise("pending")
+
+    steps = F.array(*[F.struct(F.lit(s).alias("step"), F.lit(i).alias("number"), status(s).alias("status")) for i, s in enumerate(STEPS, 1)])
+    return rows.select("match_id", F.explode(steps).alias("s")).select("match_id", "s.step", "s.number", "s.status")
 
 
 # -- reviews ------------------------------------------------------------------

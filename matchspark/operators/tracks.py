@@ -577,27 +577,31 @@ def associate_ball(frames: DataFrame, balls: DataFrame, beam: int = 24, top: int
 
     Candidates are filtered and priced as columns before the grouped map, so a
     Python worker only sees a bounded shot with at most ``top`` balls per frame.
+    Frames of a verified goal route (``route``, if ``frames`` has it) keep twice as
+    many, because a small true ball is often the less sure one, and a miss costs 4.
     """
     import pandas as pd
 
     ok = balls.where("confidence >= 0.12 AND (pitch_support >= 0.1 OR near <= 0.11)")
     price = -F.log(F.greatest(F.lit(0.01), F.col("confidence"))) + F.least(F.lit(0.8), F.col("near") * 3)
     rank = F.row_number().over(Window.partitionBy(*SCENE, "frame").orderBy(F.desc("confidence"), "idx"))
-    cand = ok.withColumns(dict(price=price, rn=rank)).where(F.col("rn") <= top).select(*SCENE, "frame", "idx", "cx", "cy", "price")
-    rows = with_shot(frames).select(*SHOT, "frame", "t_ms").join(cand, [*SCENE, "frame"], "left")
+    cand = ok.withColumns(dict(price=price, rn=rank)).where(F.col("rn") <= 2 * top).select(*SCENE, "frame", "idx", "cx", "cy", "price", "rn")
+    route = F.coalesce(F.col("route"), F.lit(False)) if "route" in frames.columns else F.lit(False)
+    rows = with_shot(frames.withColumn("route", route)).select(*SHOT, "frame", "t_ms", "route").join(cand, [*SCENE, "frame"], "left")
+    rows = rows.where(F.col("rn").isNull() | (F.col("rn") <= F.when(F.col("route"), 2 * top).otherwise(top))).drop("rn")
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         states = [(0.0, None, 0.0, None)]
         order = []
         by_frame: dict = {}
-        for r in pdf.sort_values(["t_ms", "price", "idx"])[["t_ms", "frame", "idx", "cx", "cy", "price"]].itertuples(index=False):
-            by_frame.setdefault((r.t_ms, r.frame), []).append(r)
-        for (t, frame), group in by_frame.items():
+        for r in pdf.sort_values(["t_ms", "price", "idx"])[["t_ms", "frame", "idx", "cx", "cy", "price", "route"]].itertuples(index=False):
+            by_frame.setdefault((r.t_ms, r.frame, r.route), []).append(r)
+        for (t, frame, on_route), group in by_frame.items():
             order.append(frame)
             nxt = []
             found = [r for r in group if r.idx == r.idx]
             for score, prev, at, path in states:
-                nxt.append((score + miss, prev, at, (path, None)))
+                nxt.append((score + (max(miss, 4.0) if on_route else miss), prev, at, (path, None)))
                 for r in found:
                     cost = r.price
                     if prev is not None:

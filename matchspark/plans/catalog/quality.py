@@ -278,18 +278,63 @@ def _(v):
     return Q.sequence_problems(rows, F.floor(F.col("key") / 4))
 
 
-WJ = ["match_id", "CASE match_id % 9 WHEN 0 THEN 'completed' WHEN 1 THEN 'tracking' WHEN 2 THEN 'failed' WHEN 3 THEN 'waiting_retry' WHEN 4 THEN 'writing_content' WHEN 5 THEN 'ranking' WHEN 6 THEN 'rendering' WHEN 7 THEN 'generating_commentary' ELSE 'analyzing' END AS stage",
-      "CASE WHEN match_id % 2 = 0 THEN 'voice' END AS workflow_phase"]
+WJ = ["match_id", "CASE match_id % 9 WHEN 0 THEN 'completed' WHEN 1 THEN 'tracking' WHEN 2 THEN 'failed' WHEN 3 THEN 'waiting_retry' WHEN 4 THEN 'writing_content' WHEN 5 THEN 'ranking' WHEN 6 THEN 'rendering' WHEN 7 THEN 'generating_commentary' ELSE CASE WHEN match_id % 2 = 0 THEN 'editing' ELSE 'analyzing' END END AS stage",
+      "CASE WHEN match_id % 2 = 0 THEN 'voice' END AS workflow_phase", "CASE WHEN match_id % 4 = 1 THEN 1 END AS production_version", "CASE match_id % 5 WHEN 1 THEN true WHEN 2 THEN false END AS narration_recorded", "match_id % 11 = 4 AS capacity_wait", "match_id % 3 = 1 AS visual_ready", "match_id % 3 = 2 AS visual_locked",
+      "match_id % 7 > 3 AS script_approved", "match_id % 7 = 6 AS render_completed", "CASE WHEN match_id % 6 = 5 THEN false END AS voice"]
 WS = ["match_id", "moment_id", "CASE ordinal % 4 WHEN 0 THEN 'verified' WHEN 1 THEN 'needs_repair' ELSE 'pending' END AS saved_status", "ordinal % 50 <> 7 OR match_id % 4 = 1 AS prepared"]
 
 
-@query("workflow_progress", f"""WITH j AS (SELECT {', '.join(WJ)} FROM sources_v), s AS (SELECT {', '.join(WS)} FROM moments_v WHERE ordinal % 5 <> 4 OR match_id % 4 = 1), l AS (SELECT m.*, saved_status, prepared, tracking_passed IS TRUE OR coalesce(saved_status = 'verified', false) AS ok FROM moments_v m LEFT JOIN s USING (match_id, moment_id) WHERE selection_locked),
-  p AS (SELECT match_id, count(*) AS selected, count(*) FILTER (ok) AS verified, count(*) FILTER (NOT ok AND saved_status = 'needs_repair') AS needs_repair, count(*) FILTER (prepared) AS prep, CAST(sum(end_ms - start_ms) AS BIGINT) AS selected_ms FROM l GROUP BY match_id)
-  SELECT match_id, CASE WHEN stage IN ('failed', 'waiting_retry') THEN coalesce(workflow_phase, 'split') WHEN stage = 'completed' THEN 'review' WHEN stage = 'rendering' THEN 'render' WHEN stage = 'generating_commentary' THEN 'voice' WHEN stage = 'writing_content' THEN 'script' WHEN stage = 'ranking' THEN 'effects'
+WP_SQL = f"""j AS (SELECT {', '.join(WJ)} FROM sources_v), s AS (SELECT {', '.join(WS)} FROM moments_v WHERE ordinal % 5 <> 4 OR match_id % 4 = 1), l AS (SELECT m.*, saved_status, prepared, tracking_passed IS TRUE OR coalesce(saved_status = 'verified', false) AS ok FROM moments_v m LEFT JOIN s USING (match_id, moment_id) WHERE selection_locked),
+  p AS (SELECT match_id, count(*) AS selected, count(*) FILTER (ok) AS verified, count(*) FILTER (NOT ok AND saved_status = 'needs_repair') AS needs_repair, count(*) FILTER (prepared) AS prep, CAST(sum(end_ms - start_ms) AS BIGINT) AS selected_ms FROM l GROUP BY match_id),
+  wp AS (SELECT match_id, CASE WHEN stage IN ('failed', 'waiting_retry') THEN coalesce(workflow_phase, 'split') WHEN stage = 'completed' THEN 'review' WHEN stage = 'editing' AND production_version = 1 AND narration_recorded IS FALSE THEN 'effects' WHEN stage IN ('rendering', 'editing') THEN 'render' WHEN stage = 'generating_commentary' THEN 'voice' WHEN stage = 'writing_content' THEN 'script' WHEN stage = 'ranking' THEN 'effects'
      WHEN stage = 'tracking' AND selected > 0 AND prep = selected THEN 'tracking' ELSE 'split' END AS phase, coalesce(selected, 0) AS selected, coalesce(verified, 0) AS verified, coalesce(needs_repair, 0) AS needs_repair, coalesce(selected_ms, 0) AS selected_ms,
-   stage = 'completed' OR coalesce(selected > 0 AND prep = selected, false) AS split_done, stage = 'completed' OR coalesce(selected > 0 AND verified = selected, false) AS tracking_done, stage = 'waiting_retry' AS waiting FROM j LEFT JOIN p USING (match_id)""")
+   stage = 'completed' OR coalesce(selected > 0 AND prep = selected, false) AS split_done, stage = 'completed' OR coalesce(selected > 0 AND verified = selected, false) AS tracking_done, stage = 'waiting_retry' OR capacity_wait AS waiting FROM j LEFT JOIN p USING (match_id))"""
+
+
+def saved_states(v):
+    return v.moments.where("ordinal % 5 <> 4 OR match_id % 4 = 1").selectExpr(*WS)
+
+
+@query("workflow_progress", f"WITH {WP_SQL} SELECT * FROM wp")
+def _(v):
+    return Q.workflow_progress(v.sources.selectExpr(*WJ), v.moments, saved_states(v))
+
+
+@query("step_status", f"""WITH {WP_SQL}, w AS (SELECT wp.*, j.* EXCLUDE (match_id) FROM wp JOIN j USING (match_id)), sx AS (SELECT match_id, phase, stage, waiting, voice, unnest({Q.STEPS!r}) AS step, unnest(range(1, 8)) AS number, unnest([split_done, tracking_done,
+    CASE WHEN production_version = 1 THEN visual_ready ELSE visual_locked END, script_approved, narration_recorded IS TRUE, render_completed, false]) AS done FROM w)
+  SELECT match_id, step, CAST(number AS INTEGER) AS number, CASE WHEN step = 'voice' AND voice IS FALSE THEN 'skipped' WHEN stage = 'completed' OR done THEN 'complete' WHEN phase = step THEN CASE WHEN stage = 'failed' THEN 'paused' WHEN waiting THEN 'waiting' ELSE 'active' END ELSE 'pending' END AS status FROM sx""")
+def _(v):
+    jobs = v.sources.selectExpr(*WJ)
+    return Q.step_status(Q.workflow_progress(jobs, v.moments, saved_states(v)), jobs)
+
+
+WA = ["concat('m', CAST(match_id * 3 AS STRING)) AS active_id", "CASE match_id % 3 WHEN 0 THEN 'repairing' WHEN 1 THEN 'tracking' ELSE 'idle' END AS active_status", "match_id % 4 AS active_round"]
+
+
+@query("scene_progress", f"""WITH j AS (SELECT {', '.join(WJ)}, 'm' || first AS active_id, {', '.join(WA[1:])} FROM (SELECT match_id, min(ordinal) AS first FROM moments_v WHERE selection_locked AND tracking_passed IS NOT TRUE GROUP BY match_id) RIGHT JOIN sources_v USING (match_id)),
+  s AS (SELECT {', '.join(WS)}, ordinal % 6 AS saved_round FROM moments_v WHERE ordinal % 5 <> 4 OR match_id % 4 = 1), l AS (SELECT m.*, row_number() OVER (PARTITION BY match_id ORDER BY start_ms, ordinal) AS place FROM moments_v m WHERE selection_locked),
+  b AS (SELECT l.*, s.saved_status, s.saved_round, s.prepared, j.stage, j.active_status, j.active_round, tracking_passed IS TRUE OR coalesce(saved_status = 'verified', false) AS done, coalesce(j.active_id = l.moment_id, false) AS mine FROM l LEFT JOIN s ON s.match_id = l.match_id AND s.moment_id = l.moment_id JOIN j ON j.match_id = l.match_id)
+  SELECT match_id, moment_id, place, CASE WHEN done THEN 'verified' WHEN mine AND stage = 'failed' THEN 'needs_repair' WHEN mine AND active_status <> 'idle' THEN active_status WHEN saved_status = 'needs_repair' THEN 'needs_repair' ELSE 'pending' END AS status,
+    CAST(CASE WHEN mine AND NOT done THEN CASE WHEN active_round = 0 THEN 1 ELSE active_round END ELSE coalesce(saved_round, 0) END AS BIGINT) AS round, coalesce(prepared, false) AS source_prepared FROM b""")
+def _(v):
+    first = v.moments.where("selection_locked AND tracking_passed IS NOT TRUE").groupBy("match_id").agg(F.min("ordinal").alias("first"))
+    jobs = v.sources.selectExpr(*WJ, *WA[1:]).join(first, "match_id", "left").withColumn("active_id", F.concat(F.lit("m"), F.col("first").cast("string")))
+    return Q.scene_progress(jobs, v.moments, v.moments.where("ordinal % 5 <> 4 OR match_id % 4 = 1").selectExpr(*WS, "ordinal % 6 AS saved_round"))
+
+
+SEC = ["match_id", "i AS section", "CAST(i * 180000 AS BIGINT) AS start_ms", "CAST((i + 1) * 180000 AS BIGINT) AS end_ms", "CAST(7 AS BIGINT) AS scene_count", "CAST(700 AS BIGINT) AS selected_ms"]
+LOCKS = "CASE WHEN match_id % 3 = 0 THEN selection_locked END"
+CHECKED = "CASE WHEN match_id % 6 <> 5 THEN semantic_verified END"
+
+
+@query("section_progress", f"""WITH m AS (SELECT * REPLACE ({LOCKS} AS selection_locked, {CHECKED} AS semantic_verified) FROM moments_v), x AS (SELECT {', '.join(SEC)} FROM sources_v, (SELECT unnest(range(31)) AS i)),
+  v AS (SELECT *, selection_locked IS TRUE AS lk, semantic_verified IS TRUE AND action_complete IS TRUE AND keep_decision <> 'reject' AND NOT angle_deferred AND NOT support_deferred AS ok FROM m), a AS (SELECT match_id, bool_or(lk) AS al, bool_or(ok) AS ao FROM v GROUP BY match_id),
+  u AS (SELECT v.* FROM v JOIN a USING (match_id) WHERE CASE WHEN al THEN lk ELSE ok END)
+  SELECT x.match_id, section, CASE WHEN al OR ao THEN count(u.moment_id) ELSE any_value(x.scene_count) END AS scene_count, CAST(CASE WHEN al OR ao THEN coalesce(sum(u.end_ms - u.start_ms), 0) ELSE any_value(x.selected_ms) END AS BIGINT) AS selected_ms
+  FROM x JOIN a USING (match_id) LEFT JOIN u ON u.match_id = x.match_id AND floor((u.start_ms + u.end_ms) / 2) >= x.start_ms AND floor((u.start_ms + u.end_ms) / 2) < x.end_ms GROUP BY x.match_id, section, al, ao""")
 def _(v):
-    return Q.workflow_progress(v.sources.selectExpr(*WJ), v.moments, v.moments.where("ordinal % 5 <> 4 OR match_id % 4 = 1").selectExpr(*WS))
+    m = v.moments.withColumns(dict(selection_locked=F.expr(LOCKS), semantic_verified=F.expr(CHECKED)))
+    return Q.section_progress(v.sources.selectExpr("match_id", "explode(sequence(0L, 30L)) AS i").selectExpr(*SEC), m)
 
 
 RVW = ["match_id", "moment_id", "ordinal", "event_type", "story_phase", "start_ms", "end_ms", "selection_locked", "ordinal % 11 <> 1 AS passed", "ordinal % 13 <> 2 AS correct_subject", "ordinal % 17 <> 3 AS stable_camera", "ordinal % 19 <> 4 AS ball_followed", "ordinal % 23 <> 5 AS setup_visible", "ordinal % 29 <> 6 AS contact_visible",

@@ -160,15 +160,17 @@ def _(v):
 
 
 IB = ["match_id", "concat('b', CAST(ordinal AS STRING)) AS beat_id", "story_id", "event_type = 'goal' AS goal_beat", "CASE ordinal % 4 WHEN 0 THEN 'A low shot by Ann O''Dea (9).' WHEN 1 THEN 'Bo-Lee waits' WHEN 2 THEN 'Anna O''Dea runs, bo-lee!' ELSE 'nobody' END AS narration", "CAST(NULL AS STRING) AS caption"]
-INM = ["match_id", "CASE WHEN i = 0 THEN 'Ann O''Dea' ELSE 'Bo-Lee' END AS player", "i = 0 AS scorer", "concat('s', CAST((match_id + i) % 18 AS STRING)) AS story_id"]
+INM = ["match_id", "CASE WHEN i = 0 THEN 'Ann O''Dea' ELSE 'Bo-Lee' END AS player", "CASE i WHEN 0 THEN 'scorer' WHEN 1 THEN 'assist' ELSE 'keeper' END AS role", "concat('s', CAST((match_id + i % 2) % 18 AS STRING)) AS story_id"]
+ICX = ["match_id", "CASE WHEN match_id % 7 = 3 THEN 'pending' ELSE 'verified' END AS status", "CASE WHEN match_id % 5 = 2 THEN 2 ELSE 1 END AS goals"]
 
 
-@query("identity_problems", f"""WITH b AS (SELECT {', '.join(IB)}, ordinal FROM moments_v), n AS (SELECT {', '.join(INM)} FROM sources_v, (SELECT unnest([0, 1]) AS i)),
-  j AS (SELECT b.match_id, beat_id, player, CASE WHEN player = 'Bo-Lee' THEN ordinal % 4 IN (1, 2) ELSE ordinal % 4 = 0 END AS used, n.story_id = b.story_id AS own, scorer AND goal_beat AS due FROM b JOIN n USING (match_id))
-  SELECT match_id, beat_id, player, CASE WHEN used AND NOT own THEN 'wrong_incident' ELSE 'scorer_missing' END AS problem FROM j WHERE (used AND NOT own) OR (own AND due AND NOT used)""")
+@query("identity_problems", f"""WITH b AS (SELECT {', '.join(IB)}, ordinal FROM moments_v), n AS (SELECT {', '.join(INM)} FROM sources_v, (SELECT unnest([0, 1, 2]) AS i)), c AS (SELECT {', '.join(ICX)} FROM sources_v),
+  j AS (SELECT b.match_id, beat_id, player, bool_or(CASE WHEN player = 'Bo-Lee' THEN ordinal % 4 IN (1, 2) ELSE ordinal % 4 = 0 END) AS used, bool_or(n.story_id = b.story_id) AS own, bool_or(n.story_id = b.story_id AND role = 'scorer' AND goal_beat) AS due
+    FROM b JOIN n USING (match_id) JOIN c USING (match_id) WHERE status = 'verified' AND goals = 1 GROUP BY ALL)
+  SELECT match_id, beat_id, player, CASE WHEN used AND NOT own THEN 'wrong_incident' ELSE 'scorer_missing' END AS problem FROM j WHERE (used AND NOT own) OR (due AND NOT used) UNION ALL SELECT match_id, NULL, NULL, 'binding_incomplete' FROM c WHERE status = 'verified' AND goals <> 1""")
 def _(v):
-    names = v.sources.selectExpr("match_id", "explode(array(0, 1)) AS i").selectExpr(*INM)
-    return TX.identity_problems(v.moments.selectExpr(*IB), names)
+    names = v.sources.selectExpr("match_id", "explode(array(0, 1, 2)) AS i").selectExpr(*INM)
+    return TX.identity_problems(v.moments.selectExpr(*IB), names, v.sources.selectExpr(*ICX))
 
 
 UE = ["match_id", "ordinal AS entity_id", "CASE ordinal % 6 WHEN 0 THEN ' The Goal-Keeper ' WHEN 1 THEN 'the full-back' WHEN 2 THEN 'Red Town' WHEN 3 THEN 'Ann' WHEN 4 THEN 'a Winger' ELSE 'Visitors' END AS entity"]

@@ -167,6 +167,7 @@ class Bpe:
     """A byte-level BPE vocabulary file of the tokenizers library, with a table of the words met so far."""
 
     loaded: dict[str, Bpe] = {}
+    table_words = TABLE_WORDS
 
     def __init__(self, raw: bytes):
         file = json.loads(raw)
@@ -245,7 +246,7 @@ class Bpe:
 
     def codes(self, chunks: list[str]) -> np.ndarray:
         """The place in the table of every chunk, after those that it lacked have been encoded."""
-        if len(self.table) > TABLE_WORDS:
+        if len(self.table) > self.table_words:
             self.clear()
         n = len(self.table)
         out = np.fromiter(map(self.table.__getitem__, chunks), np.int64, len(chunks))

@@ -17,11 +17,13 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from matchspark.llm.bpe import CHUNK_BYTES, Bpe, vocabulary
+from matchspark.llm.bpe import Bpe, vocabulary
 from matchspark.llm.common import SPACE, byte_slices, lean, texts
 
 #: Fixed value: how the lower-case vocabulary splits words.
 LOWER_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Text encoded at a time, and words in a worker's table: a worker also holds its open windows.
+CHUNK_BYTES, TABLE_WORDS = 512 << 10, 1 << 17
 #: Windows a task may hold open; beyond it half of them are levelled out, as all are at the end.
 MAX_OPEN = 8192
 
@@ -29,6 +31,8 @@ MAX_OPEN = 8192
 class WordBpe(Bpe):
     """A vocabulary of lower-case words with word ends, which drops white space: each word stands alone."""
 
+    table_words = TABLE_WORDS
+
     def __init__(self, raw: bytes):
         super().__init__(raw)
         from tokenizers import Tokenizer
@@ -212,7 +216,7 @@ def pack(df: DataFrame, path: str, window: int = 2048, end_id: int = 1, with_ids
                     for start in range(0, whole, window):
                         emit([((doc, len(ids)), start, ids[start:start + window])])
                     if whole < len(ids):
-                        for full in packer.place(((doc, len(ids)), whole, ids[whole:])):
+                        for full in packer.place(((doc, len(ids)), whole, ids[whole:].copy())):
                             emit(full)
                 if len(out) > 5000:
                     yield batch_of()

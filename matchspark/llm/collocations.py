@@ -30,8 +30,8 @@ WORD = re.compile(rb"[^\x20\x09.,;:!?\x0A-\x0D]+")
 #: Base of the second fingerprint.
 OTHER = 0xC2B2AE3D27D4EB4F
 OTHER_INVERSE = pow(OTHER, -1, 1 << 64)
-#: Runs of words that a task sums up at a time.
-CHUNK = 1 << 20
+#: Runs of words that a task sums up at a time, and words that are hashed at a time.
+CHUNK, PART = 1 << 20, 1 << 17
 #: Frequent fingerprints that are broadcast (32 MB) to leave out hopeless runs; beyond that all runs are shuffled.
 MAX_KEYS = 1 << 22
 #: Bits of a fingerprint; fewer only in tests, to make phrases collide.
@@ -52,6 +52,14 @@ class Words:
     piece: np.ndarray
     at: np.ndarray
 
+    def parts(self, longest: int) -> Iterator[tuple[Words, int]]:
+        """Cuts of PART words, each followed by the words that its last runs need, and how many runs of a size begin in it."""
+        for a in range(0, len(self.start), PART):
+            cut = slice(a, a + PART + longest - 1)
+            first, end = self.start[cut], self.end[cut]
+            view = Words(self.data[first[0]:end[-1]], first - first[0], end - first[0], self.row[cut], self.piece[cut], self.at[cut])
+            yield view, min(PART, len(self.start) - a)
+
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     """Words of lower-cased rows; a piece ends at its row's end and at any of ``.,;:!?`` and line breaks."""
@@ -113,17 +121,17 @@ def summed(parts: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*columns, *map(pa.array, (np.minimum.reduceat(other, first), np.maximum.reduceat(other, first), rk[own], at[own]))], names)
 
 
-def runs(words: Words, sizes: range, known: np.ndarray | None, inner: int, salt: np.ndarray, poly) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each size the first words of its runs and their fingerprints; all runs of ``inner`` words in them are in ``known``."""
+def runs(words: Words, own: int, sizes: range, known: np.ndarray | None, inner: int, salt: np.ndarray, poly) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each size the first words of its runs, below ``own``, and their fingerprints; all runs of ``inner`` words in them are in ``known``."""
     able = None
     if known is not None:
         k = len(words.start) - inner + 1
         able = among(fingerprint(poly, words.start[:max(k, 0)], words.end[inner - 1:], salt[words.row[:max(k, 0)]]), known)
     for n in sizes:
-        k = len(words.start) - n + 1
+        k = min(own, len(words.start) - n + 1)
         if k <= 0:
             return
-        good = words.piece[:k] == words.piece[n - 1:]
+        good = words.piece[:k] == words.piece[n - 1:n - 1 + k]
         for j in range(n - inner + 1 if able is not None else 0):
             good &= able[j:j + k]
         i = np.flatnonzero(good)
@@ -147,22 +155,23 @@ def counted(docs: DataFrame, sizes: range, known: DataFrame | None, inner: int,
             rk, salts = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for lo, hi, data, offsets in byte_slices(batch.column(2)):
                 words, salt = words_of(data, offsets), salts[lo:hi].astype(U64)
-                poly = polynomial(words.data, BASE, BASE_INVERSE)
-                other = polynomial(words.data, OTHER, OTHER_INVERSE) if pointed or again else None
-                for n, i, fp in [*runs(words, again, keys, inner, salt, poly), *runs(words, sizes, keys, inner, salt, poly)]:
-                    if not len(i):
-                        continue
-                    part = (n, fp, np.ones(len(i), np.int64))
-                    if pointed or n in again:
-                        second = (prints(other, words.start[i], words.end[i + n - 1], salt[words.row[i]]) >> U64(33)).astype(np.int32)
-                        part += (second, rk[lo + words.row[i]], words.at[i].astype(np.int32))
-                    parts[n].append(part)
-                    rows += len(i)
+                for view, own in words.parts(max([inner, *sizes])):
+                    poly = polynomial(view.data, BASE, BASE_INVERSE)
+                    other = polynomial(view.data, OTHER, OTHER_INVERSE) if pointed or again else None
+                    for n, i, fp in [*runs(view, own, again, keys, inner, salt, poly), *runs(view, own, sizes, keys, inner, salt, poly)]:
+                        if not len(i):
+                            continue
+                        part = (n, fp, np.ones(len(i), np.int64))
+                        if pointed or n in again:
+                            second = (prints(other, view.start[i], view.end[i + n - 1], salt[view.row[i]]) >> U64(33)).astype(np.int32)
+                            part += (second, rk[lo + view.row[i]], view.at[i].astype(np.int32))
+                        parts[n].append(part)
+                        rows += len(i)
                 if first_step and len(words.row):
-                    own, copies = np.unique(words.row, return_counts=True)
-                    none = np.zeros(len(own), np.int32)
-                    parts[0].append((0, mix(salt[own] ^ U64(TOTAL)), copies, none, rk[lo + own], none))
-                    rows += len(own)
+                    there, copies = np.unique(words.row, return_counts=True)
+                    none = np.zeros(len(there), np.int32)
+                    parts[0].append((0, mix(salt[there] ^ U64(TOTAL)), copies, none, rk[lo + there], none))
+                    rows += len(there)
                 if rows >= CHUNK:
                     yield from map(summed, parts.values())
                     parts, rows = defaultdict(list), 0
@@ -227,13 +236,15 @@ def by_text(docs: DataFrame, sizes: range, doubtful: DataFrame) -> DataFrame:
             salts = batch.column(1).to_numpy(zero_copy_only=False)
             for lo, hi, data, offsets in byte_slices(batch.column(2)):
                 words, salt = words_of(data, offsets), salts[lo:hi].astype(U64)
-                whole, langs = words.data.tobytes(), batch.column(0).slice(lo, hi - lo)
-                for n, i, fp in runs(words, sizes, None, 1, salt, polynomial(words.data, BASE, BASE_INVERSE)):
-                    if held:
-                        hit = among(fp, held.value)
-                        i, fp = i[hit], fp[hit]
-                    text = [whole[a:b].decode() for a, b in zip(words.start[i].tolist(), words.end[i + n - 1].tolist())]
-                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(words.row[i])), pa.array(text, pa.string()), pa.array(np.full(len(i), n, np.int32)), pa.array(signed(fp))], ["lang", "phrase", "n", "fp"])
+                langs = batch.column(0).slice(lo, hi - lo)
+                for view, own in words.parts(max(sizes)):
+                    whole = view.data.tobytes()
+                    for n, i, fp in runs(view, own, sizes, None, 1, salt, polynomial(view.data, BASE, BASE_INVERSE)):
+                        if held:
+                            hit = among(fp, held.value)
+                            i, fp = i[hit], fp[hit]
+                        text = [whole[a:b].decode() for a, b in zip(view.start[i].tolist(), view.end[i + n - 1].tolist())]
+                        yield pa.RecordBatch.from_arrays([langs.take(pa.array(view.row[i])), pa.array(text, pa.string()), pa.array(np.full(len(i), n, np.int32)), pa.array(signed(fp))], ["lang", "phrase", "n", "fp"])
 
     found = docs.select("lang", "salt", "text").mapInArrow(emit, "lang string, phrase string, n int, fp long")
     return found.join(doubtful.select("fp", "n"), ["fp", "n"], "left_semi").groupBy("lang", "phrase", "n").agg(F.count("*").alias("copies"))

@@ -50,7 +50,7 @@ def test_colliding_fingerprints_and_no_pruning(spark, odd, monkeypatch):
     df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
     want = brute(rows, 2, 5, 2000, 100)
     assert got(df, least=2) == want
-    for name, value in (("BITS", 10), ("MAX_KEYS", 0), ("CHUNK", 16)):
+    for name, value in (("BITS", 10), ("MAX_KEYS", 0), ("CHUNK", 16), ("PART", 3)):
         monkeypatch.setattr(co, name, value)
         assert got(df, least=2) == want
 

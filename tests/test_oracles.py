@@ -16,6 +16,7 @@ SAMPLE = [
     "edit_plan", "observation_problems", "coverage_gaps", "rank_gaps", "split_views", "review_windows", "score_ledger", "rebind_story", "own_goals", "nearest_record",
     "enrich_with_annotations", "unique_evidence", "box_nms", "section_quota", "fit_rate", "rank_backups", "scene_metrics", "framing_verdict", "scorer_track", "guidance",
     "lazy_path", "scale_cuts", "page_supports", "byte_chunks", "merge_reviews", "restore_beat_order", "request_stats", "recovery_state", "read_moments", "stream_phase_wall_time",
+    "crop_gate", "section_progress", "pass_anchor",
 ]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("MATCHSPARK_ALL_ORACLES") else SAMPLE
 

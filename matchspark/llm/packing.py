@@ -22,8 +22,8 @@ from matchspark.llm.common import SPACE, byte_slices, lean, texts
 
 #: Fixed value: how the lower-case vocabulary splits words.
 LOWER_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-#: Text encoded at a time, and words in a worker's table: a worker also holds its open windows.
-CHUNK_BYTES, TABLE_WORDS = 512 << 10, 1 << 17
+#: Text encoded at a time: a worker also holds its open windows.
+CHUNK_BYTES = 1 << 20
 #: Windows a task may hold open; beyond it half of them are levelled out, as all are at the end.
 MAX_OPEN = 8192
 
@@ -31,8 +31,6 @@ MAX_OPEN = 8192
 class WordBpe(Bpe):
     """A vocabulary of lower-case words with word ends, which drops white space: each word stands alone."""
 
-    table_words = TABLE_WORDS
-
     def __init__(self, raw: bytes):
         super().__init__(raw)
         from tokenizers import Tokenizer

@@ -7,10 +7,13 @@ A cut row belongs to the shot it opens.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchspark.functions import scalar as S
+from matchspark.operators.scenes import beam_search, carriers, control_points, in_groups, tracks, tripod
 from matchspark.operators.timeline import fold
 
 SCENE = ["match_id", "scene_id"]
@@ -936,71 +939,16 @@ def possession_lock(people: DataFrame, balls: DataFrame, view: float) -> DataFra
     Referees and people off the pitch never qualify; a frame without anyone keeps the lock and forgets who was winning.
     Without a ball, people are judged by their place in the picture. ``balls`` may have ``contact_done``: while it is
     false, the lock moves only to feet clearly closer to the ball. The first rule that applies names the winner of a
-    frame and the wins it needs. The lock is a state machine over one bounded shot, so it is a grouped map.
+    frame and the wins it needs. The lock is a state machine over one bounded shot; many shots
+    are walked in one call.
     """
-    import numpy as np
-    import pandas as pd
-
-    def gaps(men: pd.DataFrame, bx: float, by: float, weight: float) -> np.ndarray:
-        """Distance of the ball from the feet, or from the head where it is beside the head."""
-        tall = men.y2 - men.y1
-        foot = np.hypot(men.cx - bx, (men.y2 - by) * weight)
-        head = np.hypot(men.cx - bx, (men.y1 + tall * 0.08 - by) * weight)
-        beside = (tall > 0) & (bx >= men.x1 - 0.012) & (bx <= men.x2 + 0.012) & (by >= men.y1 - 0.025) & (by <= men.y1 + tall * 0.18)
-        return np.where(beside, np.minimum(foot, head), foot)
-
-    def winner(men: pd.DataFrame, held) -> tuple:
-        """The track that a frame speaks for (None: for no change) and the wins in a row it needs."""
-        ball, first = men.ball_x.notna().iloc[0], men.iloc[0]
-        ids = men.track_id.to_numpy()
-        if ball:
-            tight, loose = gaps(men, first.ball_x, first.ball_y, 0.85), gaps(men, first.ball_x, first.ball_y, 0.52)
-        else:
-            tight = (men.cx - 0.5).abs().to_numpy() + (men.cy - 0.57).abs().to_numpy() * 0.25
-            loose = np.zeros(len(men))
-        own = ids == held
-        merit = tight - 0.20 * own - np.clip((men.track_age.to_numpy(float) - 1) * 0.006, 0, 0.035) - men.confidence.to_numpy() * 0.025 + np.maximum(0.0, 0.16 - men.pitch_support.to_numpy()) * 0.32
-        rival, near = int(np.argmin(merit)), int(np.argmin(tight if ball else merit))
-        width = np.maximum(first.ball_x, men.x2) - np.minimum(first.ball_x, men.x1) + 2 * min(0.056, view * 0.15)
-        fits = (width <= view).to_numpy() & ball
-        fit = int(np.argmin(np.where(fits, tight, np.inf))) if fits.any() else None
-        if not own.any():
-            return ids[rival if fit is None else fit], 3
-        me = int(np.flatnonzero(own)[0])
-        far = ball and loose[me] > 0.13 and loose[near] + 0.035 < loose[me]
-        if not bool(first.contact_done):
-            clear = ball and near != me and tight[near] <= 0.105 and tight[near] + 0.025 < tight[me]
-            return (ids[near], 2) if clear else (None, 0)
-        rules = (
-            (far and near != me and loose[near] <= 0.10, near, 3),
-            (fit is not None and not fits[me], fit, 3 if fit is not None and loose[fit] <= 0.12 else np.inf),
-            (rival == me, None, 0),
-            (far, near, 1),
-            (merit[rival] + 0.11 < merit[me], rival, 5),
-        )
-        at, need = next(((at, need) for holds, at, need in rules if holds), (None, 0))
-        return (None if at is None else ids[at]), need
-
-    def lock(pdf: pd.DataFrame) -> pd.DataFrame:
-        held = leading = None
-        wins, out = 0, []
-        for (_, frame), men in pdf.sort_values(["t_ms", "track_id"]).groupby(["t_ms", "frame"], sort=True):
-            men = men[men.track_id.notna()]
-            want, need = winner(men, held) if len(men) else (None, 0)
-            wins = 0 if want is None else wins + 1 if want == leading else 1
-            leading = want
-            if want is not None and wins >= need:
-                held, leading, wins = want, None, 0
-            elif len(men) and held not in set(men.track_id):
-                held = None
-            out.append((int(pdf.match_id.iloc[0]), int(pdf.scene_id.iloc[0]), int(frame), held))
-        return pd.DataFrame(out, columns=["match_id", "scene_id", "frame", "carrier_id"]).astype({"carrier_id": "Int64"})
-
     men = people.where("pitch_support >= 0.08 AND role <> 'referee' AND track_id IS NOT NULL").drop("t_ms", "cut")
     done = F.coalesce(F.col("contact_done"), F.lit(True)) if "contact_done" in balls.columns else F.lit(True)
     shots = with_shot(balls).select(*SHOT, "frame", "t_ms", "ball_x", "ball_y", done.alias("contact_done"))
     rows = shots.join(men.select(*SCENE, "frame", "track_id", "track_age", "confidence", "pitch_support", "cx", "cy", "x1", "x2", "y1", "y2"), [*SCENE, "frame"], "left")
-    return spread_out(rows, SHOT).groupBy(*SHOT).applyInPandas(lock, "match_id long, scene_id long, frame long, carrier_id long")
+    rows = rows.withColumns(dict(seen=F.col("track_id").isNotNull(), track_id=F.coalesce("track_id", F.lit(0)).cast("long")))
+    walk = functools.partial(carriers, view=view)
+    return in_groups(rows, SHOT, ["t_ms", "frame", "track_id", "cx", "y2"], walk, "match_id long, scene_id long, frame long, carrier_id long")
 
 
 def annotation_cue(records: DataFrame, scenes: DataFrame) -> DataFrame:

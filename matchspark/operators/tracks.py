@@ -522,57 +522,12 @@ def simplify_path(keyframes: DataFrame, tolerance: float) -> DataFrame:
 def associate_people(frames: DataFrame, people: DataFrame, ttl_ms: int = 750) -> DataFrame:
     """Track ids by greedy matching on motion, overlap and size. A cut ends all tracks; ids go on counting through the scene.
 
-    Sequential by nature: a grouped map over one bounded scene, numpy inside.
+    Sequential by nature: bounded scenes are walked frame by frame, many of them in one call.
     """
-    import numpy as np
-    import pandas as pd
-
-    def track(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t_ms", "idx"])
-        times = pdf["t_ms"].to_numpy(float)
-        boxes = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float)
-        feet = np.stack([pdf["cx"].to_numpy(float), boxes[:, 3]], 1)
-        kits = pdf["kit"].to_numpy(float)
-        ids, ages = np.zeros(len(pdf), int), np.ones(len(pdf), int)
-        shot = pdf["shot"].to_numpy()
-        live, fresh = {}, 1
-        edges = [0, *(np.flatnonzero(np.diff(times)) + 1), len(times)]
-        for a, b in zip(edges, edges[1:]):
-            t, box, foot, kit = times[a], boxes[a:b], feet[a:b], kits[a:b]
-            same_shot = a > 0 and shot[a] == shot[a - 1]
-            live = {k: v for k, v in live.items() if same_shot and t - v["t"] <= ttl_ms}
-            pairs = []
-            for k, v in live.items():
-                guess = np.clip(v["foot"] + v["vel"] * (t - v["t"]) / 1000, 0, 1)
-                space = np.hypot(foot[:, 0] - guess[0], (foot[:, 1] - guess[1]) * 0.55)
-                w = np.clip(np.minimum(box[:, 2], v["box"][2]) - np.maximum(box[:, 0], v["box"][0]), 0, None)
-                h = np.clip(np.minimum(box[:, 3], v["box"][3]) - np.maximum(box[:, 1], v["box"][1]), 0, None)
-                tall = box[:, 3] - box[:, 1]
-                mine = v["box"][3] - v["box"][1]
-                area = (box[:, 2] - box[:, 0]) * tall + (v["box"][2] - v["box"][0]) * mine - w * h
-                iou = np.where(area > 0, w * h / np.where(area > 0, area, 1), 0)
-                cost = space * 0.56 + (1 - iou) * 0.12 + np.abs(kit - v["kit"]) * 0.25 + np.abs(tall - mine) * 0.07
-                pairs += [(cost[i], k, i) for i in np.flatnonzero(((space <= 0.21) | (iou >= 0.02)) & (cost <= 0.24))]
-            took, used = {}, set()
-            for _, k, i in sorted(pairs):
-                if i not in took and k not in used:
-                    took[i] = k
-                    used.add(k)
-            for i in range(b - a):
-                k = took.get(i)
-                if k is None:
-                    k, fresh = fresh, fresh + 1
-                    live[k] = dict(box=box[i], foot=foot[i], vel=np.zeros(2), t=t, hits=1, kit=kit[i])
-                else:
-                    v = live[k]
-                    seen = (foot[i] - v["foot"]) / max(0.001, (t - v["t"]) / 1000)
-                    v.update(vel=np.clip(v["vel"] * 0.64 + seen * 0.36, -0.75, 0.75), box=box[i], foot=foot[i], t=t, hits=v["hits"] + 1, kit=kit[i])
-                ids[a + i], ages[a + i] = k, live[k]["hits"]
-        return pdf[["match_id", "scene_id", "frame", "idx"]].assign(track_id=ids, track_age=ages)
-
     shots = with_shot(frames).select(*SCENE, "frame", "shot")
     rows = people.select(*SCENE, "frame", "t_ms", "idx", "cx", "x1", "y1", "x2", "y2", "kit").join(shots, [*SCENE, "frame"])
-    return spread_out(rows, SCENE).groupBy(*SCENE).applyInPandas(track, "match_id long, scene_id long, frame long, idx long, track_id long, track_age long")
+    walk = functools.partial(tracks, ttl_ms=ttl_ms)
+    return in_groups(rows, SCENE, ["t_ms", "idx"], walk, "match_id long, scene_id long, frame long, idx long, track_id long, track_age long")
 
 
 def associate_ball(frames: DataFrame, balls: DataFrame, beam: int = 24, top: int = 8, miss: float = 2.5) -> DataFrame:

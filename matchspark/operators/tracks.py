@@ -533,13 +533,11 @@ def associate_people(frames: DataFrame, people: DataFrame, ttl_ms: int = 750) ->
 def associate_ball(frames: DataFrame, balls: DataFrame, beam: int = 24, top: int = 8, miss: float = 2.5) -> DataFrame:
     """One coherent ball path per shot by beam search; missing frames stay missing.
 
-    Candidates are filtered and priced as columns before the grouped map, so a
-    Python worker only sees a bounded shot with at most ``top`` balls per frame.
+    Candidates are filtered and priced as columns before the search, so a Python
+    worker only sees bounded shots, many at once, with at most ``top`` balls per frame.
     Frames of a verified goal route (``route``, if ``frames`` has it) keep twice as
     many, because a small true ball is often the less sure one, and a miss costs 4.
     """
-    import pandas as pd
-
     ok = balls.where("confidence >= 0.12 AND (pitch_support >= 0.1 OR near <= 0.11)")
     price = -F.log(F.greatest(F.lit(0.01), F.col("confidence"))) + F.least(F.lit(0.8), F.col("near") * 3)
     rank = F.row_number().over(Window.partitionBy(*SCENE, "frame").orderBy(F.desc("confidence"), "idx"))
@@ -548,42 +546,10 @@ def associate_ball(frames: DataFrame, balls: DataFrame, beam: int = 24, top: int
     rows = with_shot(frames.withColumn("route", route)).select(*SHOT, "frame", "t_ms", "route").join(cand, [*SCENE, "frame"], "left")
     rows = rows.where(F.col("rn").isNull() | (F.col("rn") <= F.when(F.col("route"), 2 * top).otherwise(top))).drop("rn")
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        states = [(0.0, None, 0.0, None)]
-        order = []
-        by_frame: dict = {}
-        for r in pdf.sort_values(["t_ms", "price", "idx"])[["t_ms", "frame", "idx", "cx", "cy", "price", "route"]].itertuples(index=False):
-            by_frame.setdefault((r.t_ms, r.frame, r.route), []).append(r)
-        for (t, frame, on_route), group in by_frame.items():
-            order.append(frame)
-            nxt = []
-            found = [r for r in group if r.idx == r.idx]
-            for score, prev, at, path in states:
-                nxt.append((score + (max(miss, 4.0) if on_route else miss), prev, at, (path, None)))
-                for r in found:
-                    cost = r.price
-                    if prev is not None:
-                        move = ((r.cx - prev.cx) ** 2 + ((r.cy - prev.cy) * 0.6) ** 2) ** 0.5
-                        cost += 2 * (move / (0.025 + 0.65 * max(0.04, (t - at) / 1000))) ** 2
-                    nxt.append((score + cost, r, t, (path, r)))
-            nxt.sort(key=lambda s: s[0])
-            states, seen = [], set()
-            for s in nxt:
-                key = (round(s[1].cx, 5), round(s[1].cy, 5), s[2], s[3][1] is None) if s[1] is not None else None
-                if key not in seen:
-                    seen.add(key)
-                    states.append(s)
-                    if len(states) >= beam:
-                        break
-        path, picks = min(states, key=lambda s: s[0])[3], []
-        while path is not None:
-            path, ball = path
-            picks.append(ball)
-        m, s = int(pdf["match_id"].iloc[0]), int(pdf["scene_id"].iloc[0])
-        rows_ = [(m, s, int(f), int(b.idx), float(b.cx), float(b.cy)) for f, b in zip(order, reversed(picks)) if b is not None]
-        return pd.DataFrame(rows_, columns=["match_id", "scene_id", "frame", "idx", "cx", "cy"])
-
-    return spread_out(rows, SHOT).groupBy(*SHOT).applyInPandas(search, "match_id long, scene_id long, frame long, idx long, cx double, cy double")
+    rows = rows.withColumns(dict(seen=F.col("idx").isNotNull(), idx=F.coalesce("idx", F.lit(0)).cast("long")))
+    walk = functools.partial(beam_search, beam=beam, miss=miss)
+    schema = "match_id long, scene_id long, frame long, idx long, cx double, cy double"
+    return in_groups(rows, SHOT, ["t_ms", "frame", "price", "idx"], walk, schema)
 
 
 # -- planning from observations ------------------------------------------------

@@ -492,31 +492,10 @@ def kit_distance(pairs: DataFrame) -> DataFrame:
 
 
 def simplify_path(keyframes: DataFrame, tolerance: float) -> DataFrame:
-    """Control points of each shot's path by recursive farthest-point splitting.
-
-    A shot is a bounded group; the recursion has no built-in form, so this is a grouped map.
-    """
-    import numpy as np
-    import pandas as pd
-
-    def controls(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t_ms")
-        t, x = pdf["t_ms"].to_numpy(float), pdf["camera_x"].to_numpy(float)
-        keep, todo = {0, len(t) - 1}, [(0, len(t) - 1)]
-        while todo:
-            a, b = todo.pop()
-            if b <= a + 1:
-                continue
-            line = x[a] + (x[b] - x[a]) * np.clip((t[a + 1:b] - t[a]) / max(1e-6, t[b] - t[a]), 0, 1)
-            err = np.abs(x[a + 1:b] - line)
-            k = int(err.argmax())
-            if err[k] > tolerance:
-                keep.add(a + 1 + k)
-                todo += [(a, a + 1 + k), (a + 1 + k, b)]
-        return pdf.iloc[sorted(keep)][["match_id", "scene_id", "shot", "frame", "camera_x"]]
-
+    """Control points of each shot's path by recursive farthest-point splitting, many bounded shots in one call."""
     rows = with_shot(keyframes).select(*SHOT, "frame", "t_ms", "camera_x")
-    return spread_out(rows, SHOT).groupBy(*SHOT).applyInPandas(controls, "match_id long, scene_id long, shot long, frame long, camera_x double")
+    walk = functools.partial(control_points, tolerance=tolerance)
+    return in_groups(rows, SHOT, ["t_ms"], walk, "match_id long, scene_id long, shot long, frame long, camera_x double")
 
 
 def associate_people(frames: DataFrame, people: DataFrame, ttl_ms: int = 750) -> DataFrame:

@@ -25,11 +25,6 @@ def r5(c: Column | str) -> Column:
     return F.round((F.col(c) if isinstance(c, str) else c) + 1e-9, 5)
 
 
-def spread_out(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Hash rows for a Python grouped map; the number of partitions is left to Spark."""
-    return rows.repartition(*keys)
-
-
 def by_time(keys=SCENE):
     return Window.partitionBy(*keys).orderBy("t_ms")
 
@@ -702,63 +697,12 @@ def hold_pan_path(rows: DataFrame, look_ms: int = 850, persist_ms: int = 280, ho
 
     A shot is a short list of holds and pans. For a hold, the samples ahead are cut into runs on one side of the camera;
     the first run that lasts gives the pan, whose easing is computed for all its rows at once. Rows without bounds say
-    nothing. Each bounded scene is a grouped map.
+    nothing. Bounded scenes are walked sample by sample, many of them in one call.
     """
-    import functools
-
-    import numpy as np
-    import pandas as pd
-
-    def opening(t, lo, hi, target):
-        near = (t - t[0] <= look_ms) & (hi - lo < 0.92)
-        meet = lambda box, r: (*np.clip((lo[r], hi[r]), box[0], box[1]), box[2] + [target[r]]) if max(lo[r], box[0]) <= min(hi[r], box[1]) else box
-        low, high, seen = functools.reduce(meet, np.flatnonzero(near), (0.0, 1.0, []))
-        seen = np.sort(np.array([x for x in seen if np.isfinite(x)]))
-        return float(np.clip(seen[len(seen) // 2], low, high)) if len(seen) else float(np.clip(target[0], 0, 1))
-
-    def exit_after(t, lo, hi, i, x):
-        ahead = np.flatnonzero((np.arange(len(t)) > i) & (t - t[i] <= look_ms) & np.isfinite(lo) & np.isfinite(hi))
-        side = np.where(x < lo[ahead], 1, np.where(x > hi[ahead], -1, 0))
-        before = 0
-        for run in np.split(np.arange(len(ahead)), np.flatnonzero(np.diff(side)) + 1):
-            if not len(run) or side[run[0]] == 0:
-                before = 0
-                continue
-            own = side[run[0]]
-            run = ahead[run[1:] if before == -own else run]  # the sample that changes sides only ends the run before
-            lasting = np.flatnonzero(t[run] - t[run[0]] >= persist_ms) if len(run) >= 3 else []
-            if len(lasting):
-                run = run[:max(3, lasting[0] + 1)]
-                return max(x, lo[run].max()) if own > 0 else min(x, hi[run].min())
-            before = own if len(run) else 0
-        return None
-
-    def shot(t, lo, hi, target):
-        x, free, at = opening(t, lo, hi, target), t[0] + hold_ms, 0
-        out = np.full(len(t), x)
-        while at < len(t):
-            goals = ((i, exit_after(t, lo, hi, i, x)) for i in range(max(at, 1), len(t)) if t[i] >= free)
-            i, goal = next(((i, g) for i, g in goals if g is not None and abs(g - x) >= min_pan), (len(t), x))
-            out[at:i + 1] = x
-            if i == len(t):
-                break
-            stop = t[i] + float(np.clip(1500 * abs(goal - x) / speed, 800, 1800))
-            goal = float(np.clip(goal, 0, 1))
-            after = max(i + 1, int(np.searchsorted(t, stop)))
-            p = (t[i + 1:after] - t[i]) / max(1.0, stop - t[i])
-            out[i + 1:after] = x + (goal - x) * p * p * (3 - 2 * p)
-            x, free, at = goal, stop + hold_ms, after
-        return np.clip(out, 0, 1)
-
-    def path(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t_ms")
-        t, lo, hi, target = (pdf[c].to_numpy(float) for c in ("t_ms", "lo", "hi", "target_x"))
-        cuts = np.flatnonzero(pdf["cut"].to_numpy(bool))
-        shots = [x for x in np.split(np.arange(len(t)), cuts) if len(x)]
-        return pdf[["match_id", "scene_id", "frame"]].assign(camera_x=np.concatenate([shot(t[s], lo[s], hi[s], target[s]) for s in shots]))
-
-    cols = rows.select(*SCENE, "frame", "t_ms", "cut", "lo", "hi", "target_x")
-    return spread_out(cols, SCENE).groupBy(*SCENE).applyInPandas(path, "match_id long, scene_id long, frame long, camera_x double")
+    bound = lambda c: F.col(c).cast("double").alias(c)
+    rows = rows.select(*SCENE, "frame", "t_ms", F.coalesce("cut", F.lit(False)).alias("cut"), bound("lo"), bound("hi"), bound("target_x"))
+    walk = functools.partial(tripod, look_ms=look_ms, persist_ms=persist_ms, hold_ms=hold_ms, min_pan=min_pan, speed=speed)
+    return in_groups(rows, SCENE, ["t_ms"], walk, "match_id long, scene_id long, frame long, camera_x double")
 
 
 def tracked_path(rows: DataFrame, speed: float = 0.32) -> DataFrame:

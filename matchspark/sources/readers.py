@@ -89,15 +89,20 @@ def read_moments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_tracking(docs: DataFrame) -> dict[str, DataFrame]:
-    """``keyframes``, ``records`` and ``scene_evidence`` of tracking documents."""
+    """``keyframes``, ``records`` and ``scene_evidence`` of tracking documents.
+
+    Spark's estimate of what it parses out of a document is far too small, and would send the parts of millions of scenes
+    through the driver to broadcast them. So the parts are joined by shuffles.
+    """
     scene = docs.select(F.explode(F.from_json("doc", TRACKING)["moments"]).alias("moment_id", "s"))
     frames = scene.select("moment_id", F.posexplode("s.keyframes").alias("n", "k"))
     records = scene.select("moment_id", F.posexplode("s.sourceRecords").alias("n", "r"))
-    return {
+    parts = {
         "keyframes": frames.select("moment_id", "n", *columns("k", KEYFRAME_FIELDS)),
         "records": records.select("moment_id", "n", *columns("r", RECORD_FIELDS)),
         "scene_evidence": scene.select("moment_id", F.col("s.sampledFrames").alias("sampled_frames"), F.size("s.keyframes").alias("keyframes"), F.size("s.sourceRecords").alias("records"), F.col("s.metrics").alias("metrics")),
     }
+    return {name: part.hint("merge") for name, part in parts.items()}
 
 
 def read_tracking(spark: SparkSession, path: str) -> dict[str, DataFrame]:

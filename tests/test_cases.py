@@ -188,3 +188,25 @@ def test_folding_is_compatibility_decomposition(spark):
     want = {t: re.sub("[^a-z0-9]+", " ", re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFKD", t.lower()))) for (t,) in rows}
     wrong = {r.t: (r.f, want[r.t]) for r in got if r.f != want[r.t]}
     assert len(wrong) < 12 and all(unicodedata.category(t[1]) in ("Lu", "Lt", "Lo", "Mn") for t in wrong), wrong  # newer letters whose case Java does not know yet
+
+
+def test_parts_of_tracking_documents_are_joined_by_shuffles(spark, tmp_path):
+    from matchspark.sources import readers as R
+
+    spark.range(1000).selectExpr("""concat('{"moments":{"m', id, '":{"sampledFrames":1,"keyframes":[{"time":1}],"sourceRecords":[{"time":2}]}}}') AS doc""").write.parquet(f"{tmp_path}/docs")
+    parts = R.parse_tracking(spark.read.parquet(f"{tmp_path}/docs"))
+    both = parts["records"].select("moment_id", "n").join(parts["scene_evidence"].select("moment_id", "sampled_frames"), "moment_id").join(parts["keyframes"].select("moment_id", "t_ms"), "moment_id")
+    assert "Broadcast" not in both._jdf.queryExecution().executedPlan().toString()
+    assert both.count() == 1000
+
+
+def test_stable_score_takes_the_last_reading_before_and_the_first_after(spark):
+    """Of readings at the same time, one counts on each side: the last before, the first after."""
+    from matchspark.operators import ledger as L
+
+    scene = "match_id long, moment_id string, start_ms long, end_ms long, contact_ms long, is_replay boolean, story_phase string"
+    reading = "match_id long, ordinal long, t_ms long, clock_s long, home long, away long"
+    for before, after, stable in (((0, 1), (1, 0), 1), ((1, 0), (1, 1), 0), ((0, 1), (0, 1), 0), ((1, 1), (1, 0), 1)):
+        rows = [(1, 3 - i, 1_000, 1, h, 0) for i, h in enumerate(reversed(before))] + [(1, 5 - i, 9_000, 9, h, 0) for i, h in enumerate(reversed(after))]
+        got = L.stable_score(one(spark, scene, (1, "a", 2_000, 8_000, None, False, "action")), one(spark, reading, *rows)).collect()
+        assert [(r.before_ms, r.after_ms) for r in got] == [(1_000, 9_000)] * stable

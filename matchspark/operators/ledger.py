@@ -163,12 +163,15 @@ def score_coverage(moments: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def stable_score(moments: DataFrame, samples: DataFrame, tol_ms: int = 25_000) -> DataFrame:
-    """Live scenes with the same score read shortly before and after, on an advancing clock."""
+    """Live scenes with the same score read shortly before and after, on an advancing clock.
+
+    Samples are in the order of time and ``ordinal``: the last one up to the setup and the first one from the end on count.
+    """
     contact_lead = F.least(F.col("start_ms") + 1_000, F.col("contact_ms") - 250)
     ready = F.when(F.col("contact_ms") > F.col("start_ms"), contact_lead).otherwise(F.col("start_ms"))
     live = moments.where(~replay()).select("match_id", "moment_id", "start_ms", "end_ms", ready.alias("setup_ms"))
-    first = asof_within(live, samples, ["match_id"], "setup_ms", "t_ms", tol_ms + 1_000, ["clock_s", "home", "away"], "before")
-    both = asof_within(first, samples, ["match_id"], "end_ms", "t_ms", tol_ms, ["clock_s", "home", "away"], "after")
+    first = asof_within(live, samples, ["match_id"], "setup_ms", "t_ms", tol_ms + 1_000, ["clock_s", "home", "away"], "before", ties=["ordinal"])
+    both = asof_within(first, samples, ["match_id"], "end_ms", "t_ms", tol_ms, ["clock_s", "home", "away"], "after", ties=["ordinal"])
     ok = (
         (F.col("start_ms") - F.col("before_ms") <= tol_ms) & (F.col("after_ms") - F.col("end_ms") <= tol_ms)
         & (F.col("after_clock_s") > F.col("before_clock_s")) & (F.col("before_home") == F.col("after_home")) & (F.col("before_away") == F.col("after_away"))

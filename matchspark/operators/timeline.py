@@ -264,22 +264,22 @@ def covered_by(
 
 def asof_within(
     left: DataFrame, right: DataFrame, keys: Sequence[str], left_t: str, right_t: str, tol_ms: int,
-    carry: Sequence[str], side: str, block_ms: int | None = None,
+    carry: Sequence[str], side: str, block_ms: int | None = None, ties: Sequence[str] = (),
 ) -> DataFrame:
     """The last ``right`` row at or before ``left_t`` (``side="before"``), or the first at
     or after it (``side="after"``), if it lies within ``tol_ms``. Adds ``<side>_ms`` and
-    ``<side>_<carry>`` columns.
+    ``<side>_<carry>`` columns. Right rows at the same time are in the order of ``ties``.
     """
     back = side == "before"
     block_ms = block_ms or reach_block(tol_ms)
     probe = left.select("*", F.lit(1 if back else 0).alias("_side"), F.col(left_t).alias("_t")).withColumn(
         "_block", block_of(F.col("_t"), block_ms)
     )
-    payload = F.struct(F.col(right_t).alias("t"), *[F.col(c) for c in carry])
+    payload = F.struct(F.col(right_t).alias("t"), *[F.col(c) for c in carry], *[F.col(c).alias(f"_tie_{c}") for c in ties])
     reach = (0, tol_ms) if not back else (tol_ms, 0)
     seen = halo(right.select(*keys, F.col(right_t).alias("_t"), payload.alias("_hit")), "_t", reach[0], reach[1], block_ms)
     both = probe.unionByName(seen.drop("_home").withColumn("_side", F.lit(0 if back else 1)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys, "_block").orderBy("_t", "_side")
+    w = Window.partitionBy(*keys, "_block").orderBy("_t", "_side", *[F.col(f"_hit._tie_{c}") for c in ties])
     if back:
         hit = F.last("_hit", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
         gap = F.col("_t") - F.col("_found.t")

@@ -94,14 +94,14 @@ def _(v):
     return L.score_coverage(v.moments, v.anchors)
 
 
-SAMPLES = ["match_id", "start_ms AS t_ms", "CASE WHEN ordinal % 13 <> 5 THEN CAST(floor(start_ms / 1000) AS BIGINT) END AS clock_s", "CAST(floor(start_ms / 400000) AS BIGINT) AS home", "ordinal % 2 AS away"]
+SAMPLES = ["match_id", "ordinal", "start_ms AS t_ms", "CASE WHEN ordinal % 13 <> 5 THEN CAST(floor(start_ms / 1000) AS BIGINT) END AS clock_s", "CAST(floor(start_ms / 400000) AS BIGINT) AS home", "ordinal % 2 AS away"]
 
 
 @query("stable_score", f"""WITH s AS (SELECT {', '.join(SAMPLES)} FROM moments_v), m AS (SELECT *, CASE WHEN contact_ms > start_ms THEN least(start_ms + 1000, contact_ms - 250) ELSE start_ms END AS setup_ms FROM moments_v WHERE {LIVE}),
-  b AS (SELECT m.match_id, m.moment_id, m.start_ms, m.end_ms, max(t_ms) AS before_ms FROM m JOIN s ON s.match_id = m.match_id AND t_ms <= setup_ms GROUP BY ALL),
-  c AS (SELECT b.*, min(t_ms) AS after_ms FROM b JOIN s ON s.match_id = b.match_id AND t_ms >= b.end_ms GROUP BY ALL)
-  SELECT c.match_id, moment_id, before_ms, after_ms FROM c JOIN s x ON x.match_id = c.match_id AND x.t_ms = before_ms JOIN s y ON y.match_id = c.match_id AND y.t_ms = after_ms
-  WHERE start_ms - before_ms <= 25000 AND after_ms - end_ms <= 25000 AND y.clock_s > x.clock_s AND x.home = y.home AND x.away = y.away""")
+  b AS (SELECT m.match_id, m.moment_id, m.start_ms, m.end_ms, max(struct_pack(t := t_ms, o := s.ordinal)) AS before FROM m JOIN s ON s.match_id = m.match_id AND t_ms <= setup_ms GROUP BY ALL),
+  c AS (SELECT b.*, min(struct_pack(t := t_ms, o := s.ordinal)) AS after FROM b JOIN s ON s.match_id = b.match_id AND t_ms >= b.end_ms GROUP BY ALL)
+  SELECT c.match_id, moment_id, x.t_ms AS before_ms, y.t_ms AS after_ms FROM c JOIN s x ON x.match_id = c.match_id AND x.t_ms = before.t AND x.ordinal = before.o JOIN s y ON y.match_id = c.match_id AND y.t_ms = after.t AND y.ordinal = after.o
+  WHERE start_ms - x.t_ms <= 25000 AND y.t_ms - end_ms <= 25000 AND y.clock_s > x.clock_s AND x.home = y.home AND x.away = y.away""")
 def _(v):
     return L.stable_score(v.moments, v.moments.selectExpr(*SAMPLES))
 

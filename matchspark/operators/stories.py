@@ -9,14 +9,17 @@ no pairs of linked rows are listed.
 from __future__ import annotations
 
 import bisect
-from collections import defaultdict
+from collections import defaultdict, namedtuple
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchspark.functions.scalar import SCORING, deferred, is_true, kept, reaction, replay, story
+from matchspark.operators.scenes import in_groups, starts
 from matchspark.operators.timeline import interval_join, islands, merge_intervals
 from matchspark.session import cut_lineage
 
@@ -25,6 +28,10 @@ CONTACT_MS = 1_000
 #: A replay may follow what it shows by this much, another clip of the same goal by less.
 REPLAY_MS, GOAL_MS, RECENT_MS = 45_000, 8_000, 12_000
 
+#: What the walks read of a row.
+Line = namedtuple("Line", "event_type story_id start_ms end_ms contact_ms is_replay")
+Goal = namedtuple("Goal", "match_id moment_id ordinal story_id start_ms end_ms shown_again only_replays doubtful can_stand")
+
 
 def components(members: DataFrame, keys: list[str], row: str, edge: str) -> DataFrame:
     """(keys, row, component) of rows that share edges; the component is its smallest row.
@@ -176,13 +183,15 @@ def proven_goal():
     return is_true("semantic_verified") & (kept() | F.coalesce(F.col("tracking_decision") == "phase_verified_goal", F.lit(False)))
 
 
-def linked_goals(part: pd.DataFrame) -> pd.DataFrame:
-    """The link of every goal of one run of goals to the latest live goal before it that it can show."""
-    part = part.sort_values(["start_ms", "ordinal"])
+def linked_goals(c: dict) -> tuple:
+    """The link of every goal of each run of goals to the latest live goal before it that it can show."""
+    out = []
     live: list = []
     furthest: list = []  # latest end among the live goals up to each
-    out = []
-    for r in part.itertuples(index=False):
+    new = set(starts(c["match_id"], c["island"]).tolist())
+    for i, r in enumerate(map(Goal._make, zip(*(c[k].tolist() for k in Goal._fields)))):
+        if i in new:
+            live, furthest = [], []
         reach = REPLAY_MS if r.shown_again else GOAL_MS
         target = None
         for at in range(len(live) - 1, -1, -1):
@@ -194,14 +203,15 @@ def linked_goals(part: pd.DataFrame) -> pd.DataFrame:
             if after or across:
                 target = g
                 break
-        own, other = (None if pd.isna(x) else x for x in (r.story_id, target.story_id if target else None))
+        own, other = r.story_id, target.story_id if target else None
         fits = r.doubtful or (r.shown_again and (r.only_replays or r.start_ms - target.end_ms <= RECENT_MS)) if target else False
         if target and own != other and fits:
             out.append((r.match_id, r.moment_id, r.start_ms, r.ordinal, other, target.moment_id, other or target.moment_id, bool(r.only_replays)))
         elif r.can_stand:
             live.append(r)
             furthest.append(max(r.end_ms, furthest[-1] if furthest else r.end_ms))
-    return pd.DataFrame(out, columns=["match_id", "moment_id", "start_ms", "ordinal", "to_story", "linked_id", "to_key", "only_replays"])
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_())
+    return tuple(pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds))
 
 
 def link_replays(moments: DataFrame) -> DataFrame:
@@ -222,8 +232,11 @@ def link_replays(moments: DataFrame) -> DataFrame:
         (~is_true("is_replay") & proven_goal()).alias("can_stand"), (F.greatest("start_ms", "end_ms") + REPLAY_MS + 1).alias("_until"),
     )
     runs = islands(tagged, ["match_id"], "start_ms", "_until", ["ordinal"])
-    links = cut_lineage(runs.drop("_until").groupBy("match_id", "island").applyInPandas(
-        linked_goals, "match_id long, moment_id string, start_ms long, ordinal long, to_story string, linked_id string, to_key string, only_replays boolean"))
+    # a goal alone in its run has none to be linked to
+    several = runs.groupBy("match_id", "island").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    links = cut_lineage(in_groups(
+        runs.drop("_until").join(several, ["match_id", "island"], "left_semi"), ["match_id", "island"], ["start_ms", "ordinal"], linked_goals,
+        "match_id long, moment_id string, start_ms long, ordinal long, to_story string, linked_id string, to_key string, only_replays boolean"))
     own = moments.select("match_id", "moment_id", key.alias("_key"))
     moved = links.where("only_replays").join(own, ["match_id", "moment_id"]).groupBy("match_id", "_key").agg(F.max_by("to_key", F.struct("start_ms", "ordinal")).alias("_target"))
     hit = F.col("linked_id").isNotNull()

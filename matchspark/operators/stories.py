@@ -123,16 +123,20 @@ def first_groups(rows: DataFrame, edges: DataFrame, choose: Callable) -> DataFra
     need = ["match_id", "ordinal", "event_type", "story_id", "start_ms", "end_ms", "contact_ms", "is_replay"]
     placed = rows.select(*need).join(components(edges, ["match_id"], "ordinal", "edge"), ["match_id", "ordinal"], "left")
 
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        part, seen, out = part.sort_values(["start_ms", "ordinal"]), Seen(), []
-        for at, r in enumerate(part.itertuples(index=False)):
-            out.append(choose(r, at, seen))
-            seen.add(r, out[-1])
-        ordinal = part["ordinal"].to_numpy()
-        return pd.DataFrame({"match_id": part["match_id"].to_numpy(), "ordinal": ordinal, "first": ordinal[out]})
+    def walk(c: dict) -> tuple:
+        first = np.empty(len(c["ordinal"]), np.int64)
+        edges = [*starts(c["match_id"], c["component"]).tolist(), len(first)]
+        lines = list(map(Line._make, zip(*(c[k].tolist() for k in Line._fields))))
+        for a, b in zip(edges, edges[1:]):
+            seen, group = Seen(), []
+            for at, r in enumerate(lines[a:b]):
+                group.append(choose(r, at, seen))
+                seen.add(r, group[-1])
+            first[a:b] = c["ordinal"][a:b][group]
+        return c["match_id"], c["ordinal"], first
 
     alone = placed.where("component IS NULL").select("match_id", "ordinal", F.col("ordinal").alias("first"))
-    many = placed.where("component IS NOT NULL").groupBy("match_id", "component").applyInPandas(walk, "match_id long, ordinal long, first long")
+    many = in_groups(placed.where("component IS NOT NULL"), ["match_id", "component"], ["start_ms", "ordinal"], walk, "match_id long, ordinal long, first long")
     return alone.unionByName(many)
 
 

@@ -158,3 +158,20 @@ def test_an_upsert_leaves_other_partitions_alone(spark):
     rows = {(r.signature, r.frame): r.payload for r in spark.read.parquet(path).collect()}
     assert len(rows) == 41 and rows["s3", 1] == "new" and rows["s3", 2] == "more" and rows["s4", 1] == "old"
     assert spark.read.parquet(path).agg(F.count("*")).first()[0] == 41
+
+
+def test_runs_of_goals_walked_in_one_call_do_not_see_each_other():
+    import numpy as np
+
+    c = {"match_id": np.array([1, 1, 1, 2, 2]), "island": np.array([1, 1, 2, 1, 1]), "moment_id": np.array(list("abcde"), object), "ordinal": np.arange(5), "story_id": np.array(["s", "t", "u", "v", None], object),
+         "start_ms": np.array([0, 9_000, 12_000, 14_000, 20_000]), "end_ms": np.array([5_000, 11_000, 13_000, 15_000, 21_000]), "shown_again": np.array([False, True, True, True, True]),
+         "only_replays": np.array([False, True, True, True, True]), "doubtful": np.zeros(5, bool), "can_stand": np.array([True, False, False, False, False])}
+    out = S.linked_goals(c)
+    assert [x.to_pylist() for x in out[1:2]] == [["b"]] and out[5].to_pylist() == ["a"] and out[4].to_pylist() == ["s"]
+
+
+def test_components_walked_in_one_call_do_not_see_each_other(spark):
+    rows = spark.range(400).selectExpr("id div 4 AS match_id", "id AS ordinal", "'goal' AS event_type", "concat('s', id % 2) AS story_id", "id % 4 * 1000 AS start_ms", "id % 4 * 1000 + 500 AS end_ms", "CAST(NULL AS BIGINT) AS contact_ms", "false AS is_replay")
+    edges = rows.selectExpr("match_id", "ordinal", "xxhash64(story_id) AS edge")
+    got = {r.ordinal: r.first for r in S.first_groups(rows, edges, S.view_of).collect()}
+    assert got == {i: i - i % 4 + i % 2 for i in range(400)}

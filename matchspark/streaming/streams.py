@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections import namedtuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -43,7 +44,7 @@ def _stateful(rows: DataFrame, keys: list[str], step, schema: str, state: str, l
             return
         seen = list(batches)
         yield from step(key, seen, held)
-        newest = max(int(b["at"].max().value // 1_000_000) for b in seen if len(b))
+        newest = max(int(b["at"].to_numpy().max().astype("datetime64[ms]").astype("int64")) for b in seen if len(b))
         held.setTimeoutTimestamp(max(newest, held.getCurrentWatermarkMs()) + ttl_ms)
 
     return rows.withWatermark("at", late).groupBy(*keys).applyInPandasWithState(timed, schema, state, "append", GroupStateTimeout.EventTimeTimeout)
@@ -55,14 +56,22 @@ def newest_minutes(buckets: DataFrame, keep: int = 60) -> DataFrame:
     return buckets.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= keep).drop("_n")
 
 
-def _ordered(batches, cols: list[str]) -> pd.DataFrame:
-    return pd.concat(list(batches)).sort_values(cols, kind="stable")
+def _ordered(batches, row, by: int) -> list:
+    """The rows as named tuples ``row``, in the order of its first ``by`` fields. A key has few rows, so plain lists are fastest."""
+    rows = [r for b in batches for r in zip(*(b[c].tolist() for c in row._fields))]
+    rows.sort(key=lambda r: r[:by])
+    return list(map(row._make, rows))
+
+
+Step = namedtuple("Step", "us event_id stage phase restarted")
+Reading = namedtuple("Reading", "t_ms home away clock_s")
+Frame = namedtuple("Frame", "t_ms frame cut ball_x ball_y")
 
 
 def _phase_spans(key, batches, state: GroupState):
     last = state.get if state.exists else None
     out = []
-    for r in _ordered(batches, ["us", "event_id"]).itertuples(index=False):
+    for r in _ordered(batches, Step, 2):
         if last is not None and last[2] != "completed" and not r.restarted:
             out.append((key[0], int(r.event_id), last[1], (int(r.us) - last[0]) // 1000))
         last = (int(r.us), r.phase if r.phase is not None else r.stage, r.stage)
@@ -83,7 +92,7 @@ def _ledger_step(key, batches, state: GroupState):
         saved = json.loads(state.get[0])
         prev, anchors, opened = saved["prev"], saved["anchors"], saved["opened"]
     out = []
-    for r in _ordered(batches, ["t_ms"]).itertuples(index=False):
+    for r in _ordered(batches, Reading, 1):
         clock = None if pd.isna(r.clock_s) else int(r.clock_s)
         now = [int(r.t_ms), int(r.home), int(r.away), clock]
         if prev is not None:
@@ -126,7 +135,7 @@ def _gap_step(max_gap_ms: int):
         if state.exists:
             last, waiting = json.loads(state.get[0])
         out = []
-        for r in _ordered(batches, ["t_ms"]).itertuples(index=False):
+        for r in _ordered(batches, Frame, 1):
             if r.cut:
                 last, waiting = None, []
             if pd.isna(r.ball_x):

@@ -87,3 +87,13 @@ def test_newest_minutes(spark):
     df = spark.createDataFrame(rows, "job_id string, model string, window struct<start: timestamp, end: timestamp>, requests long")
     got = S.newest_minutes(df).collect()
     assert sorted(r.requests for r in got if r.model == "m") == list(range(10, 70)) and len(got) == 61
+
+
+def test_rows_of_a_trigger_are_put_in_event_order_as_plain_tuples():
+    import pandas as pd
+
+    from matchspark.streaming import streams as S
+
+    parts = [pd.DataFrame({"us": [3, 1], "event_id": [0, 2], "stage": ["c", "b"], "phase": [None, "p"], "restarted": False}), pd.DataFrame({"us": [1], "event_id": [1], "stage": ["a"], "phase": ["q"], "restarted": True})]
+    got = S._ordered(parts, S.Step, 2)
+    assert [(r.us, r.event_id, r.stage, r.phase, r.restarted) for r in got] == [(1, 1, "a", "q", True), (1, 2, "b", "p", False), (3, 0, "c", None, False)]

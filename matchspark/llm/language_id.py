@@ -22,7 +22,7 @@ SAMPLE, SAMPLE_ALL = 1000, 500_000
 #: Weights of a model. With more than 256 languages n-grams share more features, so that every language is learnt.
 CELLS = 1 << 24
 EPOCHS, ALPHA, BETA, L1, L2 = 6, 0.5, 1.0, 1e-5, 1e-6
-PART = 512 << 10
+PART = 128 << 10
 
 
 def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

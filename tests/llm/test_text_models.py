@@ -223,3 +223,20 @@ def test_many_listed_urls(spark):
 @pytest.mark.parametrize("operator", [suffix_dedup, lm_score, fingerprints])
 def test_empty_table(spark, operator):
     assert operator(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_language_features_of_a_slice_take_little_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    from matchspark.llm import language_id as L
+
+    L.Letters.fold(np.zeros(1, np.int64))
+    model = L.Model(["a", "b"], np.ones(1 << L.FEATURE_BITS))
+    text = np.random.default_rng(2).integers(97, 123, L.PART).astype(np.uint8)
+    tracemalloc.start()
+    model.vectors(text, np.arange(0, L.PART + 1, 2048))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20

@@ -4,24 +4,36 @@ A page is cut into text blocks, each within the article, within a part that is n
 comments and the like) or undecided. The token streams of the pages of one host are concatenated, and a suffix array
 finds runs of RUN words or more that stand on distinct pages. Undecided blocks lose the words that such runs cover and
 keep their unique runs; pages that mark their article keep it whole, because an article may well be printed twice.
-Hosts with many pages are dealt out in shares of about PAGES pages, small hosts share a group.
+
+A suffix array takes about SHARE_CHARS of markup: several small hosts, one host, or a share of a large one. What stands
+in different shares of a host is then compared by hashes, so a run is found wherever its pages are dealt. Every run has an
+anchor, the smallest hash among its GRAM-word pieces. Shares first exchange short hashes of their anchors, then whole
+hashes of the runs whose anchors other shares hold too; each share gets one bit back for everything it sent.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchspark.llm.common import sized
+from matchspark.llm.common import U64, lean, mix, release, sized, unpack_text
 from matchspark.llm.url_filter import host_and_path
 
-#: Words of a repeated run, pages per suffix array.
-RUN, PAGES = 8, 1024
+#: Words of a repeated run and of its anchors, characters of markup per suffix array, shares of a host per bucket of hashes.
+RUN, GRAM, SHARE_CHARS, BUCKET_SHARES = 8, 4, 4 << 20, 4
+#: Characters that a page counts for besides its markup.
+PAGE_CHARS = 256
+MULTIPLIERS = (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}
@@ -177,15 +189,167 @@ def main_text(found: list[tuple[int, str]], covered: np.ndarray) -> str:
     return "\n".join(out)
 
 
-def extract(group: pd.DataFrame) -> pd.DataFrame:
-    """The main texts of one group of pages."""
-    found = [blocks(page) for page in group["html"]]
+PAGE_ROWS = pa.schema([("share", pa.int64()), ("host", pa.int64()), ("parts", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("packed", pa.binary())])
+SENT = pa.schema([("host", pa.int64()), ("bucket", pa.int64()), ("share", pa.int64()), ("hashes", pa.binary())])
+MARKS = pa.schema([("share", pa.int64()), ("kind", pa.int64()), ("bucket", pa.int64()), ("bits", pa.binary())])
+TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_repeated", pa.int64())])
+#: A run as shares exchange it; page is SEVERAL if the share has it on distinct pages.
+STRING = np.dtype([("run", "<u8"), ("page", "<u8")])
+SEVERAL = 0
+
+
+@lean
+def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows with ``html``: the same with its blocks, packed as a line of kinds and a line for each text."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        packed = []
+        for page in batch.column("html"):
+            found = blocks(page.as_py())
+            packed.append(pack("\n".join(["".join(str(kind) for kind, _ in found), *(text for _, text in found)]).encode()))
+        yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in PAGE_ROWS.names[:-1]), pa.array(packed, pa.binary())], schema=PAGE_ROWS)
+
+
+def unpacked(share: pa.Table) -> list[list[tuple[int, str]]]:
+    """The blocks of each page of a share."""
+    pages = (unpack_text(packed.as_py()).decode().split("\n") for packed in share["packed"])
+    return [[(int(kind), text) for kind, text in zip(lines[0], lines[1:])] for lines in pages]
+
+
+def runs(streams: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every run of RUN words within a page: anchor, hash, identity of the page (by its words) and place among all words."""
+    size = np.array([len(words) for words in streams], np.int64)
+    n, end = int(size.sum()), np.cumsum(size)
+    if n < RUN:
+        return tuple(np.zeros(0, t) for t in (U64, U64, U64, np.int64))
+    gram = pd.util.hash_array(np.array(list(chain.from_iterable(streams)), object))
+    page = np.array([max(SEVERAL + 1, int.from_bytes(hashlib.blake2b(gram[b - k:b].tobytes(), digest_size=8).digest(), "little")) for b, k in zip(end, size)], U64)
+    for i, m in enumerate(MULTIPLIERS[:2]):
+        gram = gram[:-(1 << i)] * U64(m) + gram[1 << i:]
+    run = mix(gram[:-GRAM] * U64(MULTIPLIERS[2]) + gram[GRAM:])
+    low = mix(gram)
+    anchor = np.minimum.reduce([low[i:i + len(run)] for i in range(RUN - GRAM + 1)])
+    owner = np.repeat(np.arange(len(size)), size)[:len(run)]
+    at = np.flatnonzero(np.arange(len(run)) + RUN <= end[owner])
+    return mix(anchor[at] ^ U64(0x5851F42D4C957F2D)), run[at], page[owner[at]], at
+
+
+def buckets_of(share: pa.Table) -> int:
+    """Buckets of hashes of the host of a share; 0 if the share holds its hosts whole."""
+    parts = share["parts"][0].as_py()
+    return -(-parts // BUCKET_SHARES) if parts > 1 else 0
+
+
+def by_bucket(keys: np.ndarray, buckets: int) -> list[np.ndarray]:
+    """Places of the keys of each bucket, in order."""
+    bucket = (keys % U64(buckets)).astype(np.int64)
+    return np.split(np.argsort(bucket, kind="stable"), np.cumsum(np.bincount(bucket, minlength=buckets))[:-1])
+
+
+def marked(keys: np.ndarray, buckets: int, marks: pa.Table, kind: int) -> np.ndarray:
+    """Which of a share's distinct sorted ``keys`` the bits that came back for them mark."""
+    out, places = np.zeros(len(keys), bool), by_bucket(keys, buckets)
+    for own, bucket, bits in zip(*(marks[name].to_pylist() for name in ("kind", "bucket", "bits"))):
+        if own == kind:
+            out[places[bucket]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(places[bucket])).astype(bool)
+    return out
+
+
+def sent(share: pa.Table, buckets: int, keys: np.ndarray, data: np.ndarray) -> pa.Table:
+    """``data`` of a share's distinct sorted ``keys``, a row per bucket."""
+    rows = [(share["host"][0].as_py(), b, share["share"][0].as_py(), data[at].tobytes()) for b, at in enumerate(by_bucket(keys, buckets)) if len(at)]
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), SENT.types)], schema=SENT) if rows else SENT.empty_table()
+
+
+def sent_anchors(share: pa.Table) -> pa.Table:
+    """Three bytes of each distinct anchor of a share of a large host."""
+    buckets = buckets_of(share)
+    if not buckets:
+        return SENT.empty_table()
+    keys = np.unique(runs([[w for _, text in page for w in text.split()] for page in unpacked(share)])[0])
+    out = sent(share, buckets, keys, (keys // U64(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :3])
+    release()
+    return out
+
+
+def bits_of(group: pa.Table, kind: int, found: list[np.ndarray]) -> pa.Table:
+    bits = [np.packbits(x).tobytes() for x in found]
+    return pa.Table.from_arrays([group["share"], pa.array([kind] * len(bits), pa.int64()), group["bucket"], pa.array(bits, pa.binary())], schema=MARKS)
+
+
+def common_anchors(group: pa.Table) -> pa.Table:
+    """For the anchors that each share sent to a bucket: whether another share sent the same three bytes."""
+    lists = []
+    for raw in group["hashes"]:
+        three = np.frombuffer(raw.as_py(), np.uint8).reshape(-1, 3).astype(np.int64)
+        lists.append(three[:, 0] | three[:, 1] << 8 | three[:, 2] << 16)
+    three, shares = np.unique(np.concatenate([np.unique(x) for x in lists]), return_counts=True)
+    out = bits_of(group, 0, [np.isin(x, three[shares > 1]) for x in lists])
+    release()
+    return out
+
+
+def candidates(streams: list[list[str]], buckets: int, marks: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, page identity and place of the runs whose anchors other shares hold too."""
+    anchor, run, page, at = runs(streams)
+    keys, own = np.unique(anchor, return_inverse=True)
+    kept = marked(keys, buckets, marks, 0)[own]
+    return run[kept], page[kept], at[kept]
+
+
+def least_and_most(run: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct runs in order, and the smallest and largest page of each."""
+    order = np.argsort(run, kind="stable")
+    run, page = run[order], page[order]
+    first = np.flatnonzero(np.append(True, run[1:] != run[:-1])) if len(run) else np.zeros(0, np.int64)
+    return run[first], *(f.reduceat(page, first) if len(run) else page for f in (np.minimum, np.maximum))
+
+
+def sent_runs(share: pa.Table, marks: pa.Table) -> pa.Table:
+    """The distinct candidates of a share of a large host, each with its page."""
+    buckets = buckets_of(share) if len(share) else 0
+    if not buckets:
+        return SENT.empty_table()
+    run, page, _ = candidates([[w for _, text in page for w in text.split()] for page in unpacked(share)], buckets, marks)
+    keys, least, most = least_and_most(run, page)
+    strings = np.zeros(len(keys), STRING)
+    strings["run"], strings["page"] = keys, np.where(least == most, least, SEVERAL)
+    out = sent(share, buckets, keys, strings)
+    release()
+    return out
+
+
+def common_runs(group: pa.Table) -> pa.Table:
+    """For the runs that each share sent to a bucket: whether they stand on distinct pages of the host."""
+    lists = [np.frombuffer(raw.as_py(), STRING) for raw in group["hashes"]]
+    strings = np.concatenate(lists)
+    keys, least, most = least_and_most(strings["run"], strings["page"])
+    shared = (least != most) | (least == SEVERAL)
+    out = bits_of(group, 1, [shared[np.searchsorted(keys, x["run"])] for x in lists])
+    release()
+    return out
+
+
+def extract(share: pa.Table, marks: pa.Table) -> pa.Table:
+    """The main texts of one share of pages."""
+    if not len(share):
+        return TEXTS.empty_table()
+    found = unpacked(share)
     streams = [[w for _, text in page for w in text.split()] for page in found]
-    covered = repeated_words(streams, list(group["host"])) if len(group) else []
+    covered = repeated_words(streams, share["host"].to_pylist())
+    if buckets := buckets_of(share):
+        run, _, at = candidates(streams, buckets, marks)
+        keys, own = np.unique(run, return_inverse=True)
+        at = at[marked(keys, buckets, marks, 1)[own]]
+        end = np.cumsum([len(words) for words in streams])
+        step = np.bincount(at, minlength=end[-1] + 1) - np.bincount(at + RUN, minlength=end[-1] + 1)
+        across = np.cumsum(step)[:-1] > 0
+        covered = [c | x for c, x in zip(covered, np.split(across, end[:-1]))]
     texts = [main_text(page, c) for page, c in zip(found, covered)]
-    return pd.DataFrame({
-        "page_id": group["page_id"], "url": group["url"], "text": texts, "n_chars": [len(t) for t in texts], "n_repeated": [int(c.sum()) for c in covered],
-    })
+    counts = [pa.array([len(t) for t in texts], pa.int64()), pa.array([int(c.sum()) for c in covered], pa.int64())]
+    out = pa.Table.from_arrays([share["page_id"], share["url"], pa.array(texts, pa.string()), *counts], schema=TEXTS)
+    release()
+    return out
 
 
 def html_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -197,9 +361,16 @@ def html_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("host", host_and_path(F.col("url"))[0])
-    counts = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    sums = counts.agg(F.count("*").alias("hosts"), F.sum(F.when(F.col("pages") < PAGES, F.col("pages"))).alias("small")).first()
-    groups = max(1, (sums["small"] or 0) // PAGES)
-    share = F.when(F.col("pages") < PAGES, F.pmod(F.xxhash64("host"), F.lit(groups))).otherwise(F.xxhash64("host", F.pmod(F.xxhash64("page_id", "url"), F.ceil(F.col("pages") / PAGES))))
-    dealt = rows.join(sized(counts, sums["hosts"], 100), "host").withColumn("share", share)
-    return dealt.groupBy("share").applyInPandas(extract, "page_id long, url string, text string, n_chars long, n_repeated long")
+    hosts = rows.groupBy("host").agg(F.sum(F.length("html") + PAGE_CHARS).alias("chars")).withColumn("parts", F.ceil(F.col("chars") / SHARE_CHARS))
+    sums = hosts.agg(F.count_if(F.col("parts") > 1).alias("large"), F.sum(F.when(F.col("parts") == 1, F.col("chars"))).alias("small")).first()
+    groups = max(1, (sums["small"] or 0) // SHARE_CHARS)
+    dealt = rows.join(sized(hosts.where("parts > 1").select("host", "parts"), sums["large"], 100), "host", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    whole = F.pmod(F.xxhash64("host"), F.lit(groups))
+    share = F.when(F.col("parts") == 1, whole).otherwise(F.xxhash64("host", F.pmod(F.xxhash64("page_id", "url", "html"), F.col("parts"))))
+    dealt = dealt.select(share.alias("share"), F.xxhash64("host").alias("host"), "parts", "page_id", "url", "html")
+    shares = dealt.mapInArrow(parsed, "share long, host long, parts long, page_id long, url string, packed binary").groupBy("share")
+    sent_schema, marks_schema = "host long, bucket long, share long, hashes binary", "share long, kind long, bucket long, bits binary"
+    anchors = shares.applyInArrow(sent_anchors, sent_schema).groupBy("host", "bucket").applyInArrow(common_anchors, marks_schema)
+    strings = shares.cogroup(anchors.groupBy("share")).applyInArrow(sent_runs, sent_schema).groupBy("host", "bucket").applyInArrow(common_runs, marks_schema)
+    marks = anchors.unionByName(strings).groupBy("share")
+    return shares.cogroup(marks).applyInArrow(extract, "page_id long, url string, text string, n_chars long, n_repeated long")

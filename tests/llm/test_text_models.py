@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import matchspark.llm.html_text as html_pages
 import matchspark.llm.suffix_dedup as suffix
 from matchspark.llm.common import byte_slices, eight_bytes, mix
 from matchspark.llm.fingerprints import K, S, anchors, fingerprints, likeness
@@ -191,6 +192,33 @@ def test_html(spark):
     assert blocks("") == []
 
 
+def own_words(streams, run=8):
+    """For each page's words: whether no run around them stands on a page with other words."""
+    pages = {}
+    for words in streams:
+        for i in range(len(words) - run + 1):
+            pages.setdefault(tuple(words[i:i + run]), set()).add(tuple(words))
+    return [[not any(len(pages[tuple(words[i:i + run])]) > 1 for i in range(max(0, j - run + 1), min(j, len(words) - run) + 1)) for j in range(len(words))] for words in streams]
+
+
+@pytest.mark.parametrize("chars", [None, 40_000])
+def test_repeats_of_large_hosts(spark, monkeypatch, chars):
+    if chars:
+        monkeypatch.setattr(html_pages, "SHARE_CHARS", chars, raising=False)
+    rng = np.random.default_rng(6)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    notices = [words(int(n)) for n in rng.integers(6, 14, 1100)]
+    streams = [words(int(rng.integers(0, 20))) + notices[i % 1100] + words(int(rng.integers(0, 20))) for i in range(2200)]
+    streams += [streams[5]] * 3 + [words(7), [], ["a"] * 30, ["a"] * 31] + [words(12)] * 20
+    streams += [w[:4] + ["x"] + w[5:] for w in streams[:60]]
+    rows = [(i, f"http://large.org/{i}", f"<p>{' '.join(w)}</p>") for i, w in enumerate(streams)]
+    other = [(10_000 + i, "http://small.org/", f"<p>{' '.join(streams[i])}</p>") for i in range(5)]  # of another host: no repeats
+    got = {r.page_id: r for r in html_text(spark.createDataFrame(rows + other, "page_id long, url string, html string")).collect()}
+    for i, (stream, own) in enumerate(zip(streams, own_words(streams))):
+        assert got[i].text == " ".join(w for w, o in zip(stream, own) if o) and got[i].n_repeated == own.count(False)
+    assert all(got[10_000 + i].text == " ".join(streams[i]) for i in range(5)) and len(got) == len(rows) + 5
+
+
 def test_url_rules(spark):
     rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
     urls = [None, "", "no scheme", "http://A.Example.NET/en/x?y", "http://example.net", "http://net/", "http://xnet/", "https://a.b.example.com/de/", "http://example.com/De/", "http://x.org/fr/#a", "://q.net/p#x", "http://a.net?x=/en/", "http://é.org/fr/"]

@@ -13,6 +13,7 @@ hashes of the runs whose anchors other shares hold too; each share gets one bit
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import html
 import re
@@ -69,6 +70,9 @@ def kind_of(tag: str, attributes: str, above: int) -> int:
     return above
 
 
+known_kind = functools.lru_cache(4096)(kind_of)
+
+
 def blocks(page: str) -> list[tuple[int, str]]:
     """(kind, text) of every block of a page in order; text is decoded, with single blanks, and not empty."""
     out: list[tuple[int, str]] = []
@@ -128,7 +132,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
                 elif stack[i][0] not in INLINE and stack[i][0] != "p":
                     break
         above = stack[-1][1] if stack else UNDECIDED
-        own = kind_of(tag, m[3], above)
+        own = (known_kind if len(m[3]) < 256 else kind_of)(tag, m[3], above)
         if own == JUNK and tag not in INLINE or own != kind:
             flush()
         stack.append((tag, own))
@@ -137,30 +141,38 @@ def blocks(page: str) -> list[tuple[int, str]]:
     return out
 
 
-def repeated_words(streams: list[list[str]], hosts: list[str], run: int = RUN) -> list[np.ndarray]:
+def words_of(found: list[list[tuple[int, str]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All words of some pages as numbers and as hashes; and of each page its number of words and its identity by them."""
+    streams = [[w for _, text in page for w in text.split()] for page in found]
+    size = np.array([len(words) for words in streams], np.int64)
+    number, distinct = pd.factorize(np.array(list(chain.from_iterable(streams)), object))
+    hashes = pd.util.hash_array(distinct, categorize=False)[number]
+    digests = (hashlib.blake2b(hashes[b - k:b].tobytes(), digest_size=8).digest() for b, k in zip(np.cumsum(size), size))
+    page = np.array([max(SEVERAL + 1, int.from_bytes(digest, "little")) for digest in digests], U64)
+    return number, hashes, size, page
+
+
+def repeated_words(number: np.ndarray, size: np.ndarray, pages: np.ndarray, hosts: np.ndarray, run: int = RUN) -> list[np.ndarray]:
     """For each page's words: whether a run of ``run`` words around it also stands on another page of its host.
 
-    The suffix array of all streams is built by doubling up to ``run`` words: suffixes with equal first ``run`` words
+    The suffix array of all pages is built by doubling up to ``run`` words: suffixes with equal first ``run`` words
     are neighbours in it. Pages with the same words throughout count as one page.
     """
-    ids: dict[tuple[str, str], int] = {}
-    pages: dict[tuple, int] = {}
-    token, page = [], []
-    for host, words in zip(hosts, streams):
-        same = pages.setdefault((host, hash(tuple(words)), len(words)), len(pages))
-        token.extend(ids.setdefault((host, w), len(ids)) for w in words)
-        token.append(-1)
-        page.extend([same] * (len(words) + 1))
-    token, page = np.array(token, np.int64), np.array(page, np.int64)
+    host = np.unique(hosts, return_inverse=True)[1]
+    same = np.unique(np.stack([host.astype(U64), pages]), axis=1, return_inverse=True)[1].reshape(-1)
+    page = np.repeat(same, size + 1)
+    ends = np.cumsum(size + 1) - 1
+    token = np.full(len(page), -1, np.int64)
+    token[np.delete(np.arange(len(page)), ends)] = number * (host.max() + 1) + np.repeat(host, size)
+    ids = token.max(initial=-1) + 1
     n = len(token)
-    ends = np.flatnonzero(token < 0)
-    token[ends] = len(ids) + np.arange(len(ends))  # every end differs, so no run crosses pages
-    rank, width = token, 1
+    token[ends] = ids + np.arange(len(ends))  # every end differs, so no run crosses pages
+    rank, width = np.unique(token, return_inverse=True)[1], 1
     while width < run:
         step = min(width, run - width)
         ahead = np.full(n, -1, np.int64)
-        ahead[:n - step] = rank[step:] if n > step else []
-        _, rank = np.unique(rank * (n + len(ids) + 2) + ahead + 1, return_inverse=True)
+        ahead[:max(n - step, 0)] = rank[step:]
+        _, rank = np.unique(rank * (n + 1) + ahead + 1, return_inverse=True)
         width += step
     array = np.argsort(rank, kind="stable")
     first = np.flatnonzero(np.append(True, rank[array][1:] != rank[array][:-1]))
@@ -216,14 +228,11 @@ def unpacked(share: pa.Table) -> list[list[tuple[int, str]]]:
     return [[(int(kind), text) for kind, text in zip(lines[0], lines[1:])] for lines in pages]
 
 
-def runs(streams: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every run of RUN words within a page: anchor, hash, identity of the page (by its words) and place among all words."""
-    size = np.array([len(words) for words in streams], np.int64)
-    n, end = int(size.sum()), np.cumsum(size)
-    if n < RUN:
+def runs(gram: np.ndarray, size: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every run of RUN words within a page: anchor, hash, identity of the page and place among all words."""
+    if len(gram) < RUN:
         return tuple(np.zeros(0, t) for t in (U64, U64, U64, np.int64))
-    gram = pd.util.hash_array(np.array(list(chain.from_iterable(streams)), object))
-    page = np.array([max(SEVERAL + 1, int.from_bytes(hashlib.blake2b(gram[b - k:b].tobytes(), digest_size=8).digest(), "little")) for b, k in zip(end, size)], U64)
+    end = np.cumsum(size)
     for i, m in enumerate(MULTIPLIERS[:2]):
         gram = gram[:-(1 << i)] * U64(m) + gram[1 << i:]
     run = mix(gram[:-GRAM] * U64(MULTIPLIERS[2]) + gram[GRAM:])
@@ -266,7 +275,7 @@ def sent_anchors(share: pa.Table) -> pa.Table:
     buckets = buckets_of(share)
     if not buckets:
         return SENT.empty_table()
-    keys = np.unique(runs([[w for _, text in page for w in text.split()] for page in unpacked(share)])[0])
+    keys = np.unique(runs(*words_of(unpacked(share))[1:])[0])
     out = sent(share, buckets, keys, (keys // U64(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :3])
     release()
     return out
@@ -289,9 +298,9 @@ def common_anchors(group: pa.Table) -> pa.Table:
     return out
 
 
-def candidates(streams: list[list[str]], buckets: int, marks: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def candidates(hashes: np.ndarray, size: np.ndarray, pages: np.ndarray, buckets: int, marks: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, page identity and place of the runs whose anchors other shares hold too."""
-    anchor, run, page, at = runs(streams)
+    anchor, run, page, at = runs(hashes, size, pages)
     keys, own = np.unique(anchor, return_inverse=True)
     kept = marked(keys, buckets, marks, 0)[own]
     return run[kept], page[kept], at[kept]
@@ -310,7 +319,7 @@ def sent_runs(share: pa.Table, marks: pa.Table) -> pa.Table:
     buckets = buckets_of(share) if len(share) else 0
     if not buckets:
         return SENT.empty_table()
-    run, page, _ = candidates([[w for _, text in page for w in text.split()] for page in unpacked(share)], buckets, marks)
+    run, page, _ = candidates(*words_of(unpacked(share))[1:], buckets, marks)
     keys, least, most = least_and_most(run, page)
     strings = np.zeros(len(keys), STRING)
     strings["run"], strings["page"] = keys, np.where(least == most, least, SEVERAL)
@@ -335,13 +344,13 @@ def extract(share: pa.Table, marks: pa.Table) -> pa.Table:
     if not len(share):
         return TEXTS.empty_table()
     found = unpacked(share)
-    streams = [[w for _, text in page for w in text.split()] for page in found]
-    covered = repeated_words(streams, share["host"].to_pylist())
+    number, hashes, size, pages = words_of(found)
+    covered = repeated_words(number, size, pages, share["host"].to_numpy())
     if buckets := buckets_of(share):
-        run, _, at = candidates(streams, buckets, marks)
+        run, _, at = candidates(hashes, size, pages, buckets, marks)
         keys, own = np.unique(run, return_inverse=True)
         at = at[marked(keys, buckets, marks, 1)[own]]
-        end = np.cumsum([len(words) for words in streams])
+        end = np.cumsum(size)
         step = np.bincount(at, minlength=end[-1] + 1) - np.bincount(at + RUN, minlength=end[-1] + 1)
         across = np.cumsum(step)[:-1] > 0
         covered = [c | x for c, x in zip(covered, np.split(across, end[:-1]))]

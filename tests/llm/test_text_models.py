@@ -219,6 +219,16 @@ def test_repeats_of_large_hosts(spark, monkeypatch, chars):
     assert all(got[10_000 + i].text == " ".join(streams[i]) for i in range(5)) and len(got) == len(rows) + 5
 
 
+@pytest.mark.parametrize("chars", [None, 100])
+def test_hosts_of_few_words(spark, monkeypatch, chars):
+    if chars:
+        monkeypatch.setattr(html_pages, "SHARE_CHARS", chars, raising=False)
+    for pages in (["<p>two words"], [""], [None, "<p></p>"], ["<p>a b c", "d", "e f g h i j k l"], ["<p>" + "a " * 9, "<p>" + "a " * 9]):
+        rows = [(None if i else 2**60 + 1, "http://few.org/", page) for i, page in enumerate(pages)]
+        got = html_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+        assert Counter((r.page_id, r.text, r.n_repeated) for r in got) == Counter((i, " ".join((p or "").replace("<p>", "").replace("</p>", "").split()), 0) for i, _, p in rows)
+
+
 def test_url_rules(spark):
     rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
     urls = [None, "", "no scheme", "http://A.Example.NET/en/x?y", "http://example.net", "http://net/", "http://xnet/", "https://a.b.example.com/de/", "http://example.com/De/", "http://x.org/fr/#a", "://q.net/p#x", "http://a.net?x=/en/", "http://é.org/fr/"]

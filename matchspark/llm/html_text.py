@@ -18,11 +18,11 @@ import hashlib
 import html
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -141,48 +141,61 @@ def blocks(page: str) -> list[tuple[int, str]]:
     return out
 
 
-def words_of(found: list[list[tuple[int, str]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All words of some pages as numbers and as hashes; and of each page its number of words and its identity by them."""
-    streams = [[w for _, text in page for w in text.split()] for page in found]
-    size = np.array([len(words) for words in streams], np.int64)
-    number, distinct = pd.factorize(np.array(list(chain.from_iterable(streams)), object))
-    hashes = pd.util.hash_array(distinct, categorize=False)[number]
+def words_of(share: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All words of a share as numbers and as hashes; and of each page its number of words and its identity by them."""
+    pages = (unpack_text(packed.as_py()).decode().partition("\n")[2].replace("\n", " ") for packed in share["packed"])
+    lists = pc.split_pattern(pa.array([page or None for page in pages], pa.large_string()), " ")
+    size = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = pc.list_flatten(lists).dictionary_encode()
+    number = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    hashes = pd.util.hash_array(words.dictionary.to_numpy(zero_copy_only=False), categorize=False)[number]
     digests = (hashlib.blake2b(hashes[b - k:b].tobytes(), digest_size=8).digest() for b, k in zip(np.cumsum(size), size))
     page = np.array([max(SEVERAL + 1, int.from_bytes(digest, "little")) for digest in digests], U64)
     return number, hashes, size, page
 
 
+def group_starts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted keys: the index at which each one's equals begin, and how many they are."""
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[:len(keys)])
+    count = np.diff(np.append(first, len(keys)))
+    return np.repeat(first, count), np.repeat(count, count)
+
+
 def repeated_words(number: np.ndarray, size: np.ndarray, pages: np.ndarray, hosts: np.ndarray, run: int = RUN) -> list[np.ndarray]:
     """For each page's words: whether a run of ``run`` words around it also stands on another page of its host.
 
-    The suffix array of all pages is built by doubling up to ``run`` words: suffixes with equal first ``run`` words
-    are neighbours in it. Pages with the same words throughout count as one page.
+    The suffix array of all pages is built by doubling up to ``run`` words, each time among the suffixes that are still
+    tied: those with equal first ``run`` words are neighbours in it. Pages with the same words throughout count as one.
     """
-    host = np.unique(hosts, return_inverse=True)[1]
+    host = np.unique(hosts, return_inverse=True)[1].astype(np.int64)
     same = np.unique(np.stack([host.astype(U64), pages]), axis=1, return_inverse=True)[1].reshape(-1)
     page = np.repeat(same, size + 1)
-    ends = np.cumsum(size + 1) - 1
-    token = np.full(len(page), -1, np.int64)
-    token[np.delete(np.arange(len(page)), ends)] = number * (host.max() + 1) + np.repeat(host, size)
-    ids = token.max(initial=-1) + 1
-    n = len(token)
-    token[ends] = ids + np.arange(len(ends))  # every end differs, so no run crosses pages
-    rank, width = np.unique(token, return_inverse=True)[1], 1
+    n, ends = len(page), np.cumsum(size + 1) - 1
+    token = np.zeros(n, np.int64)
+    token[np.delete(np.arange(n), ends)] = number * (host.max() + 1) + np.repeat(host, size)
+    token[ends] = token.max() + 1 + np.arange(len(ends))  # every end differs, so no run crosses pages
+    at = np.argsort(token, kind="stable")
+    equals, count = group_starts(token[at])
+    rank = np.empty(n, np.int64)
+    rank[at] = equals  # a suffix's place in the array, or that of the first one tied with it
+    at, width = at[count > 1], 1
     while width < run:
         step = min(width, run - width)
-        ahead = np.full(n, -1, np.int64)
-        ahead[:max(n - step, 0)] = rank[step:]
-        _, rank = np.unique(rank * (n + 1) + ahead + 1, return_inverse=True)
+        key = rank[at] * (n + 1) + rank[at + step]
+        order = np.argsort(key, kind="stable")
+        at, key = at[order], key[order]
+        equals, count = group_starts(key)
+        rank[at] += equals - group_starts(rank[at])[0]
+        at = at[count > 1]
         width += step
-    array = np.argsort(rank, kind="stable")
-    first = np.flatnonzero(np.append(True, rank[array][1:] != rank[array][:-1]))
-    low, high = np.minimum.reduceat(page[array], first), np.maximum.reduceat(page[array], first)
     shared = np.zeros(n, bool)
-    shared[array] = np.repeat(low != high, np.diff(np.append(first, n)))
+    if len(at):
+        first = np.unique(group_starts(rank[at])[0])
+        low, high = np.minimum.reduceat(page[at], first), np.maximum.reduceat(page[at], first)
+        shared[at] = np.repeat(low != high, np.diff(np.append(first, len(at))))
     reach = np.concatenate([[0], np.cumsum(shared)])
     covered = reach[1:] - reach[np.maximum(np.arange(n) - run + 1, 0)] > 0
-    starts = np.concatenate([[0], ends[:-1] + 1]).astype(np.int64)
-    return [covered[a:b] for a, b in zip(starts, ends)]
+    return [covered[a:b] for a, b in zip(ends - size, ends)]
 
 
 def main_text(found: list[tuple[int, str]], covered: np.ndarray) -> str:
@@ -275,7 +288,7 @@ def sent_anchors(share: pa.Table) -> pa.Table:
     buckets = buckets_of(share)
     if not buckets:
         return SENT.empty_table()
-    keys = np.unique(runs(*words_of(unpacked(share))[1:])[0])
+    keys = np.unique(runs(*words_of(share)[1:])[0])
     out = sent(share, buckets, keys, (keys // U64(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :3])
     release()
     return out
@@ -319,7 +332,7 @@ def sent_runs(share: pa.Table, marks: pa.Table) -> pa.Table:
     buckets = buckets_of(share) if len(share) else 0
     if not buckets:
         return SENT.empty_table()
-    run, page, _ = candidates(*words_of(unpacked(share))[1:], buckets, marks)
+    run, page, _ = candidates(*words_of(share)[1:], buckets, marks)
     keys, least, most = least_and_most(run, page)
     strings = np.zeros(len(keys), STRING)
     strings["run"], strings["page"] = keys, np.where(least == most, least, SEVERAL)
@@ -344,7 +357,7 @@ def extract(share: pa.Table, marks: pa.Table) -> pa.Table:
     if not len(share):
         return TEXTS.empty_table()
     found = unpacked(share)
-    number, hashes, size, pages = words_of(found)
+    number, hashes, size, pages = words_of(share)
     covered = repeated_words(number, size, pages, share["host"].to_numpy())
     if buckets := buckets_of(share):
         run, _, at = candidates(hashes, size, pages, buckets, marks)
